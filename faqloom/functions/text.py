@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faqloom.functions.unicode_rules import compose_for_ascii, strip_accents
+from faqloom.functions.unicode_rules import bind, compose_for_ascii, strip_accents
 
 # Tokens the sub-word tokenizer and the word-level tokenizer never split or fold.
 SUBWORD_PROTECTED = ("[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]")
@@ -19,8 +19,14 @@ CJK_CLASS = (
     r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 )
 # Every ASCII sign that is neither letter, digit nor space, and the Unicode punctuation classes.
-PUNCT_CLASS = r"[!-/:-@\[-`{-~\p{P}]"
-WHITESPACE = r"[\s\p{Z}]+"
+PUNCT = r"!-/:-@\[-`{-~\p{P}"
+# After cleaning, the white space that is left is the blank and the two Unicode line separators.
+BLANKS = " \u2028\u2029"
+# Latin text without control characters needs no cleaning.
+NEEDS_CLEANING = r"[\x00-\x1F\x7F-\xA0\xAD\x{250}-\x{10FFFF}]"
+BEYOND_LATIN = r"[\x{3000}-\x{10FFFF}]"
+# A token is one punctuation character or a run of anything else that is not white space.
+TOKEN = rf"[{PUNCT}]|[^{BLANKS}{PUNCT}]+"
 
 
 def normalize_question(text: Column, lower: bool = False) -> Column:
@@ -53,12 +59,19 @@ def standardize_text(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Tabs, line ends and space separators to blanks; other control and unassigned characters dropped."""
-    odd = F.regexp_replace(F.regexp_replace(text, r"[\t\n\r\p{Zs}]", " "), r"[\x{FFFD}\p{C}]", "")
-    return F.when(~text.rlike(r"[^ -~]"), text).otherwise(odd)
+
+    def clean(t: Column) -> Column:
+        blanks = F.regexp_replace(t, r"[\t\n\r\p{Zs}]", " ")
+        return F.when(t.rlike(NEEDS_CLEANING), F.regexp_replace(blanks, r"[\x{FFFD}\p{C}]", "")).otherwise(t)
+
+    return bind(text, clean)
 
 
 def isolate_cjk(text: Column) -> Column:
-    return F.regexp_replace(text, f"([{CJK_CLASS}])", " $1 ")
+    return bind(
+        text,
+        lambda t: F.when(t.rlike(BEYOND_LATIN), F.regexp_replace(t, f"([{CJK_CLASS}])", " $1 ")).otherwise(t),
+    )
 
 
 def fold_token(text: Column) -> Column:
@@ -66,32 +79,39 @@ def fold_token(text: Column) -> Column:
 
 
 def split_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, f"({PUNCT_CLASS})", " $1 ")
+    return F.regexp_replace(text, f"([{PUNCT}])", " $1 ")
 
 
-def _split(text: Column, pattern: str = WHITESPACE) -> Column:
-    return F.filter(F.split(text, pattern), lambda w: w != "")
+def split_words(text: Column) -> Column:
+    """White-space separated words of cleaned text."""
+    return bind(
+        F.btrim(text, F.lit(BLANKS)),
+        lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{BLANKS}]+")),
+    )
 
 
-def _token_array(words_text: Column, protected: Sequence[str], fold: bool) -> Column:
+def _token_array(cleaned: Column, protected: Sequence[str], fold: bool) -> Column:
     """Split cleaned text to tokens.  Folding and punctuation work character by character, so a line without a
     protected token takes them as a whole; only the rare other lines go word by word."""
+    names = "|".join(p.replace("[", r"\[").replace("]", r"\]") for p in protected)
 
     def finish(t: Column) -> Column:
-        return split_punctuation(fold_token(t) if fold else t)
+        return F.regexp_extract_all(fold_token(t) if fold else t, F.lit(TOKEN), F.lit(0))
 
-    names = "|".join(p.replace("[", r"\[").replace("]", r"\]") for p in protected)
-    by_word = F.transform(
-        _split(words_text), lambda w: F.when(w.isin(*protected), w).otherwise(finish(w))
-    )
-    return F.when(~words_text.rlike(names), _split(finish(words_text))).otherwise(
-        _split(F.array_join(by_word, " "))
-    )
+    def word_by_word(t: Column) -> Column:
+        return F.flatten(
+            F.transform(split_words(t), lambda w: F.when(w.isin(*protected), F.array(w)).otherwise(finish(w)))
+        )
+
+    return bind(cleaned, lambda t: F.when(t.rlike(names), word_by_word(t)).otherwise(finish(t)))
 
 
 def basic_token_array(text: Column, lower: bool = True) -> Column:
     """Tokens ahead of sub-word splitting."""
-    return _token_array(isolate_cjk(clean_text(text)), SUBWORD_PROTECTED, lower)
+    ready = bind(
+        text, lambda t: F.when(t.rlike(NEEDS_CLEANING), isolate_cjk(clean_text(t))).otherwise(t)
+    )
+    return _token_array(ready, SUBWORD_PROTECTED, lower)
 
 
 def word_token_array(
@@ -102,7 +122,7 @@ def word_token_array(
     add_double_eos: bool = False,
 ) -> Column:
     """Word-level tokens, with an end marker or sentence markers on both ends (both ends win)."""
-    line = F.regexp_replace(clean_text(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    line = F.btrim(clean_text(text), F.lit(BLANKS))
     if delimiter is None:
         tokens = _token_array(line, WORD_PROTECTED, lower)
     else:
@@ -115,7 +135,7 @@ def word_token_array(
 
         def parts(s: Column) -> Column:
             body = fold_token(s) if lower else s
-            marked = F.regexp_replace(body, f"({PUNCT_CLASS})", "\x00$1\x00")
+            marked = F.regexp_replace(body, f"([{PUNCT}])", "\x00$1\x00")
             return F.when(s.isin(*WORD_PROTECTED), F.array(s)).otherwise(
                 F.filter(F.split(marked, "\x00"), lambda c: c != "")
             )

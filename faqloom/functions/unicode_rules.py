@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 
 HANGUL_FIRST, HANGUL_LAST = 0xAC00, 0xD7A3
 NON_ASCII = r"[^\x00-\x7F]"
+BEYOND_FIRST_BLOCKS = r"[\x{400}-\x{10FFFF}]"
+
+
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` worked out once, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def char_class(points: list[int]) -> str:
@@ -73,13 +79,21 @@ def _hangul_to_jamo(c: Column) -> Column:
 def strip_accents(text: Column) -> Column:
     """Canonical decomposition without the non-spacing marks; ASCII text is passed through untouched."""
     source, image, longer = _fold_tables()
-    simple = F.translate(text, source, image)
-    rare = simple
-    for c, to in longer:
-        rare = F.replace(rare, F.lit(c), F.lit(to))
-    rare = F.array_join(F.transform(F.split(rare, ""), _hangul_to_jamo), "")
     rare_class = "[" + char_class([ord(c) for c, _ in longer]) + rf"\x{{{HANGUL_FIRST:X}}}-\x{{{HANGUL_LAST:X}}}]"
-    return F.when(~text.rlike(NON_ASCII), text).when(~text.rlike(rare_class), simple).otherwise(rare)
+
+    def fold(t: Column) -> Column:
+        simple = F.translate(t, source, image)
+        rare = simple
+        for c, to in longer:
+            rare = F.replace(rare, F.lit(c), F.lit(to))
+        rare = F.array_join(F.transform(F.split(rare, ""), _hangul_to_jamo), "")
+        return (
+            F.when(~t.rlike(NON_ASCII), t)
+            .when(t.rlike(BEYOND_FIRST_BLOCKS) & t.rlike(rare_class), rare)
+            .otherwise(simple)
+        )
+
+    return bind(text, fold)
 
 
 @lru_cache(maxsize=2)
@@ -111,6 +125,13 @@ def _composing_letter(lower: bool) -> str:
 
 def compose_for_ascii(text: Column, lower: bool = False) -> Column:
     """Canonical composition as far as an ASCII-only filter can see it."""
-    plain = F.replace(text, F.lit("\u212a"), F.lit("K"))
-    composed = F.regexp_replace(plain, _composing_letter(lower), "é")
-    return F.when(~text.rlike(NON_ASCII), text).when(plain.rlike(r"\p{M}"), composed).otherwise(plain)
+
+    def compose(t: Column) -> Column:
+        kelvin = F.replace(t, F.lit("\u212a"), F.lit("K"))
+        return (
+            F.when(~t.rlike(NON_ASCII), t)
+            .when(t.rlike(r"\p{M}"), F.regexp_replace(kelvin, _composing_letter(lower), "é"))
+            .otherwise(kelvin)
+        )
+
+    return bind(text, compose)
