@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
 SALTS = 256
 
 
-def lookup(facts: DataFrame, entries: DataFrame, key: str, values: list[str], weight: str | Column) -> DataFrame:
+def lookup(
+    facts: DataFrame, entries: DataFrame, key: str, values: list[str], weight: str | None = None
+) -> DataFrame:
     """Left join ``facts`` with a dictionary of unique keys.
 
     The ``HOT_KEYS`` heaviest entries (by ``weight``) are broadcast, which is a fixed number of rows, and answer their
     rows on the spot; every other key then holds under 1/HOT_KEYS of the rows.  Rows already answered get salted probe
     keys that match nothing, so they spread evenly through the join that serves the rest.  Where the optimizer finds
-    the dictionary small enough it broadcasts that as well and nothing is shuffled.
+    the dictionary small enough it broadcasts that as well and nothing is shuffled.  Without a weight column the rows
+    of ``facts`` are counted by key first.
     """
-    hot = entries.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(
-        key, F.struct(*values).alias("_hot")
-    )
+    if weight is None:
+        weight = "_rows"
+        heavy = facts.groupBy(key).agg(F.count("*").alias(weight)).orderBy(F.desc(weight), key).limit(HOT_KEYS)
+        hot = entries.join(F.broadcast(heavy), key).select(key, F.struct(*values).alias("_hot"))
+    else:
+        hot = _heaviest(entries, key, values, weight)
+    return _probe_twice(facts, entries, key, values, hot)
+
+
+def _heaviest(entries: DataFrame, key: str, values: list[str], weight: str) -> DataFrame:
+    return entries.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(key, F.struct(*values).alias("_hot"))
+
+
+def _probe_twice(facts: DataFrame, entries: DataFrame, key: str, values: list[str], hot: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(SALTS)).cast("string")
     probed = facts.join(F.broadcast(hot), key, "left").withColumn(
         "_probe", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("\x00"), salt))
