@@ -58,11 +58,12 @@ def running_total(
     group: Sequence[str] = (),
     group_total: str | None = None,
     typ: str = "bigint",
+    few_buckets: bool = True,
 ) -> DataFrame:
     """Add ``name`` = sum of ``value`` over the rows strictly ahead in the group, optionally the group total."""
     offsets = bucket_offsets(df, value, bucket, group, typ)
-    if not group:
-        offsets = F.broadcast(offsets)  # one row per bucket
+    if few_buckets and not group:
+        offsets = F.broadcast(offsets)  # one row per bucket, and the number of buckets is a setting
     local = (
         Window.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )

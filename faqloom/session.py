@@ -20,6 +20,7 @@ def local_session(cores: str | int = "*", app: str = "faqloom") -> SparkSession:
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("FAQLOOM_DRIVER_MEMORY", "12g"))
+        .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
