@@ -11,6 +11,7 @@ from faqloom.functions.text import basic_token_array
 from faqloom.operators.lookup import lookup
 from faqloom.operators.tokens import distinct_words, wordpiece_dictionary
 from faqloom.operators.vocab import id_of
+from faqloom.session import materialize
 
 PAD_ID = 0
 
@@ -76,7 +77,7 @@ def piece_id_lists(
         F.arrays_zip("pieces", "ids"), lambda p: ~p["pieces"].isin(list(stop_words)) if stop_words else F.lit(True)
     )
     words = words.select(F.col("word").alias("token"), "n", "ids", F.transform(kept, lambda p: p["ids"]).alias("kept"))
-    pieced = lookup(tokens, words, "token", ["ids", "kept"], "n")
+    pieced = lookup(tokens, materialize(words, "pieces"), "token", ["ids", "kept"], "n")
 
     def side(number: int, ids: str) -> Column:
         mine = F.when((F.col("side") == number) & F.col(ids).isNotNull(), F.struct("pos", F.col(ids).alias("ids")))

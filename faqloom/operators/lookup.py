@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
 SALTS = 256
+BROADCAST_ROWS = 500_000
+
+
+def small_side(entries: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a table of short rows if a count shows that it is small, else ask for a sort-merge join.
+
+    Joins against exploded rows need this: the optimizer takes a table to be as large as its input, so without a hint
+    it may broadcast the exploded side.  Counting stops at the bound.
+    """
+    return F.broadcast(entries) if entries.limit(rows + 1).count() <= rows else entries.hint("merge")
 
 
 def lookup(

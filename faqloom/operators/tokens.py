@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faqloom.functions.text import basic_token_array, split_words, standardize_text, word_token_array
-from faqloom.operators.lookup import lookup
+from faqloom.functions.unicode_rules import bind
+from faqloom.operators.lookup import lookup, small_side
+from faqloom.session import materialize
 
 MAX_WORD_CHARS = 100
 UNKNOWN_PIECE = "[UNK]"
@@ -62,37 +64,38 @@ def wordpiece_dictionary(
             )
         ),
     )
-    hits = spans.join(vocab.select(F.col("token").alias("piece"), "id"), "piece", "left")
-    match = F.struct("start", (-F.col("end")).alias("neg_end"), "piece", "id")
-    per_word = hits.groupBy("word", "n").agg(
-        F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), match))).alias("matches")
+    # a vocabulary without the unknown piece still gives every word its row
+    spare = vocab.sparkSession.createDataFrame([(UNKNOWN_PIECE, None)], "piece string, id int")
+    entries = vocab.select(F.col("token").alias("piece"), F.col("id").cast("int").alias("id")).unionByName(spare)
+    hits = spans.join(small_side(entries.groupBy("piece").agg(F.max("id").alias("id"))), "piece")
+    # a match as one number that sorts by start, then longest first: start, 1023 - end, id
+    code = F.expr(
+        "shiftleft(CAST(greatest(start, 0) AS BIGINT), 42) + shiftleft(CAST(1023 - greatest(end, 0) AS BIGINT), 32)"
+        " + coalesce(id, 4294967295)"
     )
-    empty = F.expr("named_struct('at', 1, 'pieces', cast(array() as array<string>), 'ids', cast(array() as array<int>))")
-    walked = F.aggregate(
-        "matches",
-        empty,
-        lambda s, m: F.when(
-            s["at"] == m["start"],
-            F.struct(
-                (1 - m["neg_end"]).cast("int").alias("at"),
-                F.concat(s["pieces"], F.array(m["piece"])).alias("pieces"),
-                F.concat(s["ids"], F.array(m["id"].cast("int"))).alias("ids"),
-            ),
-        ).otherwise(s),
-    )
-    done = F.col("walk.at") == F.length("word") + 1
-    unknown_id = F.get(F.filter("matches", lambda m: m["start"] < 0), F.lit(0))["id"].cast("int")
-    return per_word.withColumn("walk", walked).select(
+    per_word = hits.groupBy("word", "n").agg(F.sort_array(F.collect_list(code)).alias("matches"))
+    walked = F.expr("""
+        aggregate(filter(matches, m -> m >= shiftleft(1L, 42)), named_struct('at', 1, 'taken', cast(array() AS array<bigint>)),
+          (s, m) -> CASE WHEN s.at = shiftright(m, 42)
+            THEN named_struct('at', CAST(1024 - (shiftright(m, 32) & 1023) AS INT), 'taken', concat(s.taken, array(m)))
+            ELSE s END)""")
+    id_in = "CAST(nullif({} & 4294967295, 4294967295) AS INT)"
+    done = per_word.withColumn("walk", walked).withColumn("whole", F.expr("walk.at = length(word) + 1"))
+    pieces = F.expr("""transform(walk.taken, m -> concat(CASE WHEN shiftright(m, 42) > 1 THEN '##' ELSE '' END,
+        substring(word, CAST(shiftright(m, 42) AS INT), CAST(1024 - (shiftright(m, 32) & 1023) - shiftright(m, 42) AS INT))))""")
+    return done.select(
         "word",
         "n",
-        F.when(done, F.col("walk.pieces")).otherwise(F.array(F.lit(UNKNOWN_PIECE))).alias("pieces"),
-        F.when(done, F.col("walk.ids")).otherwise(F.array(unknown_id)).alias("ids"),
+        F.when(F.col("whole"), pieces).otherwise(F.array(F.lit(UNKNOWN_PIECE))).alias("pieces"),
+        F.when(F.col("whole"), F.expr(f"transform(walk.taken, m -> {id_in.format('m')})"))
+        .otherwise(F.array(F.expr(id_in.format("matches[0]")))).alias("ids"),
     )
 
 
 def wordpieces(tokens: DataFrame, vocab: DataFrame, longest_piece: int) -> DataFrame:
     """Replace the ``token`` of each row by its ``pieces`` and ``ids`` arrays."""
     words = wordpiece_dictionary(distinct_words(tokens), vocab, longest_piece).withColumnRenamed("word", "token")
+    words = materialize(words, "pieces")
     return lookup(tokens, words, "token", ["pieces", "ids"], "n")
 
 
@@ -133,7 +136,8 @@ def bpe_dictionary(words: DataFrame, merges: DataFrame, longest_merge: int) -> D
 
     A merge can only ever apply to a word that holds its joined text, so one equi-join of the words' symbol runs with
     the merge table (left, right, rank) brings each word the few merges that matter to it.  The merge loop then runs
-    inside the word: the best-ranked adjacent pair is merged at all its places until no pair is ranked.
+    inside the word, on its symbols written as one string with marks around each: the best-ranked pair that occurs is
+    replaced at all its places, left to right, until none occurs.
     ``longest_merge`` is the longest merged symbol, counted in symbols.
     """
     symbols = words.withColumn("s", word_symbols(F.col("word")))
@@ -155,30 +159,21 @@ def bpe_dictionary(words: DataFrame, merges: DataFrame, longest_merge: int) -> D
         ).alias("joined"),
     )
     table = merges.select(
-        F.concat("left", "right").alias("joined"), F.struct("rank", "left", "right").alias("merge")
-    )
-    per_word = runs.join(table, "joined").groupBy("word").agg(F.collect_set("merge").alias("merges"))
-    merged = (
-        symbols.join(per_word, "word", "left")
-        .withColumn("ranks", F.expr(
-            "map_from_entries(transform(merges, m -> struct(concat(m.left, '\\0', m.right) AS k, m.rank AS v)))"))
-        .withColumn("pieces", F.expr(_MERGE_LOOP))
+        F.concat("left", "right").alias("joined"),
+        F.struct(
+            "rank",
+            F.concat(F.lit("\x01"), "left", F.lit("\x02\x01"), "right", F.lit("\x02")).alias("pair"),
+            F.concat(F.lit("\x01"), "left", "right", F.lit("\x02")).alias("one"),
+        ).alias("merge"),
     )
-    pieces = F.when(F.col("merges").isNull(), F.col("s")).otherwise(F.col("pieces"))
-    return merged.select("word", "n", pieces.alias("pieces"))
-
-
-# One step: the rank of every adjacent pair, the best one, and a left-to-right pass that joins its places.
-_MERGE_LOOP = """
-aggregate(sequence(1, greatest(size(s) - 1, 1)), s, (w, step) ->
-  element_at(transform(array(
-    array_min(filter(transform(sequence(1, greatest(size(w) - 1, 1)), i ->
-      named_struct('rank', try_element_at(ranks, concat(w[i - 1], '\\0', get(w, i))),
-                   'left', w[i - 1], 'right', get(w, i))), p -> p.rank IS NOT NULL))), best ->
-    CASE WHEN best IS NULL THEN w ELSE
-      aggregate(w, cast(array() AS array<string>), (done, x) ->
-        CASE WHEN x = best.right AND try_element_at(done, -1) = best.left
-             THEN concat(slice(done, 1, size(done) - 1), array(concat(best.left, best.right)))
-             ELSE concat(done, array(x)) END)
-    END), 1))
-"""
+    per_word = runs.join(small_side(table), "joined").groupBy("word").agg(F.sort_array(F.collect_list("merge")).alias("merges"))
+    merged = symbols.join(per_word, "word", "left")
+    wrapped = F.array_join(F.transform("s", lambda c: F.concat(F.lit("\x01"), c, F.lit("\x02"))), "")
+
+    def step(text: Column, _) -> Column:
+        best = F.get(F.filter("merges", lambda m: F.contains(text, m["pair"])), F.lit(0))
+        return bind(best, lambda m: F.when(m.isNull(), text).otherwise(F.replace(text, m["pair"], m["one"])))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.size("s")), wrapped, step)
+    pieces = F.regexp_extract_all(done, F.lit("[^\x01\x02]+"), F.lit(0))
+    return merged.select("word", "n", F.when(F.col("merges").isNull(), F.col("s")).otherwise(pieces).alias("pieces"))

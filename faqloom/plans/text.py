@@ -163,16 +163,16 @@ pieces AS (
 def walk_sql(words: str) -> str:
     """Greedy longest match, one piece per step, from a table of distinct words."""
     return f"""
-walk(word, at, out) AS (
+walk(word, nxt, parts) AS (
   SELECT word, 1, CAST([] AS VARCHAR[]) FROM {words} WHERE length(word) <= 100
   UNION ALL
-  SELECT word, any_value(at) + max(len), list_append(any_value(out), arg_max(piece, len)) FROM (
-    SELECT word, at, out, len, (CASE WHEN at > 1 THEN '##' ELSE '' END) || substr(word, at, CAST(len AS INTEGER)) AS piece
-    FROM walk, range(1, 101) r(len) WHERE at + len - 1 <= length(word)) c
+  SELECT word, any_value(nxt) + max(len), list_append(any_value(parts), arg_max(piece, len)) FROM (
+    SELECT word, nxt, parts, len, (CASE WHEN nxt > 1 THEN '##' ELSE '' END) || substr(word, nxt, CAST(len AS INTEGER)) AS piece
+    FROM walk, range(1, 101) r(len) WHERE nxt + len - 1 <= length(word)) c
   JOIN pieces ON piece = token GROUP BY word),
 split_words AS (
-  SELECT w.word, coalesce(f.out, ['[UNK]']) AS pieces FROM {words} w
-  LEFT JOIN (SELECT word, out FROM walk WHERE at = length(word) + 1) f ON f.word = w.word)"""
+  SELECT w.word, coalesce(f.parts, ['[UNK]']) AS pieces FROM {words} w
+  LEFT JOIN (SELECT word, parts FROM walk WHERE nxt = length(word) + 1) f ON f.word = w.word)"""
 
 
 WORDPIECE = f"{_PIECE_VOCAB}, words AS (SELECT DISTINCT token AS word FROM toks), {walk_sql('words')}"
@@ -274,7 +274,7 @@ def bpe(spark, root):
 
     words = K.bpe_words(documents(spark, root), "doc_id")
     pieces = K.bpe_dictionary(K.distinct_words(words), merge_table(spark, root), LONGEST_MERGE)
-    pieced = lookup(words, pieces.withColumnRenamed("word", "token"), "token", ["pieces"], "n")
+    pieced = lookup(words, materialize(pieces.withColumnRenamed("word", "token"), "bpe-pieces"), "token", ["pieces"], "n")
     return K.piece_rows(pieced, "doc_id")
 
 
