@@ -1 +1,246 @@
-"""To come."""
+"""Encoded corpora and language-model batch queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faqloom.operators import corpora as C
+from faqloom.operators import tokens as K
+from faqloom.operators import vocab as V
+from faqloom.operators.negatives import negative_samples
+from faqloom.plans import sql as S
+from faqloom.plans.features import spaced
+from faqloom.plans.registry import query
+from faqloom.plans.text import (
+    _IDS, PLACE, WORD_VOCAB_SQL, document_lines, encoded_tokens, made_once, word_vocab,
+)
+from faqloom.session import materialize, scratch_path
+from faqloom.sources.sinks import read_corpus, write_corpus
+
+KEY = ["source", "doc_id", "line_no"]
+BSZ, BPTT, EXT = 8, 32, 16
+SEED = 42
+
+
+def split_column(source="source"):
+    """Corpus split by source: sources 16 and 17 for validation, 18 and 19 for the test, all others for training."""
+    return F.when(F.col(source).isin("src16", "src17"), "valid").when(
+        F.col(source).isin("src18", "src19"), "test").otherwise("train")
+
+
+_SPLIT = "CASE WHEN source IN ('src16', 'src17') THEN 'valid' WHEN source IN ('src18', 'src19') THEN 'test' ELSE 'train' END"
+
+
+def encoded(spark, root, name, **markers):
+    """Encoded lines of all documents, written once."""
+
+    def build():
+        vocab = word_vocab(spark, root)
+        unknown = V.id_of(vocab, V.require_unknown(vocab))
+        rows = document_lines(spark, root, "source")
+        return C.encode_lines(rows, vocab, KEY, "token", unknown, lower=True, **markers)
+
+    return made_once(spark, root, name, build)
+
+
+@query("encode_corpus", f"""{_IDS}
+SELECT doc_id, line_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM coded GROUP BY doc_id, line_no""")
+def encode_corpus(spark, root):
+    rows = V.gather(encoded_tokens(spark, root), "id", ["doc_id", "line_no"], ["pos"], "ids")
+    return rows.select("doc_id", "line_no", spaced(F.col("ids")).alias("ids"))
+
+
+@query("flat_corpus", f"""{_IDS}
+SELECT doc_id, line_no, CAST(sum(n) OVER (ORDER BY doc_id, line_no) - n AS BIGINT) AS at FROM (
+  SELECT doc_id, line_no, count(*) AS n FROM coded GROUP BY doc_id, line_no)""")
+def flat_corpus(spark, root):
+    """Place of each line in the flat corpus."""
+    return C.place_lines(encoded(spark, root, "with-eos", add_eos=True)).select("doc_id", "line_no", "at")
+
+
+_FLAT = f"""{_IDS},
+flat AS (SELECT id, row_number() OVER (ORDER BY doc_id, line_no, pos) - 1 AS p, count(*) OVER () // {BSZ} AS n_step FROM coded),
+steps AS (
+  SELECT id, p // n_step AS lane, p % n_step AS s, n_step, lead(id) OVER (PARTITION BY p // n_step ORDER BY p) AS nxt
+  FROM flat WHERE p < n_step * {BSZ})"""
+
+
+def batch_output(df, *keep):
+    return df.select(*keep, "batch", "lane", spaced(F.col("input")).alias("input"), spaced(F.col("target")).alias("target"))
+
+
+@query("lm_ordered_batches", f"""{_FLAT},
+ctx AS (
+  SELECT lane, s // {BPTT} AS batch, s, id, nxt, true AS fresh FROM steps WHERE s < n_step - 1
+  UNION ALL SELECT lane, s // {BPTT} + 1, s, id, nxt, false FROM steps
+  WHERE s % {BPTT} >= {BPTT - EXT} AND (s // {BPTT} + 1) * {BPTT} < n_step - 1)
+SELECT batch, CAST(lane AS INTEGER) AS lane, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY s) AS input,
+       string_agg(CAST(nxt AS VARCHAR), ' ' ORDER BY s) FILTER (fresh) AS target FROM ctx GROUP BY batch, lane""")
+def lm_ordered_batches(spark, root):
+    placed = C.place_lines(encoded(spark, root, "with-eos", add_eos=True))
+    return batch_output(C.ordered_batches(placed, BSZ, BPTT, EXT))
+
+
+@query("lm_varlen_batches", f"""{_FLAT},
+draws AS (
+  SELECT k, CAST(least({BPTT + 15}, greatest(5, CAST(trunc(base + 5 * sqrt(-2.0 * ln(1.0 - u1)) * cos(2.0 * 3.141592653589793 * u2))
+         AS BIGINT))) AS BIGINT) AS len FROM (
+    SELECT k, CASE WHEN {S.u(SEED, 'k', '0')} < 0.95 THEN {BPTT}.0 ELSE {BPTT / 2} END AS base,
+           {S.u(SEED, 'k', '1')} AS u1, {S.u(SEED, 'k', '2')} AS u2
+    FROM range((SELECT max(n_step) FROM steps) // 5 + 2) r(k))),
+windows AS (SELECT k, len, sum(len) OVER (ORDER BY k) - len AS start FROM draws),
+ns AS (SELECT max(n_step) AS n_step FROM steps),
+used AS (
+  SELECT k, start, least(len, n_step - 1 - start) AS len FROM windows, ns WHERE k = 0 OR start < n_step - 2)
+SELECT k AS batch, CAST(lane AS INTEGER) AS lane, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY s) AS input,
+       string_agg(CAST(nxt AS VARCHAR), ' ' ORDER BY s) AS target
+FROM used JOIN steps ON s >= start AND s < start + len GROUP BY k, lane""")
+def lm_varlen_batches(spark, root):
+    placed = materialize(C.place_lines(encoded(spark, root, "with-eos", add_eos=True)), "placed")
+    return batch_output(C.varlen_batches(placed, BSZ, BPTT, SEED))
+
+
+def _packed_sql(bsz: int, group: str = "", order: str = "doc_id, line_no", where: str = "true", ext: int = 0) -> str:
+    """Packed batches in SQL, one row per pair, from double-marked sentences."""
+    g = f"{group}, " if group else ""
+    p = f"PARTITION BY {group}" if group else ""
+    return f"""
+sent AS (
+  SELECT {g} doc_id, line_no, count(*) - 1 AS n, list(id ORDER BY pos) AS xs FROM dcoded WHERE {where}
+  GROUP BY {g} doc_id, line_no HAVING count(*) > 1),
+ranked AS (SELECT *, (row_number() OVER ({p} ORDER BY {order}) - 1) % {bsz} AS lane FROM sent),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY {g} lane ORDER BY {order}) - n AS a FROM ranked),
+pairs AS (SELECT {g} lane, a + unnest(range(n)) AS p, unnest(xs[1:-2]) AS x, unnest(xs[2:]) AS y FROM placed),
+inner_rows AS (
+  SELECT {g} CAST(lane AS INTEGER) AS lane, CAST(p // {BPTT} AS BIGINT) AS batch, p, x, y, true AS fresh FROM pairs
+  UNION ALL SELECT {g} CAST(lane AS INTEGER), CAST(p // {BPTT} + 1 AS BIGINT), p, x, y, false FROM pairs
+  WHERE p % {BPTT} >= {BPTT - ext}),
+lanes AS (
+  SELECT {g} batch, lane, string_agg(CAST(x AS VARCHAR), ' ' ORDER BY p) AS input,
+         string_agg(CAST(y AS VARCHAR), ' ' ORDER BY p) FILTER (fresh) AS target, count(*) FILTER (fresh) AS n
+  FROM inner_rows GROUP BY {g} batch, lane),
+whole AS (
+  SELECT *, count(*) OVER (PARTITION BY {g} batch) AS full_lanes FROM lanes WHERE n = {BPTT})
+SELECT {g} batch, lane, input, target FROM whole WHERE full_lanes = {bsz}"""
+
+
+_SRC = "source, doc_id, line_no"
+_DOUBLE = f"""WITH {WORD_VOCAB_SQL},
+{S.token_cte('dt', "['<S>'] || " + S.word_list('line', True) + " || ['<S>']", keep=_SRC)},
+dcoded AS (
+  SELECT source, doc_id, line_no, pos, coalesce(v.id, (SELECT id FROM vocab WHERE token = '<unk>')) AS id
+  FROM dt LEFT JOIN vocab v ON v.token = dt.token)"""
+
+
+def double_marked(spark, root):
+    return encoded(spark, root, "double-marked", add_double_eos=True)
+
+
+@query("lm_packed_batches", f"{_DOUBLE}, {_packed_sql(4, ext=EXT)}")
+def lm_packed_batches(spark, root):
+    return batch_output(C.packed_batches(double_marked(spark, root), 4, BPTT, EXT))
+
+
+@query("lm_packed_one_lane", f"{_DOUBLE}, {_packed_sql(1)}")
+def lm_packed_one_lane(spark, root):
+    return batch_output(C.packed_batches(double_marked(spark, root), 1, BPTT))
+
+
+@query("lm_multifile_batches", f"{_DOUBLE}, {_packed_sql(2, 'source', S.h(SEED, 'doc_id', 'line_no'))}")
+def lm_multifile_batches(spark, root):
+    return batch_output(C.packed_batches(double_marked(spark, root), 2, BPTT, 0, ["source"], SEED), "source")
+
+
+@query("corpus_batches", f"""WITH {S.LINES},
+cw AS (
+  SELECT doc_id, line_no, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS pos, unnest(ts) AS token, source FROM (
+    SELECT doc_id, line_no, source, {S.word_list('line')} AS ts FROM lines)),
+cv AS (
+  SELECT '<eos>' AS token, 0 AS id UNION ALL
+  SELECT token, row_number() OVER (ORDER BY cnt DESC, first) FROM (
+    SELECT token, count(*) AS cnt, min(doc_id * 10000000000 + line_no * 1000000 + pos) AS first FROM cw
+    WHERE token <> '<eos>' GROUP BY token)),
+ce AS (
+  SELECT {_SPLIT} AS split, doc_id, line_no, pos, id FROM (
+    SELECT source, doc_id, line_no, pos, token FROM cw
+    UNION ALL SELECT source, doc_id, line_no, 1000000, '<eos>' FROM lines) t JOIN cv USING (token)),
+flat AS (
+  SELECT split, id, row_number() OVER (PARTITION BY split ORDER BY doc_id, line_no, pos) - 1 AS p,
+         count(*) OVER (PARTITION BY split) // {BSZ} AS n_step FROM ce),
+steps AS (
+  SELECT split, id, p // n_step AS lane, p % n_step AS s, n_step,
+         lead(id) OVER (PARTITION BY split, p // n_step ORDER BY p) AS nxt FROM flat WHERE p < n_step * {BSZ})
+SELECT split, s // {BPTT} AS batch, CAST(lane AS INTEGER) AS lane, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY s) AS input,
+       string_agg(CAST(nxt AS VARCHAR), ' ' ORDER BY s) AS target
+FROM steps WHERE s < n_step - 1 GROUP BY split, s // {BPTT}, lane""")
+def corpus_batches(spark, root):
+    """Count, build the vocabulary, encode and batch all splits of one corpus family."""
+    family = "wt2"
+    rules = C.FAMILIES[family]
+    rows = document_lines(spark, root, "source").withColumn("split", split_column())
+    counted = rows.filter(F.col("split").isin(*rules.counted))
+    words = K.word_tokens(counted, "doc_id", "line_no", lower=rules.lower)
+    vocab = materialize(V.build_vocab(
+        materialize(V.counts_with_first_place(words, PLACE), "counted"), rules.specials), "vocab")
+    coded = materialize(C.encode_lines(
+        rows, vocab, ["split", "source", "doc_id", "line_no"], lower=rules.lower, **rules.markers), "corpus")
+    out = None
+    for split in ("train", "valid", "test"):
+        part = batch_output(C.family_batches(family, coded, split, BSZ, BPTT)).withColumn("split", F.lit(split))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("corpus_batches_packed", f"""{_DOUBLE.replace('WITH', 'WITH', 1)},
+train AS ({'WITH ' + _packed_sql(2, 'source', S.h(SEED, 'doc_id', 'line_no'), f"{_SPLIT} = 'train'").strip()}),
+valid AS ({'WITH ' + _packed_sql(2, where=f"{_SPLIT} = 'valid'").strip()}),
+test AS ({'WITH ' + _packed_sql(2, where=f"{_SPLIT} = 'test'").strip()})
+SELECT 'train' AS split, source, batch, lane, input, target FROM train
+UNION ALL SELECT 'valid', NULL, batch, lane, input, target FROM valid
+UNION ALL SELECT 'test', NULL, batch, lane, input, target FROM test""")
+def corpus_batches_packed(spark, root):
+    """The sentence-packed family: training file by file in random order, the other splits in one stream."""
+    coded = double_marked(spark, root).withColumn("split", split_column())
+    out = None
+    for split in ("train", "valid", "test"):
+        part = C.family_batches("lm1b", coded, split, 2, BPTT, shuffle_seed=SEED).withColumn("split", F.lit(split))
+        part = part if "source" in part.columns else part.withColumn("source", F.lit(None).cast("string"))
+        part = batch_output(part, "split", "source")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("corpus_tables_sink", f"""WITH {WORD_VOCAB_SQL}, {S.token_cte('et', S.word_list('line', True) + " || ['<eos>']", keep=_SRC)}
+SELECT {_SPLIT} AS split, doc_id, line_no, string_agg(token, ' ' ORDER BY pos) AS text FROM (
+  SELECT source, doc_id, line_no, pos, coalesce(v.token, '<unk>') AS token FROM et LEFT JOIN vocab v ON v.token = et.token)
+GROUP BY source, doc_id, line_no""")
+def corpus_tables_sink(spark, root):
+    """Write vocabulary and encoded corpus apart, read both and decode."""
+    path = scratch_path(spark, "corpus")
+    rows = encoded(spark, root, "with-eos", add_eos=True).withColumn("split", split_column())
+    write_corpus(word_vocab(spark, root), rows, path)
+    vocab, stored = read_corpus(spark, path)
+    cells = stored.select("split", "doc_id", "line_no", F.posexplode("ids").alias("pos", "id"))
+    named = V.gather(V.decode(cells, vocab), "token", ["split", "doc_id", "line_no"], ["pos"], "tokens")
+    return named.select("split", "doc_id", "line_no", V.words_to_text(F.col("tokens")).alias("text"))
+
+
+_RANGE, _N_SAMPLE = 6000, 10
+
+
+@query("negative_samples", f"""WITH {WORD_VOCAB_SQL},
+drawn AS (
+  SELECT DISTINCT id AS label, CAST(floor(exp({S.u(SEED, 'id', 'j')} * ln({_RANGE + 1}.0))) - 1 AS INTEGER) AS negative
+  FROM vocab, range({2 * _N_SAMPLE}) r(j)),
+q AS (
+  SELECT c, ln(1 - pow(1 - (ln(c + 2.0) - ln(c + 1.0)) / ln({_RANGE + 1}.0), {2 * _N_SAMPLE})) AS lp FROM range({_RANGE}) r(c))
+SELECT label, negative, round(t.lp, 6) AS true_log_prob, round(s.lp, 6) AS samp_log_prob
+FROM drawn JOIN q t ON t.c = label JOIN q s ON s.c = negative WHERE negative <> label""")
+def negatives(spark, root):
+    """Log-uniform negatives for every word of the vocabulary."""
+    labels = word_vocab(spark, root).select(F.col("id").alias("label"))
+    rows = negative_samples(labels, _RANGE, _N_SAMPLE, SEED)
+    return rows.select(
+        "label", "negative", F.round("true_log_prob", 6).alias("true_log_prob"), F.round("samp_log_prob", 6).alias("samp_log_prob"))
+
+
