@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from faqloom.functions.text import basic_token_array, normalize_question
 from faqloom.functions.vectors import sigmoid, softmax
 from faqloom.operators.lookup import lookup
+from faqloom.session import materialize
 
 LABELS_PER_BLOCK = 4096
 ROWS_PER_SLICE = 20_000
@@ -106,7 +107,7 @@ def answer_index(answers: DataFrame) -> DataFrame:
     """
     n_answers = answers.count()
     tokens = answers.select("label", F.explode(text_tokens(F.col("answer"))).alias("token"))
-    tf = tokens.groupBy("label", "token").agg(F.count("*").alias("tf"))
+    tf = materialize(tokens.groupBy("label", "token").agg(F.count("*").alias("tf")), "answer-terms")
     idf = F.round(IDF_SCALE * F.ln((n_answers + 1) / (F.count("*") + 1))).cast("bigint")
     df = tf.groupBy("token").agg(idf.alias("idf"), F.count("*").alias("df"))
     weighted = lookup(tf, df, "token", ["idf"], "df").filter("idf > 0")

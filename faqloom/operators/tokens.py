@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faqloom.functions.text import basic_token_array, split_words, standardize_text, word_token_array
 from faqloom.functions.unicode_rules import bind
 from faqloom.operators.lookup import lookup, small_side
-from faqloom.session import materialize
+from faqloom.session import bucket_count, materialize
 
 MAX_WORD_CHARS = 100
 UNKNOWN_PIECE = "[UNK]"
@@ -34,8 +34,13 @@ def bpe_words(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 
 def distinct_words(tokens: DataFrame, word: str = "token") -> DataFrame:
-    """Each distinct word once, with its count: the unit of work of the sub-word tokenizers."""
-    return tokens.groupBy(F.col(word).alias("word")).agg(F.count("*").alias("n"))
+    """Each distinct word once, with its count: the unit of work of the sub-word tokenizers.
+
+    The counted words are small next to the work that follows on each, so they are spread by a fixed number of
+    partitions, which run-time coalescing leaves alone; later groupings by word reuse that partitioning.
+    """
+    counted = tokens.groupBy(F.col(word).alias("word")).agg(F.count("*").alias("n"))
+    return counted.repartition(bucket_count(tokens.sparkSession), "word")
 
 
 def wordpiece_dictionary(
