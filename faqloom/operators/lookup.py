@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 SALTS = 256
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small_side(entries: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table of short rows if a count shows that it is small, else ask for a sort-merge join.
+def fits_broadcast(entries: DataFrame) -> bool:
+    """Whether a table is small in rows and bytes.  It looks at no more than the bound."""
+    seen = entries.limit(BROADCAST_ROWS + 1).agg(
+        F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*entries.columns))))
+    ).first()
+    return seen[0] <= BROADCAST_ROWS and (seen[1] or 0) <= BROADCAST_BYTES
+
+
+def small_side(entries: DataFrame) -> DataFrame:
+    """Broadcast a table that was found to be small, else ask for a sort-merge join.
 
     Joins against exploded rows need this: the optimizer takes a table to be as large as its input, so without a hint
-    it may broadcast the exploded side.  Counting stops at the bound.
+    it may broadcast the exploded side.
     """
-    return F.broadcast(entries) if entries.limit(rows + 1).count() <= rows else entries.hint("merge")
+    return F.broadcast(entries) if fits_broadcast(entries) else entries.hint("merge")
 
 
 def lookup(
@@ -24,12 +33,15 @@ def lookup(
 ) -> DataFrame:
     """Left join ``facts`` with a dictionary of unique keys.
 
-    The ``HOT_KEYS`` heaviest entries (by ``weight``) are broadcast, which is a fixed number of rows, and answer their
-    rows on the spot; every other key then holds under 1/HOT_KEYS of the rows.  Rows already answered get salted probe
-    keys that match nothing, so they spread evenly through the join that serves the rest.  Where the optimizer finds
-    the dictionary small enough it broadcasts that as well and nothing is shuffled.  Without a weight column the rows
-    of ``facts`` are counted by key first.
+    A dictionary that was found to be small is broadcast and nothing is shuffled.  Beyond that, the ``HOT_KEYS``
+    heaviest entries (by ``weight``) are broadcast, which is a fixed number of rows, and answer their rows on the spot;
+    every other key then holds under 1/HOT_KEYS of the rows.  Rows already answered get salted probe keys that match
+    nothing, so they spread evenly through the join that serves the rest.  Without a weight column the rows of
+    ``facts`` are counted by key first.
     """
+    slim = entries.select(key, *values)
+    if fits_broadcast(slim):
+        return facts.join(F.broadcast(slim), key, "left").select(*facts.columns, *values)
     if weight is None:
         weight = "_rows"
         heavy = facts.groupBy(key).agg(F.count("*").alias(weight)).orderBy(F.desc(weight), key).limit(HOT_KEYS)

@@ -90,11 +90,8 @@ def require_unknown(vocab: DataFrame, names: Sequence[str] = ("<UNK>", "<unk>"))
 
 def append_specials(vocab: DataFrame, specials: Sequence[str]) -> DataFrame:
     """Byte-pair style: special tokens get the ids that follow the vocabulary, in their own order."""
-    size = vocab.agg(F.count("*").alias("_size"), F.lit(True).alias("_one"))
-    extra = vocab.sparkSession.createDataFrame(
-        [(t, i, True) for i, t in enumerate(specials)], "token string, ordinal int, _one boolean"
-    )
-    tail = extra.join(F.broadcast(size), "_one").select("token", (F.col("ordinal") + F.col("_size")).cast("int").alias("id"))
+    size = vocab.count()
+    tail = vocab.sparkSession.createDataFrame([(t, size + i) for i, t in enumerate(specials)], "token string, id int")
     return vocab.select("token", "id").unionByName(tail)
 
 
@@ -179,9 +176,9 @@ def pieces_to_text(tokens, tidy: bool = False):
 
 def vocab_summary(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Vocabulary size next to the number of distinct tokens it was built from."""
-    size = vocab.agg(F.count("*").alias("vocab_size"), F.lit(1).alias("_k"))
-    seen = token_counts(tokens).agg(F.count("*").alias("n_distinct"), F.lit(1).alias("_k"))
-    return size.join(seen, "_k").drop("_k")
+    size = vocab.select(F.lit(1).alias("v"), F.lit(0).alias("d"))
+    seen = token_counts(tokens).select(F.lit(0).alias("v"), F.lit(1).alias("d"))
+    return size.unionByName(seen).agg(F.sum("v").alias("vocab_size"), F.sum("d").alias("n_distinct"))
 
 
 def vocab_bands(vocab: DataFrame, cutoffs: Sequence[int]) -> DataFrame:

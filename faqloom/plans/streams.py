@@ -25,7 +25,9 @@ def stream_rank_answers(spark, root):
 @query("stream_token_counts", f"WITH {S.BASIC} SELECT token, count(*) AS n FROM toks GROUP BY token")
 def stream_token_counts(spark, root):
     out = scratch_path(spark, "counts")
-    J.count_tokens(J.table_stream(spark, root, "documents"), out, scratch_path(spark, "state"))
+    texts = J.table_stream(spark, root, "documents").select("doc_id", "text")
+    texts = texts.repartition(spark.sparkContext.defaultParallelism, "doc_id")  # one small file is one split
+    J.count_tokens(texts, out, scratch_path(spark, "state"))
     return J.latest_counts(spark, out)
 
 

@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from faqloom.operators import lookup as lookup_module
 from faqloom.operators import tokens as K
 from faqloom.operators import vocab as V
 from faqloom.operators.lookup import lookup
@@ -67,12 +69,17 @@ def test_whole_vocab_ranks_like_most_common(spark):
     assert [r.token for r in got] == want and [r.id for r in got] == list(range(len(want)))
 
 
-def test_lookup_with_one_hot_key(spark):
+@pytest.mark.parametrize("rows", [500_000, 10])
+def test_lookup_with_one_hot_key(spark, monkeypatch, rows):
+    monkeypatch.setattr(lookup_module, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(lookup_module, "HOT_KEYS", 5)
     facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     entries = spark.range(2500).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"), F.lit(1).alias("w"))
     entries = entries.unionByName(spark.createDataFrame([("hot", -1, 1000)], "k string, v long, w int"))
     got = {r.id: r.v for r in lookup(facts, entries, "k", ["v"], "w").collect()}
-    assert got == {i: -1 if i % 3 == 0 else (i if i < 2500 else None) for i in range(3000)}
+    want = {i: -1 if i % 3 == 0 else (i if i < 2500 else None) for i in range(3000)}
+    assert got == want
+    assert {r.id: r.v for r in lookup(facts, entries, "k", ["v"]).collect()} == want
 
 
 def test_out_of_vocabulary_rules(spark):
@@ -82,8 +89,6 @@ def test_out_of_vocabulary_rules(spark):
     assert ids(V.encode(tokens, vocab, "zero")) == {"a": 1, "z": 0}
     unk = V.id_of(vocab, V.require_unknown(vocab))
     assert ids(V.encode(tokens, vocab, "token", unknown_id=unk)) == {"a": 1, "z": 0}
-    import pytest
-
     with pytest.raises(Exception, match="not in the vocabulary"):
         V.encode(tokens, vocab, "error").collect()
     with pytest.raises(Exception, match="out of vocabulary"):
