@@ -136,6 +136,16 @@ def word_symbols(word: Column) -> Column:
     )
 
 
+def symbol_runs(words: DataFrame, longest: int) -> DataFrame:
+    """Every run of 2 to ``longest`` symbols of each word, cut ahead of its last symbol: the word's columns, left, right."""
+    runs = words.filter(F.length("word") > 1).withColumn("start", F.explode(F.expr("sequence(1, length(word) - 1)")))
+    ends = F.expr(f"sequence(start + 1, least(length(word), start + {longest} - 1))")
+    runs = runs.withColumn("end", F.explode(ends))
+    last = F.expr("substring(word, end, 1)")
+    right = F.when(F.col("end") == F.length("word"), F.concat(last, F.lit(END_OF_WORD))).otherwise(last)
+    return runs.select(*words.columns, F.expr("substring(word, start, end - start)").alias("left"), right.alias("right"))
+
+
 def bpe_dictionary(words: DataFrame, merges: DataFrame, longest_merge: int) -> DataFrame:
     """Byte-pair pieces of distinct words: word, n, pieces.
 
@@ -145,24 +155,7 @@ def bpe_dictionary(words: DataFrame, merges: DataFrame, longest_merge: int) -> D
     replaced at all its places, left to right, until none occurs.
     ``longest_merge`` is the longest merged symbol, counted in symbols.
     """
-    symbols = words.withColumn("s", word_symbols(F.col("word")))
-    size = F.size("s")
-    runs = symbols.filter(size > 1).select(
-        "word",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), size - 1),
-                        lambda i: F.transform(
-                            F.sequence(F.lit(2), F.least(F.lit(longest_merge), size - i + 1)),
-                            lambda k: F.array_join(F.slice("s", i, k), ""),
-                        ),
-                    )
-                )
-            )
-        ).alias("joined"),
-    )
+    runs = symbol_runs(words, longest_merge).select("word", F.concat("left", "right").alias("joined"))
     table = merges.select(
         F.concat("left", "right").alias("joined"),
         F.struct(
@@ -171,8 +164,8 @@ def bpe_dictionary(words: DataFrame, merges: DataFrame, longest_merge: int) -> D
             F.concat(F.lit("\x01"), "left", "right", F.lit("\x02")).alias("one"),
         ).alias("merge"),
     )
-    per_word = runs.join(small_side(table), "joined").groupBy("word").agg(F.sort_array(F.collect_list("merge")).alias("merges"))
-    merged = symbols.join(per_word, "word", "left")
+    per_word = runs.join(small_side(table), "joined").groupBy("word").agg(F.sort_array(F.collect_set("merge")).alias("merges"))
+    merged = words.withColumn("s", word_symbols(F.col("word"))).join(per_word, "word", "left")
     wrapped = F.array_join(F.transform("s", lambda c: F.concat(F.lit("\x01"), c, F.lit("\x02"))), "")
 
     def step(text: Column, _) -> Column:

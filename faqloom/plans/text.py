@@ -92,16 +92,7 @@ def merge_table(spark, root) -> DataFrame:
 
     def build():
         words = K.distinct_words(K.bpe_words(documents(spark, root), "doc_id"))
-        symbols = words.select("n", K.word_symbols(F.col("word")).alias("s")).filter(F.size("s") > 1)
-        spans = F.flatten(F.transform(
-            F.sequence(F.lit(1), F.size("s") - 1),
-            lambda i: F.transform(
-                F.sequence(F.lit(2), F.least(F.lit(LONGEST_MERGE), F.size("s") - i + 1)),
-                lambda k: F.struct(
-                    F.array_join(F.slice("s", i, k - 1), "").alias("left"), F.element_at("s", i + k - 1).alias("right")),
-            ),
-        ))
-        counted = symbols.select("n", F.explode(spans).alias("m")).groupBy("m.left", "m.right").agg(F.sum("n").alias("n"))
+        counted = K.symbol_runs(words, LONGEST_MERGE).groupBy("left", "right").agg(F.sum("n").alias("n"))
         order = [F.desc("n"), F.asc("left"), F.asc("right")]
         top = counted.orderBy(*order).limit(MERGES)
         return top.select("left", "right", (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"))
