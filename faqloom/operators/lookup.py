@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
 SALTS = 256
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+HOT_BYTES = 16 << 10
+
+
+def _bytes(columns: list[str]) -> Column:
+    return F.octet_length(F.to_json(F.struct(*columns)))
 
 
 def fits_broadcast(entries: DataFrame) -> bool:
-    """Whether a table is small in rows and bytes.  It looks at no more than the bound."""
-    seen = entries.limit(BROADCAST_ROWS + 1).agg(
-        F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*entries.columns))))
-    ).first()
+    """Whether a table is small in rows and bytes.  Each task sums up its own rows; one row per task moves."""
+    seen = entries.agg(F.count("*"), F.sum(_bytes(entries.columns))).first()
     return seen[0] <= BROADCAST_ROWS and (seen[1] or 0) <= BROADCAST_BYTES
 
 
@@ -37,7 +40,8 @@ def lookup(
     heaviest entries (by ``weight``) are broadcast, which is a fixed number of rows, and answer their rows on the spot;
     every other key then holds under 1/HOT_KEYS of the rows.  Rows already answered get salted probe keys that match
     nothing, so they spread evenly through the join that serves the rest.  Without a weight column the rows of
-    ``facts`` are counted by key first.
+    ``facts`` are counted by key first.  A heavy entry of more than ``HOT_BYTES`` stays with the rest, so the broadcast
+    is bounded in bytes as well.  Probe keys are text, whatever the type of the key.
     """
     slim = entries.select(key, *values)
     if fits_broadcast(slim):
@@ -45,22 +49,24 @@ def lookup(
     if weight is None:
         weight = "_rows"
         heavy = facts.groupBy(key).agg(F.count("*").alias(weight)).orderBy(F.desc(weight), key).limit(HOT_KEYS)
-        hot = entries.join(F.broadcast(heavy), key).select(key, F.struct(*values).alias("_hot"))
+        hot = entries.join(F.broadcast(heavy), key).filter(_bytes(values) <= HOT_BYTES)
+        hot = hot.select(key, F.struct(*values).alias("_hot"))
     else:
         hot = _heaviest(entries, key, values, weight)
     return _probe_twice(facts, entries, key, values, hot)
 
 
 def _heaviest(entries: DataFrame, key: str, values: list[str], weight: str) -> DataFrame:
-    return entries.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(key, F.struct(*values).alias("_hot"))
+    light = entries.filter(_bytes(values) <= HOT_BYTES)
+    return light.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(key, F.struct(*values).alias("_hot"))
 
 
 def _probe_twice(facts: DataFrame, entries: DataFrame, key: str, values: list[str], hot: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(SALTS)).cast("string")
     probed = facts.join(F.broadcast(hot), key, "left").withColumn(
-        "_probe", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("\x00"), salt))
+        "_probe", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("\x00"), salt))
     )
-    rest = entries.select(F.col(key).alias("_probe"), F.struct(*values).alias("_rest"))
+    rest = entries.select(F.col(key).cast("string").alias("_probe"), F.struct(*values).alias("_rest"))
     found = F.coalesce("_hot", "_rest")
     return probed.join(rest, "_probe", "left").select(
         *facts.columns, *[found[v].alias(v) for v in values]
