@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faqloom.llm import decontaminate, mixing, simhash, token_counts
+from faqloom.llm import decontaminate, mixing, simhash, token_counts, topk, warc
 from faqloom.session import scratch_path
 from faqloom.sources.tables import table
 
@@ -46,3 +47,13 @@ def tokens(spark, root):
     cache = scratch_path(spark, "token-cache")  # a new cache: every distinct text is a miss
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, root, "documents"), path, cache, limit=512)
+
+
+@query("op8_warc", warc.ORACLE)
+def archives(spark, root):
+    return warc.round_trip(table(spark, root, "pages"), least=0)
+
+
+@query("op9_top_inner_products", topk.ORACLE)
+def top_inner_products(spark, root):
+    return topk.top_k(table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
