@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faqloom.llm import decontaminate, mixing, simhash, token_counts, topk, warc
+from faqloom.llm import decontaminate, mixing, simhash, token_counts, topk, toxicity, warc
 from faqloom.session import scratch_path
 from faqloom.sources.tables import table
 
@@ -26,6 +26,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def held_out(doc_id):
+    """Documents whose labels are not learned from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+@query("op1_toxicity")
+def toxicity_scores(spark, root):
+    out = toxicity.scored(
+        table(spark, root, "documents"), table(spark, root, "labels"), learn=~held_out(F.col("_id")), threshold=0.7
+    )
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op5_mix_sources", mixing.ORACLE)
 def mix_sources(spark, root):
     return mixing.mix(table(spark, root, "documents"), weights=(3, 1, 2), share=(3, 2), most=2)
