@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faqloom.llm import decontaminate, mixing, simhash, token_counts, topk, toxicity, warc
+from faqloom.llm import decontaminate, html_text, mixing, simhash, token_counts, topk, toxicity, warc
 from faqloom.session import scratch_path
 from faqloom.sources.tables import table
 
@@ -39,6 +39,11 @@ def toxicity_scores(spark, root):
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op2_html_text")
+def main_texts(spark, root):
+    return html_text.extract(table(spark, root, "pages"))
+
+
 @query("op5_mix_sources", mixing.ORACLE)
 def mix_sources(spark, root):
     return mixing.mix(table(spark, root, "documents"), weights=(3, 1, 2), share=(3, 2), most=2)
