@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faqloom.llm import decontaminate, html_text, mixing, simhash, token_counts, topk, toxicity, warc
+from faqloom.llm import decontaminate, html_text, licenses, mixing, secrets_scan, simhash, token_counts, topk, toxicity, warc
 from faqloom.session import scratch_path
 from faqloom.sources.tables import table
 
@@ -44,6 +44,17 @@ def main_texts(spark, root):
     return html_text.extract(table(spark, root, "pages"))
 
 
+@query("op3_secrets")
+def secrets(spark, root):
+    found = secrets_scan.scan(table(spark, root, "documents"), secrets_scan.fit(spark), threshold=0.5)
+    return found.drop("text_key")
+
+
+@query("op4_licenses", licenses.ORACLE)
+def license_notices(spark, root):
+    return licenses.scan(table(spark, root, "documents"), licenses.known_texts(spark))
+
+
 @query("op5_mix_sources", mixing.ORACLE)
 def mix_sources(spark, root):
     return mixing.mix(table(spark, root, "documents"), weights=(3, 1, 2), share=(3, 2), most=2)
