@@ -83,20 +83,33 @@ def hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str
     spans = spans.withColumn(
         "key", F.when(start >= 0, keys_by_length(F.col("hashes"), start, length, lengths)).otherwise(F.col("text_key"))
     ).withColumn("key_length", F.when(start >= 0, length).otherwise(-1))  # documents' own rows meet nothing
-    known = windows.select(
-        F.col("key").alias("_key"), F.col("length").alias("_length"), "window", "items"
-    )
-    known = F.broadcast(known) if is_small(known) else known.hint("merge")
+    known = windows.select(F.col("key").alias("_key"), F.col("length").alias("_length"), "window", "items")
     same = (F.col("key") == F.col("_key")) & (F.col("key_length") == F.col("_length"))
-    # the check of the words stands after the join: only what met the set gets there
-    met = spans.join(known, same, "left").filter(
-        (start < 0) | (F.col("window") == span_text(F.col("words"), start, length))
-    )
     own = start < 0
+    spans = spans.withColumn("n_words", F.when(own, n))
+    if is_small(known):
+        # the check of the words stands after the join: only what met the set gets there
+        met = spans.join(F.broadcast(known), same, "left")
+        return _gathered(met.filter(own | (F.col("window") == span_text(F.col("words"), start, length))), "items")
+    # a set too large to send round: keys are shuffled without the texts, and hits meet their text once per document
+    narrow = spans.select("doc_id", "text_key", "start", "length", "key", "key_length", "n_words")
+    met = narrow.join(known.hint("merge"), same, "left").filter(own | F.col("window").isNotNull())
+    per = materialize(_gathered(met, "items", "window"), "benchmark-met")
+    texts = hashed.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "words")
+    mine = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text"))
+    some = per.filter(F.size("found") > 0)
+    texts = texts.join(some.select("doc_id", "text_key").hint("merge"), mine, "left_semi").dropDuplicates(["_doc", "_text"])
+    verified = F.filter("found", lambda f: f["window"] == span_text(F.col("words"), f["start"], f["length"]))
+    checked = some.join(texts.hint("merge"), mine).withColumn("found", verified)
+    return checked.select(*per.columns).unionByName(per.filter(F.size("found") == 0))
+
+
+def _gathered(met: DataFrame, *fields: str) -> DataFrame:
+    own = F.col("start") < 0
     return met.groupBy("doc_id", "text_key").agg(
         F.sum(own.cast("bigint")).alias("copies"),
-        F.max(F.when(own, F.size("words"))).cast("bigint").alias("n_words"),
-        F.collect_set(F.when(~own, F.struct("start", "length", "items"))).alias("found"),
+        F.max("n_words").cast("bigint").alias("n_words"),
+        F.collect_set(F.when(~own, F.struct("start", "length", *fields))).alias("found"),
     )
 
 
