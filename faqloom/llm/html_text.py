@@ -49,10 +49,10 @@ KEYWORDS = frozenset(
     "comentario impressum".split()
 )
 TOKEN = re.compile(r"[a-z]+")
-ROWS = 200
+ROWS = 150
 #: Pages of more characters or blocks are left out of the sample that is learned from.
 MOST_CHARS, MOST_BLOCKS = 100_000, 120
-STEPS, RIDGE = 100, 1e-3
+STEPS, RIDGE = 160, 1e-4
 
 
 class Block:
@@ -189,20 +189,20 @@ def marked(blocks: list[Block]) -> list[int] | None:
     return [int(x and not b.around & ASIDE) for x, b in zip(inside, blocks)] if any(inside) else None
 
 
-def layouts(article: list[Block], rest: list[str]) -> list[str]:
-    """The same blocks in other layouts; ``data-y`` tells the label."""
+def layouts(article: list[Block], rest: list[str], few: int) -> list[str]:
+    """The same blocks in other layouts, with ``few`` blocks in what is set aside; ``data-y`` tells the label."""
     body = "".join(f"<{b.tag or 'p'}>{escape(b.text)}</{b.tag or 'p'}>" if b.tag in ("h1", "h2", "h3", "li", "blockquote", "pre")
                    else f"<p>{escape(b.text)}</p>" for b in article)
     lines = [escape(r) for r in rest] or ["more"]
     pick = [lines[i % len(lines)] for i in range(8)]
     links = "".join(f'<li><a href="#">{x}</a></li>' for x in lines[:8])
-    paras = "".join(f"<p>{x}</p>" for x in pick[:3])
+    paras = "".join(f"<p>{x}</p>" for x in pick[:few])
 
     def y(inner: str, tag: str = "div", attr: str = "", label: int = 0) -> str:
         return f'<{tag} {attr} data-y="{label}">{inner}</{tag}>'
 
     head, foot = y(f"<h2>{pick[0]}</h2><a href='#'>{pick[1]}</a>", "header"), y(f"<p>&copy; {pick[2]}</p>", "footer")
-    remarks = "".join(f'<div class="comment"><b>{pick[i]}</b><p>{pick[i + 1]}</p></div>' for i in range(3))
+    remarks = "".join(f'<div class="comment"><b>{pick[i]}</b><p>{pick[i + 1]}</p></div>' for i in range(few))
     form = y(f'<label>{pick[3]}</label><input name="q"><button>{pick[4]}</button>', "form")
     note = y(f"<p>{pick[5]} cookies</p><button>{pick[6]}</button>", attr='class="cookie-notice" role="dialog"')
     ad = y(f"<p>{pick[7]}</p>", attr='class="ad banner"')
@@ -228,7 +228,7 @@ def training_pages(pages: list[str]) -> list[tuple[list[Block], list[int]]]:
             continue
         out.append((blocks, labels))
         article = [b for b, y in zip(blocks, labels) if y]
-        kinds = layouts(article, [b.text for b, y in zip(blocks, labels) if not y])
+        kinds = layouts(article, [b.text for b, y in zip(blocks, labels) if not y], 1 + i // 6 % 3)
         made = blocks_of("<body>" + kinds[i % len(kinds)] + "</body>")
         out.append((made, [int(b.label or 0) for b in made]))
     return out

@@ -131,7 +131,7 @@ class Archives:
     def begin(self, header: bytes) -> None:
         if self.out is None:
             self.path = f"{self.folder}/part-{uuid.uuid4().hex}.warc.gz"  # a name of this attempt alone
-            self.out, self.records = self.files.open_output_stream(self.path), 0
+            self.out, self.records = self.files.open_output_stream(self.path, compression=None), 0
         self.member = zlib.compressobj(6, zlib.DEFLATED, GZIP)
         self.records += 1
         self.write(header)
@@ -262,7 +262,7 @@ def read_archives(manifest: DataFrame, folder: str, data: bool = True) -> DataFr
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows, held = [], 0
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     for row in records(stream):
                         if not data and not row[-1]:
                             continue
