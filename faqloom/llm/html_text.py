@@ -33,6 +33,8 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select "
     "summary table tbody td tfoot th thead tr ul caption label textarea input".split()
 )
+#: Elements that make a region of a page.
+REGIONS = frozenset("article main aside nav header footer form dialog section table ul ol menu".split())
 #: Elements whose text a browser does not show, and elements without an end tag.  Fixed by HTML.
 HIDDEN = frozenset("head title script style noscript template iframe object svg math canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,15 +53,15 @@ KEYWORDS = frozenset(
 TOKEN = re.compile(r"[a-z]+")
 ROWS = 150
 #: Pages of more characters or blocks are left out of the sample that is learned from.
-MOST_CHARS, MOST_BLOCKS = 100_000, 120
-STEPS, RIDGE = 160, 1e-4
+MOST_CHARS, MOST_BLOCKS = 100_000, 60
+STEPS, RIDGE = 250, 1e-4
 
 
 class Block:
-    __slots__ = ("around", "tag", "text", "linked", "label")
+    __slots__ = ("around", "tag", "region", "text", "linked", "label")
 
-    def __init__(self, around, tag, text, linked, label):
-        self.around, self.tag, self.text, self.linked, self.label = around, tag, text, linked, label
+    def __init__(self, around, tag, region, text, linked, label):
+        self.around, self.tag, self.region, self.text, self.linked, self.label = around, tag, region, text, linked, label
 
 
 class Blocks(HTMLParser):
@@ -78,7 +80,8 @@ class Blocks(HTMLParser):
             if text:
                 _, around, _, _, label = self.top()
                 tag = next((t for t, *_ in reversed(self.open) if t in BLOCKS), "")
-                self.blocks.append(Block(around, tag, text, self.linked, label))
+                region = next((t for t, *_ in reversed(self.open) if t in REGIONS), "")
+                self.blocks.append(Block(around, tag, region, text, self.linked, label))
             self.parts, self.linked = [], 0
 
     def top(self) -> tuple:
@@ -164,6 +167,8 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
             f"links:{0 if not b.linked else 1 if density < 0.3 else 2 if density < 0.8 else 3}",
             f"end:{b.text[-1] if b.text[-1] in '.!?:,;…»' else '-'}",
             f"place:{5 * i // n}",
+            f"near:{b.region}",
+            f"near:{b.region}/{b.tag}",
         ]
         if i == 0 or i == n - 1:
             own.append("first" if i == 0 else "last")
