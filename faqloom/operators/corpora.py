@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faqloom.functions.draws import unit_draw
@@ -137,11 +137,11 @@ def packed_batches(
     group: Sequence[str] = (),
     shuffle_seed: int | None = None,
 ) -> DataFrame:
-    """Lanes filled from whole sentences with (token, next token) pairs that never cross a sentence.
+    """Lanes filled from sentences with (token, next token) pairs that never cross a sentence.
 
-    Sentences of one token give no pair.  The n-th sentence goes to lane ``n mod bsz`` (exact pull order for one lane;
-    with more lanes the lanes are filled side by side instead of one pulling from the other).  A batch is kept only if
-    all lanes fill it.  ``group`` packs each file on its own.
+    Sentences of one token give no pair.  The pairs in corpus order are cut into ``bsz`` lanes of as many whole windows
+    as all lanes can have, so at most ``bsz * bptt - 1`` pairs of a group are left over; a sentence may go on in the next
+    lane.  ``group`` packs each file on its own.
     """
     rows = sentences.filter(F.size("ids") > 1)
     if shuffle_seed is None:
@@ -149,30 +149,30 @@ def packed_batches(
     else:
         rows = hash_order(rows, ["doc_id", "line_no"], shuffle_seed)
         order, bucket = ["_h", "doc_id", "line_no"], ["_b"]
-    rows = running_total(rows, F.lit(1), order, bucket, "_rank", group=group)
-    rows = rows.withColumn("lane", F.pmod("_rank", F.lit(bsz)))
-    rows = running_total(rows, F.size("ids") - 1, order, bucket, "a", group=[*group, "lane"])
-    rows = rows.withColumn("b", F.expr("a + size(ids) - 1"))
-    rows = rows.withColumn("batch", F.explode(F.expr(f"sequence(a div {bptt}, (b - 1 + {ext_len}) div {bptt})")))
-    rows = rows.withColumns({
+    rows = running_total(rows, F.size("ids") - 1, order, bucket, "at", group=group, group_total="total")
+    rows = rows.withColumn("n_pair", F.expr(f"total div {bsz * bptt} * {bptt}")).filter(f"n_pair > 0 AND at < n_pair * {bsz}")
+    lanes = f"sequence(at div n_pair, least((at + size(ids) - 2) div n_pair, CAST({bsz - 1} AS BIGINT)))"
+    rows = rows.withColumn("lane", F.explode(F.expr(lanes))).withColumns({
+        "a": F.expr("greatest(at, lane * n_pair) - lane * n_pair"),
+        "b": F.expr("least(at + size(ids) - 1, (lane + 1) * n_pair) - lane * n_pair"),
+        "skip": F.expr("greatest(lane * n_pair - at, 0)"),
+    })
+    batches = f"sequence(a div {bptt}, least((b - 1 + {ext_len}) div {bptt}, n_pair div {bptt} - 1))"
+    rows = rows.withColumn("batch", F.explode(F.expr(batches))).withColumns({
         "c": F.expr(f"greatest(a, batch * {bptt} - {ext_len})"),
         "d": F.expr(f"least(b, (batch + 1) * {bptt})"),
     }).filter("c < d")
     cuts = rows.select(
         *group, "batch", "lane", "c",
-        F.expr("slice(ids, CAST(c - a + 1 AS INT), CAST(d - c AS INT))").alias("now"),
-        F.expr("slice(ids, CAST(c - a + 2 AS INT), CAST(d - c AS INT))").alias("next"),
-        F.expr(f"greatest(d - greatest(c, batch * {bptt}), 0)").alias("fresh"),
+        F.expr("slice(ids, CAST(skip + c - a + 1 AS INT), CAST(d - c AS INT))").alias("now"),
+        F.expr("slice(ids, CAST(skip + c - a + 2 AS INT), CAST(d - c AS INT))").alias("next"),
     )
     ordered = F.sort_array(F.collect_list(F.struct("c", "now", "next")))
-    lanes = cuts.groupBy(*group, "batch", "lane").agg(
+    whole = cuts.groupBy(*group, "batch", "lane").agg(
         F.flatten(F.transform(ordered, lambda s: s["now"])).alias("input"),
         F.flatten(F.transform(ordered, lambda s: s["next"])).alias("next"),
-        F.sum("fresh").alias("fresh"),
-    ).filter(F.col("fresh") == bptt)
-    # bsz rows per batch
-    full = F.count("*").over(Window.partitionBy(*group, "batch"))
-    return lanes.withColumn("_full", full).filter(F.col("_full") == bsz).select(
+    )
+    return whole.select(
         *group, "batch", F.col("lane").cast("int").alias("lane"), "input",
         F.slice("next", F.size("next") - bptt + 1, F.lit(bptt)).alias("target"),
     )
@@ -210,6 +210,6 @@ def family_batches(
     rows = encoded.filter(F.col("split") == split)
     if not rules.packed:
         return ordered_batches(place_lines(rows), bsz, bptt, ext_len)
-    if split == "train":
+    if rules.train_by_file and split == "train":
         return packed_batches(rows, bsz, bptt, ext_len, ["source"], shuffle_seed)
     return packed_batches(rows, bsz, bptt, ext_len)

@@ -18,17 +18,19 @@ def expected_log_probability(c: Column, range_max: int, n_sample: int) -> Column
 
 
 def negative_samples(labels: DataFrame, range_max: int, n_sample: int, seed: int = 42) -> DataFrame:
-    """Distinct negatives of each label: label, negative, true_log_prob, samp_log_prob.
+    """Distinct negatives of each label (batch, label): batch, label, negative, true_log_prob, samp_log_prob, hit.
 
-    Twice ``n_sample`` draws per label by inverse distribution, duplicates folded in the row, hits on the label out.
+    Twice ``n_sample`` draws per batch by inverse distribution, one set for all its labels, duplicates folded in the row.
+    ``hit`` marks a negative that is the label itself and is to be masked.  ``range_max`` is the size of the vocabulary.
     """
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(2 * n_sample - 1)),
-        lambda j: (F.floor(F.exp(unit_draw(seed, F.col("label"), j) * F.ln(F.lit(range_max + 1.0)))) - 1).cast("int"),
+        lambda j: (F.floor(F.exp(unit_draw(seed, F.col("batch"), j) * F.ln(F.lit(range_max + 1.0)))) - 1).cast("int"),
     )
-    rows = labels.select("label", F.explode(F.array_distinct(draws)).alias("negative")).filter("negative <> label")
+    rows = labels.select("batch", "label", F.explode(F.array_distinct(draws)).alias("negative"))
     return rows.select(
-        "label", "negative",
+        "batch", "label", "negative",
         expected_log_probability(F.col("label"), range_max, n_sample).alias("true_log_prob"),
         expected_log_probability(F.col("negative"), range_max, n_sample).alias("samp_log_prob"),
+        (F.col("negative") == F.col("label")).alias("hit"),
     )

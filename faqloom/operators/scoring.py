@@ -160,7 +160,8 @@ def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K) -> Data
         found = [] if q.empty or a.empty else list(_best_answers(q, a, k))
         return pd.DataFrame(found, columns=["question_id", "label", "score"])
 
-    best = _pair_up(rows, "question_id", index, score, "question_id bigint, label bigint, score bigint")
+    kind = questions.schema["question_id"].dataType.simpleString()
+    best = _pair_up(rows, "question_id", index, score, f"question_id {kind}, label bigint, score bigint")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "label")  # at most k rows per block
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("question_id", "rank", "label", "score")

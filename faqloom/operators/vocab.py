@@ -30,30 +30,25 @@ def build_vocab(
     """Specials first, then the most common tokens: token, id, cnt.
 
     The cut at ``max_size`` comes before specials are taken out of the ranking, the cut at ``min_freq`` after it.
-    With a size limit the kept rows are few and are ranked together; without one the rank is worked out per bucket
-    of (count, first document), because half of a natural vocabulary has a count of one.
+    Ranks are worked out per bucket of (count, first document), because half of a natural vocabulary has a count of one.
     """
     specials = list(dict.fromkeys(specials))
     spark = counted.sparkSession
     order = [F.desc("cnt"), F.asc("first")]
-    base = len(specials)
+    kept = (F.col("cnt") >= min_freq) & ~F.col("token").isin(specials)
+    rest = counted if max_size is not None else counted.filter(kept)
+    rest = rest.withColumn("_first", F.col("first").getField(counted.schema["first"].dataType.names[0]))
+    rest = quantile_buckets(rest, "_first", "_doc")
+    rare = F.col("cnt") <= EXACT_COUNTS
+    rest = rest.withColumns({
+        "_size": -F.when(rare, F.col("cnt")).otherwise(EXACT_COUNTS + F.floor(F.log2("cnt"))),
+        "_doc": F.when(rare, F.col("_doc")).otherwise(0),
+    })
+    ranked = running_total(rest, F.lit(1), order, ["_size", "_doc"], "_rank")
     if max_size is not None:
-        top = counted.orderBy(*order).limit(max_size)
-        ranked = top.filter((F.col("cnt") >= min_freq) & ~F.col("token").isin(specials)).withColumn(
-            "id", (F.row_number().over(Window.orderBy(*order)) - 1 + base).cast("int")
-        )
-    else:
-        rest = counted.filter((F.col("cnt") >= min_freq) & ~F.col("token").isin(specials))
-        rest = rest.withColumn("_first", F.col("first").getField(counted.schema["first"].dataType.names[0]))
-        rest = quantile_buckets(rest, "_first", "_doc")
-        rare = F.col("cnt") <= EXACT_COUNTS
-        rest = rest.withColumns({
-            "_size": -F.when(rare, F.col("cnt")).otherwise(EXACT_COUNTS + F.floor(F.log2("cnt"))),
-            "_doc": F.when(rare, F.col("_doc")).otherwise(0),
-        })
-        ranked = running_total(rest, F.lit(1), order, ["_size", "_doc"], "_rank").withColumn(
-            "id", (F.col("_rank") + base).cast("int")
-        )
+        inside = ranked.filter(F.col("_rank") < max_size).drop("_rank")
+        ranked = running_total(inside, kept.cast("int"), order, ["_size", "_doc"], "_rank").filter(kept)
+    ranked = ranked.withColumn("id", (F.col("_rank") + len(specials)).cast("int"))
     words = ranked.select("token", "id", "cnt")
     if not specials:
         return words

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from faqloom.operators import corpora as C
 from faqloom.operators import tokens as K
 from faqloom.operators import vocab as V
+from faqloom.operators.lookup import lookup
 from faqloom.operators.negatives import negative_samples
+from faqloom.operators.ordering import random_rank
 from faqloom.plans import sql as S
 from faqloom.plans.features import spaced
 from faqloom.plans.registry import query
@@ -15,7 +17,8 @@ from faqloom.plans.text import (
     _IDS, PLACE, WORD_VOCAB_SQL, document_lines, encoded_tokens, made_once, word_vocab,
 )
 from faqloom.session import materialize, scratch_path
-from faqloom.sources.sinks import read_corpus, write_corpus
+from faqloom.sources.files import numbered_lines
+from faqloom.sources.sinks import read_corpus, write_corpus, write_lines
 
 KEY = ["source", "doc_id", "line_no"]
 BSZ, BPTT, EXT = 8, 32, 16
@@ -108,20 +111,17 @@ def _packed_sql(bsz: int, group: str = "", order: str = "doc_id, line_no", where
 sent AS (
   SELECT {g} doc_id, line_no, count(*) - 1 AS n, list(id ORDER BY pos) AS xs FROM dcoded WHERE {where}
   GROUP BY {g} doc_id, line_no HAVING count(*) > 1),
-ranked AS (SELECT *, (row_number() OVER ({p} ORDER BY {order}) - 1) % {bsz} AS lane FROM sent),
-placed AS (SELECT *, sum(n) OVER (PARTITION BY {g} lane ORDER BY {order}) - n AS a FROM ranked),
-pairs AS (SELECT {g} lane, a + unnest(range(n)) AS p, unnest(xs[1:-2]) AS x, unnest(xs[2:]) AS y FROM placed),
+placed AS (
+  SELECT *, sum(n) OVER ({p} ORDER BY {order}) - n AS ahead, sum(n) OVER ({p}) // {bsz * BPTT} * {BPTT} AS len FROM sent),
+pairs AS (SELECT {g} len, ahead + unnest(range(n)) AS q, unnest(xs[1:-2]) AS x, unnest(xs[2:]) AS y FROM placed WHERE len > 0),
+laned AS (SELECT {g} len, CAST(q // len AS INTEGER) AS lane, CAST(q % len AS BIGINT) AS p, x, y FROM pairs WHERE q < len * {bsz}),
 inner_rows AS (
-  SELECT {g} CAST(lane AS INTEGER) AS lane, CAST(p // {BPTT} AS BIGINT) AS batch, p, x, y, true AS fresh FROM pairs
-  UNION ALL SELECT {g} CAST(lane AS INTEGER), CAST(p // {BPTT} + 1 AS BIGINT), p, x, y, false FROM pairs
-  WHERE p % {BPTT} >= {BPTT - ext}),
-lanes AS (
-  SELECT {g} batch, lane, string_agg(CAST(x AS VARCHAR), ' ' ORDER BY p) AS input,
-         string_agg(CAST(y AS VARCHAR), ' ' ORDER BY p) FILTER (fresh) AS target, count(*) FILTER (fresh) AS n
-  FROM inner_rows GROUP BY {g} batch, lane),
-whole AS (
-  SELECT *, count(*) OVER (PARTITION BY {g} batch) AS full_lanes FROM lanes WHERE n = {BPTT})
-SELECT {g} batch, lane, input, target FROM whole WHERE full_lanes = {bsz}"""
+  SELECT {g} lane, p // {BPTT} AS batch, p, x, y, true AS fresh FROM laned
+  UNION ALL SELECT {g} lane, p // {BPTT} + 1, p, x, y, false FROM laned
+  WHERE p % {BPTT} >= {BPTT - ext} AND (p // {BPTT} + 1) * {BPTT} < len)
+SELECT {g} batch, lane, string_agg(CAST(x AS VARCHAR), ' ' ORDER BY p) AS input,
+       string_agg(CAST(y AS VARCHAR), ' ' ORDER BY p) FILTER (fresh) AS target
+FROM inner_rows GROUP BY {g} batch, lane"""
 
 
 _SRC = "source, doc_id, line_no"
@@ -146,24 +146,51 @@ def lm_packed_one_lane(spark, root):
     return batch_output(C.packed_batches(double_marked(spark, root), 1, BPTT))
 
 
-@query("lm_multifile_batches", f"{_DOUBLE}, {_packed_sql(2, 'source', S.h(SEED, 'doc_id', 'line_no'))}")
+@query("lm_multifile_batches", f"""{_DOUBLE},
+files AS (
+  SELECT source, row_number() OVER (ORDER BY {S.h(SEED, 'source')}, source) - 1 AS file_no
+  FROM (SELECT DISTINCT source FROM documents)),
+packed AS ({'WITH ' + _packed_sql(2, 'source', S.h(SEED, 'doc_id', 'line_no')).strip()})
+SELECT file_no, source, batch, lane, input, target FROM packed JOIN files USING (source)""")
 def lm_multifile_batches(spark, root):
-    return batch_output(C.packed_batches(double_marked(spark, root), 2, BPTT, 0, ["source"], SEED), "source")
+    """Files in random order, each packed on its own: batches follow by (file_no, batch)."""
+    rows = double_marked(spark, root)
+    batches = C.packed_batches(rows, 2, BPTT, 0, ["source"], SEED)
+    files = random_rank(rows.select("source").distinct(), ["source"], SEED, "file_no")
+    return batch_output(lookup(batches, materialize(files, "file-order"), "source", ["file_no"]), "file_no", "source")
 
 
-@query("corpus_batches", f"""WITH {S.LINES},
+SPLITS = ("train", "valid", "test")
+#: A family whose vocabulary is counted on the training split alone meets words it lacks; they get this token.
+UNKNOWN = "<unk>"
+
+
+def _family_rows(spark, root):
+    return document_lines(spark, root, "source").withColumn("split", split_column())
+
+
+def _family_specials(rules):
+    return rules.specials if set(SPLITS) <= set(rules.counted) else (*rules.specials, UNKNOWN)
+
+
+def _family_sql(name):
+    """Batches of a family in one stream per split, from its record."""
+    rules = C.FAMILIES[name]
+    specials = _family_specials(rules)
+    marks = f"UNION ALL SELECT source, doc_id, line_no, 1000000, '{specials[0]}' FROM lines" if rules.markers else ""
+    head = "".join(f"SELECT '{t}' AS token, {i} AS id UNION ALL " for i, t in enumerate(specials))
+    taken = f"token NOT IN ({S.quoted(specials)}) AND" if specials else ""
+    return f"""WITH {S.LINES},
 cw AS (
   SELECT doc_id, line_no, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS pos, unnest(ts) AS token, source FROM (
-    SELECT doc_id, line_no, source, {S.word_list('line')} AS ts FROM lines)),
+    SELECT doc_id, line_no, source, {S.word_list('line', rules.lower)} AS ts FROM lines)),
 cv AS (
-  SELECT '<eos>' AS token, 0 AS id UNION ALL
-  SELECT token, row_number() OVER (ORDER BY cnt DESC, first) FROM (
-    SELECT token, count(*) AS cnt, min(doc_id * 10000000000 + line_no * 1000000 + pos) AS first FROM cw
-    WHERE token <> '<eos>' GROUP BY token)),
+  {head} SELECT token, row_number() OVER (ORDER BY cnt DESC, d, l, p) + {len(specials) - 1} AS id FROM (
+    SELECT token, count(*) AS cnt, min((doc_id, line_no, pos)) AS f, f[1] AS d, f[2] AS l, f[3] AS p FROM cw
+    WHERE {taken} {_SPLIT} IN ({S.quoted(rules.counted)}) GROUP BY token)),
 ce AS (
-  SELECT {_SPLIT} AS split, doc_id, line_no, pos, id FROM (
-    SELECT source, doc_id, line_no, pos, token FROM cw
-    UNION ALL SELECT source, doc_id, line_no, 1000000, '<eos>' FROM lines) t JOIN cv USING (token)),
+  SELECT {_SPLIT} AS split, doc_id, line_no, pos, coalesce(cv.id, (SELECT u.id FROM cv u WHERE u.token = '{UNKNOWN}')) AS id FROM (
+    SELECT source, doc_id, line_no, pos, token FROM cw {marks}) t LEFT JOIN cv USING (token)),
 flat AS (
   SELECT split, id, row_number() OVER (PARTITION BY split ORDER BY doc_id, line_no, pos) - 1 AS p,
          count(*) OVER (PARTITION BY split) // {BSZ} AS n_step FROM ce),
@@ -172,26 +199,48 @@ steps AS (
          lead(id) OVER (PARTITION BY split, p // n_step ORDER BY p) AS nxt FROM flat WHERE p < n_step * {BSZ})
 SELECT split, s // {BPTT} AS batch, CAST(lane AS INTEGER) AS lane, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY s) AS input,
        string_agg(CAST(nxt AS VARCHAR), ' ' ORDER BY s) AS target
-FROM steps WHERE s < n_step - 1 GROUP BY split, s // {BPTT}, lane""")
-def corpus_batches(spark, root):
-    """Count, build the vocabulary, encode and batch all splits of one corpus family."""
-    family = "wt2"
-    rules = C.FAMILIES[family]
-    rows = document_lines(spark, root, "source").withColumn("split", split_column())
-    counted = rows.filter(F.col("split").isin(*rules.counted))
-    words = K.word_tokens(counted, "doc_id", "line_no", lower=rules.lower)
+FROM steps WHERE s < n_step - 1 GROUP BY split, s // {BPTT}, lane"""
+
+
+def family_corpus(spark, root, name):
+    """Count, build the vocabulary, encode and batch all splits of a corpus family, as its record says."""
+    rules = C.FAMILIES[name]
+    rows, specials = _family_rows(spark, root), _family_specials(rules)
+    words = K.word_tokens(rows.filter(F.col("split").isin(*rules.counted)), "doc_id", "line_no", lower=rules.lower)
     vocab = materialize(V.build_vocab(
-        materialize(V.counts_with_first_place(words, PLACE), "counted"), rules.specials), "vocab")
+        materialize(V.counts_with_first_place(words, [*PLACE]), "counted"), specials), "vocab")
+    unknown = {"unknown": "token", "unknown_id": V.id_of(vocab, UNKNOWN)} if UNKNOWN in specials else {}
     coded = materialize(C.encode_lines(
-        rows, vocab, ["split", "source", "doc_id", "line_no"], lower=rules.lower, **rules.markers), "corpus")
+        rows, vocab, ["split", "source", "doc_id", "line_no"], lower=rules.lower, **unknown, **rules.markers), "corpus")
     out = None
-    for split in ("train", "valid", "test"):
-        part = batch_output(C.family_batches(family, coded, split, BSZ, BPTT)).withColumn("split", F.lit(split))
+    for split in SPLITS:
+        part = batch_output(C.family_batches(name, coded, split, BSZ, BPTT)).withColumn("split", F.lit(split))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("corpus_batches_packed", f"""{_DOUBLE.replace('WITH', 'WITH', 1)},
+def _register(name, key):
+    @query(key, _family_sql(name))
+    def family(spark, root):
+        return family_corpus(spark, root, name)
+
+
+for _name in ("wt2", "ptb", "wt103", "enwik8", "text8"):
+    _register(_name, "corpus_batches" if _name == "wt2" else f"corpus_batches_{_name}")
+
+_MARK = "<S>"
+_FILE = f"""WITH {S.LINES},
+cw AS (
+  SELECT source, doc_id, line_no, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS pos, unnest(ts) AS token FROM (
+    SELECT source, doc_id, line_no, ['{_MARK}'] || {S.word_list('line')} || ['{_MARK}'] AS ts FROM lines)),
+fv AS (
+  SELECT token, CAST(row_number() OVER (ORDER BY token NOT IN ('{UNKNOWN}', '{_MARK}'), token <> '{UNKNOWN}', token) - 1 AS INTEGER) AS id
+  FROM (SELECT token FROM cw WHERE {_SPLIT} = 'train' UNION SELECT '{UNKNOWN}')),
+dcoded AS (
+  SELECT source, doc_id, line_no, pos, coalesce(fv.id, 0) AS id FROM cw LEFT JOIN fv USING (token))"""
+
+
+@query("corpus_batches_packed", f"""{_FILE},
 train AS ({'WITH ' + _packed_sql(2, 'source', S.h(SEED, 'doc_id', 'line_no'), f"{_SPLIT} = 'train'").strip()}),
 valid AS ({'WITH ' + _packed_sql(2, where=f"{_SPLIT} = 'valid'").strip()}),
 test AS ({'WITH ' + _packed_sql(2, where=f"{_SPLIT} = 'test'").strip()})
@@ -199,10 +248,21 @@ SELECT 'train' AS split, source, batch, lane, input, target FROM train
 UNION ALL SELECT 'valid', NULL, batch, lane, input, target FROM valid
 UNION ALL SELECT 'test', NULL, batch, lane, input, target FROM test""")
 def corpus_batches_packed(spark, root):
-    """The sentence-packed family: training file by file in random order, the other splits in one stream."""
-    coded = double_marked(spark, root).withColumn("split", split_column())
+    """The sentence-packed family: its vocabulary comes from a file (here one with the words of the training split, the
+    unknown token and the sentence mark first), training goes file by file in random order, the other splits in one stream."""
+    rules = C.FAMILIES["lm1b"]
+    rows = _family_rows(spark, root)
+    words = K.word_tokens(rows.filter("split = 'train'"), "doc_id", "line_no", lower=rules.lower).select("token").distinct()
+    head = spark.createDataFrame([(UNKNOWN, 0), (_MARK, 1)], "token string, head int")
+    known = head.unionByName(words.filter(~F.col("token").isin(UNKNOWN, _MARK)).withColumn("head", F.lit(2)))
+    path = scratch_path(spark, "vocab-file")
+    write_lines(known, path, "token", ["head", "token"])
+    vocab = materialize(V.vocab_from_first_field(numbered_lines(spark, path)), "vocab")
+    unknown = V.id_of(vocab, V.require_unknown(vocab))
+    coded = materialize(C.encode_lines(
+        rows, vocab, ["split", "source", "doc_id", "line_no"], "token", unknown, lower=rules.lower, **rules.markers), "corpus")
     out = None
-    for split in ("train", "valid", "test"):
+    for split in SPLITS:
         part = C.family_batches("lm1b", coded, split, 2, BPTT, shuffle_seed=SEED).withColumn("split", F.lit(split))
         part = part if "source" in part.columns else part.withColumn("source", F.lit(None).cast("string"))
         part = batch_output(part, "split", "source")
@@ -225,22 +285,24 @@ def corpus_tables_sink(spark, root):
     return named.select("split", "doc_id", "line_no", V.words_to_text(F.col("tokens")).alias("text"))
 
 
-_RANGE, _N_SAMPLE = 6000, 10
+_N_SAMPLE, _LABELS = 10, 64
 
 
 @query("negative_samples", f"""WITH {WORD_VOCAB_SQL},
+r AS (SELECT count(*) AS n FROM vocab),
 drawn AS (
-  SELECT DISTINCT id AS label, CAST(floor(exp({S.u(SEED, 'id', 'j')} * ln({_RANGE + 1}.0))) - 1 AS INTEGER) AS negative
-  FROM vocab, range({2 * _N_SAMPLE}) r(j)),
+  SELECT DISTINCT batch, CAST(floor(exp({S.u(SEED, 'batch', 'j')} * ln(n + 1.0))) - 1 AS INTEGER) AS negative
+  FROM (SELECT DISTINCT id // {_LABELS} AS batch FROM vocab), r, range({2 * _N_SAMPLE}) k(j)),
 q AS (
-  SELECT c, ln(1 - pow(1 - (ln(c + 2.0) - ln(c + 1.0)) / ln({_RANGE + 1}.0), {2 * _N_SAMPLE})) AS lp FROM range({_RANGE}) r(c))
-SELECT label, negative, round(t.lp, 6) AS true_log_prob, round(s.lp, 6) AS samp_log_prob
-FROM drawn JOIN q t ON t.c = label JOIN q s ON s.c = negative WHERE negative <> label""")
+  SELECT id AS c, ln(1 - pow(1 - (ln(id + 2.0) - ln(id + 1.0)) / ln(n + 1.0), {2 * _N_SAMPLE})) AS lp FROM vocab, r)
+SELECT CAST(v.id // {_LABELS} AS BIGINT) AS batch, v.id AS label, negative, round(t.lp, 6) AS true_log_prob, round(s.lp, 6) AS samp_log_prob,
+       negative = v.id AS hit
+FROM vocab v JOIN drawn ON drawn.batch = v.id // {_LABELS} JOIN q t ON t.c = v.id JOIN q s ON s.c = negative""")
 def negatives(spark, root):
-    """Log-uniform negatives for every word of the vocabulary."""
-    labels = word_vocab(spark, root).select(F.col("id").alias("label"))
-    rows = negative_samples(labels, _RANGE, _N_SAMPLE, SEED)
+    """Log-uniform negatives from the vocabulary, one set for every batch of labels."""
+    words = word_vocab(spark, root)
+    labels = words.select(F.expr(f"id div {_LABELS}").alias("batch"), F.col("id").alias("label"))
+    rows = negative_samples(labels, words.count(), _N_SAMPLE, SEED)
     return rows.select(
-        "label", "negative", F.round("true_log_prob", 6).alias("true_log_prob"), F.round("samp_log_prob", 6).alias("samp_log_prob"))
-
-
+        "batch", "label", "negative", F.round("true_log_prob", 6).alias("true_log_prob"),
+        F.round("samp_log_prob", 6).alias("samp_log_prob"), "hit")

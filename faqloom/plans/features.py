@@ -11,7 +11,7 @@ from faqloom.plans.registry import query
 from faqloom.plans.text import _PIECE_VOCAB, longest_piece, piece_vocab, walk_sql
 from faqloom.session import scratch_path
 from faqloom.sources.files import labelled_csv
-from faqloom.sources.tables import faq_pairs, spread, table
+from faqloom.sources.tables import faq_pairs, spread, table, turn_id
 
 TRAIN_LEN, SERVE_LEN = 340, 512
 
@@ -27,12 +27,12 @@ def pair_texts(spark, root):
     replies = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_b"))
     return users.join(replies, ["conv_id", "turn"], "left").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("guid"), "text_a", "text_b")
+        turn_id().alias("guid"), "conv_id", "text_a", "text_b")
 
 
 _PAIR_TEXTS = """
 pair_texts AS (
-  SELECT u.conv_id * 1000 + u.turn AS guid, u.text AS text_a, a.text AS text_b
+  SELECT u.conv_id || ':' || u.turn AS guid, u.conv_id, u.text AS text_a, a.text AS text_b
   FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
   WHERE u.role = 'user')"""
 
@@ -90,12 +90,12 @@ cut AS (
   FROM lists l LEFT JOIN kept k ON k.guid = l.guid), {feature_rows('cut', TRAIN_LEN)}
 SELECT guid, array_to_string(input_ids, ' ') AS input_ids, array_to_string(input_mask, ' ') AS input_mask,
        array_to_string(segment_ids, ' ') AS segment_ids,
-       CASE WHEN (guid // 1000) % 2 = 0 THEN '1.0 0.0' ELSE '0.0 1.0' END AS label_ids FROM fitted""")
+       CASE WHEN CAST(split_part(guid, ':', 1) AS BIGINT) % 2 = 0 THEN '1.0 0.0' ELSE '0.0 1.0' END AS label_ids FROM fitted""")
 def bert_features(spark, root):
     texts = pair_texts(spark, root)
     rows = X.bert_features(
         texts, piece_vocab(spark, root), longest_piece(spark, root), TRAIN_LEN, ENGLISH_STOP_WORDS)
-    labels = texts.select("guid", F.array(F.expr("CAST(guid div 1000 % 2 AS INT)")).alias("labels"))
+    labels = texts.select("guid", F.array(F.expr("CAST(conv_id % 2 AS INT)")).alias("labels"))
     rows = X.with_labels(rows, labels, 2)
     return rows.select("guid", *[spaced(F.col(c)).alias(c) for c in ("input_ids", "input_mask", "segment_ids")],
                        spaced(F.col("label_ids").cast("array<string>")).alias("label_ids"))
@@ -139,7 +139,7 @@ def truncate_single(spark, root):
 
 @query("pairs_next_turn", f"WITH {_PAIR_TEXTS} SELECT guid, text_a, text_b FROM pair_texts")
 def pairs_next_turn(spark, root):
-    return pair_texts(spark, root)
+    return pair_texts(spark, root).drop("conv_id")
 
 
 def _labelled_rows(spark, root):
@@ -182,4 +182,4 @@ def multi_hot(spark, root):
 
 @query("faq_pairs", f"WITH {S.PAIRS} SELECT faq_id, question, answer FROM faq")
 def faq_pairs_query(spark, root):
-    return faq_pairs(spark, root)
+    return faq_pairs(spark, root).select("faq_id", "question", "answer")

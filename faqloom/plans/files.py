@@ -49,14 +49,14 @@ SELECT faq_id AS row_no, translate(question, chr(10) || chr(9) || chr(13), '   '
 def tsv_scan(spark, root):
     path = scratch_path(spark, "tsv")
     W.write_tsv(faq_pairs(spark, root).select("faq_id", _flat("question"), _flat("answer")), path)
-    return R.tsv(spark, path, "row_no bigint, question string, answer string")
+    return R.tsv(spark, path, "row_no string, question string, answer string")
 
 
 @query("csv_sink", f"WITH {S.PAIRS} SELECT faq_id AS row_no, question, answer FROM faq")
 def csv_sink(spark, root):
     path = scratch_path(spark, "csv")
-    W.write_csv(faq_pairs(spark, root), path)
-    return spark.read.csv(path, schema="row_no bigint, question string, answer string", escape='"', multiLine=True)
+    W.write_csv(faq_pairs(spark, root).select("faq_id", "question", "answer"), path)
+    return spark.read.csv(path, schema="row_no string, question string, answer string", escape='"', multiLine=True)
 
 
 def concat_by_row(left, right):
@@ -130,7 +130,7 @@ def corpus_scan(spark, root):
 def feature_cache(spark, root):
     """The second call reads what the first one wrote."""
     store = scratch_path(spark, "cache")
-    params = {"table": "token-counts", "lower": True}
+    params = {"input": f"{root}/documents", "table": "token-counts", "lower": True}
     W.cached_table(spark, store, params, lambda: V.token_counts(document_tokens(spark, root)))
 
     def again():

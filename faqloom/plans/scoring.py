@@ -12,7 +12,7 @@ from faqloom.plans import sql as S
 from faqloom.plans.registry import query
 from faqloom.plans.text import made_once
 from faqloom.session import materialize
-from faqloom.sources.tables import documents, faq_pairs, spread, table
+from faqloom.sources.tables import documents, faq_pairs, spread, table, turn_id
 
 
 def vectors(spark, root):
@@ -89,8 +89,8 @@ def numbered_answers(spark, root):
     """Answers with dense label numbers in the order of their questions."""
 
     def build():
-        pairs = quantile_buckets(faq_pairs(spark, root), "faq_id", "_b")
-        return running_total(pairs, F.lit(1), ["faq_id"], ["_b"], "label").select("label", "faq_id", "question", "answer")
+        pairs = quantile_buckets(faq_pairs(spark, root), "conv_id", "_b")
+        return running_total(pairs, F.lit(1), ["conv_id", "turn"], ["_b"], "label").select("label", "faq_id", "question", "answer")
 
     return made_once(spark, root, "answers", build)
 
@@ -104,18 +104,18 @@ def index(spark, root):
 def user_questions(spark, root):
     turns = table(spark, root, "conversations").filter("role = 'user'")
     return spread(turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question")), "question_id")
+        turn_id().alias("question_id"), F.col("text").alias("question")), "question_id")
 
 
 RANKED_SQL = f"""{S.PAIRS},
-answers AS (SELECT row_number() OVER (ORDER BY faq_id) - 1 AS label, faq_id, question, answer FROM faq),
+answers AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS label, faq_id, question, answer FROM faq),
 atok AS (SELECT label, unnest({S.basic_list(S.normalized('answer'))}) AS token FROM answers),
 tf AS (SELECT label, token, count(*) AS tf FROM atok GROUP BY label, token),
 idf AS (
   SELECT token, CAST(round({R.IDF_SCALE} * ln(((SELECT count(*) FROM answers) + 1) / (count(*) + 1))) AS BIGINT) AS idf
   FROM tf GROUP BY token),
 qt AS (
-  SELECT conv_id * 1000 + turn AS question_id, unnest({S.basic_list(S.normalized('text'))}) AS token
+  SELECT conv_id || ':' || turn AS question_id, unnest({S.basic_list(S.normalized('text'))}) AS token
   FROM conversations WHERE role = 'user'),
 qtf AS (SELECT question_id, token, count(*) AS q FROM qt GROUP BY question_id, token),
 scored AS (

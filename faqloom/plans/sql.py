@@ -69,6 +69,6 @@ def h(seed: int, *keys: str) -> str:
 
 PAIRS = """
 faq AS (
-  SELECT u.conv_id * 1000 + u.turn AS faq_id, u.text AS question, a.text AS answer
+  SELECT u.conv_id || ':' || u.turn AS faq_id, u.conv_id, u.turn, u.text AS question, a.text AS answer
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""

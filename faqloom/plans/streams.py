@@ -8,6 +8,7 @@ from faqloom.plans import scoring
 from faqloom.plans import sql as S
 from faqloom.plans.registry import query
 from faqloom.session import scratch_path
+from faqloom.sources.tables import turn_id
 from faqloom.streaming import jobs as J
 
 
@@ -15,7 +16,7 @@ from faqloom.streaming import jobs as J
 SELECT question_id, rank, label, score, answer FROM best JOIN answers USING (label) WHERE rank <= 5""")
 def stream_rank_answers(spark, root):
     questions = J.table_stream(spark, root, "conversations").filter("role = 'user'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+        turn_id().alias("question_id"), F.col("text").alias("question"))
     out = scratch_path(spark, "answered")
     J.answer_questions(
         questions, scoring.index(spark, root), scoring.numbered_answers(spark, root), out, scratch_path(spark, "state"))

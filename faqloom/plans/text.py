@@ -79,10 +79,14 @@ def longest_piece(spark, root) -> int:
     return piece_vocab(spark, root).agg(F.max(F.length("token"))).first()[0]
 
 
+def word_counts(spark, root) -> DataFrame:
+    """Counted words with their first place, written once: ranks, specials and order buckets all read them."""
+    return materialize(V.counts_with_first_place(document_words(spark, root), PLACE), "word-counts")
+
+
 def word_vocab(spark, root) -> DataFrame:
     def build():
-        return V.build_vocab(
-            V.counts_with_first_place(document_words(spark, root), PLACE), WORD_SPECIALS, WORD_VOCAB, 2)
+        return V.build_vocab(word_counts(spark, root), WORD_SPECIALS, WORD_VOCAB, 2)
 
     return made_once(spark, root, "word-vocab", build)
 
@@ -292,7 +296,7 @@ vocab AS (
 
 @query("build_vocab", f"WITH {WORD_VOCAB_SQL} SELECT token, id, cnt FROM vocab")
 def build_vocab(spark, root):
-    return V.build_vocab(V.counts_with_first_place(document_words(spark, root), PLACE), WORD_SPECIALS, WORD_VOCAB, 2)
+    return V.build_vocab(word_counts(spark, root), WORD_SPECIALS, WORD_VOCAB, 2)
 
 
 @query("build_vocab_whole", f"""

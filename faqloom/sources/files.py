@@ -12,12 +12,14 @@ from faqloom.operators.ordering import running_total
 from faqloom.operators.vocab import bpe_merges
 
 FAQ_SCHEMA = "map<string, struct<question: string, answer: string>>"
+#: Fixed value: the name of augmentation logs ahead of their number.
+LOG_NAME = "output_success"
 LABELLED_SCHEMA = "guid bigint, class string, question string"
 
 
 def _scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines with the file split they came from and their order in the scan."""
-    return spark.read.text(paths).select(
+    return spark.read.text(paths, lineSep="\n").select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_start"),
@@ -41,6 +43,12 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return _number(_scan(spark, paths), "line_no", False).select("line_no", "line")
 
 
+def log_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Augmentation logs, numbered by their names (``output_success_7.txt``, ``output_success=7/...``): file, line_no, line."""
+    number = F.regexp_extract("file", rf"{LOG_NAME}[_=](\d+)", 1).cast("bigint")
+    return file_lines(spark, paths).select(number.alias("file"), "line_no", "line")
+
+
 def answer_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One answer per line that is not blank; the position is the label: label_id, answer."""
     rows = _scan(spark, paths).filter(F.col("line").rlike(r"\S"))
@@ -77,11 +85,3 @@ def json_vocab(spark: SparkSession, path: str) -> DataFrame:
 def merge_file(spark: SparkSession, path: str) -> DataFrame:
     return bpe_merges(numbered_lines(spark, path))
 
-
-def split_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Corpus files of several splits: split, file, line_no, line."""
-    parts = [file_lines(spark, path).withColumn("split", F.lit(name)) for name, path in paths.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("split", "file", "line_no", "line")

@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +26,22 @@ def write_lines(df: DataFrame, path: str, column: str, order: list[str]) -> None
 
 
 def cached_table(spark: SparkSession, root: str, params: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """Compute a table once per parameter set; later calls read it.  A half-written one is written again."""
+    """Compute a table once per parameter set; later calls read it.  ``params`` must name the input as well.
+
+    Only a table whose job committed, as its ``_SUCCESS`` mark says, is read; a missing or unfinished one is written again.
+    Any other failure to read is the caller's to see.
+    """
     name = hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]
     path = f"{root}/features-{name}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not _committed(spark, path):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _committed(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds the ``_SUCCESS`` mark of a committed job (readers skip names that begin with ``_``)."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def append_metrics(metrics: DataFrame, path: str, run_id: str) -> None:

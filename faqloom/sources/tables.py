@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,13 @@ def lines(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.select(*keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
+def turn_id() -> Column:
+    """One name per turn, however long a conversation is."""
+    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
 def faq_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Each user turn with the assistant turn that follows it: faq_id, question, answer.
+    """Each user turn with the assistant turn that follows it: faq_id, conv_id, turn, question, answer.
 
     The next turn is found by its number, so a conversation of any length needs no window over all its turns.
     """
@@ -38,9 +43,5 @@ def faq_pairs(spark: SparkSession, root: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
     return users.join(replies, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("faq_id"), "question", "answer"
+        turn_id().alias("faq_id"), "conv_id", "turn", "question", "answer"
     )
-
-
-def previous_in(partition: list[str], order: str) -> Window:
-    return Window.partitionBy(*partition).orderBy(order)

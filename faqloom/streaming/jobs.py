@@ -13,19 +13,25 @@ from pyspark.sql import functions as F
 
 from faqloom.functions.text import basic_token_array
 from faqloom.operators.scoring import TOP_K, label_lookup, rank_answers
+from faqloom.session import materialize
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A folder of Parquet files as a stream; the schema comes from the files that are there."""
-    file = f"{name}.parquet"
-    schema = spark.read.parquet(f"{root}/{file}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(root)
+    """A table as a stream, whether it is one Parquet file or a folder of part files; the schema comes from what is there.
+    A pattern in the path makes a single file a listing of one, and the files of a folder are listed one by one."""
+    path = f"{root}/{name}.parque[t]"
+    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def _run(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    # state of any size: on disk with changelogs in the checkpoint, not in the executors' memory
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -37,7 +43,8 @@ def answer_questions(questions: DataFrame, index: DataFrame, answers: DataFrame,
     """Ranked answers for a stream of (question_id, question), against a static answer index."""
 
     def rank(batch: DataFrame) -> DataFrame:
-        return label_lookup(rank_answers(batch, index, k), answers, "label", ["answer"])
+        kept = materialize(batch, "stream-batch")  # read once from the source, then counted and scored
+        return label_lookup(rank_answers(kept, index, k), answers, "label", ["answer"])
 
     _run(questions, "append", rank, out, checkpoint)
 

@@ -83,10 +83,25 @@ def test_packed_lanes_context_and_files(spark):
     want = {}
     for name in "xy":
         sents = [ids for d, _, ids in rows if len(ids) > 1 and (d % 9 == 0) == (name == "x")]
-        lanes = [[(a, b) for s in sents[i::2] for a, b in zip(s, s[1:])] for i in range(2)]
-        for k in range(min(len(p) // 5 for p in lanes)):
-            for i, p in enumerate(lanes):
+        pairs = [(a, b) for s in sents for a, b in zip(s, s[1:])]
+        size = len(pairs) // 10 * 5
+        for i in range(2):
+            p = pairs[i * size : (i + 1) * size]
+            for k in range(size // 5):
                 want[(name, k, i)] = ([a for a, _ in p[max(0, k * 5 - 3) : k * 5 + 5]], [b for _, b in p[k * 5 : k * 5 + 5]])
     assert got == want
+
+
+@pytest.mark.parametrize("bsz", [1, 2, 4, 8])
+def test_packed_loses_less_than_a_batch(spark, bsz):
+    rows = some_lines(6, 120, 9)
+    df = corpus(spark, rows)
+    pairs = sum(max(0, len(ids) - 1) for *_, ids in rows)
+    windows = C.packed_batches(df, bsz, 4).count()
+    assert windows % bsz == 0 and 0 <= pairs - 4 * windows < 4 * bsz
+
+
+def test_packed_files_keep_pairs_in_sentences(spark):
+    df = corpus(spark, some_lines(5, 90, 8)).withColumn("source", F.when(F.col("doc_id") % 9 == 0, "x").otherwise("y"))
     shuffled = C.packed_batches(df, 2, 5, 0, ["source"], shuffle_seed=1).collect()
     assert all(b == a + 1 for r in shuffled for a, b in zip(r.input, r.target))

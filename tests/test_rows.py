@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from faqloom.operators import augment as A
 from faqloom.operators import ordering as O
 from faqloom.operators import splits as P
+from faqloom.plans.rows import log_lines
+from faqloom.sources import files as L
+from faqloom.sources.tables import faq_pairs
 
 
 def test_running_total_does_not_depend_on_partitions(spark):
@@ -69,9 +72,37 @@ def test_sections(spark):
         ("again", "new"), ("again", "newer"), ("how to pay", "pay how"), ("how to pay", "to pay"), ("how to pay", "")]
 
 
+def test_a_repeated_key_keeps_its_first_place(spark):
+    heads = ["pay", "how", "pay"]
+    log = [(0, 4 * i + j, x) for i, k in enumerate(heads) for j, x in enumerate((f"Permutations of '{k}':", "Found", f"{k} {i}", "=" * 12))]
+    blocks = A.section_blocks(spark.createDataFrame(log, "file long, line_no long, line string"))
+    assert {(r.key, r.block, r.first_block) for r in blocks.collect()} == {("pay", 2, 0), ("how", 1, 1)}
+    found = A.match_keys(blocks.select("key"), spark.createDataFrame([(1, "how to pay")], "text_id long, text string"))
+    got = A.unique_key_matches(found, blocks.select("key", "first_file", "first_block")).collect()
+    assert [(r["class"], r.key) for r in got] == [(1, "how")]
+
+
+def test_log_files_go_by_number(spark, tmp_path):
+    for n in range(12):
+        (tmp_path / f"output_success_{n}.txt").write_text(f"Permutations of 'same':\nFound\nfrom {n}\n==========\n")
+    log = L.log_files(spark, str(tmp_path / "*.txt"))
+    assert sorted({r.file for r in log.collect()}) == list(range(12))
+    assert A.section_blocks(log).select("file", "first_file").collect() == [(11, 0)]
+
+
+def test_long_replies_and_conversations_have_names_of_their_own(spark, tmp_path):
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(2400)] + [
+        (2, 0, "user", "other"), (2, 1, "assistant", "\n".join(f"l{i}" for i in range(100_001))), (2, 2, "user", "next"), (2, 3, "assistant", "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pairs = faq_pairs(spark, str(tmp_path))
+    assert pairs.count() == pairs.select("faq_id").distinct().count() == 1202
+    blocks = A.section_blocks(log_lines(spark, str(tmp_path))).collect()
+    assert len(blocks) == 1202 and {r.n_lines for r in blocks} == {1, 100_001}
+
+
 def test_unique_matches_and_draws(spark):
     matches = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("c", 3)], "key string, text_id long")
-    place = spark.createDataFrame([("a", 0), ("b", 5), ("c", 9)], "key string, at int")
+    place = spark.createDataFrame([("a", 0), ("b", 5), ("c", 9)], "key string, first_block int")
     got = A.unique_key_matches(matches, place).collect()
     assert [(r["class"], r.key) for r in got] == [(1, "b")]
     variants = spark.createDataFrame([(1, 0, " v0 "), (1, 1, "v1")], "class long, line_no long, variant string")

@@ -114,9 +114,12 @@ def test_feature_layout(spark):
 
 
 def test_negative_samples(spark):
-    rows = N.negative_samples(spark.range(50).select(F.col("id").cast("int").alias("label")), 100, 8).collect()
+    labels = spark.range(50).select(F.expr("id div 25").alias("batch"), F.col("id").cast("int").alias("label"))
+    rows = N.negative_samples(labels, 100, 8).collect()
+    sets = {b: {tuple(sorted(r.negative for r in rows if r.label == i)) for i in range(25 * b, 25 * b + 25)} for b in (0, 1)}
+    assert all(len(s) == 1 for s in sets.values()) and sets[0] != sets[1]  # one set for all labels of a batch
     p = lambda c: np.log((c + 2) / (c + 1)) / np.log(101)
     assert len({(r.label, r.negative) for r in rows}) == len(rows)
     for r in rows:
-        assert r.label != r.negative and 0 <= r.negative < 100
+        assert r.hit == (r.label == r.negative) and 0 <= r.negative < 100
         assert r.samp_log_prob == pytest.approx(np.log(-np.expm1(16 * np.log1p(-p(r.negative)))))
