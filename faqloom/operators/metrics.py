@@ -27,9 +27,13 @@ def batch_mean_loss(cells: DataFrame, key: str, batch_size: int, loss: Column) -
 
 
 def cross_entropy(rows: DataFrame, logits: Column, label: Column) -> DataFrame:
-    """Mean negative log-likelihood over the rows whose label is not ignored: value, n."""
+    """Mean negative log-likelihood over the rows whose label is not ignored: value, n.  Any other label outside the
+    logits is an error."""
     kept = rows.select(logits.alias("_x"), label.alias("_y")).filter(F.col("_y") != IGNORED_LABEL)
-    return kept.agg(F.avg(nll(F.col("_x"), F.col("_y"))).alias("value"), F.count("*").alias("n"))
+    inside = (F.col("_y") >= 0) & (F.col("_y") < F.size("_x"))
+    wrong = F.raise_error(F.concat(F.lit("label out of range: "), F.col("_y").cast("string"))).cast("double")
+    loss = F.when(inside, nll(F.col("_x"), F.col("_y"))).otherwise(wrong)
+    return kept.agg(F.avg(loss).alias("value"), F.count("*").alias("n"))
 
 
 def active_positions(rows: DataFrame, mask: str, *arrays: str) -> DataFrame:

@@ -97,6 +97,8 @@ def first_n_by_hash(df: DataFrame, keys: Sequence[str], seed: int, n: int, digit
 
     Only the bucket that holds the n-th row is ordered; the buckets ahead of it pass whole, those behind never move.
     """
+    if n and df.isEmpty():
+        raise ValueError(f"cannot draw {n} rows from a smaller table")
     ordered = hash_order(df, keys, seed, digits)
     offsets = bucket_offsets(ordered, F.lit(1), ["_b"])
     offsets = offsets.withColumn(

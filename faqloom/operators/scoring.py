@@ -122,30 +122,50 @@ def text_tokens(text: Column) -> Column:
     return basic_token_array(normalize_question(text))
 
 
-def _best_answers(questions: pd.DataFrame, index: pd.DataFrame, k: int):
-    """Yield (question id, label, score) of the ``k`` best answers of one block, larger score first, then label."""
+#: Postings and score cells that one step of a block may hold.
+STEP_CELLS = 4_000_000
+
+
+def _best_answers(questions: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(question_id, label, score) of the ``k`` best answers of one block, larger score first, then label.
+
+    A sparse product: the terms of a group of questions pick their postings at once, and equal (question, answer) cells
+    are summed.  Groups are cut by their number of postings.
+    """
     index = index.sort_values("label")
     labels = index["label"].to_numpy()
-    sizes = index["tokens"].map(len).to_numpy()
     terms, term_no = np.unique(np.concatenate(index["tokens"].to_numpy()), return_inverse=True)
     by_term = np.argsort(term_no, kind="stable")
-    rows = np.repeat(np.arange(len(labels)), sizes)[by_term]
+    rows = np.repeat(np.arange(len(labels)), index["tokens"].map(len).to_numpy())[by_term]
     weights = np.concatenate(index["weights"].to_numpy())[by_term]
     first = np.searchsorted(term_no[by_term], np.arange(len(terms) + 1))
-    number = {t: i for i, t in enumerate(terms)}
-    scores = np.zeros(len(labels), dtype=np.int64)
-    for question, tokens in zip(questions["question_id"], questions["tokens"]):
-        scores[:] = 0
-        for token in tokens:
-            i = number.get(token)
-            if i is not None:
-                scores[rows[first[i] : first[i + 1]]] += weights[first[i] : first[i + 1]]
-        hit = np.flatnonzero(scores)
-        if len(hit) > k:
-            floor = np.partition(scores[hit], len(hit) - k)[len(hit) - k]
-            hit = hit[scores[hit] >= floor]
-        for at in hit[np.argsort(-scores[hit], kind="stable")][:k]:
-            yield question, labels[at], scores[at]
+
+    asked = questions["tokens"].map(len).to_numpy()
+    term = pd.Index(terms).get_indexer(np.concatenate([*questions["tokens"].to_numpy(), np.array([], object)]))
+    pairs, times = np.unique(np.repeat(np.arange(len(asked)), asked)[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
+    question, term = np.divmod(pairs, len(terms))
+    size = first[term + 1] - first[term]
+    # a step ends with a question: its postings lie between two multiples of the bound
+    upto = np.zeros(len(asked), np.int64)
+    np.add.at(upto, question, size)
+    step = (np.cumsum(upto) // STEP_CELLS)[question]
+    found = []
+    for part in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(step)) + 1):
+        n = size[part]
+        if not n.sum():
+            continue
+        at = np.repeat(first[term[part]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        cells, place = np.unique(np.repeat(question[part], n) * len(labels) + rows[at], return_inverse=True)
+        score = np.zeros(len(cells), np.int64)
+        np.add.at(score, place, weights[at] * np.repeat(times[part], n))
+        q, row = np.divmod(cells, len(labels))
+        order = np.lexsort((row, -score, q))
+        rank = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        best = order[rank < k]
+        found.append(pd.DataFrame({"q": q[best], "label": labels[row[best]], "score": score[best]}))
+    out = pd.concat(found) if found else pd.DataFrame({"q": [], "label": [], "score": []}, dtype="int64")
+    out.insert(0, "question_id", questions["question_id"].to_numpy()[out["q"].to_numpy()])
+    return out[["question_id", "label", "score"]]
 
 
 def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -157,8 +177,9 @@ def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K) -> Data
     rows = questions.select("question_id", text_tokens(F.col("question")).alias("tokens"))
 
     def score(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        found = [] if q.empty or a.empty else list(_best_answers(q, a, k))
-        return pd.DataFrame(found, columns=["question_id", "label", "score"])
+        if q.empty or a.empty:
+            return pd.DataFrame({"question_id": [], "label": [], "score": []})
+        return _best_answers(q, a, k)
 
     kind = questions.schema["question_id"].dataType.simpleString()
     best = _pair_up(rows, "question_id", index, score, f"question_id {kind}, label bigint, score bigint")

@@ -10,6 +10,8 @@ from faqloom.functions.unicode_rules import bind
 from faqloom.operators.lookup import lookup, small_side
 from faqloom.session import bucket_count, materialize
 
+#: A match is coded with ten bits for its end.
+LONGEST_CODED = 1023
 MAX_WORD_CHARS = 100
 UNKNOWN_PIECE = "[UNK]"
 END_OF_WORD = "</w>"
@@ -52,6 +54,8 @@ def wordpiece_dictionary(
     start and then longest first, are walked once: a match that starts where the last piece ended is taken.  A word
     that cannot be covered, or is too long, becomes one unknown piece.
     """
+    if max_chars > LONGEST_CODED:
+        raise ValueError(f"words of more than {LONGEST_CODED} characters cannot be split to pieces")
     n = F.length("word")
     # start -1 asks for the unknown piece itself, so its id comes out of the same join
     ask = F.array(F.lit(-1))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faqloom.functions.vectors import bce, doubles
+from faqloom.functions.vectors import argmax, bce, doubles
 from faqloom.operators import metrics as M
+from faqloom.plans import scoring
 from faqloom.plans.registry import query
 from faqloom.session import scratch_path
 from faqloom.sources.sinks import append_metrics
@@ -90,33 +91,41 @@ def _nll_sql(xs: str, label: str) -> str:
 _X = "vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 
 
-def multi_hot_logits():
-    """Ten class scores out of the vector; labels go in as 0/1 vectors and come back as their first maximum."""
-    return F.slice("x", 1, 10), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("double"))
+def scored_rows(spark, root):
+    """Every vector with its ten label scores from the fitted classifier: vec_id, label, x, logits."""
+    logits = scoring.scores(spark, root).select("vec_id", "logits")
+    return vectors(spark, root).join(logits, "vec_id")
 
 
-@query("cross_entropy", f"""WITH {_X}
-SELECT round(avg({_nll_sql('x[1:10]', 'label')}), 6) AS value, count(*) AS n FROM vecs""")
-def cross_entropy(spark, root):
-    from faqloom.functions.vectors import argmax
+_SCORED = f"""{scoring._FIT},
+own AS (
+  SELECT e.vec_id, e.label, e.embedding[11] > 0 AS active, ln(sum(exp(l.x))) - sum(CASE WHEN l.label = e.label THEN l.x END) AS loss,
+         arg_min(l.label, (-l.x, l.label)) AS best,
+         ln(sum(CASE WHEN l.label < 2 THEN exp(l.x) END)) - sum(CASE WHEN l.label = e.label % 2 THEN l.x END) AS next_loss
+  FROM logit l JOIN embeddings e ON e.vec_id = l.vec_id GROUP BY e.vec_id, e.label, e.embedding[11])"""
+
 
-    logits, hot = multi_hot_logits()
-    return rounded(M.cross_entropy(vectors(spark, root), logits, argmax(hot)))
+def masked_label():
+    """Positions without a target carry label -1 and do not count."""
+    return F.when(F.get("x", F.lit(10)) > 0, F.col("label")).otherwise(M.IGNORED_LABEL)
 
 
-@query("cross_entropy_ignore", f"""WITH {_X}
-SELECT round(avg({_nll_sql('x[1:10]', 'label')}), 6) AS value, count(*) AS n FROM vecs WHERE x[11] > 0""")
+@query("cross_entropy", f"WITH {_SCORED} SELECT round(avg(loss), 6) AS value, count(*) AS n FROM own")
+def cross_entropy(spark, root):
+    """Labels go in as 0/1 vectors and come back as their first maximum."""
+    hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("double"))
+    return rounded(M.cross_entropy(scored_rows(spark, root), F.col("logits"), argmax(hot)))
+
+
+@query("cross_entropy_ignore", f"WITH {_SCORED} SELECT round(avg(loss), 6) AS value, count(*) AS n FROM own WHERE active")
 def cross_entropy_ignore(spark, root):
-    """Positions without a target carry label -1 and do not count."""
-    label = F.when(F.get("x", F.lit(10)) > 0, F.col("label")).otherwise(M.IGNORED_LABEL)
-    return rounded(M.cross_entropy(vectors(spark, root), F.slice("x", 1, 10), label))
+    return rounded(M.cross_entropy(scored_rows(spark, root), F.col("logits"), masked_label()))
 
 
-@query("argmax_accuracy", f"""WITH {_X}
-SELECT CAST(sum(CASE WHEN list_position(x[1:10], list_max(x[1:10])) - 1 = label THEN 1 ELSE 0 END) AS BIGINT) AS value,
-       count(*) AS n FROM vecs""")
+@query("argmax_accuracy", f"""WITH {_SCORED}
+SELECT CAST(sum(CASE WHEN best = label THEN 1 ELSE 0 END) AS BIGINT) AS value, count(*) AS n FROM own""")
 def argmax_accuracy(spark, root):
-    return M.argmax_accuracy(vectors(spark, root), F.slice("x", 1, 10), F.col("label"))
+    return M.argmax_accuracy(scored_rows(spark, root), F.col("logits"), F.col("label"))
 
 
 @query("choice_loss", f"""WITH {_X},
@@ -154,21 +163,16 @@ def token_label_loss(spark, root):
     return rounded(M.cross_entropy(active, F.col("logits"), F.col("labels")))
 
 
-_PARTS = f"""{_X},
-lm AS (SELECT avg({_nll_sql('x[1:10]', 'label')}) AS v, count(*) AS n FROM vecs WHERE x[11] > 0),
-nx AS (SELECT avg({_nll_sql('x[12:13]', 'label % 2')}) AS v, count(*) AS n FROM vecs)"""
-
-
-@query("summed_losses", f"""WITH {_PARTS}
+@query("summed_losses", f"""WITH {_SCORED},
+lm AS (SELECT avg(loss) AS v, count(*) AS n FROM own WHERE active), nx AS (SELECT avg(next_loss) AS v, count(*) AS n FROM own)
 SELECT 'masked_lm' AS metric, round(v, 6) AS value, n FROM lm
 UNION ALL SELECT 'next_sentence', round(v, 6), n FROM nx
 UNION ALL SELECT 'total', round(lm.v + nx.v, 6), lm.n + nx.n FROM lm, nx""")
 def summed_losses(spark, root):
-    rows = vectors(spark, root)
-    masked = F.when(F.get("x", F.lit(10)) > 0, F.col("label")).otherwise(M.IGNORED_LABEL)
+    rows = scored_rows(spark, root)
     return rounded(M.summed_losses({
-        "masked_lm": M.cross_entropy(rows, F.slice("x", 1, 10), masked),
-        "next_sentence": M.cross_entropy(rows, F.slice("x", 12, 2), F.col("label") % 2)}))
+        "masked_lm": M.cross_entropy(rows, F.col("logits"), masked_label()),
+        "next_sentence": M.cross_entropy(rows, F.slice("logits", 1, 2), F.col("label") % 2)}))
 
 
 @query("metrics_append", f"""WITH {_CELLS}, v AS (SELECT round(avg(loss), 6) AS value FROM losses)

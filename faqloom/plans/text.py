@@ -247,7 +247,7 @@ def bpe_tables(spark, root):
     return merge_file(spark, path)
 
 
-@query("bpe", f"""
+_BPE_DONE = f"""
 WITH RECURSIVE {_MERGES},
 ranks AS (SELECT map(list(l || chr(1) || r), list(rank)) AS m FROM merges),
 steps(word, s, best) AS (
@@ -261,7 +261,10 @@ steps(word, s, best) AS (
         chr(2) || l || chr(2) || chr(2) || r || chr(2), chr(2) || l || r || chr(2)), chr(2) || chr(2), chr(2)), chr(2)),
         lambda v: v <> '') AS t
     FROM steps JOIN merges ON rank = best) z, ranks),
-done AS (SELECT word, s FROM steps WHERE best IS NULL OR best = 1000000)
+done AS (SELECT word, s FROM steps WHERE best IS NULL OR best = 1000000)"""
+
+
+@query("bpe", f"""{_BPE_DONE}
 SELECT doc_id, pos, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS piece_no, unnest(s) AS token
 FROM bw JOIN done USING (word)""")
 def bpe(spark, root):
@@ -380,6 +383,84 @@ def decode_text_pieces(spark, root):
     return rows.select("doc_id", V.pieces_to_text(F.col("tokens"), tidy=True).alias("text"))
 
 
+SYMBOLS, BPE_SPECIALS = 60, ("<s>", "</s>")
+
+
+def bpe_vocab(spark, root):
+    """Byte-pair vocabulary with dense ids: frequent symbols, merged symbols by rank, specials behind them."""
+
+    def build():
+        words = K.distinct_words(K.bpe_words(documents(spark, root), "doc_id"))
+        symbols = words.select(F.explode(K.word_symbols(F.col("word"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+        order = [F.desc("n"), F.asc("token")]
+        symbols = symbols.orderBy(*order).limit(SYMBOLS)  # SYMBOLS and MERGES rows: small by definition
+        ranked = symbols.select("token", F.row_number().over(Window.orderBy(*order)).cast("int").alias("place"))
+        merged = merge_table(spark, root).groupBy(F.concat("left", "right").alias("token")).agg(
+            (F.min("rank") + SYMBOLS + 1).cast("int").alias("place"))
+        both = ranked.unionByName(merged).groupBy("token").agg(F.min("place").alias("place"))
+        dense = both.select("token", (F.row_number().over(Window.orderBy("place")) - 1).cast("int").alias("id"))
+        return V.append_specials(materialize(dense, "bpe-dense"), BPE_SPECIALS)
+
+    return made_once(spark, root, "bpe-vocab", build)
+
+
+_BPE_IDS = f"""{_BPE_DONE},
+symbols AS (
+  SELECT token, row_number() OVER (ORDER BY c DESC, token) AS place
+  FROM (SELECT token, sum(n) AS c FROM (SELECT unnest(s) AS token, n FROM sym) GROUP BY token ORDER BY c DESC, token LIMIT {SYMBOLS})),
+bv AS (
+  SELECT token, CAST(row_number() OVER (ORDER BY min(place)) - 1 AS INTEGER) AS id FROM (
+    SELECT token, place FROM symbols UNION ALL SELECT l || r, rank + {SYMBOLS + 1} FROM merges) GROUP BY token),
+bids AS (
+  SELECT p.doc_id, p.pos, p.piece_no, coalesce(bv.id, 0) AS id FROM (
+    SELECT doc_id, pos, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS piece_no, unnest(s) AS token
+    FROM bw JOIN done USING (word)) p LEFT JOIN bv ON bv.token = p.token
+  UNION ALL SELECT doc_id, -1, 0, CAST((SELECT count(*) FROM bv) AS INTEGER) FROM documents)"""
+
+
+def bpe_ids(spark, root):
+    """Pieces as ids, unknown ones 0, with the start mark ahead of every document."""
+    start = documents(spark, root).select(
+        "doc_id", F.lit(-1).alias("pos"), F.lit(0).alias("piece_no"), F.lit(BPE_SPECIALS[0]).alias("token"))
+    rows = bpe(spark, root).select("doc_id", "pos", "piece_no", "token").unionByName(start)
+    return V.encode(rows, bpe_vocab(spark, root), "zero").select("doc_id", "pos", "piece_no", "id")
+
+
+@query("bpe_encode_ids", f"{_BPE_IDS} SELECT doc_id, pos, piece_no, id FROM bids")
+def bpe_encode_ids(spark, root):
+    return bpe_ids(spark, root)
+
+
+@query("bpe_decode", f"""{_BPE_IDS},
+txt AS (
+  SELECT doc_id, trim(replace(string_agg(token, '' ORDER BY pos, piece_no), '</w>', ' ')) AS text
+  FROM bids JOIN bv USING (id) GROUP BY doc_id)
+SELECT doc_id, """ + "".join("replace(" for _ in V.TIDY_STEPS) + "text" + "".join(
+    f", '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in V.TIDY_STEPS) + " AS text FROM txt")
+def bpe_decode(spark, root):
+    """Ids back to text without special tokens, tidied up."""
+    named = V.decode(bpe_ids(spark, root), bpe_vocab(spark, root)).filter(~F.col("token").isin(*BPE_SPECIALS))
+    rows = V.gather(named, "token", ["doc_id"], ["pos", "piece_no"], "tokens")
+    return rows.select("doc_id", V.pieces_to_text(F.col("tokens"), tidy=True).alias("text"))
+
+
+LINE_LIMIT = 100_000
+
+
+@query("encode_strict", f"""WITH {_WORDS},
+counted AS (
+  SELECT token, count(*) AS cnt, min(doc_id * 10000000000 + line_no * 1000000 + pos) AS first FROM wt GROUP BY token),
+wv AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, first) - 1 AS id FROM counted)
+SELECT doc_id, line_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM wt JOIN wv USING (token)
+GROUP BY doc_id, line_no""")
+def encode_strict(spark, root):
+    """Every word has to be in the vocabulary, and no line may be longer than the limit."""
+    vocab = materialize(V.build_vocab(word_counts(spark, root)), "strict-vocab")
+    rows = V.gather(V.encode(document_words(spark, root), vocab, "error"), "id", LINE, ["pos"], "ids")
+    rows = V.with_length_limit(rows, "ids", LINE_LIMIT)
+    return rows.select(*LINE, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 # ---------------------------------------------------------------- pages
 
 @query("url_cache_index", """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,15 +32,18 @@ def local_session(cores: str | int = "*", app: str = "faqloom") -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a fresh temporary one only for a local session without a setting."""
+    """The shared folder the cluster names.  Only a plain local session, where all runs in one process, may lack the
+    setting: it gets a folder of its own that goes when the process ends."""
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="faqloom-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], ignore_errors=True)
     return _LOCAL_ROOTS[app]
 
 

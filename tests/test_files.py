@@ -71,3 +71,42 @@ def test_url_keys(spark):
     digest = "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb"
     assert [tuple(r) for r in got] == [(digest, ".gz", "b", "x/y.tar.GZ"), (digest, "", "h", ".hid")]
     assert U.url_index(rows.limit(0).withColumn("page_id", F.lit(1)), "page_id").count() == 0
+
+
+def test_half_written_cache_is_built_again(spark, tmp_path):
+    import os
+    import shutil
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(40).repartition(4)
+
+    params = {"input": "numbers"}
+    assert W.cached_table(spark, str(tmp_path), params, build).count() == 40
+    assert W.cached_table(spark, str(tmp_path), params, build).count() == 40 and len(calls) == 1
+    path = next(tmp_path.iterdir())
+    os.remove(path / "_SUCCESS")
+    os.remove(next(path.glob("part-*")))
+    assert W.cached_table(spark, str(tmp_path), params, build).count() == 40 and len(calls) == 2
+    shutil.rmtree(path)
+    (path).mkdir()
+    (path / "part-0.parquet").write_text("broken")
+    assert W.cached_table(spark, str(tmp_path), params, build).count() == 40
+
+
+def test_streams_read_folders_and_files(spark, tmp_path):
+    from faqloom.streaming import jobs as J
+
+    spark.range(100).selectExpr("id doc_id", "'a b' text").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = str(tmp_path / "counts")
+    J.count_tokens(J.table_stream(spark, str(tmp_path), "documents"), out, str(tmp_path / "state"))
+    assert {r.token: r.n for r in J.latest_counts(spark, out).collect()} == {"a": 100, "b": 100}
+    single = next((tmp_path / "documents.parquet").glob("part-*"))
+    one = tmp_path / "one"
+    one.mkdir()
+    single.rename(one / "documents.parquet")
+    n = spark.read.parquet(str(one / "documents.parquet")).count()
+    J.count_tokens(J.table_stream(spark, str(one), "documents"), str(one / "counts"), str(one / "state"))
+    assert {r.token: r.n for r in J.latest_counts(spark, str(one / "counts")).collect()} == {"a": n, "b": n}

@@ -123,3 +123,32 @@ def test_negative_samples(spark):
     for r in rows:
         assert r.hit == (r.label == r.negative) and 0 <= r.negative < 100
         assert r.samp_log_prob == pytest.approx(np.log(-np.expm1(16 * np.log1p(-p(r.negative)))))
+
+
+def test_labels_out_of_range_are_an_error(spark):
+    rows = spark.createDataFrame([([1.0, 2.0], 0), ([1.0, 2.0], -1)], "x array<double>, y int")
+    assert M.cross_entropy(rows, F.col("x"), F.col("y")).first().n == 1
+    bad = rows.union(spark.createDataFrame([([1.0, 2.0], 2)], rows.schema))
+    with pytest.raises(Exception, match="label out of range"):
+        M.cross_entropy(bad, F.col("x"), F.col("y")).collect()
+
+
+def test_empty_draws_and_long_words_are_errors(spark):
+    from faqloom.operators import splits as P
+    from faqloom.operators import tokens as K
+    from faqloom.operators import vocab as V
+
+    with pytest.raises(ValueError, match="cannot draw"):
+        P.sample_n(spark.range(0), ["id"], 1)
+    words = spark.createDataFrame([("a" * 1200, 1)], "word string, n long")
+    vocab = spark.createDataFrame([("aa", 0)], "token string, id int")
+    with pytest.raises(ValueError):
+        K.wordpiece_dictionary(words, vocab, 2, max_chars=2000)
+    coded = spark.createDataFrame([([1, 2, 3],)], "ids array<int>")
+    assert V.with_length_limit(coded, "ids", 3).count() == 1
+    with pytest.raises(Exception, match="too long"):
+        V.with_length_limit(coded, "ids", 2).collect()
+    tokens = spark.createDataFrame([("zz",)], "token string")
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        V.encode(tokens, vocab).collect()
+    assert V.encode(tokens, vocab, "zero").first().id == 0
