@@ -101,9 +101,16 @@ def wordpiece_dictionary(
     )
 
 
-def wordpieces(tokens: DataFrame, vocab: DataFrame, longest_piece: int) -> DataFrame:
-    """Replace the ``token`` of each row by its ``pieces`` and ``ids`` arrays."""
-    words = wordpiece_dictionary(distinct_words(tokens), vocab, longest_piece).withColumnRenamed("word", "token")
+def counted_words(counted: DataFrame, word: str = "token", n: str = "n") -> DataFrame:
+    """The distinct words of a written count table, spread like those of :func:`distinct_words`."""
+    words = counted.select(F.col(word).alias("word"), F.col(n).alias("n"))
+    return words.repartition(bucket_count(counted.sparkSession), "word")
+
+
+def wordpieces(tokens: DataFrame, vocab: DataFrame, longest_piece: int, words: DataFrame | None = None) -> DataFrame:
+    """Replace the ``token`` of each row by its ``pieces`` and ``ids`` arrays.
+    ``words`` are the distinct words of the tokens where they are counted already."""
+    words = wordpiece_dictionary(distinct_words(tokens) if words is None else words, vocab, longest_piece).withColumnRenamed("word", "token")
     words = materialize(words, "pieces")
     return lookup(tokens, words, "token", ["pieces", "ids"], "n")
 

@@ -47,12 +47,21 @@ def document_words(spark, root, **options) -> DataFrame:
     return K.word_tokens(document_lines(spark, root), *LINE, lower=True, **options)
 
 
+def token_table(spark, root) -> DataFrame:
+    """Counted basic tokens, written once: the WordPiece vocabulary and the words to split both read them."""
+    return made_once(spark, root, "token-counts", lambda: V.token_counts(document_tokens(spark, root)))
+
+
+def bpe_word_table(spark, root) -> DataFrame:
+    """Counted byte-pair words, written once."""
+    return made_once(spark, root, "bpe-words", lambda: K.distinct_words(K.bpe_words(documents(spark, root), "doc_id")))
+
+
 def piece_vocab(spark, root) -> DataFrame:
     """WordPiece vocabulary of the documents: specials, frequent words, characters, frequent endings."""
 
     def build():
-        counted = materialize(V.token_counts(document_tokens(spark, root)), "token-counts")
-        counted = counted.filter(~F.col("token").isin(*SPECIAL_PIECES))
+        counted = token_table(spark, root).filter(~F.col("token").isin(*SPECIAL_PIECES))
         long = counted.filter(F.length("token") > 1)
         words = long.orderBy(F.desc("n"), "token").limit(WORD_PIECES).select(F.lit(1).alias("kind"), "token", "n")
         chars = counted.select(F.explode(F.filter(F.split("token", ""), lambda c: c != "")).alias("token"), "n")
@@ -95,7 +104,7 @@ def merge_table(spark, root) -> DataFrame:
     """Byte-pair merges of the documents: frequent symbol runs, the last symbol joined to the run ahead of it."""
 
     def build():
-        words = K.distinct_words(K.bpe_words(documents(spark, root), "doc_id"))
+        words = K.counted_words(bpe_word_table(spark, root), "word")
         counted = K.symbol_runs(words, LONGEST_MERGE).groupBy("left", "right").agg(F.sum("n").alias("n"))
         order = [F.desc("n"), F.asc("left"), F.asc("right")]
         top = counted.orderBy(*order).limit(MERGES)
@@ -178,7 +187,8 @@ rows AS (
 
 
 def document_pieces(spark, root):
-    pieced = K.wordpieces(document_tokens(spark, root), piece_vocab(spark, root), longest_piece(spark, root))
+    pieced = K.wordpieces(
+        document_tokens(spark, root), piece_vocab(spark, root), longest_piece(spark, root), K.counted_words(token_table(spark, root)))
     return K.piece_rows(pieced, *LINE)
 
 
@@ -222,7 +232,7 @@ SELECT p[1] AS "left", p[2] AS "right", CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT n, unnest(list_distinct(list_transform(range(1, len(s)), lambda i: [s[i], s[i + 1]]))) AS p FROM sym WHERE len(s) > 1)
 GROUP BY 1, 2""")
 def adjacent_pairs(spark, root):
-    return K.adjacent_pairs(K.distinct_words(K.bpe_words(documents(spark, root), "doc_id")))
+    return K.adjacent_pairs(K.counted_words(bpe_word_table(spark, root), "word"))
 
 
 _MERGES = f"""{_BPE_WORDS},
@@ -271,7 +281,7 @@ def bpe(spark, root):
     from faqloom.operators.lookup import lookup
 
     words = K.bpe_words(documents(spark, root), "doc_id")
-    pieces = K.bpe_dictionary(K.distinct_words(words), merge_table(spark, root), LONGEST_MERGE)
+    pieces = K.bpe_dictionary(K.counted_words(bpe_word_table(spark, root), "word"), merge_table(spark, root), LONGEST_MERGE)
     pieced = lookup(words, materialize(pieces.withColumnRenamed("word", "token"), "bpe-pieces"), "token", ["pieces"], "n")
     return K.piece_rows(pieced, "doc_id")
 
@@ -390,7 +400,7 @@ def bpe_vocab(spark, root):
     """Byte-pair vocabulary with dense ids: frequent symbols, merged symbols by rank, specials behind them."""
 
     def build():
-        words = K.distinct_words(K.bpe_words(documents(spark, root), "doc_id"))
+        words = K.counted_words(bpe_word_table(spark, root), "word")
         symbols = words.select(F.explode(K.word_symbols(F.col("word"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
         order = [F.desc("n"), F.asc("token")]
         symbols = symbols.orderBy(*order).limit(SYMBOLS)  # SYMBOLS and MERGES rows: small by definition
