@@ -40,7 +40,7 @@ def encoded(spark, root, name, **markers):
     def build():
         vocab = word_vocab(spark, root)
         unknown = V.id_of(vocab, V.require_unknown(vocab))
-        rows = document_lines(spark, root, "source")
+        rows = document_lines(spark, root, "source", regroup=True)
         return C.encode_lines(rows, vocab, KEY, "token", unknown, lower=True, **markers)
 
     return made_once(spark, root, name, build)
@@ -166,7 +166,7 @@ UNKNOWN = "<unk>"
 
 
 def _family_rows(spark, root):
-    return document_lines(spark, root, "source").withColumn("split", split_column())
+    return document_lines(spark, root, "source", regroup=True).withColumn("split", split_column())
 
 
 def _family_specials(rules):

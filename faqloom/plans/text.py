@@ -35,16 +35,16 @@ def made_once(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     return _made[key]
 
 
-def document_lines(spark, root, *columns) -> DataFrame:
-    return lines(documents(spark, root, *columns), "doc_id", *columns)
+def document_lines(spark, root, *columns, regroup=False) -> DataFrame:
+    return lines(documents(spark, root, *columns, regroup=regroup), "doc_id", *columns)
 
 
 def document_tokens(spark, root) -> DataFrame:
     return K.basic_tokens(document_lines(spark, root), *LINE)
 
 
-def document_words(spark, root, **options) -> DataFrame:
-    return K.word_tokens(document_lines(spark, root), *LINE, lower=True, **options)
+def document_words(spark, root, regroup=False, **options) -> DataFrame:
+    return K.word_tokens(document_lines(spark, root, regroup=regroup), *LINE, lower=True, **options)
 
 
 def token_table(spark, root) -> DataFrame:
@@ -358,7 +358,7 @@ coded AS (
 def encoded_tokens(spark, root):
     vocab = word_vocab(spark, root)
     unknown = V.id_of(vocab, V.require_unknown(vocab))
-    return V.encode(document_words(spark, root, add_eos=True), vocab, "token", unknown_id=unknown)
+    return V.encode(document_words(spark, root, regroup=True, add_eos=True), vocab, "token", unknown_id=unknown)
 
 
 @query("encode_ids", f"{_IDS} SELECT doc_id, line_no, pos, id FROM coded")
@@ -466,7 +466,7 @@ GROUP BY doc_id, line_no""")
 def encode_strict(spark, root):
     """Every word has to be in the vocabulary, and no line may be longer than the limit."""
     vocab = materialize(V.build_vocab(word_counts(spark, root)), "strict-vocab")
-    rows = V.gather(V.encode(document_words(spark, root), vocab, "error"), "id", LINE, ["pos"], "ids")
+    rows = V.gather(V.encode(document_words(spark, root, regroup=True), vocab, "error"), "id", LINE, ["pos"], "ids")
     rows = V.with_length_limit(rows, "ids", LINE_LIMIT)
     return rows.select(*LINE, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 

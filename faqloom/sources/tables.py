@@ -17,9 +17,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
 
 
-def documents(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    """Document texts, spread for the string work that follows."""
-    return spread(table(spark, root, "documents").select("doc_id", "text", *columns), "doc_id")
+def documents(spark: SparkSession, root: str, *columns: str, regroup: bool = False) -> DataFrame:
+    """Document texts, spread for the string work that follows.
+
+    With ``regroup`` the texts are dealt out by document at any size: what is exploded from them and grouped again by
+    document or line then stays where it is, so the shuffle carries each text once and no token rows.
+    """
+    texts = table(spark, root, "documents").select("doc_id", "text", *columns)
+    if regroup:
+        slots = spark.sparkContext.defaultParallelism
+        return texts.repartition(max(slots, texts.rdd.getNumPartitions()), "doc_id")
+    return spread(texts, "doc_id")
 
 
 def lines(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:

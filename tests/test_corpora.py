@@ -105,3 +105,18 @@ def test_packed_files_keep_pairs_in_sentences(spark):
     df = corpus(spark, some_lines(5, 90, 8)).withColumn("source", F.when(F.col("doc_id") % 9 == 0, "x").otherwise("y"))
     shuffled = C.packed_batches(df, 2, 5, 0, ["source"], shuffle_seed=1).collect()
     assert all(b == a + 1 for r in shuffled for a, b in zip(r.input, r.target))
+
+
+def test_texts_and_not_tokens_are_shuffled(spark, tmp_path):
+    """One plan for a small file and for a table of many splits: a single exchange, below the explode."""
+    from faqloom.plans import corpora as plans
+    from faqloom.plans.text import word_vocab
+
+    root = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{root}/documents.parquet").repartition(24).write.parquet(f"{tmp_path}/documents.parquet")
+    for where in (root, str(tmp_path)):
+        vocab = word_vocab(spark, where)
+        rows = plans.document_lines(spark, where, "source", regroup=True)
+        plan = C.encode_lines(rows, vocab, plans.KEY, "zero", lower=True)._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(exchanges) == 1 and "doc_id" in exchanges[0] and "line_no" not in exchanges[0], plan
