@@ -143,7 +143,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, whole, each once, with size, source_size, target, copies and taken."""
+    """The documents of the mix, whole, each once, with size, source_size, target, copies and taken; columns of these
+    names that are there already give way."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
     sizes = materialize(measured(docs), "mix-sizes")
     plan = thresholds(sizes, source_targets(sizes, **options))

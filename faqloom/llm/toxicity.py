@@ -118,8 +118,9 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("feature").agg(*side)
 
 
-def _sparse(sample: DataFrame, index: dict[str, int], terms) -> list:
-    """(y, features, features with a mention, features with the mention swapped) of each sampled text, by number."""
+def _sparse(sample: DataFrame, index: dict[str, int], terms) -> tuple:
+    """Labels, and as (text, feature) number pairs: the features of the sampled texts, those that only the text with a
+    mention has, and those that only its swapped counterpart has.  It comes as Arrow columns: a few bytes per pair."""
     sent = sample.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,26 +129,27 @@ def _sparse(sample: DataFrame, index: dict[str, int], terms) -> list:
             cells = []
             for text in batch.column("text").to_pylist():
                 words = words_in(text)
-                cells.append([sorted(known[f] for f in features_of(w) if f in known) for w in (words, *swapped(words, terms))])
+                x, a, b = ({known[f] for f in features_of(w) if f in known} for w in (words, *swapped(words, terms)))
+                cells.append((sorted(x), sorted(a - b), sorted(b - a)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("y"), *[pa.array([c[i] for c in cells], pa.list_(pa.int32())) for i in range(3)]],
                 ["y", "x", "a", "b"])
 
-    return sample.select("text", "y").mapInArrow(run, "y int, x array<int>, a array<int>, b array<int>").collect()
+    table = sample.select("text", "y").mapInArrow(run, "y int, x array<int>, a array<int>, b array<int>").toArrow()
+    return table.column("y").to_numpy(), *(_pairs(table.column(c).combine_chunks()) for c in ("x", "a", "b"))
 
 
-def _rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.array([i for x in lists for i in x], np.int64)
-    return np.repeat(np.arange(len(lists)), sizes), flat
+def _pairs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
 
 
 def fit_weights(y, x, a, b, width: int, ridge=RIDGE, swap_penalty=SWAP_PENALTY, steps=STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias for presence features: Adam on the whole sample."""
+    """Weights and bias for presence features: Adam on the whole sample.  ``x``: (text, feature) pairs; ``a`` and ``b``:
+    the pairs in which a text and its counterpart differ."""
     y = np.asarray(y, float)
     n = len(y)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
-    (xr, xc), (ar, ac), (br, bc) = _rows(x), _rows(a), _rows(b)
+    (xr, xc), (ar, ac), (br, bc) = x, a, b
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(xr, w[xc], n) + w[-1], -60, 60)))
@@ -180,8 +182,7 @@ def fit(
     counts = _feature_counts(sample).withColumn("z", z).filter((F.col("toxic") + F.col("clean") >= LEAST) & (F.col("z") >= EVIDENCE))
     chosen = [r["feature"] for r in counts.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
     index = {f: i for i, f in enumerate(chosen)}
-    data = _sparse(sample, index, terms)
-    weights, bias = fit_weights(*([r[c] for r in data] for c in ("y", "x", "a", "b")), len(chosen), swap_penalty=swap_penalty)
+    weights, bias = fit_weights(*_sparse(sample, index, terms), len(chosen), swap_penalty=swap_penalty)
     return dict(zip(chosen, weights.tolist())), bias
 
 
