@@ -7,8 +7,9 @@ a table of (value, before, after, path, label).  :func:`made_findings` makes a b
 credentials and of what is taken for one; labelled findings of one's own may be given instead.
 
 Defined cases: null and empty texts have no candidates; a null path has no path features; null and repeated ids stay rows
-of their own; overlapping candidates count as the first and, of one start, the longest; an empty table gives an empty
-result; other columns are ignored, and kept by :func:`redact`.
+of their own; candidates of one span count once, those that overlap are judged each, and an accepted one inside another
+accepted one is no finding of its own; :func:`redact` puts one mark in place of accepted ones that overlap; an empty table
+gives an empty result; other columns are ignored, and kept by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faqloom.llm.common import is_small
@@ -31,12 +32,16 @@ from faqloom.session import materialize
 
 ROWS, TREES, DEPTH, SEED = 4_000, 30, 9, 11
 KINDS = ("assigned", "run", "block", "url")
-ASSIGN = re.compile(r"[:=]{1,2}>?[ \t]*[\"']?([^\s\"'<>,;]{8,})")
-NAME = re.compile(
+#: A name that speaks of a credential, up to where its value begins.
+NAMED = re.compile(
     r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)"
-    r"[\w.-]{0,20}[\"']?[ \t]*\Z"
+    r"[\w.-]{0,20}[\"']?[ \t]*[:=]{1,2}>?[ \t]*[\"']?"
 )
+VALUE = re.compile(r"[^\s\"'<>,;]+")
+IN_QUERY = re.compile(r"[?&][\w.-]*\Z")
+PARAMETER = re.compile(r"&[\w.-]+=")
 RUN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+PART = re.compile(r"[^=]+=*\Z|[^=]+")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----")
 IN_URL = re.compile(r"://[^\s:/@]{1,100}:([^\s:/@]{3,200})@")
 NEAR = 60
@@ -98,29 +103,47 @@ def features(value: str, before: str, after: str, path: str | None, kind: str, w
     ]
 
 
+def assigned(text: str) -> Iterator[tuple[int, int, str]]:
+    """Values of names that speak of a credential.  A value with such names in it counts as a whole, and each up to the next."""
+    names = [m.span() for m in NAMED.finditer(text)]
+    end = -1
+    for i, (name, at) in enumerate(names):
+        if at >= end:
+            value = VALUE.match(text, at)
+            if not value:
+                continue
+            end = value.end()
+            if IN_QUERY.search(text, max(0, name - NEAR), name):  # of a URL: the value ends at the next parameter
+                more = text.find("&", at, end)
+                end = end if more < 0 else more
+            yield at, end, "assigned"
+        stop = min(end, names[i + 1][0]) if i + 1 < len(names) else end
+        if parameter := PARAMETER.search(text, at, stop):
+            yield at, parameter.start(), "assigned"
+        yield at, at + len(text[at:stop].rstrip("&?")) if stop < end else end, "assigned"
+
+
+def runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Long runs of letters and digits; one with a '=' in it counts by its parts, '=' at its end as padding."""
+    for m in RUN.finditer(text):
+        for part in PART.finditer(m.group()):
+            value = part.group()
+            name = not part.start() and part.end() < len(m.group())  # what stands ahead of a '=' is rarely a value
+            if len(value) >= 16 and any(map(str.isalpha, value)) and (any(map(str.isdigit, value)) or value.isupper() and not name):
+                yield m.start() + part.start() + len(value) - len(value.lstrip("-/+_")), m.start() + part.end(), "run"
+
+
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every candidate, in order, none overlapping."""
+    """(start, end, kind) of every candidate, in order, one for each span."""
     text = text or ""
     found = [(m.start(), m.end(), "block") for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
     if "://" in text:
         found += [(*m.span(1), "url") for m in IN_URL.finditer(text)]
-    for m in ASSIGN.finditer(text):
-        if NAME.search(text, max(0, m.start() - NEAR), m.start()):
-            found.append((*m.span(1), "assigned"))
-    for m in RUN.finditer(text):
-        value = m.group()
-        if any(map(str.isalpha, value)) and (any(map(str.isdigit, value)) or value.isupper()):
-            at = m.start() + len(value) - len(value.lstrip("=-/+_"))
-            if "=" in value[:-2]:  # name=value without quotes: the assignment is the candidate
-                continue
-            found.append((at, m.end(), "run"))
-    found.sort(key=lambda f: (f[0], -f[1], KINDS.index(f[2])))
-    kept, end = [], -1
-    for f in found:
-        if f[0] >= end and f[1] > f[0]:
-            kept.append(f)
-            end = f[1]
-    return kept
+    found += [*assigned(text), *runs(text)]
+    spans: dict[tuple[int, int], str] = {}
+    for start, end, kind in sorted((f for f in found if f[1] > f[0]), key=lambda f: (f[0], -f[1], KINDS.index(f[2]))):
+        spans.setdefault((start, end), kind)
+    return [(*span, kind) for span, kind in spans.items()]
 
 
 def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, str, str | None, str, int]]:
@@ -138,6 +161,9 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
                 for _ in range(n))
         return " ".join(made)
 
+    def word():  # pronounceable, in no dictionary
+        return "".join(pick("bcdfghklmnprstv", 1) + pick("aeiou", 1) + pick("lnrst", 0, 1) for _ in range(r.randint(2, 3)))
+
     def assigned(value):
         quote = r.choice(["", '"'])
         return value, f"{prose(3)} {r.choice(names)}{r.choice(['=', ' = ', ': '])}{quote}", quote + " " + prose(3), "assigned"
@@ -155,6 +181,8 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
         lambda: run("eyJ" + pick(alnum + "-_", 60, 160), r.choice(["bearer", "token", ""])),
         lambda: assigned(pick(hexa, 16, 24)), lambda: assigned(pick(hexa, 32, 64)), lambda: assigned(pick(alnum, 12, 48)),
         lambda: assigned(pick(alnum + "!#%&*@^_-", 10, 24)), lambda: assigned(pick(alnum + "+/", 40) + "="),
+        lambda: assigned(pick(alnum, 3, 6) + pick(string.digits, 1, 2)),
+        lambda: assigned(word() + pick(string.digits, 1, 4)), lambda: assigned(word() + pick(string.digits, 1, 2)),
         lambda: (pick(alnum, 8, 20), f"{prose(2)} postgres://{r.choice(plain)}:", f"@{r.choice(plain)}.net", "url"),
         lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + pick(alnum + "+/", 200, 900) + "\n-----END RSA PRIVATE KEY-----",
                  prose(2) + "\n", "\n", "block"),
@@ -165,7 +193,10 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
         lambda: assigned("".join(r.choice(plain) for _ in range(2)) + pick(string.digits, 0, 2)),
         lambda: assigned("_".join(r.choice(plain) for _ in range(3))),
         lambda: assigned(f"get_{r.choice(plain)}_{r.choice(plain)}()"),
+        lambda: assigned(r.choice(["none", "null", "true", "false", "yes", "no", "1", "0", "the", "is", "not", "a", "{", "***", "...", "$1", "%s"])),
+        lambda: assigned(prose(1)),
         lambda: run("-".join(r.choice(plain) for _ in range(3)) + "-" + pick(string.digits, 1, 4)),
+        lambda: run("_".join(r.choice(plain) if r.random() < 0.5 else word() for _ in range(3)).upper() + pick(string.digits, 1, 2)),
         lambda: run("".join(w.title() for w in (r.choice(plain) for _ in range(4))) + pick(string.digits, 1, 2)),
         lambda: run(f"{pick(hexa, 8)}-{pick(hexa, 4)}-4{pick(hexa, 3)}-{pick(hexa, 4)}-{pick(hexa, 12)}", r.choice(["uuid", "id", ""])),
         lambda: run(pick(hexa, 40), r.choice(["commit", "sha", "revision", "build"])),
@@ -197,16 +228,17 @@ def fit(spark: SparkSession, findings: list[tuple] | None = None) -> RandomFores
     return forest.fit(data.select(array_to_vector("x").alias("features"), "label"))
 
 
-FOUND = "array<struct<start:int,end:int,kind:string,value_sha256:string,x:array<double>>>"
+FOUND = "array<struct<start:int,end:int,kind:string,value_sha256:string,cluster:int,x:array<double>>>"
 
 
 FOUND_ARROW = pa.list_(pa.struct([
-    ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value_sha256", pa.string()), ("x", pa.list_(pa.float64()))
+    ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value_sha256", pa.string()), ("cluster", pa.int32()),
+    ("x", pa.list_(pa.float64()))
 ]))
 
 
 def found_column(text: Column, path: Column) -> Column:
-    """All candidates of a text with their features."""
+    """All candidates of a text with their features; those that overlap, one after another, are a cluster."""
 
     @F.arrow_udf(FOUND)
     def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -214,12 +246,13 @@ def found_column(text: Column, path: Column) -> Column:
         for texts, paths in batches:
             out = []
             for text, path in zip(texts.to_pylist(), paths.to_pylist()):
-                row = []
+                row, cluster, last = [], 0, -1
                 for start, end, kind in candidates(text):
+                    cluster, last = (start, end) if start >= last else (cluster, max(end, last))
                     value = text[start:end]
                     x = features(value, text[max(0, start - NEAR) : start], text[end : end + NEAR], path, kind, known)
                     sha = hashlib.sha256(value.encode()).hexdigest()
-                    row.append({"start": start, "end": end, "kind": kind, "value_sha256": sha, "x": x})
+                    row.append({"start": start, "end": end, "kind": kind, "value_sha256": sha, "cluster": cluster, "x": x})
                 out.append(row)
             yield pa.array(out, FOUND_ARROW)
 
@@ -229,26 +262,41 @@ def found_column(text: Column, path: Column) -> Column:
 def scan(
     docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, path: str = "source"
 ) -> DataFrame:
-    """Per candidate: doc_id, text_key, start, end (characters), kind, value_sha256, score, secret."""
+    """Per candidate: doc_id, text_key, start, end (characters), kind, value_sha256, score, secret.
+
+    Rows whose span lies inside that of another secret of their text are left out if they are secrets themselves.
+    """
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.explode(found_column(F.col("text"), where)).alias("f"))
-    flat = rows.select("doc_id", "text_key", "f.start", "f.end", "f.kind", "f.value_sha256", array_to_vector("f.x").alias("features"))
+    rows = docs.select(
+        "doc_id", text_key(F.col("text")).alias("text_key"), where.alias("where"), F.explode(found_column(F.col("text"), where)).alias("f"))
+    flat = rows.select("doc_id", "text_key", "where", *[f"f.{c}" for c in ("start", "end", "kind", "value_sha256", "cluster")],
+                       array_to_vector("f.x").alias("features"))
     judged = model.transform(flat).withColumn("score", vector_to_array("probability")[1])
     columns = ("doc_id", "text_key", "start", "end", "kind", "value_sha256", "score")
-    return judged.select(*columns, (F.col("score") >= threshold).alias("secret"))
+    own = judged.select(*columns, (F.col("score") >= threshold).alias("secret"), "where", "cluster")
+    # copies of a row, with the id and the text repeated, are one row while overlaps are looked at
+    counted = own.groupBy(*own.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    ahead = Window.partitionBy("doc_id", "text_key", "where", "cluster").orderBy("start", F.desc("end")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.when(F.col("secret"), F.col("end"))).over(ahead), F.lit(-1))
+    kept = counted.withColumn("_covered", covered).filter(~F.col("secret") | (F.col("end") > F.col("_covered")))
+    return kept.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*columns, "secret")
 
 
 def cut_column(text: Column, spans: Column, mark: str) -> Column:
-    """The text with ``mark`` in place of its spans, which do not overlap."""
+    """The text with ``mark`` in place of its spans; spans that overlap are one."""
 
     @F.arrow_udf("string")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
             out = []
             for text, cuts in zip(texts.to_pylist(), spans.to_pylist()):
-                for at in sorted(cuts, key=lambda c: -c["start"]):
-                    text = text[: at["start"]] + mark + text[at["end"] :]
-                out.append(text)
+                parts, end = [], 0
+                for at in sorted(cuts, key=lambda c: c["start"]):
+                    if not parts or at["start"] >= end:
+                        parts += [text[end : at["start"]], mark]
+                    end = max(end, at["end"])
+                out.append("".join(parts) + text[end:])
             yield pa.array(out, pa.string())
 
     return cut(text, spans)
