@@ -42,7 +42,7 @@ IN_QUERY = re.compile(r"[?&][\w.-]*\Z")
 PARAMETER = re.compile(r"&[\w.-]+=")
 RUN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 PART = re.compile(r"[^=]+=*\Z|[^=]+")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----")
+BORDER = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
 IN_URL = re.compile(r"://[^\s:/@]{1,100}:([^\s:/@]{3,200})@")
 NEAR = 60
 #: Words that coverage is measured with; a parameter of the scan.
@@ -76,7 +76,7 @@ def coverage(value: str, words=DICTIONARY) -> float:
     if not letters:
         return 0.0
     known, covered = words if isinstance(words, frozenset) else frozenset(words), 0
-    for run in LETTERS.findall(low[:4096]):
+    for run in LETTERS.findall(low):
         at = 0
         while at + 3 <= len(run):
             size = next((n for n in range(min(11, len(run) - at), 2, -1) if run[at : at + n] in known), 0)
@@ -86,14 +86,14 @@ def coverage(value: str, words=DICTIONARY) -> float:
 
 
 def features(value: str, before: str, after: str, path: str | None, kind: str, words=DICTIONARY) -> list[float]:
-    kinds = classes(value[:4096])
+    kinds = classes(value)
     n = max(1, len(kinds))
     moves = [0.0] * 25
     for a, b in zip(kinds, kinds[1:]):
         moves[5 * a + b] += 1 / n
     shares = [kinds.count(k) / n for k in range(5)]
-    distinct = len(set(value[:4096])) / min(n, 64)
-    repeats = sum(a == b for a, b in zip(value[:4096], value[1:4096])) / n
+    distinct = len(set(value)) / min(n, 64)
+    repeats = sum(a == b for a, b in zip(value, value[1:])) / n
     near = {w.lower() for w in WORD.findall(before)[-4:] + WORD.findall(after)[:2]}
     place = (path or "").lower()
     return [
@@ -103,6 +103,17 @@ def features(value: str, before: str, after: str, path: str | None, kind: str, w
     ]
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """From every BEGIN line of a private key to the next END line."""
+    begin = None
+    for m in BORDER.finditer(text):
+        if m.group(1) == "BEGIN":
+            begin = m.start()
+        elif begin is not None:
+            yield begin, m.end(), "block"
+            begin = None
+
+
 def assigned(text: str) -> Iterator[tuple[int, int, str]]:
     """Values of names that speak of a credential.  A value with such names in it counts as a whole, and each up to the next."""
     names = [m.span() for m in NAMED.finditer(text)]
@@ -113,7 +124,7 @@ def assigned(text: str) -> Iterator[tuple[int, int, str]]:
             if not value:
                 continue
             end = value.end()
-            if IN_QUERY.search(text, max(0, name - NEAR), name):  # of a URL: the value ends at the next parameter
+            if text[at - 1] == "=" and IN_QUERY.search(text, max(0, name - NEAR), name):  # of a URL: the value ends at the next parameter
                 more = text.find("&", at, end)
                 end = end if more < 0 else more
             yield at, end, "assigned"
@@ -136,7 +147,7 @@ def runs(text: str) -> Iterator[tuple[int, int, str]]:
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every candidate, in order, one for each span."""
     text = text or ""
-    found = [(m.start(), m.end(), "block") for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    found = list(key_blocks(text)) if "-----BEGIN" in text else []
     if "://" in text:
         found += [(*m.span(1), "url") for m in IN_URL.finditer(text)]
     found += [*assigned(text), *runs(text)]
@@ -184,7 +195,8 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
         lambda: assigned(pick(alnum, 3, 6) + pick(string.digits, 1, 2)),
         lambda: assigned(word() + pick(string.digits, 1, 4)), lambda: assigned(word() + pick(string.digits, 1, 2)),
         lambda: (pick(alnum, 8, 20), f"{prose(2)} postgres://{r.choice(plain)}:", f"@{r.choice(plain)}.net", "url"),
-        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + pick(alnum + "+/", 200, 900) + "\n-----END RSA PRIVATE KEY-----",
+        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + r.choice(["", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexa, 32) + "\n\n"])
+                 + pick(alnum + "+/", 200, 900) + "\n-----END RSA PRIVATE KEY-----",
                  prose(2) + "\n", "\n", "block"),
     ]
     false = [
@@ -195,6 +207,8 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
         lambda: assigned(f"get_{r.choice(plain)}_{r.choice(plain)}()"),
         lambda: assigned(r.choice(["none", "null", "true", "false", "yes", "no", "1", "0", "the", "is", "not", "a", "{", "***", "...", "$1", "%s"])),
         lambda: assigned(prose(1)),
+        lambda: ("-----BEGIN PRIVATE KEY-----" + r.choice([" ", "\n", " ... ", "\n...\n"]) + prose(r.randint(0, 60)) + " -----END PRIVATE KEY-----",
+                 prose(2) + " ", " ", "block"),
         lambda: run("-".join(r.choice(plain) for _ in range(3)) + "-" + pick(string.digits, 1, 4)),
         lambda: run("_".join(r.choice(plain) if r.random() < 0.5 else word() for _ in range(3)).upper() + pick(string.digits, 1, 2)),
         lambda: run("".join(w.title() for w in (r.choice(plain) for _ in range(4))) + pick(string.digits, 1, 2)),
