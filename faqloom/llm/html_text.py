@@ -36,7 +36,9 @@ BLOCKS = frozenset(
 #: Elements that make a region of a page.
 REGIONS = frozenset("article main aside nav header footer form dialog section table ul ol menu".split())
 #: Elements whose text a browser does not show, and elements without an end tag.  Fixed by HTML.
-HIDDEN = frozenset("head title script style noscript template iframe object svg math canvas audio video".split())
+HIDDEN = frozenset("head title script style noscript template iframe object svg canvas audio video".split())
+#: Elements that may stand in a head; any other one, and text, ends an open head.  Fixed by HTML.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element that begins ends these open ones, up to the given border.  Fixed by HTML.
 ENDS = {
@@ -95,10 +97,20 @@ class Blocks(HTMLParser):
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] in tags:
                 return self.close_to(at)
-            if self.open[at][0] in stops:
+            if self.open[at][0] in stops or self.open[at][0] in HIDDEN:
+                return None
+
+    def end_head(self, always: bool = False) -> None:
+        """Ends an open head; inside another hidden element only if ``always``."""
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == "head":
+                return self.close_to(at)
+            if self.open[at][0] in HIDDEN and not always:
                 return None
 
     def handle_starttag(self, tag, attrs):
+        if self.top()[2] and tag not in IN_HEAD:
+            self.end_head(tag == "body")
         if tag == "br":
             self.parts.append(" ")
             return
@@ -135,10 +147,12 @@ class Blocks(HTMLParser):
                 else:
                     del self.open[at]
                 return
-            if tag not in BLOCKS and self.open[at][0] in BLOCKS:
+            if tag not in BLOCKS and tag not in HIDDEN and self.open[at][0] in BLOCKS:
                 return
 
     def handle_data(self, data):
+        if self.top()[2] and data.strip():
+            self.end_head()
         _, _, hidden, link, _ = self.top()
         if not hidden:
             self.parts.append(data)

@@ -99,6 +99,19 @@ def test_blocks():
     assert html_text.blocks_of("<article><p>cut off")[0].text == "cut off"
 
 
+@pytest.mark.parametrize("html, texts", [
+    ("<html><head><title>T</title><meta charset=utf-8><body><article><p>a</article>", ["a"]),
+    ("<head><title>T</title><p>a<p>b", ["a", "b"]), ("<head><link rel=x>plain <b>words</b>", ["plain words"]),
+    ("<head><noscript><p>no</p></noscript><template><div>no</template><style>x</style></head><p>a", ["a"]),
+    ("<head><noscript><p>no<body><p>a", ["a"]),
+    *[(f"<body><{t}><p>no</p><article>no</{t}><article><p>a</article>", ["a"]) for t in ("noscript", "template", "object")],
+    ("<p>a<noscript><p>no</noscript>b<p>c", ["a", "b", "c"]), ("<ul><li>a<template><li>no</template>b</ul>", ["a", "b"]),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</article>", ["so x=1 holds"]),
+])
+def test_hidden_elements_end(html, texts):
+    assert [b.text for b in html_text.blocks_of(html)] == texts
+
+
 def test_chain_learns_by_likelihood(chain):
     pages = [html_text.blocks_of(page(f"<article>{ARTICLE}</article><footer>&copy; x</footer>"))]
     assert [chain.decode(b) for b in pages] == [[1, 1, 1, 0]]
