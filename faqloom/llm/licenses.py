@@ -2,7 +2,8 @@
 
 A text's canonical form has A-Z in lower case, no copyright lines, one spelling for words that count as equal, and single
 blanks for everything that is neither a letter nor a digit.  Its SHA-256 is joined with the digests of known licence
-texts.  Entire texts are compared: a document as a whole, and each of its lines, since a notice is often a line of its
+texts.  A line
+is a copyright line if a sign or a year follows the word.  Entire texts are compared: a document as a whole, and each of its lines, since a notice is often a line of its
 own.  The known digests are broadcast if their rows and bytes were found to be small, else joined by a shuffle.
 
 Defined cases: a null text, and one without letters and digits, has the digest of the empty form and no licence; a line
@@ -25,7 +26,12 @@ EQUAL = (
     ("favour", "favor"), ("behaviour", "behavior"), ("per cent", "percent"), ("copyright holder", "copyright owner"),
     ("copyright holders", "copyright owners"), ("whilst", "while"), ("fulfil", "fulfill"),
 )
-COPYRIGHT = r"(?m)^[\t\f\r ]*(copyright|\(c\)|©)[^\n]*$"
+#: A copyright notice: a sign, a year or the place for one follows the word, as it follows a bare (c).
+COPYRIGHT = (
+    r"(?m)^[\t\f\r ]*(copyright[\t ]*(\(c\)|©|&copy;|[\[<{(]?([0-9]{4}|year|yyyy)\b)|\(c\)[\t ]*(copyright[\t ]*)?[0-9]{4}\b|©)[^\n]*$"
+)
+#: The rule of the checking SQL.
+SQL_COPYRIGHT = r"(?m)^[\t\f\r ]*(copyright|\(c\)|©)[^\n]*$"
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©–—‘’“”]+"
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -79,7 +85,8 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "name string, text string")
+    # without line ends: how these texts are wrapped here says nothing
+    return spark.createDataFrame([(name, " ".join(text.split())) for name, text in KNOWN], "name string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    out = f"' ' || regexp_replace(regexp_replace({low}, '{COPYRIGHT}', ' ', 'g'), '{SIGNS}', ' ', 'g') || ' '"
+    out = f"' ' || regexp_replace(regexp_replace({low}, '{SQL_COPYRIGHT}', ' ', 'g'), '{SIGNS}', ' ', 'g') || ' '"
     for other, word in EQUAL:
         out = f"replace({out}, ' {other} ', ' {word} ')"
     return f"trim({out})"

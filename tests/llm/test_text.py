@@ -249,3 +249,23 @@ def test_licenses(spark):
     out = licenses.scan(docs, licenses.known_texts(spark))
     assert out.count() == 10 and licenses.scan(cases.none(spark), licenses.known_texts(spark)).count() == 0
     assert licenses.scan(cases.docs(spark), licenses.known_texts(spark)).count() == len(cases.rows())
+
+
+def test_wrapping_of_a_license_does_not_count(spark):
+    import textwrap
+
+    notice = "Copyright (c) 2020 Some One\n\n"
+    texts = [notice + " ".join(t.split()) for t in (licenses.MIT, licenses.ISC)]
+    for width in (60, 70, 72, 76, 78, 79, 80, 100):
+        texts += [notice + textwrap.fill(" ".join(t.split()), width) for t in (licenses.MIT, licenses.ISC)]
+    words = licenses.MIT.split()
+    at = words.index("COPYRIGHT")
+    texts += [" ".join(words[:at]) + "\n" + " ".join(words[at:]), "© 2021 A\n" + licenses.MIT, "Copyright 2019-2021, A\n" + licenses.MIT]
+    texts += [" ".join(words[:at]) + "\n" + "Copyright holders are not liable."]
+    texts += ["a\nCopyright law is old.", "a\nCopyright law is new.", "a\n(c) one more point", "a\n(c) 1999 Someone", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.license, r.digest) for r in licenses.scan(docs, licenses.known_texts(spark)).collect()}
+    n = len(texts)
+    assert [got[i][0] for i in range(n - 9)] == ["MIT", "ISC"] * 9 and [got[i][0] for i in range(n - 9, n - 6)] == ["MIT"] * 3
+    assert [got[i][0] for i in range(n - 6, n)] == [None] * 6
+    assert len({got[i][1] for i in range(n - 5, n - 1)} | {got[n - 1][1]}) == 4 and got[n - 2][1] == got[n - 1][1]
