@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faqloom.llm.common import ascii_lower, is_small
+from faqloom.llm.license_digests import DIGESTS
 from faqloom.session import materialize
 
 #: Spellings that count as equal.  Fixed values, in the form they have after signs became blanks.
@@ -63,6 +64,66 @@ KNOWN = (
     ("reserved", "All rights reserved."),
 )
 
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of
+our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+#: Identifiers of the SPDX list whose notices are known, and the long names that notices use.
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0-Perl Artistic-2.0 BSD-2-Clause "
+    "BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 "
+    "CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only "
+    "GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 "
+    "LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA ODbL-1.0 OFL-1.1 OpenSSL PostgreSQL Python-2.0 "
+    "Unlicense Vim WTFPL Zlib"
+).split()
+LONG = (
+    ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License v2.0"), ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License v3.0"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("MIT", "MIT License"), ("GPL-2.0", "GPLv2"), ("GPL-3.0", "GPLv3"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"), ("Unlicense", "The Unlicense"),
+)
+OPENINGS = tuple(
+    a + b for a in ("", "This work is ", "This project is ", "This software is ", "This program is ", "This file is ", "This code is ")
+    for b in ("licensed under ", "licensed under the ", "released under ", "released under the ", "distributed under the ")
+) + ("License: ", "SPDX-License-Identifier: ")
+#: What is known besides; whole texts, and notices in the plain wordings.
+MORE = (
+    *((n, title + text + "\n" + BSD_END) for n, text, titles in (
+        ("BSD-2-Clause", BSD_2, ("", "BSD 2-Clause License\n", "The 2-Clause BSD License\n")),
+        ("BSD-3-Clause", BSD_3, ("", "BSD 3-Clause License\n", "The 3-Clause BSD License\n"))) for title in titles),
+    *(("Unlicense", t) for t in (UNLICENSE, UNLICENSE.replace("https", "http"))),
+    *((n, o + name + end) for n, name in (*((s, s) for s in SPDX), *LONG) for o in OPENINGS for end in ("", " license")),
+)
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
@@ -79,14 +140,16 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(known: DataFrame) -> DataFrame:
-    """(name, text) -> digest, name."""
-    forms = known.select("name", canonical(F.col("text")).alias("form")).filter("form <> ''")
-    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("name").alias("name"))
+    """(name, text), and where there is no text a canonical digest if known has such a column -> digest, name."""
+    given = F.col("digest") if "digest" in known.columns else F.lit(None).cast("string")
+    forms = known.select("name", given.alias("given"), canonical(F.col("text")).alias("form")).filter("given IS NOT NULL OR form <> ''")
+    return forms.groupBy(F.coalesce("given", F.sha2("form", 256)).alias("digest")).agg(F.min("name").alias("name"))
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
     # without line ends: how these texts are wrapped here says nothing
-    return spark.createDataFrame([(name, " ".join(text.split())) for name, text in KNOWN], "name string, text string")
+    rows = [(name, " ".join(text.split()), None) for name, text in (*KNOWN, *MORE)] + [(name, None, digest) for name, digest in DIGESTS]
+    return spark.createDataFrame(rows, "name string, text string, digest string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -269,3 +269,23 @@ def test_wrapping_of_a_license_does_not_count(spark):
     assert [got[i][0] for i in range(n - 9)] == ["MIT", "ISC"] * 9 and [got[i][0] for i in range(n - 9, n - 6)] == ["MIT"] * 3
     assert [got[i][0] for i in range(n - 6, n)] == [None] * 6
     assert len({got[i][1] for i in range(n - 5, n - 1)} | {got[n - 1][1]}) == 4 and got[n - 2][1] == got[n - 1][1]
+
+
+def test_common_licenses_and_notices_are_known(spark):
+    from pathlib import Path
+
+    texts = {
+        "BSD-2-Clause": licenses.BSD_2.replace("2. ", "2.  ") + "\n\n" + licenses.BSD_END, "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2020, A\n\n"
+        + licenses.BSD_3 + "\n\n" + licenses.BSD_END, "Unlicense": licenses.UNLICENSE,
+    }
+    there = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, file in there.items():
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            texts[name] = path.read_text()
+    lines = {"Licensed under the GPL-3.0": "GPL-3.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+             "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "This program is released under the MIT License": "MIT"}
+    docs = spark.createDataFrame([(n, t) for n, t in texts.items()] + [(t, "x\n" + t) for t in lines], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs, licenses.known_texts(spark)).collect()}
+    assert {n: got[n].license for n in texts} == {n: n for n in texts}
+    assert {t: got[t].notices for t in lines} == lines
