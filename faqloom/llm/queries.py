@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faqloom.llm import decontaminate, html_text, licenses, mixing, secrets_scan, simhash, token_counts, topk, toxicity, warc
+from faqloom.llm import byte_pairs, decontaminate, html_text, licenses, mixing, secrets_scan, simhash, token_counts, topk, toxicity, warc
 from faqloom.session import scratch_path
 from faqloom.sources.tables import table
 
@@ -86,3 +86,9 @@ def archives(spark, root):
 @query("op9_top_inner_products", topk.ORACLE)
 def top_inner_products(spark, root):
     return topk.top_k(table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+@query("op11_byte_pairs")
+def byte_pair_ids(spark, root):
+    ranks = byte_pairs.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_pairs.digests(table(spark, root, "documents"), ranks, public_tokenizers.PATTERN)
