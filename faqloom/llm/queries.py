@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faqloom.llm import byte_pairs, decontaminate, html_text, licenses, mixing, secrets_scan, simhash, token_counts, topk, toxicity, warc
+from faqloom.llm import byte_pairs, decontaminate, html_text, licenses, mixing, phrases, secrets_scan, simhash, token_counts, topk, toxicity, warc
 from faqloom.session import scratch_path
 from faqloom.sources.tables import table
 
@@ -92,3 +92,8 @@ def top_inner_products(spark, root):
 def byte_pair_ids(spark, root):
     ranks = byte_pairs.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return byte_pairs.digests(table(spark, root, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op12_phrases", phrases.ORACLE)
+def collocations(spark, root):
+    return phrases.collocations(table(spark, root, "documents"), support=100, longest=5, top=2000, covered=100)
