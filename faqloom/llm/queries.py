@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faqloom.llm import byte_pairs, decontaminate, html_text, licenses, mixing, phrases, secrets_scan, simhash, token_counts, topk, toxicity, warc
+from faqloom.llm import (
+    byte_pairs, decontaminate, html_text, lexical, licenses, mixing, phrases, secrets_scan, simhash, token_counts, topk,
+    toxicity, warc,
+)
 from faqloom.session import scratch_path
 from faqloom.sources.tables import table
 
@@ -97,3 +100,8 @@ def byte_pair_ids(spark, root):
 @query("op12_phrases", phrases.ORACLE)
 def collocations(spark, root):
     return phrases.collocations(table(spark, root, "documents"), support=100, longest=5, top=2000, covered=100)
+
+
+@query("op13_lexical_search", lexical.ORACLE)
+def lexical_search(spark, root):
+    return lexical.rank_documents(table(spark, root, "documents"), table(spark, root, "benchmark"), k=10)
