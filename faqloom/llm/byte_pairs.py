@@ -23,6 +23,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ OVERLAP = 1 << 8
 #: A match this far ahead of a chunk's end cannot turn out otherwise in a longer text: contractions have three characters.
 MARGIN = 3
 #: Merged pre-tokens a task remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 16
 #: Ids and bytes of texts a task hands on at once.
 BATCH_CHARS = 1 << 21
 LONG_PIECE = 64
@@ -134,24 +135,39 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Pre-token -> ids; merges what it has not seen."""
+    """Pre-token -> its ids as 32-bit numbers in bytes.  What was not seen lately is merged anew: the memory is two
+    generations of ``REMEMBERED`` pre-tokens, of which the older goes when the younger is full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, splitter(pattern)
+        self.ranks, self.split, self.older = ranks, splitter(pattern), {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge(piece.encode(), self.ranks)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= LONG_PIECE:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def of(self, pieces: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)
+
     def ids(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        for piece in self.split.findall(text):
-            out += self[piece]
-        return np.array(out, np.int32)
+        return self.of(self.split.findall(text))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(sent, pattern: str) -> Encoder:
+    """The encoder of a worker process: the tasks it runs one after the other share what it remembers."""
+    held = _ENCODERS.get(pattern)
+    if held is None or held.ranks is not sent.value and held.ranks != sent.value:
+        held = _ENCODERS[pattern] = Encoder(sent.value, pattern)
+    return held
 
 
 def list_array(parts: list[np.ndarray]) -> pa.ListArray:
@@ -247,7 +263,7 @@ class Stream:
         sure = max(sure, 0)
         self.rest = self.rest[int(ends[sure]) :]
         self.tried = 0 if sure else len(self.rest)
-        return np.array([i for p in pieces[:sure] for i in self.encoder[p]], np.int32)
+        return self.encoder.of(pieces[:sure])
 
 
 def encode_chunked(texts: DataFrame, ranks: dict[bytes, int], pattern: str, size: int, overlap: int) -> DataFrame:
@@ -263,7 +279,7 @@ def encode_chunked(texts: DataFrame, ranks: dict[bytes, int], pattern: str, size
     sent = spark.sparkContext.broadcast(ranks)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value, pattern)
+        encoder = encoder_of(sent, pattern)
         for batch in bounded(batches, "text"):
             out = []
             for text, first, start, stop in zip(*(batch.column(c).to_pylist() for c in ("text", "first", "start", "stop"))):
@@ -272,7 +288,7 @@ def encode_chunked(texts: DataFrame, ranks: dict[bytes, int], pattern: str, size
                 [batch.column("text_key"), batch.column("chunk"), list_array(out)], ["text_key", "part", "ids"])
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stream, key = Encoder(sent.value, pattern), None, None
+        encoder, stream, key = encoder_of(sent, pattern), None, None
         for batch in bounded(batches, "text"):
             out = []
             names = ("text_key", "text", "first", "start", "last", "chunk", "streamed")
@@ -296,7 +312,7 @@ def encode_whole(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value, pattern)
+        encoder = encoder_of(sent, pattern)
         for batch in bounded(batches, "text"):
             ids = [encoder.ids(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(ids)], ["doc_id", "ids"])
