@@ -7,17 +7,20 @@ labelled pages and decoded by Viterbi; the article's blocks are joined by line e
 
 Labelled pages are a bounded sample of the given pages whose own markup says what is article (``article`` and ``main``
 without what is set aside in them), and the same blocks set into other common layouts, whose labels are known by
-construction, so that the chain does not hang on one kind of markup.
+construction, so that the chain does not hang on one kind of markup.  Where few given pages have such markup, or none,
+made-up articles in these layouts take their place.  Long pages are learned from whole, in runs of blocks.
 
 Defined cases: null and empty pages, and pages without text, give an empty text; unclosed elements end where an
 enclosing or following one makes them; text outside any element is a block; null and repeated ids and urls stay rows of
-their own; without pages to learn from every block is text; an empty table gives an empty result; other columns are
+their own; without pages to learn from the chain knows the made-up layouts; an empty table gives an empty result; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -53,12 +56,42 @@ KEYWORDS = frozenset(
     "comentario impressum".split()
 )
 TOKEN = re.compile(r"[a-z]+")
-ROWS = 150
-#: Pages of more characters or blocks are left out of the sample that is learned from.
-MOST_CHARS, MOST_BLOCKS = 100_000, 60
+#: The sample that is learned from: pages; how often as many more are looked at when some have no labels; characters of a
+#: page; blocks of all pages together.  Below ``MADE`` pages, made-up ones fill up.
+ROWS, LOOKS, MOST_CHARS, MOST_LEARNED, MADE = 150, 4, 500_000, 20_000, 24
+#: A page is learned from in runs of at most so many blocks, all of them.
+RUN = 60
 STEPS, RIDGE = 250, 1e-4
 
 
+#: What the markup of a page sets apart from its article.  Fixed values.
+ASIDE = frozenset(f"in:{t}" for t in "nav header footer aside form dialog menu button".split()) | frozenset(
+    f"{k}:{t}" for k in ("class", "id") for t in (
+        "ad ads advert advertisement banner breadcrumb comment comments cookie disqus footer header menu nav navbar "
+        "newsletter notice popup promo related share sidebar social sponsored subscribe toolbar widget").split()
+)
+#: What markup says is the article.
+ARTICLE = frozenset(("in:article", "in:main"))
+
+
+class Around:
+    """What the open elements say: the features that an element adds to those of the ones it is in."""
+
+    __slots__ = ("outer", "added", "in_article", "aside", "score", "scored_by")
+
+    def __init__(self, outer: Around | None, added: frozenset):
+        self.outer, self.added, self.scored_by = outer, added, None
+        self.in_article = bool(added & ARTICLE) or outer is not None and outer.in_article
+        self.aside = bool(added & ASIDE) or outer is not None and outer.aside
+
+    def features(self) -> list[str]:
+        out, at = [], self
+        while at is not None:
+            out += at.added
+            at = at.outer
+        return sorted(out)
+
+
 class Block:
     __slots__ = ("around", "tag", "region", "text", "linked", "label")
 
@@ -66,12 +99,25 @@ class Block:
         self.around, self.tag, self.region, self.text, self.linked, self.label = around, tag, region, text, linked, label
 
 
+class Open:
+    """An open element.  ``block`` and ``region`` are the nearest elements of the kind, ``block_at`` and ``hidden_at`` the
+    places of the nearest block and hidden element, -1 without one; ``ended`` once its end tag came under elements that stay
+    open."""
+
+    __slots__ = ("tag", "around", "hidden_at", "link", "label", "block", "block_at", "region", "ended")
+
+
 class Blocks(HTMLParser):
-    """The leaf blocks of a page, in order.  ``data-y`` marks the label of made-up training pages."""
+    """The leaf blocks of a page, in order, in time linear in the page however deep its elements lie: every open element
+    knows its nearest kinds, and the places of a tag's open elements are kept by tag.  ``data-y`` marks the label of made-up
+    training pages."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple] = []  # tag, features around, hidden, inside a link, label
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.held: set[str] = set()  # the features of all open elements
+        self.outside = Around(None, frozenset())
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -80,36 +126,46 @@ class Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, around, _, _, label = self.top()
-                tag = next((t for t, *_ in reversed(self.open) if t in BLOCKS), "")
-                region = next((t for t, *_ in reversed(self.open) if t in REGIONS), "")
-                self.blocks.append(Block(around, tag, region, text, self.linked, label))
+                top = self.open[-1] if self.open else None
+                if top is None:
+                    self.blocks.append(Block(self.outside, "", "", text, self.linked, None))
+                else:
+                    self.blocks.append(Block(top.around, top.block, top.region, text, self.linked, top.label))
             self.parts, self.linked = [], 0
 
-    def top(self) -> tuple:
-        return self.open[-1] if self.open else ("", frozenset(), False, False, None)
+    def hidden(self) -> bool:
+        return bool(self.open) and self.open[-1].hidden_at >= 0
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of some tags, -1 without one."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
+    def pop(self) -> None:
+        gone = self.open.pop()
+        if not gone.ended:
+            self.places[gone.tag].pop()
+        self.held -= gone.around.added if not self.open or gone.around is not self.open[-1].around else frozenset()
 
     def close_to(self, at: int) -> None:
         self.border()
-        del self.open[at:]
+        while len(self.open) > at:
+            self.pop()
+        while self.open and self.open[-1].ended:
+            self.pop()
 
     def close_implied(self, tags, stops) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in tags:
-                return self.close_to(at)
-            if self.open[at][0] in stops or self.open[at][0] in HIDDEN:
-                return None
+        at = self.last(tags)
+        if at >= 0 and at > self.last(stops) and at >= self.open[-1].hidden_at:
+            self.close_to(at)
 
     def end_head(self, always: bool = False) -> None:
         """Ends an open head; inside another hidden element only if ``always``."""
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == "head":
-                return self.close_to(at)
-            if self.open[at][0] in HIDDEN and not always:
-                return None
+        at = self.last(("head",))
+        if at >= 0 and (always or at == self.open[-1].hidden_at):
+            self.close_to(at)
 
     def handle_starttag(self, tag, attrs):
-        if self.top()[2] and tag not in IN_HEAD:
+        if self.hidden() and tag not in IN_HEAD:
             self.end_head(tag == "body")
         if tag == "br":
             self.parts.append(" ")
@@ -117,46 +173,55 @@ class Blocks(HTMLParser):
         if tag in BLOCKS:
             self.border()
             if tag in KEEPS_P:
-                self.close_implied({"p"}, {"table", "button", "td", "th"})
+                self.close_implied(("p",), ("table", "button", "td", "th"))
             if tag in ENDS:
                 self.close_implied(*ENDS[tag])
         if tag in VOID:
             return
-        _, around, hidden, link, label = self.top()
+        top, new, at = self.open[-1] if self.open else None, Open(), len(self.open)
+        new.label = top.label if top else None
         found = {f"in:{tag}"} if tag in BLOCKS else set()
         for name, value in attrs:
             if name in ("class", "id", "role", "aria-label") and value:
                 found.update(f"{'id' if name == 'id' else 'class'}:{t}" for t in TOKEN.findall(value.lower()))
             elif name == "data-y":
-                label = int(value)
-        around = around if found <= around else around | found
-        self.open.append((tag, around, hidden or tag in HIDDEN, link or tag == "a", label))
+                new.label = int(value)
+        found -= self.held
+        outer = top.around if top else self.outside
+        new.tag, new.around, new.ended = tag, Around(outer, frozenset(found)) if found else outer, False
+        self.held |= found
+        new.hidden_at = at if tag in HIDDEN else top.hidden_at if top else -1
+        new.link = tag == "a" or top is not None and top.link
+        new.block, new.block_at = (tag, at) if tag in BLOCKS else (top.block, top.block_at) if top else ("", -1)
+        new.region = tag if tag in REGIONS else top.region if top else ""
+        self.open.append(new)
+        self.places[tag].append(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1][0] == tag:
+        if tag not in VOID and self.open and self.open[-1].tag == tag:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.border()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                if tag in BLOCKS or tag in HIDDEN:
-                    self.close_to(at)
-                else:
-                    del self.open[at]
-                return
-            if tag not in BLOCKS and tag not in HIDDEN and self.open[at][0] in BLOCKS:
-                return
+        at = self.last((tag,))
+        if at < 0:
+            return
+        if tag in BLOCKS or tag in HIDDEN:
+            self.close_to(at)
+        elif at > self.open[-1].block_at:
+            self.places[tag].pop()
+            self.open[at].ended = True
+            while self.open and self.open[-1].ended:
+                self.pop()
 
     def handle_data(self, data):
-        if self.top()[2] and data.strip():
+        if self.hidden() and data.strip():
             self.end_head()
-        _, _, hidden, link, _ = self.top()
-        if not hidden:
+        if not self.hidden():
             self.parts.append(data)
-            if link:
+            if self.open and self.open[-1].link:
                 self.linked += len(data)
 
 
@@ -194,18 +259,11 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
     return out
 
 
-#: What the markup of a page sets apart from its article.  Fixed values.
-ASIDE = frozenset(f"in:{t}" for t in "nav header footer aside form dialog menu button".split()) | frozenset(
-    f"{k}:{t}" for k in ("class", "id") for t in (
-        "ad ads advert advertisement banner breadcrumb comment comments cookie disqus footer header menu nav navbar "
-        "newsletter notice popup promo related share sidebar social sponsored subscribe toolbar widget").split()
-)
-
-
 def marked(blocks: list[Block]) -> list[int] | None:
     """Labels by the page's own markup; None if it has no article."""
-    inside = [bool(b.around & {"in:article", "in:main"}) for b in blocks]
-    return [int(x and not b.around & ASIDE) for x, b in zip(inside, blocks)] if any(inside) else None
+    if not any(b.around.in_article for b in blocks):
+        return None
+    return [int(b.around.in_article and not b.around.aside) for b in blocks]
 
 
 def layouts(article: list[Block], rest: list[str], few: int) -> list[str]:
@@ -238,19 +296,51 @@ def layouts(article: list[Block], rest: list[str], few: int) -> list[str]:
     ]
 
 
+MENU = (
+    "Home", "News", "About us", "Contact", "Sign in", "Most read", "Subscribe to our newsletter", "All rights reserved",
+    "Terms and privacy", "Next page", "Share this", "Search",
+)
+
+
+def made_blocks(seed: int) -> list[Block]:
+    """The blocks of an article of no meaning: headings, paragraphs and a list."""
+    r = random.Random(seed)
+    words = "a in of and to for house river they were long after evening small first number country begin water leave".split()
+
+    def prose(n: int) -> str:
+        return " ".join(r.choice(words) for _ in range(n)).capitalize()
+
+    parts = [f"<h1>{prose(r.randint(2, 8))}</h1>"]
+    for _ in range(r.randint(1, 14)):
+        kind = r.random()
+        if kind < 0.7:
+            parts.append("<p>" + " ".join(prose(r.randint(3, 25)) + "." for _ in range(r.randint(1, 6))) + "</p>")
+        elif kind < 0.85:
+            parts.append(f"<h2>{prose(r.randint(1, 6))}</h2>")
+        else:
+            parts.append("<ul>" + "".join(f"<li>{prose(r.randint(2, 12))}.</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+    return blocks_of("".join(parts))
+
+
+def laid_out(article: list[Block], rest: list[str], i: int) -> tuple[list[Block], list[int]]:
+    """The i-th layout of an article's blocks and the others, with its labels."""
+    kinds = layouts(article, rest, 1 + i // 6 % 3)
+    made = blocks_of("<body>" + kinds[i % len(kinds)] + "</body>")
+    return made, [int(b.label or 0) for b in made]
+
+
 def training_pages(pages: list[str]) -> list[tuple[list[Block], list[int]]]:
-    out = []
-    for i, html in enumerate(pages):
+    """Pages with labels, each also in another layout; made-up ones where they are few."""
+    out, size, used = [], 0, 0
+    for html in pages:
         blocks = blocks_of(html)
         labels = marked(blocks)
-        if not labels or not any(labels) or len(blocks) > MOST_BLOCKS:
+        if not labels or not any(labels) or len(blocks) > MOST_LEARNED // 4 or size > MOST_LEARNED:
             continue
-        out.append((blocks, labels))
         article = [b for b, y in zip(blocks, labels) if y]
-        kinds = layouts(article, [b.text for b, y in zip(blocks, labels) if not y], 1 + i // 6 % 3)
-        made = blocks_of("<body>" + kinds[i % len(kinds)] + "</body>")
-        out.append((made, [int(b.label or 0) for b in made]))
-    return out
+        out += [(blocks, labels), laid_out(article, [b.text for b, y in zip(blocks, labels) if not y], used)]
+        size, used = size + len(out[-1][0]) + len(blocks), used + 1
+    return out + [laid_out(made_blocks(i), list(MENU[i % 5 :]), i) for i in range(used, MADE)]
 
 
 class Chain:
@@ -258,18 +348,22 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
-        self.seen: dict[frozenset, float] = {}
+
+    def around(self, at: Around) -> float:
+        """The weights of all that is around, remembered by element."""
+        new = []
+        while at is not None and at.scored_by is not self:
+            new.append(at)
+            at = at.outer
+        total = at.score if at is not None else 0.0
+        for a in reversed(new):
+            total += sum([self.weights.get(f, 0.0) for f in sorted(a.added)])
+            a.score, a.scored_by = total, self
+        return total
 
     def scores(self, blocks: list[Block]) -> list[float]:
-        get, seen, out = self.weights.get, self.seen, []
-        for b, own in zip(blocks, features_of(blocks)):
-            around = seen.get(b.around)
-            if around is None:
-                if len(seen) > 100_000:
-                    seen.clear()
-                around = seen[b.around] = sum(get(f, 0.0) for f in sorted(b.around))
-            out.append(around + sum([get(f, 0.0) for f in own]))
-        return out
+        get = self.weights.get
+        return [self.around(b.around) + sum([get(f, 0.0) for f in own]) for b, own in zip(blocks, features_of(blocks))]
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The likeliest labels: Viterbi."""
@@ -289,17 +383,21 @@ class Chain:
         return labels[::-1]
 
 
-def fit_chain(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, ridge: float = RIDGE) -> Chain | None:
-    """Maximum likelihood by forward-backward over all pages at once; None without pages."""
-    if not pages:
-        return None
+def fit_chain(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, ridge: float = RIDGE) -> Chain:
+    """Maximum likelihood by forward-backward over the runs of all pages at once."""
+    runs = []
+    for blocks, labels in pages:
+        own = features_of(blocks)
+        for at in range(0, len(blocks), RUN):
+            part = slice(at, at + RUN)
+            runs.append((blocks[part], own[part], labels[part]))
     index: dict[str, int] = {}
-    rows, cols, n, width = [], [], len(pages), max(len(b) for b, _ in pages)
+    rows, cols, n, width = [], [], len(runs), max(len(b) for b, _, _ in runs)
     gold, there = np.zeros((n, width)), np.zeros((n, width), bool)
-    for i, (blocks, labels) in enumerate(pages):
+    for i, (blocks, owns, labels) in enumerate(runs):
         gold[i, : len(labels)], there[i, : len(labels)] = labels, True
-        for j, (b, own) in enumerate(zip(blocks, features_of(blocks))):
-            found = [index.setdefault(f, len(index)) for f in (*sorted(b.around), *own)]
+        for j, (b, own) in enumerate(zip(blocks, owns)):
+            found = [index.setdefault(f, len(index)) for f in (*b.around.features(), *own)]
             rows += [i * width + j] * len(found)
             cols += found
     rows, cols, k = np.array(rows), np.array(cols), len(index)
@@ -329,31 +427,44 @@ def fit_chain(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, ri
     return Chain({f: float(w[i]) for f, i in index.items()}, w[k:].reshape(2, 2).tolist())
 
 
-def fit(pages: DataFrame, rows: int = ROWS, html: str = "html") -> Chain | None:
-    """The chain learned from at most ``rows`` pages, those of the smallest digests."""
-    sample = pages.filter(F.length(html) <= MOST_CHARS).select(html, F.md5(html).alias("digest"))
-    # the digests go through the order, not the pages
-    first = [r[0] for r in sample.select("digest").distinct().orderBy("digest").limit(rows).collect()]
-    if not first:
-        return None
-    chosen = sample.filter(F.col("digest") <= first[-1]).dropDuplicates(["digest"]).orderBy("digest").collect()
-    return fit_chain(training_pages([r[0] for r in chosen]))
-
-
-def main_text(html: str | None, chain: Chain | None) -> str:
+def fit(pages: DataFrame, rows: int = ROWS, html: str = "html") -> Chain:
+    """The chain learned from at most ``rows`` pages with labels, those of the smallest digests.
+
+    A page can have labels only if it holds an ``article`` or a ``main``.  Pages that hold one and yet set all of it aside
+    make room for the next ones, up to ``LOOKS`` times.
+    """
+    sample = pages.filter((F.length(html) <= MOST_CHARS) & F.col(html).rlike(r"(?i)<(article|main)[\s>/]"))
+    sample = sample.select(F.col(html).alias("html"), F.md5(html).alias("digest"))
+    chosen, after = [], ""
+    for _ in range(LOOKS):
+        # the digests go through the order, not the pages
+        next_ = sample.select("digest").filter(F.col("digest") > after).distinct().orderBy("digest").limit(rows)
+        digests = [r[0] for r in next_.collect()]
+        if not digests:
+            break
+        between = F.col("digest").between(digests[0], digests[-1])
+        found = [r[0] for r in sample.filter(between).dropDuplicates(["digest"]).orderBy("digest").collect()]
+        found = [h for h in found if any(marked(blocks_of(h)) or ())]
+        chosen += found[: rows - len(chosen)]
+        after = digests[-1]
+        if len(chosen) >= rows or len(digests) < rows:
+            break
+    return fit_chain(training_pages(chosen))
+
+
+def main_text(html: str | None, chain: Chain) -> str:
     blocks = blocks_of(html)
-    labels = chain.decode(blocks) if chain else [1] * len(blocks)
-    return "\n".join(b.text for b, y in zip(blocks, labels) if y)
+    return "\n".join(b.text for b, y in zip(blocks, chain.decode(blocks)) if y)
 
 
 def extract(pages: DataFrame, rows: int = ROWS) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     chain = fit(pages, rows)
-    sent = pages.sparkSession.sparkContext.broadcast(chain and (chain.weights, chain.moves))
+    sent = pages.sparkSession.sparkContext.broadcast((chain.weights, chain.moves))
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = sent.value and Chain(*sent.value)
+        own = Chain(*sent.value)
         for batch in batches:
             yield pa.array([main_text(x, own) for x in batch.to_pylist()], pa.string())
 
