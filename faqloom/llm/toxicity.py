@@ -1,12 +1,13 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A text's features are the words it holds, their beginnings and their ends: presence only, so a text's length does not
-count.  Features are chosen and weighted on a bounded sample of labelled texts.  For each sampled sentence a
-counterfactual is made by swapping the identity terms in it for others of the same group; a sentence that mentions no
-one gets a mention at its end, before it is swapped.  Training minimises the class-balanced log loss, a ridge penalty, and
-``swap_penalty`` times the squared change of the score between a text and its counterfactual, so that a group's name
-weighs as much as any other's and a neutral mention does not raise a score.  The label, language, source and id of a
-document are no features.
+count.  Features are chosen and weighted on a bounded sample of labelled texts; those of the identity terms are always
+among them, whatever their evidence.  For each sentence of the sampled texts a counterfactual is made by swapping the
+identity terms in it for others of the same group; a sentence that mentions no one gets a mention at its end, before it is
+swapped.  Training minimises the class-balanced log loss, a ridge penalty, and ``swap_penalty`` times the mean squared
+change of the score between a sentence and its counterfactual, so that a group's name weighs as much as any other's and a
+neutral mention does not raise a score.  Sentences that change alike are counted together.  The label, language, source and
+id of a document are no features.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; null labels and ids are not
 learned from; an id with several labels counts as toxic if one says so; texts that repeat in the sample count once, as
@@ -39,6 +40,7 @@ IDENTITY_TERMS = (
     ("german", "french", "spanish", "turkish", "polish", "deutsch", "français", "alemán", "francés", "español"),
 )
 WORDS = re.compile(r"\w+")
+SENTENCE_END = re.compile(r"[.!?\n\u3002]+")
 #: Labelled texts of each class in the sample, the features kept, and how many sampled texts a feature must be in.
 FIT_ROWS, FEATURES, LEAST = 6_000, 8_000, 3
 #: A feature is chosen if its share among toxic texts exceeds that among others by so many standard errors.
@@ -118,45 +120,85 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("feature").agg(*side)
 
 
-def _sparse(sample: DataFrame, index: dict[str, int], terms) -> tuple:
-    """Labels, and as (text, feature) number pairs: the features of the sampled texts, those that only the text with a
-    mention has, and those that only its swapped counterpart has.  It comes as Arrow columns: a few bytes per pair."""
+def _sparse(sample: DataFrame, index: dict[str, int]) -> tuple:
+    """Labels, and the features of the sampled texts as (text, feature) number pairs.  It comes as Arrow columns: a few bytes
+    per pair."""
     sent = sample.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            cells = []
+            cells = [sorted({known[f] for f in features_of(words_in(text)) if f in known}) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(cells, pa.list_(pa.int32()))], ["y", "x"])
+
+    table = sample.select("text", "y").mapInArrow(run, "y int, x array<int>").toArrow()
+    return table.column("y").to_numpy(), _pairs(table.column("x").combine_chunks())
+
+
+def changes_of(text: str, index: dict[str, int], terms, cached: dict[str, tuple[str, ...]]) -> Iterator[tuple[tuple, tuple]]:
+    """Per sentence: the known features that only it has, and those that only its counterfactual has."""
+
+    def known(words: set[str]) -> set[int]:
+        out: set[int] = set()
+        for w in words:
+            if w not in cached:
+                if len(cached) >= CACHE:
+                    cached.clear()
+                cached[w] = tuple(index[f] for f in word_features(w) if f in index)
+            out.update(cached[w])
+        return out
+
+    for sentence in SENTENCE_END.split(text):
+        if words := words_in(sentence):
+            own, other = map(known, swapped(words, terms))
+            yield tuple(sorted(own - other)), tuple(sorted(other - own))
+
+
+def _swaps(sample: DataFrame, index: dict[str, int], terms) -> tuple:
+    """What swaps change in the sampled sentences: their numbers, and as (kind, feature) pairs what goes and what comes."""
+    sent = sample.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        cached: dict[str, tuple[str, ...]] = {}
+        for batch in batches:
             for text in batch.column("text").to_pylist():
-                words = words_in(text)
-                x, a, b = ({known[f] for f in features_of(w) if f in known} for w in (words, *swapped(words, terms)))
-                cells.append((sorted(x), sorted(a - b), sorted(b - a)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), *[pa.array([c[i] for c in cells], pa.list_(pa.int32())) for i in range(3)]],
-                ["y", "x", "a", "b"])
+                counts.update(changes_of(text, sent.value, terms, cached))
+        kinds = list(counts)
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array([k[i] for k in kinds], pa.list_(pa.int32())) for i in (0, 1)], pa.array(list(counts.values()), pa.int64())],
+            ["a", "b", "n"])
 
-    table = sample.select("text", "y").mapInArrow(run, "y int, x array<int>, a array<int>, b array<int>").toArrow()
-    return table.column("y").to_numpy(), *(_pairs(table.column(c).combine_chunks()) for c in ("x", "a", "b"))
+    rows = sample.select("text").mapInArrow(run, "a array<int>, b array<int>, n bigint")
+    table = rows.groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy("a", "b").toArrow()
+    return table.column("n").to_numpy(), *(_pairs(table.column(c).combine_chunks()) for c in ("a", "b"))
 
 
 def _pairs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
 
 
-def fit_weights(y, x, a, b, width: int, ridge=RIDGE, swap_penalty=SWAP_PENALTY, steps=STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias for presence features: Adam on the whole sample.  ``x``: (text, feature) pairs; ``a`` and ``b``:
-    the pairs in which a text and its counterpart differ."""
+def swap_gap(w: np.ndarray, often, a, b) -> float:
+    """The mean squared change of the score when a sentence's identity terms are swapped."""
+    change = np.bincount(a[0], w[a[1]], len(often)) - np.bincount(b[0], w[b[1]], len(often))
+    return float(np.sum(often * change**2) / max(1, np.sum(often)))
+
+
+def fit_weights(y, x, often, a, b, width: int, ridge=RIDGE, swap_penalty=SWAP_PENALTY, steps=STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias for presence features: Adam on the whole sample.  ``x``: (text, feature) pairs; ``often``, ``a`` and
+    ``b``: kinds of swaps with what goes and what comes."""
     y = np.asarray(y, float)
-    n = len(y)
+    n, kinds = len(y), len(often)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
+    share = np.asarray(often, float) / max(1, np.sum(often))
     (xr, xc), (ar, ac), (br, bc) = x, a, b
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(xr, w[xc], n) + w[-1], -60, 60)))
-        change = np.bincount(ar, w[ac], n) - np.bincount(br, w[bc], n)
+        change = np.bincount(ar, w[ac], kinds) - np.bincount(br, w[bc], kinds)
         miss = weight * (p - y)
         g = np.bincount(xc, miss[xr], width + 1) + 2 * ridge * np.append(w[:-1], 0)
-        drift = 2 * swap_penalty * change / n
+        drift = 2 * swap_penalty * change * share
         g += np.bincount(ac, drift[ar], width + 1) - np.bincount(bc, drift[br], width + 1)
         g[-1] = miss.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -181,8 +223,9 @@ def fit(
     z = (share - rest) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / one + 1 / none))
     counts = _feature_counts(sample).withColumn("z", z).filter((F.col("toxic") + F.col("clean") >= LEAST) & (F.col("z") >= EVIDENCE))
     chosen = [r["feature"] for r in counts.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
+    chosen += sorted({f for group in terms for t in group for f in word_features(t)} - set(chosen))
     index = {f: i for i, f in enumerate(chosen)}
-    weights, bias = fit_weights(*_sparse(sample, index, terms), len(chosen), swap_penalty=swap_penalty)
+    weights, bias = fit_weights(*_sparse(sample, index), *_swaps(sample, index, terms), len(chosen), swap_penalty=swap_penalty)
     return dict(zip(chosen, weights.tolist())), bias
 
 
