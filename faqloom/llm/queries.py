@@ -49,8 +49,8 @@ def main_texts(spark, root):
 
 @query("op3_secrets")
 def secrets(spark, root):
-    found = secrets_scan.scan(table(spark, root, "documents"), secrets_scan.fit(spark), threshold=0.5)
-    return found.drop("text_key")
+    docs = table(spark, root, "documents")
+    return secrets_scan.scan(docs, secrets_scan.fit_for(docs), threshold=0.5).drop("text_key")
 
 
 @query("op4_licenses", licenses.ORACLE)

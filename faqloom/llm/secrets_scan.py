@@ -1,9 +1,10 @@
 """Secret scan: wide candidate search, then a random forest that removes false positives.
 
 Candidates are values assigned to a name that speaks of a credential, long runs of letters and digits, private key blocks
-and passwords in URLs.  A candidate's features are its length, the transitions between its kinds of characters, how much
-of it dictionary words cover, the path it stands in and the words next to it.  The forest learns from labelled findings:
-a table of (value, before, after, path, label).  :func:`made_findings` makes a bounded one from the public shapes of
+and passwords in URLs, of any length.  A candidate's features are its length, the transitions between its kinds of
+characters, how much of it dictionary words cover, the path it stands in and the words next to it and their case.  The
+dictionary is a short list and the commonest words of the documents.  The forest learns from labelled findings: a table of
+(value, before, after, path, label).  :func:`made_findings` makes a bounded one from the public shapes of
 credentials and of what is taken for one; labelled findings of one's own may be given instead.
 
 Defined cases: null and empty texts have no candidates; a null path has no path features; null and repeated ids stay rows
@@ -19,6 +20,7 @@ import random
 import re
 import string
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -30,22 +32,27 @@ from faqloom.llm.common import is_small
 from faqloom.llm.simhash import text_key
 from faqloom.session import materialize
 
-ROWS, TREES, DEPTH, SEED = 4_000, 30, 9, 11
+ROWS, TREES, DEPTH, SEED = 6_000, 40, 11, 11
 KINDS = ("assigned", "run", "block", "url")
-#: A name that speaks of a credential, up to where its value begins.
-NAMED = re.compile(
-    r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)"
-    r"[\w.-]{0,20}[\"']?[ \t]*[:=]{1,2}>?[ \t]*[\"']?"
+#: A name with what stands between it and its value; only the ones that speak of a credential count.
+NAME = re.compile(r"(?<![\w.-])([\w.-]++)[\"']?[ \t]*+[:=]{1,2}>?[ \t]*+([\"']?)")
+CREDENTIAL = re.compile(
+    r"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?"
 )
+#: Words that say how a value is to be used and are none.
+SCHEME = re.compile(r"(?i)(?:bearer|basic|digest|token|apikey)[ \t]++")
 VALUE = re.compile(r"[^\s\"'<>,;]+")
-IN_QUERY = re.compile(r"[?&][\w.-]*\Z")
+QUOTED = {q: re.compile(f"[^{q}\n]*+{q}") for q in "\"'"}
 PARAMETER = re.compile(r"&[\w.-]+=")
 RUN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+#: A run of lower-case letters alone counts from this length on.
+LOWER_RUN = 24
 PART = re.compile(r"[^=]+=*\Z|[^=]+")
-BORDER = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
-IN_URL = re.compile(r"://[^\s:/@]{1,100}:([^\s:/@]{3,200})@")
+BORDER = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]++)-----")
+KEY_LINE = re.compile(r"[ \t]*+(?:([A-Za-z0-9+/=]{16,}+)|[A-Za-z-]++:[^\n]*+|[A-Za-z0-9+/=]*+)[ \t\r]*+(?:\n|\Z)")
+IN_URL = re.compile(r"://[^\s:/@]++:([^\s/@]{3,}+)@")
 NEAR = 60
-#: Words that coverage is measured with; a parameter of the scan.
+#: Words that coverage is measured with, besides the commonest of the documents (:func:`common_words`).
 DICTIONARY = tuple(
     "the and for with that this from have not are was you your his her they will all one out about which when there what "
     "into than then them some would other more time only new could these first any over also after most where der die das "
@@ -58,10 +65,27 @@ DICTIONARY = tuple(
 HINTS = ("password passwd pwd secret token key apikey bearer authorization credential private access login aws connect "
          "example placeholder sample dummy commit sha md5 checksum hash digest version uuid id isbn mailto build revision "
          "etag order ticket").split()
-PLACES = ("test", "example", "sample", "doc", "fixture", "mock", "vendor", "config", "env", "src")
+PLACES = ("test", "tests", "example", "examples", "docs", "fixtures", "mock", "vendor", "config", "env")
+#: Words taken from the documents, and in how many of them each has to stand.
+COMMON, COMMON_LEAST = 20_000, 3
 VOWELS = frozenset("aeiouyAEIOUY")
-LETTERS = re.compile(r"[a-z]{3,}")
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 WORD = re.compile(r"[A-Za-z]+")
+LAST_WORDS, FIRST_WORDS = 4, 2
+
+
+class Model(NamedTuple):
+    """A fitted forest and the words it measures coverage with."""
+
+    forest: RandomForestClassificationModel
+    words: frozenset[str]
+
+
+def common_words(docs: DataFrame, text: str = "text", most: int = COMMON, least: int = COMMON_LEAST) -> frozenset[str]:
+    """The ``most`` words of 3 to 11 letters that stand in the most documents, ``least`` or more; counted over all of them."""
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("word"))
+    counts = words.filter(F.length("word").between(3, 11)).groupBy("word").count().filter(F.col("count") >= least)
+    return frozenset(r[0] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect())
 
 
 def classes(value: str) -> list[int]:
@@ -85,6 +109,15 @@ def coverage(value: str, words=DICTIONARY) -> float:
     return covered / letters
 
 
+def longest(kinds: list[int], of: tuple[int, ...]) -> int:
+    """The longest run of characters of some kinds."""
+    best = size = 0
+    for k in kinds:
+        size = size + 1 if k in of else 0
+        best = max(best, size)
+    return best
+
+
 def features(value: str, before: str, after: str, path: str | None, kind: str, words=DICTIONARY) -> list[float]:
     kinds = classes(value)
     n = max(1, len(kinds))
@@ -94,37 +127,60 @@ def features(value: str, before: str, after: str, path: str | None, kind: str, w
     shares = [kinds.count(k) / n for k in range(5)]
     distinct = len(set(value)) / min(n, 64)
     repeats = sum(a == b for a, b in zip(value, value[1:])) / n
-    near = {w.lower() for w in WORD.findall(before)[-4:] + WORD.findall(after)[:2]}
-    place = (path or "").lower()
+    near = {w.lower() for w in WORD.findall(before)[-LAST_WORDS:] + WORD.findall(after)[:FIRST_WORDS]}
+    letters = [c for c in before + after if c.isalpha()]
+    vowels = sum(c in VOWELS for c in value) / max(1, sum(c.isalpha() for c in value))
+    place = set(re.split(r"[^a-z0-9]+", (path or "").lower()))
     return [
         float(min(len(value), 512)), *shares, distinct, repeats, *moves, coverage(value, words),
         *(float(kind == k) for k in KINDS), float(before[-1:] in ("'", '"')),
+        vowels, min(longest(kinds, (1, 2)), 32) / 32, min(longest(kinds, (0, 1, 2)), 64) / 64, value.count(" ") / n,
+        sum(map(str.isupper, letters)) / max(1, len(letters)),
         *(float(h in near) for h in HINTS), float(path is not None), *(float(p in place) for p in PLACES),
     ]
 
 
 def key_blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """From every BEGIN line of a private key to the next END line."""
+    """From every BEGIN line of a private key to the next END line; without one, to the last line that looks like a key."""
     begin = None
     for m in BORDER.finditer(text):
-        if m.group(1) == "BEGIN":
-            begin = m.start()
-        elif begin is not None:
-            yield begin, m.end(), "block"
-            begin = None
+        if "PRIVATE KEY" not in m.group(2):
+            continue
+        if begin is not None:
+            yield from ((begin.start(), m.end(), "block"),) if m.group(1) == "END" else open_block(text, begin)
+        begin = m if m.group(1) == "BEGIN" else None
+    if begin is not None:
+        yield from open_block(text, begin)
+
+
+def open_block(text: str, begin: re.Match) -> Iterator[tuple[int, int, str]]:
+    at, end = text.find("\n", begin.end()) + 1, 0
+    while 0 < at < len(text) and (line := KEY_LINE.match(text, at)):
+        end = line.end(1) if line.group(1) else end
+        at = line.end()
+    if end:
+        yield begin.start(), end, "block"
 
 
 def assigned(text: str) -> Iterator[tuple[int, int, str]]:
-    """Values of names that speak of a credential.  A value with such names in it counts as a whole, and each up to the next."""
-    names = [m.span() for m in NAMED.finditer(text)]
+    """Values of names that speak of a credential: up to the closing quote, or to the first blank or sign that ends one.
+    An unquoted value with such names in it counts as a whole, and each up to the next."""
+    names = [(m.start(), m.end(), m.group(2)) for m in NAME.finditer(text) if CREDENTIAL.search(m.group(1))]
     end = -1
-    for i, (name, at) in enumerate(names):
+    for i, (name, at, quote) in enumerate(names):
         if at >= end:
+            if scheme := SCHEME.match(text, at):
+                at = scheme.end()
+            if quote and (closed := QUOTED[quote].match(text, at)):
+                end = closed.end() - 1
+                if end > at:
+                    yield at, end, "assigned"
+                continue
             value = VALUE.match(text, at)
             if not value:
                 continue
             end = value.end()
-            if text[at - 1] == "=" and IN_QUERY.search(text, max(0, name - NEAR), name):  # of a URL: the value ends at the next parameter
+            if text[at - 1] == "=" and name and text[name - 1] in "?&":  # of a URL: the value ends at the next parameter
                 more = text.find("&", at, end)
                 end = end if more < 0 else more
             yield at, end, "assigned"
@@ -135,12 +191,16 @@ def assigned(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def runs(text: str) -> Iterator[tuple[int, int, str]]:
-    """Long runs of letters and digits; one with a '=' in it counts by its parts, '=' at its end as padding."""
+    """Long runs of letters and digits; one with a '=' in it counts by its parts, '=' at its end as padding.  A run of
+    letters alone counts if its case changes inside it, if all of it is upper case, or if it is longer still."""
     for m in RUN.finditer(text):
         for part in PART.finditer(m.group()):
             value = part.group()
             name = not part.start() and part.end() < len(m.group())  # what stands ahead of a '=' is rarely a value
-            if len(value) >= 16 and any(map(str.isalpha, value)) and (any(map(str.isdigit, value)) or value.isupper() and not name):
+            if len(value) < 16 or not any(map(str.isalpha, value)):
+                continue
+            digits, inner = any(map(str.isdigit, value)), value[1:]
+            if digits or not name and (inner.lower() != inner or len(value) >= LOWER_RUN):
                 yield m.start() + part.start() + len(value) - len(value.lstrip("-/+_")), m.start() + part.end(), "run"
 
 
@@ -157,18 +217,20 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     return [(*span, kind) for span, kind in spans.items()]
 
 
-def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, str, str | None, str, int]]:
-    """(value, before, after, path, kind, label): credentials in their public shapes, and what looks like them."""
+def made_findings(rows: int = ROWS, seed: int = SEED, words=()) -> list[tuple[str, str, str, str | None, str, int]]:
+    """(value, before, after, path, kind, label): credentials in their public shapes, and what looks like them, between
+    common words."""
     r = random.Random(seed)
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
     names = ("password", "passwd", "secret", "token", "api_key", "access_key", "auth_token", "client_secret")
     plain = [w for w in DICTIONARY if len(w) > 3]
+    common = sorted(words) or plain
 
     def pick(chars, low, high=None):
         return "".join(r.choice(chars) for _ in range(r.randint(low, high or low)))
 
     def prose(n):
-        made = (r.choice(plain) if r.random() < 0.4 else "".join(pick("bcdfghlmnprstv", 1) + pick("aeiou", 1) for _ in range(r.randint(1, 4)))
+        made = (r.choice(common) if r.random() < 0.6 else "".join(pick("bcdfghlmnprstv", 1) + pick("aeiou", 1) for _ in range(r.randint(1, 4)))
                 for _ in range(n))
         return " ".join(made)
 
@@ -182,6 +244,19 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
     def run(value, word=""):
         return value, f"{prose(3)} {word}{' ' if word else ''}", " " + prose(3), "run"
 
+    def shouted(value):  # upper case among upper case, or alone
+        before, after = prose(3), prose(3)
+        return value, (before.upper() if r.random() < 0.5 else before) + " ", " " + (after.upper() if r.random() < 0.5 else after), "run"
+
+    def compound(low):  # common words and endings run together
+        out = ""
+        while len(out) < low:
+            out += r.choice(common) if r.random() < 0.6 else "".join(pick("bcdfghklmnprstvwz", 1, 2) + pick("aeiou", 1, 2) + pick("chlnrstz", 0, 2) for _ in range(2))
+        return out
+
+    def mixed():  # letters alone, of both cases
+        return "".join(r.choice((str.upper, str.lower))(c) for c in pick(string.ascii_lowercase, 20, 48))
+
     true = [
         lambda: run("AKIA" + pick(string.ascii_uppercase + string.digits, 16)),
         lambda: run(r.choice(["ghp_", "gho_", "ghs_"]) + pick(alnum, 36), r.choice(["", "token"])),
@@ -193,6 +268,10 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
         lambda: assigned(pick(hexa, 16, 24)), lambda: assigned(pick(hexa, 32, 64)), lambda: assigned(pick(alnum, 12, 48)),
         lambda: assigned(pick(alnum + "!#%&*@^_-", 10, 24)), lambda: assigned(pick(alnum + "+/", 40) + "="),
         lambda: assigned(pick(alnum, 3, 6) + pick(string.digits, 1, 2)),
+        lambda: assigned(mixed()), lambda: run(mixed(), r.choice(["bearer", "token", "key"])), lambda: assigned(pick(string.ascii_letters, 16, 40)),
+        lambda: assigned(" ".join(word() for _ in range(r.randint(2, 3))) + " " + pick(string.digits, 1, 3) + pick(string.ascii_uppercase, 1, 2)),
+        lambda: assigned(" ".join(r.choice(plain) for _ in range(r.randint(2, 4))) + " " + pick(string.digits, 1, 2) + pick(string.ascii_uppercase, 1, 2)),
+        lambda: (pick(alnum, 30, 300), f"{prose(2)} mysql://{r.choice(plain)}:", f"@{r.choice(plain)}.net", "url"),
         lambda: assigned(word() + pick(string.digits, 1, 4)), lambda: assigned(word() + pick(string.digits, 1, 2)),
         lambda: (pick(alnum, 8, 20), f"{prose(2)} postgres://{r.choice(plain)}:", f"@{r.choice(plain)}.net", "url"),
         lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + r.choice(["", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexa, 32) + "\n\n"])
@@ -206,7 +285,10 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
         lambda: assigned("_".join(r.choice(plain) for _ in range(3))),
         lambda: assigned(f"get_{r.choice(plain)}_{r.choice(plain)}()"),
         lambda: assigned(r.choice(["none", "null", "true", "false", "yes", "no", "1", "0", "the", "is", "not", "a", "{", "***", "...", "$1", "%s"])),
-        lambda: assigned(prose(1)),
+        lambda: assigned(prose(1)), lambda: assigned(prose(r.randint(2, 6))), lambda: assigned(compound(12)),
+        lambda: shouted(compound(16).upper()), lambda: shouted(compound(16).upper()), lambda: run(compound(16).upper() + pick(string.digits, 0, 1)),
+        lambda: run(compound(24)), lambda: run(compound(LOWER_RUN).title()), lambda: run("".join(r.choice(common).title() for _ in range(5))),
+        lambda: run("-".join(r.choice(common) for _ in range(5))), lambda: run("/".join(r.choice(common) for _ in range(5))),
         lambda: ("-----BEGIN PRIVATE KEY-----" + r.choice([" ", "\n", " ... ", "\n...\n"]) + prose(r.randint(0, 60)) + " -----END PRIVATE KEY-----",
                  prose(2) + " ", " ", "block"),
         lambda: run("-".join(r.choice(plain) for _ in range(3)) + "-" + pick(string.digits, 1, 4)),
@@ -223,23 +305,29 @@ def made_findings(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, str, st
         lambda: run("ISBN" + pick(string.digits, 13), r.choice(["isbn", "order", "ticket"])),
         lambda: (r.choice(["password", "pass", "secret", "example", "xxxx"]), f"{prose(2)} http://{r.choice(plain)}:", "@example.com", "url"),
     ]
-    paths = (None, "src0", "src/main/app.py", "config/prod.env", "tests/fixtures/a.json", "docs/example.md", "web", "src12")
+    paths = (None, "lib/main/app.py", "config/prod.env", "deploy/values.yaml", "tests/fixtures/a.json", "docs/example.md")
     out = []
     for i in range(rows):
         label = i % 2
         value, before, after, kind = r.choice(true if label else false)()
-        path = r.choice(paths[:4] + paths[6:]) if label and r.random() < 0.8 else r.choice(paths)
+        path = r.choice(paths[:4]) if label and r.random() < 0.6 else r.choice(paths)
         out.append((value, before[-NEAR:], after[:NEAR], path, kind, label))
     return out
 
 
-def fit(spark: SparkSession, findings: list[tuple] | None = None) -> RandomForestClassificationModel:
-    """A forest from labelled findings: (value, before, after, path, kind, label), ``ROWS`` made ones by default."""
-    known = frozenset(DICTIONARY)
-    rows = [(features(*f[:5], known), float(f[5])) for f in (made_findings() if findings is None else findings)]
+def fit(spark: SparkSession, findings: list[tuple] | None = None, words: frozenset[str] = frozenset()) -> Model:
+    """A forest from labelled findings: (value, before, after, path, kind, label), ``ROWS`` made ones by default.  ``words``
+    are common words, besides ``DICTIONARY``."""
+    known = frozenset(DICTIONARY) | words
+    rows = [(features(*f[:5], known), float(f[5])) for f in (made_findings(words=words) if findings is None else findings)]
     data = spark.createDataFrame(rows, "x array<double>, label double").coalesce(1)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
-    return forest.fit(data.select(array_to_vector("x").alias("features"), "label"))
+    return Model(forest.fit(data.select(array_to_vector("x").alias("features"), "label")), known)
+
+
+def fit_for(docs: DataFrame) -> Model:
+    """The forest of made findings among the commonest words of the documents."""
+    return fit(docs.sparkSession, words=common_words(docs))
 
 
 FOUND = "array<struct<start:int,end:int,kind:string,value_sha256:string,cluster:int,x:array<double>>>"
@@ -251,12 +339,13 @@ FOUND_ARROW = pa.list_(pa.struct([
 ]))
 
 
-def found_column(text: Column, path: Column) -> Column:
-    """All candidates of a text with their features; those that overlap, one after another, are a cluster."""
+def found_column(text: Column, path: Column, words) -> Column:
+    """All candidates of a text with their features; those that overlap, one after another, are a cluster.  ``words`` is a
+    broadcast."""
 
     @F.arrow_udf(FOUND)
     def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        known = frozenset(DICTIONARY)
+        known = words.value
         for texts, paths in batches:
             out = []
             for text, path in zip(texts.to_pylist(), paths.to_pylist()):
@@ -274,18 +363,19 @@ def found_column(text: Column, path: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, path: str = "source"
+    docs: DataFrame, model: Model, threshold: float = 0.5, path: str = "source"
 ) -> DataFrame:
     """Per candidate: doc_id, text_key, start, end (characters), kind, value_sha256, score, secret.
 
     Rows whose span lies inside that of another secret of their text are left out if they are secrets themselves.
     """
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(
-        "doc_id", text_key(F.col("text")).alias("text_key"), where.alias("where"), F.explode(found_column(F.col("text"), where)).alias("f"))
+    words = docs.sparkSession.sparkContext.broadcast(model.words)
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), where.alias("where"),
+                       F.explode(found_column(F.col("text"), where, words)).alias("f"))
     flat = rows.select("doc_id", "text_key", "where", *[f"f.{c}" for c in ("start", "end", "kind", "value_sha256", "cluster")],
                        array_to_vector("f.x").alias("features"))
-    judged = model.transform(flat).withColumn("score", vector_to_array("probability")[1])
+    judged = model.forest.transform(flat).withColumn("score", vector_to_array("probability")[1])
     columns = ("doc_id", "text_key", "start", "end", "kind", "value_sha256", "score")
     own = judged.select(*columns, (F.col("score") >= threshold).alias("secret"), "where", "cluster")
     # copies of a row, with the id and the text repeated, are one row while overlaps are looked at
@@ -316,7 +406,7 @@ def cut_column(text: Column, spans: Column, mark: str) -> Column:
     return cut(text, spans)
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: Model, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every secret replaced by ``mark``; ``n_chars``, if there, follows the text."""
     found = scan(docs, model, threshold).filter("secret").groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("start", "end")).alias("spans")

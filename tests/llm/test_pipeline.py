@@ -28,7 +28,7 @@ def test_stages_one_by_one(spark):
             bench = spark.read.parquet(f"{SF}/benchmark.parquet")
             assert gone == {r.doc_id for r in decontaminate.report(before, bench).collect() if r.contaminated}
         if number == 3:
-            hit = {r.doc_id for r in secrets_scan.scan(before, secrets_scan.fit(spark)).filter("secret").collect()}
+            hit = {r.doc_id for r in secrets_scan.scan(before, secrets_scan.fit_for(before)).filter("secret").collect()}
             assert not gone and hit == {d for d in new if new[d].text != old[d].text}
             assert all(new[d].n_chars == len(new[d].text) for d in hit)
         if number == 4:
