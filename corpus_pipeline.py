@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets_scan.redact(docs, secrets_scan.fit(spark), threshold=0.5)
+    return secrets_scan.redact(docs, secrets_scan.fit_for(docs), threshold=0.5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
