@@ -200,35 +200,3 @@ def hit_rate(ranked: DataFrame, truth: DataFrame, key: str, label: str, ks=(1, 3
     counts = place.select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "place")
     hit = F.coalesce(F.col("place") <= F.col("k"), F.lit(False))
     return counts.groupBy("k").agg(F.count("*").alias("n"), F.sum(hit.cast("bigint")).alias("hits"))
-
-
-def fit_multilabel(texts: DataFrame, labels: list[str], features: int = 1 << 12, iterations: int = 10):
-    """One binary classifier per label on hashed TF-IDF features of a text column, trained by Spark ML.
-    ``texts``: key columns, ``tokens``, one 0/1 column per label.  Returns (feature model, {label: model})."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF
-
-    steps = Pipeline(stages=[
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features")])
-    prepared = steps.fit(texts)
-    ready = prepared.transform(texts).persist()
-    models = {
-        name: LogisticRegression(labelCol=name, maxIter=iterations, regParam=0.01).fit(ready.filter(F.col(name).isNotNull()))
-        for name in labels
-    }
-    ready.unpersist()
-    return prepared, models
-
-
-def predict_multilabel(texts: DataFrame, key: str, prepared, models: dict) -> DataFrame:
-    """Independent label probabilities: key, label, probability."""
-    from pyspark.ml.functions import vector_to_array
-
-    ready = prepared.transform(texts)
-    for name, model in models.items():
-        ready = model.setProbabilityCol(f"p_{name}").setRawPredictionCol(f"r_{name}").setPredictionCol(
-            f"c_{name}").transform(ready)
-    cells = F.array(*[
-        F.struct(F.lit(n).alias("label"), vector_to_array(F.col(f"p_{n}"))[1].alias("probability")) for n in models])
-    return ready.select(key, F.inline(cells))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("text", "features", "corpora", "scoring", "metrics", "rows", "files", "streams")
+MODULES = ("text", "features", "corpora", "scoring", "training", "metrics", "rows", "files", "streams")
 
 
 def load() -> None:

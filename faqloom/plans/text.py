@@ -24,15 +24,30 @@ MERGES, LONGEST_MERGE = 500, 4
 WORD_VOCAB, WORD_SPECIALS = 5000, ("<eos>", "<unk>")
 BANDS = (200, 1000, 4000)
 
-_made: dict[tuple[str, str, str], DataFrame] = {}
+_made: dict[tuple, object] = {}
+
+
+def _stamp(spark: SparkSession, root: str) -> tuple:
+    """What is under a path: bytes, files and the times of its entries.  Other data under the same path give another stamp."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = system.getContentSummary(path)
+    times = sorted(entry.getModificationTime() for entry in system.listStatus(path))
+    return held.getLength(), held.getFileCount(), tuple(times)
+
+
+def kept_once(spark: SparkSession, root: str, name: str, build):
+    """What ``build`` gives, once per session, input and state of the input."""
+    key = (spark.sparkContext.applicationId, root, name)
+    stamp = _stamp(spark, root)
+    if key not in _made or _made[key][0] != stamp:
+        _made[key] = stamp, build()  # in place of what an older state gave
+    return _made[key][1]
 
 
 def made_once(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     """Tables many queries start from (vocabularies and the like) are written once per session and input."""
-    key = (spark.sparkContext.applicationId, root, name)
-    if key not in _made:
-        _made[key] = materialize(build(), name)
-    return _made[key]
+    return kept_once(spark, root, name, lambda: materialize(build(), name))
 
 
 def document_lines(spark, root, *columns, regroup=False) -> DataFrame:
