@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from faqloom.functions.text import basic_token_array, normalize_question
 from faqloom.functions.vectors import sigmoid, softmax
 from faqloom.operators.lookup import lookup
+from faqloom.operators.ordering import quantile_buckets
 from faqloom.session import materialize
 
 LABELS_PER_BLOCK = 4096
@@ -124,13 +125,37 @@ def text_tokens(text: Column) -> Column:
 
 #: Postings and score cells that one step of a block may hold.
 STEP_CELLS = 4_000_000
+#: Answers come in at most so many regions, each of about so many answers at least.
+REGIONS, REGION_ROWS = 512, 64
+
+
+def answer_regions(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index with a ``region`` for every answer, and the impact-ordered regions of each token: token, regions (region,
+    top: the largest weight the token has there, falling), df.
+
+    Answers of like total weight share a region, so that regions differ in what their answers can score; a region is dealt
+    into blocks where it is scored.
+    """
+    n = max(1, min(REGIONS, index.count() // REGION_ROWS))
+    weight = F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, w: a + w)
+    apart = F.pmod(F.xxhash64("label"), F.lit(1 << 20)) / (1 << 20)  # answers of one total weight may fill several regions
+    weighed = index.withColumn("_total", weight + apart)
+    placed = quantile_buckets(weighed, "_total", "region", n).drop("_total")
+    placed = materialize(placed, "answer-index-regions")
+    cells = placed.select("region", F.explode(F.arrays_zip("tokens", "weights")).alias("t"))
+    tops = cells.groupBy(F.col("t.tokens").alias("token"), "region").agg(F.max("t.weights").alias("top"), F.count("*").alias("n"))
+    held = F.sort_array(F.collect_list(F.struct("top", "region")), asc=False)  # REGIONS at most
+    return placed, materialize(tops.groupBy("token").agg(held.alias("regions"), F.sum("n").alias("df")), "answer-regions")
 
 
 def _best_answers(questions: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(question_id, label, score) of the ``k`` best answers of one block, larger score first, then label.
+    """(question_id, label, score) of the ``k`` best answers of one block that reach the question's ``tau``, larger score
+    first, then label.
 
     A sparse product: the terms of a group of questions pick their postings at once, and equal (question, answer) cells
-    are summed.  Groups are cut by their number of postings.
+    are summed.  A question's terms of low impact, whose largest weights together stay below tau, cannot lift an answer by
+    themselves: answers come from the postings of the other terms, and the low ones are only added to those.  Groups are cut
+    by their number of postings.
     """
     index = index.sort_values("label")
     labels = index["label"].to_numpy()
@@ -139,53 +164,118 @@ def _best_answers(questions: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.Da
     rows = np.repeat(np.arange(len(labels)), index["tokens"].map(len).to_numpy())[by_term]
     weights = np.concatenate(index["weights"].to_numpy())[by_term]
     first = np.searchsorted(term_no[by_term], np.arange(len(terms) + 1))
+    top = np.maximum.reduceat(weights, first[:-1])
 
     asked = questions["tokens"].map(len).to_numpy()
+    tau = questions["tau"].to_numpy()
     term = pd.Index(terms).get_indexer(np.concatenate([*questions["tokens"].to_numpy(), np.array([], object)]))
     pairs, times = np.unique(np.repeat(np.arange(len(asked)), asked)[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
     question, term = np.divmod(pairs, len(terms))
+    # a question's terms by rising impact; the low ones are the first whose impacts add up to less than tau
+    impact = times * top[term]
+    order = np.lexsort((impact, question))
+    question, term, times, impact = question[order], term[order], times[order], impact[order]
+    upto = np.cumsum(impact)
+    begin = np.searchsorted(question, question)
+    high = upto - np.where(begin > 0, upto[begin - 1], 0) >= tau[question]
     size = first[term + 1] - first[term]
     # a step ends with a question: its postings lie between two multiples of the bound
-    upto = np.zeros(len(asked), np.int64)
-    np.add.at(upto, question, size)
-    step = (np.cumsum(upto) // STEP_CELLS)[question]
-    found = []
-    for part in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(step)) + 1):
+    whole = np.zeros(len(asked), np.int64)
+    np.add.at(whole, question, size)
+    step = (np.cumsum(whole) // STEP_CELLS)[question]
+
+    def postings(part):
         n = size[part]
-        if not n.sum():
-            continue
         at = np.repeat(first[term[part]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        cells, place = np.unique(np.repeat(question[part], n) * len(labels) + rows[at], return_inverse=True)
+        return np.repeat(question[part], n) * len(labels) + rows[at], weights[at] * np.repeat(times[part], n)
+
+    found = []
+    for part in np.split(np.arange(len(question)), np.flatnonzero(np.diff(step)) + 1):
+        main, rest = part[high[part]], part[~high[part]]
+        if not size[main].sum():
+            continue
+        cell, w = postings(main)
+        cells, place = np.unique(cell, return_inverse=True)
         score = np.zeros(len(cells), np.int64)
-        np.add.at(score, place, weights[at] * np.repeat(times[part], n))
+        np.add.at(score, place, w)
+        if size[rest].sum():
+            cell, w = postings(rest)
+            place = np.searchsorted(cells, cell)
+            known = cells[np.minimum(place, len(cells) - 1)] == cell
+            np.add.at(score, place[known], w[known])
         q, row = np.divmod(cells, len(labels))
+        reach = score >= tau[q]
+        q, row, score = q[reach], row[reach], score[reach]
         order = np.lexsort((row, -score, q))
         rank = np.arange(len(order)) - np.searchsorted(q[order], q[order])
         best = order[rank < k]
         found.append(pd.DataFrame({"q": q[best], "label": labels[row[best]], "score": score[best]}))
     out = pd.concat(found) if found else pd.DataFrame({"q": [], "label": [], "score": []}, dtype="int64")
-    out.insert(0, "question_id", questions["question_id"].to_numpy()[out["q"].to_numpy()])
-    return out[["question_id", "label", "score"]]
+    ids = questions["question_id"].to_numpy()[out["q"].to_numpy()]
+    return pd.DataFrame({"question_id": pd.Series(ids, dtype=ids.dtype), "label": out["label"].to_numpy(), "score": out["score"].to_numpy()})
 
 
-def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Best answers of each question (question_id, question): question_id, rank, label, score.
+def _score_routes(routes: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """routes (question_id, tokens, region, tau) -> question_id, label, score: the best answers of each routed region.
 
-    The score of an answer is the sum over shared tokens of both term frequencies and the squared inverse document
-    frequency; an answer that shares nothing is not ranked.
+    A region's answers go to as many tasks as its routed questions fill, and a region of many answers to several blocks.
     """
-    rows = questions.select("question_id", text_tokens(F.col("question")).alias("tokens"))
+    asked = routes.groupBy("region").agg(F.ceil(F.count("*") / ROWS_PER_SLICE).cast("int").alias("slices"))
+    sizes = index.groupBy("region").agg(F.ceil(F.count("*") / LABELS_PER_BLOCK).cast("int").alias("blocks"))
+    counts = F.broadcast(asked.join(sizes, "region"))  # a row per region, REGIONS at most
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = routes.join(counts, "region").withColumn("slice", F.pmod(F.xxhash64("question_id"), F.col("slices")).cast("int"))
+    left = left.withColumn("block", every("blocks")).drop("slices", "blocks")
+    right = index.join(counts, "region").withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
+    right = right.withColumn("slice", every("slices")).drop("slices", "blocks")
 
     def score(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if q.empty or a.empty:
-            return pd.DataFrame({"question_id": [], "label": [], "score": []})
+            return q[["question_id"]].iloc[:0].assign(label=np.zeros(0, np.int64), score=np.zeros(0, np.int64))
         return _best_answers(q, a, k)
 
-    kind = questions.schema["question_id"].dataType.simpleString()
-    best = _pair_up(rows, "question_id", index, score, f"question_id {kind}, label bigint, score bigint")
+    kind = dict(routes.dtypes)["question_id"]
+    keys = ["region", "block", "slice"]
+    both = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return both.applyInPandas(score, f"question_id {kind}, label bigint, score bigint")
+
+
+def best_ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "label")  # at most k rows per block
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("question_id", "rank", "label", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def question_routes(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """question_id, region, bound: what an answer of the region can score at most, for regions that share a token."""
+    terms = rows.select("question_id", F.explode("tokens").alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("q"))
+    met = lookup(terms, tops, "token", ["regions"], "df").select("question_id", "q", F.explode("regions").alias("r"))
+    return met.groupBy("question_id", F.col("r.region").alias("region")).agg(F.sum(F.col("q") * F.col("r.top")).alias("bound"))
+
+
+def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K, regions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Best answers of each question (question_id, question): question_id, rank, label, score.
+
+    The score of an answer is the sum over shared tokens of both term frequencies and the squared inverse document
+    frequency; an answer that shares nothing is not ranked.
+
+    A question is first scored where its bound is largest.  The k-th best score found there is the threshold that every
+    other region's bound has to reach; the question goes to no region that falls short.  Question ids are unique.
+    """
+    placed, tops = answer_regions(index) if regions is None else regions
+    rows = materialize(questions.select("question_id", text_tokens(F.col("question")).alias("tokens")), "questions")
+    bounds = materialize(question_routes(rows, tops), "question-bounds")
+    seed = bounds.groupBy("question_id").agg(F.min_by("region", F.struct(-F.col("bound"), "region")).alias("region"))
+    seeded = rows.join(seed, "question_id").withColumn("tau", F.lit(1).cast("bigint"))
+    near = materialize(_score_routes(seeded, placed, k), "answers-near")
+    last = best_ranked(near, k).filter(F.col("rank") == k).select("question_id", F.col("score").alias("reached"))
+    open_ = bounds.join(seed.withColumnRenamed("region", "seen"), "question_id").join(last, "question_id", "left")
+    tau = F.coalesce("reached", F.lit(1).cast("bigint"))
+    open_ = open_.filter((F.col("region") != F.col("seen")) & (F.col("bound") >= tau)).select("question_id", "region", tau.alias("tau"))
+    far = _score_routes(materialize(open_.join(rows, "question_id"), "question-routes"), placed, k)
+    return best_ranked(near.unionByName(far), k).select("question_id", "rank", "label", "score")
 
 
 def answer_json(ranked: DataFrame, text: str = "answer") -> DataFrame:

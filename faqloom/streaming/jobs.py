@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faqloom.functions.text import basic_token_array
-from faqloom.operators.scoring import TOP_K, label_lookup, rank_answers
+from faqloom.operators.scoring import TOP_K, answer_regions, label_lookup, rank_answers
 from faqloom.session import materialize
 
+STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,21 +31,28 @@ def _run(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame], o
     def write(batch: DataFrame, batch_id: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    # state of any size: on disk with changelogs in the checkpoint, not in the executors' memory
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    # state of any size: on disk with changelogs in the checkpoint, not in the executors' memory; a query keeps the
+    # setting it was started with, so the session gets its own back
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE_KEY, None)
+    conf.set(STATE_STORE_KEY, STATE_STORE)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        conf.unset(STATE_STORE_KEY) if before is None else conf.set(STATE_STORE_KEY, before)
     query.awaitTermination()
 
 
 def answer_questions(questions: DataFrame, index: DataFrame, answers: DataFrame, out: str, checkpoint: str, k: int = TOP_K) -> None:
-    """Ranked answers for a stream of (question_id, question), against a static answer index."""
+    """Ranked answers for a stream of (question_id, question), against a static answer index, dealt into regions once."""
+    regions = answer_regions(index)
 
     def rank(batch: DataFrame) -> DataFrame:
         kept = materialize(batch, "stream-batch")  # read once from the source, then counted and scored
-        return label_lookup(rank_answers(kept, index, k), answers, "label", ["answer"])
+        return label_lookup(rank_answers(kept, index, k, regions), answers, "label", ["answer"])
 
     _run(questions, "append", rank, out, checkpoint)
 
