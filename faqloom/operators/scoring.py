@@ -75,6 +75,62 @@ def top_labels(logits: DataFrame, k: int = TOP_K, link: str | None = None, key:
     )
 
 
+#: Blocks of labels whose best are merged at the first level.
+BLOCKS_TOGETHER = 64
+
+
+def best_labels(
+    vectors: DataFrame, labels: DataFrame, k: int = TOP_K, link: str | None = None, key: str = "vec_id"
+) -> DataFrame:
+    """The ``k`` best labels of each vector without its score vector: key, rank, label, score.
+
+    Every (slice of vectors, block of labels) hands on the block's ``k`` best labels of a vector and, for the softmax, the
+    largest score of the block with the sum of the exponentials below it.  Both are merged in two levels, so that no task
+    and no row ever holds more than ``BLOCKS_TOGETHER`` blocks' worth of a vector.  Ties go to the smaller label.
+    """
+
+    def score(v: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if v.empty or m.empty:
+            return v[[key]].iloc[:0].assign(block=np.zeros(0, np.int32), best=[], top=np.zeros(0), mass=np.zeros(0))
+        m = m.sort_values("label")
+        numbers = m["label"].to_numpy(np.int64)
+        found = []
+        for at in range(0, len(v), 1024):
+            part = v.iloc[at : at + 1024]
+            z = np.stack(part["x"]) @ np.stack(m["weights"]).T + m["bias"].to_numpy()
+            top = z.max(axis=1)
+            kth = -np.partition(-z, min(k, z.shape[1]) - 1, axis=1)[:, min(k, z.shape[1]) - 1]
+            row, col = np.nonzero(z >= kth[:, None])  # with all that tie with the k-th
+            order = np.lexsort((col, -z[row, col], row))
+            row, col = row[order], col[order]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[near], col[near]
+            cells = [{"neg": -x, "label": n} for x, n in zip(z[row, col].tolist(), numbers[col].tolist())]
+            ends = np.searchsorted(row, np.arange(len(part) + 1))
+            found.append(pd.DataFrame({
+                key: part[key].to_numpy(), "block": part["block"].to_numpy(),
+                "best": [cells[a:b] for a, b in zip(ends[:-1], ends[1:])], "top": top,
+                "mass": np.exp(z - top[:, None]).sum(axis=1)}))
+        return pd.concat(found)
+
+    kind = vectors.schema[key].dataType.simpleString()
+    best = f"array<struct<neg:double,label:{labels.schema['label'].dataType.simpleString()}>>"
+    rows = _pair_up(vectors.select(key, "x"), key, labels, score, f"{key} {kind}, block int, best {best}, top double, mass double")
+
+    def merged(rows: DataFrame, *keys: str) -> DataFrame:
+        parts = rows.groupBy(*keys).agg(
+            F.flatten(F.collect_list("best")).alias("best"), F.max("top").alias("top"),
+            F.collect_list(F.struct("top", "mass")).alias("parts"))
+        mass = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["mass"] * F.exp(p["top"] - F.col("top")))
+        return parts.select(*keys, F.slice(F.array_sort("best"), 1, k).alias("best"), "top", mass.alias("mass"))
+
+    near = merged(rows.withColumn("block", F.expr(f"CAST(block div {BLOCKS_TOGETHER} AS INT)")), key, "block")
+    ranked = merged(near, key).select(key, F.posexplode("best").alias("rank0", "b"), "top", "mass")
+    z = -F.col("b.neg")
+    value = {"sigmoid": sigmoid(z), "softmax": F.exp(z - F.col("top")) / F.col("mass")}.get(link, z)
+    return ranked.select(key, (F.col("rank0") + 1).alias("rank"), F.col("b.label").alias("label"), value.alias("score"))
+
+
 def accept(ranked: DataFrame, threshold: float = ACCEPT_THRESHOLD) -> DataFrame:
     return ranked.filter(F.col("score") > threshold)
 

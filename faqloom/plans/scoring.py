@@ -38,6 +38,10 @@ ranked AS (
          exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS soft, 1 / (1 + exp(-x)) AS sig FROM logit)"""
 
 
+def best(spark, root, link=None):
+    return R.best_labels(vectors(spark, root), R.label_matrix(fitted(spark, root)), link=link)
+
+
 @query("fit_label_vectors", f"""WITH {_FIT}
 SELECT label, dim, round(weight, 6) AS weight FROM w UNION ALL SELECT label, -1, round(b, 6) FROM bias""")
 def fit_label_vectors(spark, root):
@@ -52,23 +56,23 @@ def linear_scores(spark, root):
 
 @query("topk_labels", f"WITH {_FIT} SELECT vec_id, rank, label, round(x, 6) AS score FROM ranked WHERE rank <= 5")
 def topk_labels(spark, root):
-    return R.top_labels(scores(spark, root)).withColumn("score", F.round("score", 6))
+    return best(spark, root).withColumn("score", F.round("score", 6))
 
 
 @query("topk_labels_sigmoid", f"WITH {_FIT} SELECT vec_id, rank, label, round(sig, 6) AS score FROM ranked WHERE rank <= 5")
 def topk_labels_sigmoid(spark, root):
-    return R.top_labels(scores(spark, root), link="sigmoid").withColumn("score", F.round("score", 6))
+    return best(spark, root, "sigmoid").withColumn("score", F.round("score", 6))
 
 
 @query("topk_labels_softmax", f"WITH {_FIT} SELECT vec_id, rank, label, round(soft, 6) AS score FROM ranked WHERE rank <= 5")
 def topk_labels_softmax(spark, root):
-    return R.top_labels(scores(spark, root), link="softmax").withColumn("score", F.round("score", 6))
+    return best(spark, root, "softmax").withColumn("score", F.round("score", 6))
 
 
 @query("accept_answers", f"""WITH {_FIT}
 SELECT vec_id, rank, label, round(soft, 6) AS score FROM ranked WHERE rank <= 5 AND soft > {1 / 9.9}""")
 def accept_answers(spark, root):
-    ranked = R.accept(R.top_labels(scores(spark, root), link="softmax"), 1 / 9.9)
+    ranked = R.accept(best(spark, root, "softmax"), 1 / 9.9)
     return ranked.withColumn("score", F.round("score", 6))
 
 
@@ -78,7 +82,7 @@ FROM (SELECT e.vec_id, min(r.rank) AS place FROM embeddings e JOIN ranked r ON r
       GROUP BY e.vec_id), (VALUES (1), (3), (5)) v(k) GROUP BY k""")
 def topk_hit_rate(spark, root):
     truth = vectors(spark, root).select("vec_id", F.col("label").alias("own"))
-    return R.hit_rate(R.top_labels(scores(spark, root)), truth, "vec_id", "label")
+    return R.hit_rate(best(spark, root), truth, "vec_id", "label")
 
 
 # ---------------------------------------------------------------- questions and answers

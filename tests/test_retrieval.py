@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from faqloom.operators import scoring as R
@@ -59,3 +60,22 @@ def test_nothing_to_rank(spark):
     asked = spark.createDataFrame(questions, "question_id string, question string")
     assert R.rank_answers(asked.limit(0), table).count() == 0
     assert R.rank_answers(asked, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block, together, rows", [(4096, 64, 20_000), (5, 2, 7), (1, 3, 50)])
+def test_best_labels_without_dense_vectors(spark, monkeypatch, block, together, rows):
+    monkeypatch.setattr(R, "LABELS_PER_BLOCK", block)
+    monkeypatch.setattr(R, "BLOCKS_TOGETHER", together)
+    monkeypatch.setattr(R, "ROWS_PER_SLICE", rows)
+    r = np.random.default_rng(2)
+    x, w, b = r.integers(-3, 4, (30, 4)).astype(float), r.integers(-2, 3, (23, 4)).astype(float), r.integers(-1, 2, 23).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>")
+    labels = spark.createDataFrame([(i, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(w, b))], "label int, weights array<double>, bias double")
+    z = x @ w.T + b  # whole numbers: many ties
+    for link in (None, "sigmoid", "softmax"):
+        got = {(g.vec_id, g["rank"]): (g.label, round(g.score, 9)) for g in R.best_labels(vectors, labels, 4, link).collect()}
+        for i, row in enumerate(z):
+            value = {"sigmoid": 1 / (1 + np.exp(-row)), "softmax": np.exp(row) / np.exp(row).sum()}.get(link, row)
+            for rank, n in enumerate(sorted(range(23), key=lambda n: (-row[n], n))[:4], 1):
+                assert got.pop((i, rank)) == (n, round(float(value[n]), 9))
+        assert not got
