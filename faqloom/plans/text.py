@@ -408,34 +408,34 @@ def decode_text_pieces(spark, root):
     return rows.select("doc_id", V.pieces_to_text(F.col("tokens"), tidy=True).alias("text"))
 
 
-SYMBOLS, BPE_SPECIALS = 60, ("<s>", "</s>")
+BPE_UNKNOWN, BPE_SPECIALS = "<unk>", ("<s>", "</s>")
 
 
 def bpe_vocab(spark, root):
-    """Byte-pair vocabulary with dense ids: frequent symbols, merged symbols by rank, specials behind them."""
+    """Byte-pair vocabulary with dense ids: 0 for what is unknown, every symbol by falling number, merged symbols by rank,
+    specials behind them.  There are at most two symbols for each character of Unicode, whatever the number of texts."""
 
     def build():
         words = K.counted_words(bpe_word_table(spark, root), "word")
         symbols = words.select(F.explode(K.word_symbols(F.col("word"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
-        order = [F.desc("n"), F.asc("token")]
-        symbols = symbols.orderBy(*order).limit(SYMBOLS)  # SYMBOLS and MERGES rows: small by definition
-        ranked = symbols.select("token", F.row_number().over(Window.orderBy(*order)).cast("int").alias("place"))
-        merged = merge_table(spark, root).groupBy(F.concat("left", "right").alias("token")).agg(
-            (F.min("rank") + SYMBOLS + 1).cast("int").alias("place"))
-        both = ranked.unionByName(merged).groupBy("token").agg(F.min("place").alias("place"))
-        dense = both.select("token", (F.row_number().over(Window.orderBy("place")) - 1).cast("int").alias("id"))
-        return V.append_specials(materialize(dense, "bpe-dense"), BPE_SPECIALS)
+        merged = merge_table(spark, root).groupBy(F.concat("left", "right").alias("token")).agg(F.min("rank").cast("bigint").alias("n"))
+        unknown = spark.range(1).select(F.lit(BPE_UNKNOWN).alias("token"), F.lit(0).cast("bigint").alias("n"))
+        kinds = [df.select("token", F.lit(i).alias("kind"), F.col("n") * sign)
+                 for i, (df, sign) in enumerate(((unknown, 1), (symbols, -1), (merged, 1)))]
+        kinds = [df.toDF("token", "kind", "place") for df in kinds]
+        both = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+        order = F.row_number().over(Window.orderBy("kind", "place", "token")) - 1  # characters and merges
+        return V.append_specials(materialize(both.select("token", order.cast("int").alias("id")), "bpe-dense"), BPE_SPECIALS)
 
     return made_once(spark, root, "bpe-vocab", build)
 
 
 _BPE_IDS = f"""{_BPE_DONE},
-symbols AS (
-  SELECT token, row_number() OVER (ORDER BY c DESC, token) AS place
-  FROM (SELECT token, sum(n) AS c FROM (SELECT unnest(s) AS token, n FROM sym) GROUP BY token ORDER BY c DESC, token LIMIT {SYMBOLS})),
 bv AS (
-  SELECT token, CAST(row_number() OVER (ORDER BY min(place)) - 1 AS INTEGER) AS id FROM (
-    SELECT token, place FROM symbols UNION ALL SELECT l || r, rank + {SYMBOLS + 1} FROM merges) GROUP BY token),
+  SELECT token, CAST(row_number() OVER (ORDER BY kind, place, token) - 1 AS INTEGER) AS id FROM (
+    SELECT '{BPE_UNKNOWN}' AS token, 0 AS kind, 0 AS place
+    UNION ALL SELECT token, 1, -sum(n) FROM (SELECT unnest(s) AS token, n FROM sym) GROUP BY token
+    UNION ALL SELECT l || r, 2, min(rank) FROM merges GROUP BY l || r)),
 bids AS (
   SELECT p.doc_id, p.pos, p.piece_no, coalesce(bv.id, 0) AS id FROM (
     SELECT doc_id, pos, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS piece_no, unnest(s) AS token

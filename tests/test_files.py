@@ -110,3 +110,14 @@ def test_streams_read_folders_and_files(spark, tmp_path):
     n = spark.read.parquet(str(one / "documents.parquet")).count()
     J.count_tokens(J.table_stream(spark, str(one), "documents"), str(one / "counts"), str(one / "state"))
     assert {r.token: r.n for r in J.latest_counts(spark, str(one / "counts")).collect()} == {"a": n, "b": n}
+
+
+def test_byte_pair_ids_give_the_texts_back(spark):
+    """Every symbol has an id of its own: decoding gives each standardised document back, whatever characters it holds."""
+    import __spark_entry__ as entry
+
+    root, queries = "/root/testdata/sf0.001", entry.queries()
+    whole = {r.doc_id: r.text for r in queries["decode_text_pieces"](spark, root).collect()}
+    assert {r.doc_id: r.text for r in queries["bpe_decode"](spark, root).collect()} == whole and len(whole) > 100
+    ids = queries["bpe_encode_ids"](spark, root)
+    assert ids.filter("id = 0").count() == 0  # kept for what is unknown
