@@ -4,11 +4,12 @@ Every document has a hash of 48 bits.  A source's documents with a hash up to a
 threshold that meets the source's word budget is found without sorting: words are summed by source and hash bucket, the
 bucket in which the budget runs out is looked up in the running total of at most 4,096 buckets, and only the documents
 of that one bucket are summed again by finer buckets, until a bucket is a single hash.  The thresholds of a source are
-nested: whoever is in the mix twice is in it once as well.
+nested: whoever is in the mix twice is in it once as well.  Where the budget runs out among rows that share a hash, as many
+of them are taken once more as come nearest to it.
 
 Defined cases: a null text has 0 words; a null source is a source of its own, the last in order; null or repeated ids
-are told apart by their texts; rows that repeat both id and text share a hash and are taken alike; an empty table gives
-an empty mix; a source without words has target 0.
+are told apart by their texts; rows that repeat both id and text share a hash, and at the threshold some of them may be
+taken once more than others; an empty table gives an empty mix; a source without words has target 0.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ LEVELS = 4
 BITS = 12
 #: Sources that one task may number.
 RANKED = 100_000
+#: Equal rows that one row is turned back into at a time.
+EQUAL_ROWS = 10_000
 
 
 def mix_hash(doc_id: Column, text: Column) -> Column:
@@ -89,8 +92,8 @@ def source_targets(
 
 
 def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: ``copies`` that every document gets, and the hash ``last`` up to which documents get one more
-    (-1: none)."""
+    """Per source: ``copies`` that every document gets, the hash ``last`` up to which documents get one more (-1: none), and
+    ``edge``, the hash after it if the budget runs out there, of whose rows ``edge_rows`` get one more."""
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     budgets = targets.withColumn("copies", copies).withColumn(
         "budget", F.col("target") - F.col("copies") * F.col("source_size")
@@ -103,34 +106,49 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         shift = BITS * (LEVELS - step)
         inside = sizes.withColumn("prefix", F.shiftright("h", shift + BITS))
         rows = join_dimension(inside, level.select("key", "prefix"), ["key", "prefix"])
-        buckets = rows.groupBy("key", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        buckets = rows.groupBy("key", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         order = Window.partitionBy("key").orderBy("bucket")
         buckets = buckets.withColumn("upto", F.sum("words").over(order))
         joined = buckets.join(level.drop("prefix"), "key")
         left = F.col("budget") - (F.col("upto") - F.col("words"))
+        found = joined.filter((left >= 0) & (F.col("budget") < F.col("upto")))
         if step < LEVELS:
-            found = joined.filter((left >= 0) & (F.col("budget") < F.col("upto")))
-        else:  # one hash: in, if that is nearer to the budget
-            found = joined.filter((left >= 0) & (F.col("budget") < F.col("upto"))).withColumn(
-                "bucket", F.when(F.col("words") - left < left, F.col("bucket")).otherwise(F.col("bucket") - 1)
-            )
-        found = found.select("key", F.col("bucket").alias("prefix"), left.alias("budget"))
-        level = level.drop("prefix", "budget").join(found, "key", "left")
+            edge = F.lit(None).cast("bigint")
+            found = found.select("key", F.col("bucket").alias("prefix"), left.alias("budget"), edge.alias("edge"), edge.alias("edge_rows"))
+        else:  # one hash: as many of its rows as come nearest to the budget
+            nearest = F.ceil(left * F.col("n") / F.col("words") - 0.5).cast("bigint")
+            found = found.select("key", (F.col("bucket") - 1).alias("prefix"), left.alias("budget"), F.col("bucket").alias("edge"),
+                                 F.greatest(nearest, F.lit(0).cast("bigint")).alias("edge_rows"))
+        level = level.drop("prefix", "budget", "edge", "edge_rows").join(found, "key", "left")
         # a budget that no bucket exceeds takes all there is: the last prefix of the level
         everything = F.lit((1 << (BITS * step)) - 1)
         level = level.withColumn("prefix", F.coalesce("prefix", everything)).withColumn(
             "budget", F.coalesce("budget", F.lit(float("inf")))
         )
         level = materialize(level, "mix-level")
-    return level.select("key", "source_size", "target", "copies", F.col("prefix").alias("last"))
+    return level.select("key", "source_size", "target", "copies", F.col("prefix").alias("last"), "edge", "edge_rows")
 
 
 def taken_by(sizes: DataFrame, plan: DataFrame, copies: str = "copies") -> DataFrame:
-    """Add source_size, target and the number of copies to rows with key and h."""
-    plan = plan.select("key", "source_size", "target", F.col("copies").alias("_all"), "last")
+    """Add source_size, target and the number of copies to rows with key, size and h.
+
+    Equal rows at a threshold are brought to one row with their number, so that any number of them is split at once.
+    """
+    plan = plan.select("key", "source_size", "target", F.col("copies").alias("_all"), "last", "edge", "edge_rows")
     joined = join_dimension(sizes, plan, ["key"])
-    more = (F.col("h") <= F.col("last")).cast("int")
-    return joined.withColumn(copies, F.col("_all") + more).drop("_all", "last")
+    here = F.coalesce(F.col("h") == F.col("edge"), F.lit(False))
+    own = [*sizes.columns, "source_size", "target"]
+    plain = joined.filter(~here).select(*own, (F.col("_all") + (F.col("h") <= F.col("last")).cast("int")).alias(copies))
+    equal = joined.filter(here).groupBy(*joined.columns).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("key", "h").orderBy("size", F.xxhash64(*sizes.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("edge_rows") - F.coalesce(F.sum("_n").over(order), F.lit(0))
+    more = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("_n"), left))
+    split = equal.withColumn("_more", more).withColumn("_part", F.explode(F.array(
+        F.struct(F.lit(1).alias("one"), F.col("_more").alias("n")), F.struct(F.lit(0).alias("one"), (F.col("_n") - F.col("_more")).alias("n")))))
+    split = split.filter("_part.n > 0").withColumn("_at", F.explode(F.expr(f"sequence(0, (_part.n - 1) div {EQUAL_ROWS})")))
+    split = split.repartition(split.sparkSession.sparkContext.defaultParallelism, "h", "_part", "_at")
+    rows = split.withColumn("_i", F.explode(F.expr(f"sequence(1, least({EQUAL_ROWS}, _part.n - _at * {EQUAL_ROWS}))")))
+    return plain.unionByName(rows.select(*own, (F.col("_all") + F.col("_part.one")).alias(copies)))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -183,10 +201,11 @@ b AS (
     target - copies * source_size AS budget FROM t),
 r AS (
   SELECT d.*, b.source_size, b.target, b.copies, b.budget,
-    sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
+    sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own,
+    count(*) OVER (PARTITION BY d.source, h) AS n, row_number() OVER (PARTITION BY d.source, h ORDER BY size, doc_id) AS place
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
-  (size * (copies + CASE WHEN budget >= upto OR (budget >= upto - own AND own - (budget - (upto - own)) < budget - (upto - own))
-    THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (copies + CASE WHEN budget >= upto THEN 1 WHEN budget < upto - own THEN 0
+    WHEN place <= ceil((budget - (upto - own)) * n / own - 0.5) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """

@@ -66,3 +66,18 @@ def test_rows_and_nothing(spark):
     assert all(r.copies in (1, 2) and r.taken == r.copies * r["size"] for r in rows)
     assert sum(r.taken for r in rows) == sum(r.taken for r in mixing.mix(docs).collect())
     assert mixing.mix(cases.none(spark)).count() == 0
+
+
+def test_equal_rows_come_near_the_target(spark):
+    """A source of 1,000 equal rows, and one of equal rows beside others."""
+    rows = [(1, "ten words are in this text and they all count", "a")] * 1000 + [(i, f"word{i} and more of it", "b") for i in range(400)]
+    rows += [(7, "five words of one row", "b")] * 300 + [(i, "x " * (i % 9), "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted(map(tuple, mixing.mix(docs.repartition(4)).collect()))
+    assert first == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect())) and len(first) == len(rows)
+    for source_size in {r[2] for r in first}:
+        target = next(r[3] for r in first if r[2] == source_size)
+        taken = sum(r[4] for r in first if r[2] == source_size)
+        assert abs(taken - target) <= 10, (source_size, taken, target)
+    kept = mixing.mixed_rows(docs).collect()
+    assert sum(r.taken for r in kept) == sum(r[4] for r in first)
