@@ -31,8 +31,6 @@ EQUAL = (
 COPYRIGHT = (
     r"(?m)^[\t\f\r ]*(copyright[\t ]*(\(c\)|©|&copy;|[\[<{(]?([0-9]{4}|year|yyyy)\b)|\(c\)[\t ]*(copyright[\t ]*)?[0-9]{4}\b|©)[^\n]*$"
 )
-#: The rule of the checking SQL.
-SQL_COPYRIGHT = r"(?m)^[\t\f\r ]*(copyright|\(c\)|©)[^\n]*$"
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©–—‘’“”]+"
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -176,15 +174,18 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    out = f"' ' || regexp_replace(regexp_replace({low}, '{SQL_COPYRIGHT}', ' ', 'g'), '{SIGNS}', ' ', 'g') || ' '"
+    out = f"' ' || regexp_replace(regexp_replace({low}, '{COPYRIGHT}', ' ', 'g'), '{SIGNS}', ' ', 'g') || ' '"
     for other, word in EQUAL:
         out = f"replace({out}, ' {other} ', ' {word} ')"
     return f"trim({out})"
 
 
 def _sql_known() -> str:
-    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
-    return f"SELECT sha256({_sql_canonical('t')}) AS digest, min(n) AS name FROM (VALUES {rows}) k(n, t) GROUP BY 1"
+    """The same known texts and digests as :func:`known_texts`; the texts' digests are the SQL's own work."""
+    rows = ", ".join("('{}', '{}')".format(n, " ".join(t.split()).replace("'", "''")) for n, t in (*KNOWN, *MORE))
+    given = ", ".join(f"('{n}', '{d}')" for n, d in DIGESTS)
+    return (f"SELECT digest, min(n) AS name FROM (SELECT n, sha256({_sql_canonical('t')}) AS digest FROM (VALUES {rows}) k(n, t) "
+            f"UNION ALL SELECT n, d FROM (VALUES {given}) g(n, d)) GROUP BY 1")
 
 
 ORACLE = f"""

@@ -413,3 +413,17 @@ def test_common_licenses_and_notices_are_known(spark):
     got = {r.doc_id: r for r in licenses.scan(docs, licenses.known_texts(spark)).collect()}
     assert {n: got[n].license for n in texts} == {n: n for n in texts}
     assert {t: got[t].notices for t in lines} == lines
+
+
+def test_the_checking_sql_has_the_rule_that_runs(spark, tmp_path):
+    import duckdb
+
+    texts = ["SPDX-License-Identifier: BSD-3-Clause", "Copyright holders must agree.\nAll rights reserved.", "Copyright 2020 A\nLicensed under GPLv3",
+             "(c) 1999 B\n" + licenses.BSD_2 + "\n" + licenses.BSD_END, "This program is released under the Zlib license", None, "", "© x", licenses.UNLICENSE]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = sorted(map(tuple, db.sql(f"SELECT doc_id, digest, license, notices FROM ({licenses.ORACLE})").fetchall()))
+    got = licenses.scan(docs, licenses.known_texts(spark)).select("doc_id", "digest", "license", "notices").collect()
+    assert sorted(map(tuple, got)) == want and want[0][3] == "BSD-3-Clause" and want[3][2] == "BSD-2-Clause"
