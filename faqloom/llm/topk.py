@@ -3,8 +3,8 @@
 Vectors become whole numbers, ``floor(scale * x)``.  They are dealt into ranges of descending length, and a range into
 blocks of bounded size.  A first look at a bounded head of the longest vectors gives each query a k-th best score to
 beat; ranges whose longest vector cannot reach it are never sent to the query.  In a block, candidates come longest
-first.  All vectors are turned into the axes of the singular value decomposition, so the first coordinates carry most of
-a product, and the rest is bounded by the product of the residual lengths.  Candidates whose bound falls short are
+first.  All vectors are turned into the axes of the singular value decomposition (the leading ones if they are very wide),
+so the first coordinates carry most of a product, and the rest is bounded by the product of the residual lengths.  Candidates whose bound falls short are
 dropped; the others get their exact whole-number product, and the score to beat rises.
 
 Every query meets every block it can gain from (the query set is stated, and blocks bound what a task holds); a block
@@ -34,8 +34,11 @@ RANGES = 256
 BLOCK = 32_768
 SLICE = 4_096
 CHUNK = 1_024
-#: Vectors of more components are not rotated: the matrix of products would outgrow one machine's memory.
-ROTATED = 1_024
+#: Components of the vectors that a task holds of a block, of queries, or of the head.
+CELLS = 1 << 24
+#: Numbers of the matrix that the axes are found with.  Vectors of up to its root of components are turned into all axes,
+#: wider ones into as many leading axes as it has room for.
+AXES_CELLS, LEAST_AXES, PIECE = 1 << 20, 8, 1 << 16
 #: Bounds are floating point; a score that they miss by less than this share of the lengths' product is worked out.
 SLACK = 1e-9
 OUT = "row bigint, query_id bigint, vec_id bigint, score bigint, at bigint"
@@ -70,24 +73,57 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def axes(vectors: DataFrame, width: int) -> np.ndarray:
-    """The right singular vectors of all vectors, strongest first, from the summed matrix of products."""
-    if not 0 < width <= ROTATED:
-        return np.eye(width)
+def summed_products(vectors: DataFrame, width: int, by: np.ndarray | None) -> np.ndarray:
+    """The sum of v v' over all vectors, times ``by``: added up in tasks, then in pieces of bounded size."""
+    sent = vectors.sparkSession.sparkContext.broadcast(by)
+    columns = width if by is None else by.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total = np.zeros((width, columns))
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, CELLS // (8 * width))):
+                m = matrix(batch.slice(at, max(1, CELLS // (8 * width))).column("v").to_pylist(), width, float)
+                total += m.T @ (m if sent.value is None else m @ sent.value)
+        flat = total.ravel()
+        for at in range(0, flat.size, PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([flat[at : at + PIECE].tobytes()], pa.binary())], ["at", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            m = matrix(batch.column("v").to_pylist(), width, float)
-            total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], ["at", "x"])
+            for at, x in zip(batch.column("at").to_pylist(), batch.column("x").to_pylist()):
+                held[at] = held.get(at, 0) + np.frombuffer(x)
+        for at, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([x.tobytes()], pa.binary())], ["at", "x"])
+
+    pieces = vectors.select("v").mapInArrow(run, "at bigint, x binary").repartition("at").mapInArrow(add, "at bigint, x binary")
+    flat = np.zeros(width * columns)
+    for at, x in pieces.collect():  # AXES_CELLS numbers
+        flat[at : at + len(x) // 8] = np.frombuffer(x)
+    return np.nan_to_num(flat.reshape(width, columns))
 
-    summed = vectors.select("v").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x"))
-    flat = np.zeros(width * width)
-    for at, x in summed.collect():  # width * width numbers
-        flat[at] = x
-    scale = np.abs(flat).max(initial=0) or 1.0
-    return np.linalg.eigh(np.nan_to_num(flat.reshape(width, width) / scale))[1][:, ::-1]
+
+def axes(vectors: DataFrame, width: int) -> np.ndarray:
+    """The right singular vectors of all vectors, strongest first: all of them from the summed matrix of products, or of wide
+    vectors the leading ones, by products with a random matrix (randomised range finder)."""
+    if not width:
+        return np.eye(0)
+    if width * width <= AXES_CELLS:
+        gram = summed_products(vectors, width, None)
+        return np.linalg.eigh(gram / (np.abs(gram).max(initial=0) or 1.0))[1][:, ::-1]
+    leading = min(width, max(LEAST_AXES, AXES_CELLS // width))
+    start = np.linalg.qr(np.random.default_rng(7).standard_normal((width, leading)))[0]
+    reach = summed_products(vectors, width, start)
+    span = np.linalg.qr(reach / (np.abs(reach).max(initial=0) or 1.0))[0]
+    image = span.T @ summed_products(vectors, width, span)
+    image = (image + image.T) / 2
+    return span @ np.linalg.eigh(image / (np.abs(image).max(initial=0) or 1.0))[1][:, ::-1]
+
+
+def residuals(whole: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The lengths of vectors outside the leading axes, no less than they are."""
+    square = np.square(whole.astype(float)).sum(axis=1)
+    return np.sqrt(np.maximum(square - np.square(lead).sum(axis=1), 0) + 1e-12 * square)
 
 
 class Best:
@@ -111,11 +147,13 @@ class Best:
 
 def search(q: pd.DataFrame, c: pd.DataFrame, k: int, turn: np.ndarray) -> Best:
     """The best k candidates for each query, none below the query's tau."""
-    width, lead = len(turn), max(1, len(turn) // 4)
+    width = len(turn)
+    # a quarter of the axes leads if all are known, else those that are
+    turn = turn[:, : max(1, width // 4)] if turn.shape[1] == width else turn
     c = c.iloc[np.argsort(-c["norm"].to_numpy(), kind="stable")]
     qv, cv = matrix(q["v"], width), matrix(c["v"], width)
     qr, qn, cn = qv @ turn, q["norm"].to_numpy(), c["norm"].to_numpy()
-    q_rest = np.sqrt(np.square(qr[:, lead:]).sum(axis=1))
+    q_rest = residuals(qv, qr)
     q_rows, c_ids, c_rows = q["row"].to_numpy(), c["vec_id"].to_numpy(np.int64), c["row"].to_numpy(np.int64)
     best = Best(q["tau"].to_numpy(), k)
     for at in range(0, len(cv), CHUNK):
@@ -125,8 +163,7 @@ def search(q: pd.DataFrame, c: pd.DataFrame, k: int, turn: np.ndarray) -> Best:
         if not len(open_):
             break  # and so for all that follow, which are shorter
         cr = cv[part] @ turn
-        c_rest = np.sqrt(np.square(cr[:, lead:]).sum(axis=1))
-        bound = qr[open_, :lead] @ cr[:, :lead].T + np.outer(q_rest[open_], c_rest) + slack[open_, None]
+        bound = qr[open_] @ cr.T + np.outer(q_rest[open_], residuals(cv[part], cr)) + slack[open_, None]
         may = (bound >= best.tau[open_, None]) & (q_rows[open_, None] != c_rows[None, part])
         some = np.flatnonzero(may.any(axis=1))
         if not len(some):
@@ -158,7 +195,8 @@ def top_k(
     ranged = vectors.withColumn("range", above)
     seen = {r["range"]: (r["rows"], r["longest"]) for r in
             ranged.groupBy("range").agg(F.count("*").alias("rows"), F.max("norm").alias("longest")).collect()}
-    size = min(BLOCK, max(CHUNK, math.ceil(n / (4 * spark.sparkContext.defaultParallelism))))
+    held = max(1, CELLS // max(width, 1))  # rows that fit a task
+    size = min(BLOCK, held, max(CHUNK, math.ceil(n / (4 * spark.sparkContext.defaultParallelism))))
     # short ranges share a block, a long one is dealt into several
     number, block_of, rows_in = 0, {}, 0
     for r in sorted(seen):
@@ -176,7 +214,7 @@ def top_k(
     many = F.create_map(*[F.lit(x) for r, (first, several) in block_of.items() for x in (r, several)])
     share = F.pmod(F.xxhash64("row"), many[F.col("range")].cast("bigint")).cast("int")
     blocked = materialize(ranged.withColumn("block", deal[F.col("range")] + share).drop("range"), "topk-blocks")
-    head = blocked.orderBy(F.desc("norm"), "row").limit(HEAD).toPandas()  # HEAD rows at most
+    head = blocked.orderBy(F.desc("norm"), "row").limit(min(HEAD, held)).toPandas()  # HEAD rows and CELLS numbers at most
     sent = spark.sparkContext.broadcast((head, turn, longest))
 
     def first_look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,10 +231,28 @@ def top_k(
     asked = asked.repartition(spark.sparkContext.defaultParallelism, "row")
     looked = asked.mapInPandas(first_look, "row bigint, vec_id bigint, v array<bigint>, norm double, tau double, last int")
     looked = materialize(looked, "topk-queries")
-    slices = math.ceil(max(1, looked.count()) / SLICE)
-    mine = looked.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
-    mine = mine.filter("last >= 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    theirs = blocked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # queries of like reach share a slice, slices by rising reach: a block goes only to slices that reach it
+    few, number, first, several, reached = min(SLICE, held), 0, {}, {}, []
+    open_rows = 0
+    for last, rows in sorted((r["last"], r["count"]) for r in looked.filter("last >= 0").groupBy("last").count().collect()):
+        if open_rows and open_rows + rows > few:
+            number, open_rows = number + 1, 0
+        first[last], several[last] = number, math.ceil(rows / few)
+        reached += [last] * (number + several[last] - len(reached))
+        reached[number:] = [last] * (len(reached) - number)
+        number, open_rows = (number + several[last], 0) if several[last] > 1 else (number, open_rows + rows)
+    if not reached:
+        return spark.createDataFrame([], result)
+    at, starts = 0, []  # of a block: the first slice that reaches it
+    for b in range(reached[-1] + 1):
+        while reached[at] < b:
+            at += 1
+        starts.append((b, at))
+    starts = F.broadcast(spark.createDataFrame(starts, "block int, _from int"))  # a row per block
+    dealt = F.broadcast(spark.createDataFrame([(x, first[x], several[x]) for x in first], "last int, _first int, _several int"))
+    mine = looked.join(dealt, "last").withColumn("slice", F.col("_first") + F.pmod(F.xxhash64("row"), F.col("_several")).cast("int"))
+    mine = mine.drop("_first", "_several").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    theirs = blocked.join(starts, "block").withColumn("slice", F.explode(F.sequence(F.col("_from"), F.lit(len(reached) - 1)))).drop("_from")
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):

@@ -48,3 +48,17 @@ def test_few_rows_and_large_numbers(spark):
     assert [(q, s) for q, _, _, s in got] == [(q, s) for q, _, _, s in want]
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.top_k(none, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_wide_vectors_are_rotated_too(spark, monkeypatch):
+    """More components than the matrix of products may have: leading axes by a random matrix, same result."""
+    monkeypatch.setattr(topk, "AXES_CELLS", 300)
+    monkeypatch.setattr(topk, "PIECE", 70)
+    monkeypatch.setattr(topk, "CELLS", 2000)
+    rows = table(n=300, width=40)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    vectors = topk.whole_vectors(df, 64.0, "vec_id", "embedding")
+    turn = topk.axes(vectors, 40)
+    assert turn.shape == (40, 8) and abs(turn.T @ turn - topk.np.eye(8)).max() < 1e-9
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    assert sorted(tuple(g) for g in got) == plain(rows, 20, 20)
