@@ -1,10 +1,11 @@
 """Phrase collocations by SON partitioning.
 
 Documents are dealt by digest into a few shards.  Each shard is mined completely at the support lowered in proportion
-(``ceil(support / shards)``): a phrase below that in every shard stays below the support in all of them together.  Tasks
-count the words and word pairs of their part of a shard as hashes, one row per distinct hash, and a shuffle adds them up by
-shard; a second look does the same for longer phrases, at places where every inner pair is frequent in the shard.  What is
-frequent in some shard is a candidate.  A last look counts all candidates over the whole corpus, as text and exactly.
+(``ceil(support / shards)``): a phrase below that in every shard stays below the support in all of them together.  A shard
+is no task: tasks count the word pairs of their parts of the shards as hashes, and a shuffle of packed arrays of distinct
+hashes adds them up; a second look does the same for longer phrases, at places where every inner pair is frequent in the
+shard, and for the words there.  What is frequent in some shard is a candidate.  A last look counts all candidates over the
+whole corpus, as text and exactly.
 
 Hashes only choose what is counted: a collision can add a candidate, never lose one, and counts come from the texts' own
 words.  What the tasks of the next look have to know is sent as a bit filter of bounded size (``FILTER_BITS``); when it
@@ -22,7 +23,7 @@ import math
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,12 @@ from faqloom.session import bucket_count, materialize
 
 SHARDS = 5
 #: Words that a task takes together before it hands on their counts.
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 20
+#: Keys are shuffled in packs by their highest bits; a partition gets the packs of about so many bytes of text.
+BUCKET_BITS = 10
+BUCKETS = 1 << BUCKET_BITS
+PART_BYTES = 1 << 25
+HELD_KEYS = 1 << 22
 #: A long text is cut into words in steps of about so many bytes.
 STEP_BYTES = 1 << 22
 FILTER_BITS = 27
@@ -72,27 +78,30 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The words of some documents as numbers; languages and shards have numbers of their own."""
+    """The words of some documents as numbers, a language's apart from another's, with the shard of each place."""
 
     def __init__(self):
-        self.numbers, self.next, self.parts, self.size = {}, count(1), [], 0
+        self.numbers, self.next, self.parts, self.dealt, self.size = {}, count(1), [], [], 0
 
     def add(self, lang: str, shard: int, text: str) -> None:
-        known = self.numbers.get((lang, shard))
+        known = self.numbers.get(lang)
         if known is None:
-            known = self.numbers[lang, shard] = defaultdict(self.next.__next__, {END: 0})
+            known = self.numbers[lang] = defaultdict(self.next.__next__, {END: 0})
+        size = self.size
         for words in words_of(text):
             self.parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             self.size += len(words)
         self.parts.append(np.zeros(1, np.int32))
+        self.size += 1
+        self.dealt.append((shard, self.size - size))
 
     def close(self) -> None:
         self.ids = np.concatenate([*self.parts, np.zeros(8, np.int32)])
-        self.parts = []
+        self.shard = np.repeat(*np.array(self.dealt, np.uint64).T.astype(np.int64)).astype(np.uint64)
         total = next(self.next)
         self.words: list[bytes] = [b""] * total
-        self.shard, self.lang, self.hash = np.zeros(total, np.uint64), [""] * total, np.zeros(total, np.uint64)
-        for (lang, shard), known in self.numbers.items():
+        self.lang, self.hash = [""] * total, np.zeros(total, np.uint64)
+        for lang, known in self.numbers.items():
             seed = xxhash.xxh64_intdigest(lang.encode())
             places, hashes = array("q"), array("Q")
             for word, i in known.items():
@@ -100,9 +109,8 @@ class Block:
                     self.words[i], self.lang[i] = word, lang
                     places.append(i)
                     hashes.append(xxhash.xxh64_intdigest(word, seed))
-            self.shard[np.frombuffer(places, np.int64)] = shard
             self.hash[np.frombuffer(places, np.int64)] = np.frombuffer(hashes, np.uint64)
-        self.numbers = {}
+        self.numbers, self.parts = {}, []
 
     def levels(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per length: the hash of the phrase that starts at each place, and whether one does (it lies in one piece)."""
@@ -118,7 +126,7 @@ class Block:
 
     def keys(self, h: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Hashes at some places with the shard in the lowest byte."""
-        return (h[places] & ~np.uint64(255)) | self.shard[self.ids[places]]
+        return (h[places] & ~np.uint64(255)) | self.shard[places]
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -185,77 +193,119 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
 # The three looks
 
 
-def counted_keys(docs: DataFrame, lengths: range, known: np.ndarray | None) -> DataFrame:
-    """hash, shard, n of phrases of some lengths, a row per distinct phrase of a block.  With ``known``, a phrase counts
-    only where all its pairs are in that filter."""
+def summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, with the sums of their numbers (1 each by default)."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys)) if n is None else np.add.reduceat(n.astype(np.int64), first)
+
+
+def counted_keys(docs: DataFrame, shortest: int, longest: int, known: np.ndarray | None) -> DataFrame:
+    """bucket, keys, n: a block's distinct phrases of ``shortest`` to ``longest`` words as 64-bit keys (hash, and the shard in the lowest byte)
+    with their numbers, packed by bucket of their highest bits.  With ``known``, a phrase counts only where all its pairs are
+    in that filter, and words count as the ones of such pairs."""
     sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             pair = open_ = None
-            for size, h, starts in block.levels(lengths[-1]):
+            for size, h, starts in block.levels(longest):
                 if sent is not None and size == 2:
                     places = np.flatnonzero(starts)
-                    pair = np.zeros(len(h) + lengths[-1], bool)
+                    pair = np.zeros(len(h) + longest, bool)
                     pair[places] = passes(sent.value, block.keys(h, places))
                     open_ = pair[: len(h)].copy()
+                    word = pair[: len(h)].copy()
+                    word[1:] |= pair[: len(h) - 1]
+                    yield from packed(*summed(block.keys(block.hash[block.ids], np.flatnonzero(word))))
                 elif sent is not None and size > 2:
                     open_ &= pair[size - 2 : size - 2 + len(h)]
                     starts = starts & open_
-                if size not in lengths:
-                    continue
-                keys = np.sort(block.keys(h, np.flatnonzero(starts)))
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-                n = np.diff(first, append=len(keys))
-                keys = keys[first]
-                for at in range(0, len(keys), ROWS):
-                    part = keys[at : at + ROWS]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((part & ~np.uint64(255)).view(np.int64)), pa.array((part & np.uint64(255)).astype(np.int8)),
-                         pa.array(n[at : at + ROWS].astype(np.int32))], ["hash", "shard", "n"])
+                if size >= shortest:
+                    yield from packed(*summed(block.keys(h, np.flatnonzero(starts))))
+
+    def packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        borders = np.searchsorted(keys, np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+        some = [(i, k.tobytes(), m.astype(np.uint32).tobytes())
+                for i, (k, m) in enumerate(zip(np.split(keys, borders), np.split(n, borders))) if len(k)]
+        if some:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*some), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "keys", "n"])
 
-    return docs.mapInArrow(run, "hash bigint, shard tinyint, n int")
+    return docs.mapInArrow(run, "bucket int, keys binary, n binary")
 
 
 def locally_frequent(counts: DataFrame, least: int, support: int | None) -> DataFrame:
     """hash, shard of what reaches the lowered support in the shard.  Where the counts are complete, ``support`` also asks
     for the sum over all shards."""
-    # one shuffle for both groupings
-    local = counts.repartition("hash").groupBy("hash", "shard").agg(F.sum("n").alias("n"))
-    if support is None:
-        return local.filter(F.col("n") >= least).select("hash", "shard")
-    seen = local.groupBy("hash").agg(
-        F.sum("n").alias("total"), F.collect_list(F.when(F.col("n") >= least, F.col("shard"))).alias("shards"))
-    return seen.filter((F.col("total") >= support) & (F.size("shards") > 0)).select("hash", F.explode("shards").alias("shard"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one task has all numbers of a key; what came so far is summed up whenever enough has come
+        keys, n, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            for k, m in zip(batch.column("keys"), batch.column("n")):
+                keys.append(np.frombuffer(k.as_buffer(), np.uint64).copy())
+                n.append(np.frombuffer(m.as_buffer(), np.uint32).copy())
+                size += len(keys[-1])
+                if size > HELD_KEYS:
+                    k, m = summed(np.concatenate(keys), np.concatenate(n))
+                    keys, n, size = [k], [m], len(k) // 2  # half of what is distinct: each sum is worth its time
+        k, m = summed(np.concatenate(keys), np.concatenate(n))
+        del keys, n
+        ok = m >= least
+        if support is not None and len(k):
+            h = k & ~np.uint64(255)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            total = np.add.reduceat(m, first)
+            ok &= np.repeat(total, np.diff(first, append=len(h))) >= support
+        k = k[ok]
+        for at in range(0, len(k), ROWS):
+            part = k[at : at + ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((part & ~np.uint64(255)).view(np.int64)), pa.array((part & np.uint64(255)).astype(np.int16))],
+                ["hash", "shard"])
+
+    return counts.mapInArrow(run, "hash bigint, shard smallint")
+
+
+def dealt_by_bucket(counts: DataFrame, size: int) -> DataFrame:
+    """The shuffle that brings a bucket's keys together; so many partitions that each has a bounded share of ``size`` bytes
+    of text."""
+    parts = max(bucket_count(counts.sparkSession), size // PART_BYTES)
+    return counts.repartition(min(parts, BUCKETS), "bucket")
 
 
 def counted_phrases(docs: DataFrame, candidates: np.ndarray, longest: int) -> DataFrame:
-    """lang, size, phrase, n of all candidates in the whole corpus, a row per block; size 0 counts a language's words."""
+    """bucket, keys, n: a block's candidates as text, packed by bucket.  A key is language, line end and phrase; the empty
+    phrase counts a language's words."""
     sent = docs.sparkSession.sparkContext.broadcast(candidates)
 
-    def rows(block: Block, size: int, places: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(block: Block, size: int, places: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, str, int]]:
         places = places[np.argsort(h[places], kind="stable")]
-        words = np.stack([block.ids[places + j] for j in range(size)]) if len(places) else np.zeros((size, 0), np.int32)
+        if not len(places):
+            return
+        words = np.stack([block.ids[places + j] for j in range(size)])
         # equal hashes lie together; what differs in a word is another phrase all the same
-        first = np.flatnonzero(np.concatenate([[True], (words[:, 1:] != words[:, :-1]).any(axis=0)])) if len(places) else []
-        n = np.diff(first, append=len(places))
-        for at in range(0, len(first), ROWS):
-            ids = words[:, first[at : at + ROWS]].T.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.lang[i[0]] for i in ids], pa.string()), pa.array([size] * len(ids), pa.int32()),
-                 pa.array([b" ".join([block.words[i] for i in p]).decode() for p in ids], pa.string()),
-                 pa.array(n[at : at + ROWS], pa.int64())], ["lang", "size", "phrase", "n"])
+        first = np.flatnonzero(np.concatenate([[True], (words[:, 1:] != words[:, :-1]).any(axis=0)]))
+        bucket = (h[places[first]] >> np.uint64(64 - BUCKET_BITS)).tolist()
+        n = np.diff(first, append=len(places)).tolist()
+        for at, ids, many in zip(bucket, words[:, first].T.tolist(), n):
+            yield at, f"{block.lang[ids[0]]}\n{b' '.join([block.words[i] for i in ids]).decode()}", many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
+            packs: dict[int, tuple[list[str], list[int]]] = defaultdict(lambda: ([], []))
             uses = np.bincount(block.ids[: len(block.ids) - 8], minlength=len(block.words))
             total: dict[str, int] = defaultdict(int)
             for lang, n in zip(block.lang[1:], uses[1:].tolist()):
                 total[lang] += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.string()), pa.array([0] * len(total), pa.int32()),
-                 pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())],
-                ["lang", "size", "phrase", "n"])
+            found = [(xxhash.xxh64_intdigest(lang.encode()) >> (64 - BUCKET_BITS), f"{lang}\n", n) for lang, n in total.items()]
             pair = open_ = None
             for size, h, starts in block.levels(longest):
                 if size > 2:
@@ -267,15 +317,44 @@ def counted_phrases(docs: DataFrame, candidates: np.ndarray, longest: int) -> Da
                     pair = np.zeros(len(h) + longest, bool)
                     pair[places] = True
                     open_ = pair[: len(h)].copy()
-                yield from rows(block, size, places, h)
+                for bucket, key, n in chain(found, rows(block, size, places, h)):
+                    keys, numbers = packs[bucket]
+                    keys.append(key)
+                    numbers.append(n)
+                found = []
+            some = [(bucket, keys, n) for bucket, (keys, n) in packs.items()]
+            for at in range(0, len(some), 64):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*some[at : at + 64]), (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())))],
+                    ["bucket", "keys", "n"])
+
+    return docs.mapInArrow(run, "bucket int, keys array<string>, n array<bigint>")
+
+
+def globally_frequent(counts: DataFrame, support: int) -> DataFrame:
+    """lang, size, phrase, n of all candidates with the support, and with size 0 each language's number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = defaultdict(int)  # the distinct candidates of a partition
+        for batch in batches:
+            for keys, n in zip(batch.column("keys"), batch.column("n")):
+                for key, many in zip(keys.as_py(), n.as_py()):
+                    total[key] += many
+        kept = [(*key.rsplit("\n", 1), n) for key, n in total.items() if n >= support or key[-1] == "\n"]
+        for at in range(0, len(kept), ROWS):
+            lang, phrase, n = zip(*kept[at : at + ROWS])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p in phrase], pa.int32()),
+                 pa.array(phrase, pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
 
-    return docs.mapInArrow(run, "lang string, size int, phrase string, n bigint")
+    return counts.mapInArrow(run, "lang string, size int, phrase string, n bigint")
 
 
 def frequent_phrases(
     docs: DataFrame, support: int, longest: int, shards: int = SHARDS, lang: str = "lang", text: str = "text"
 ) -> DataFrame:
-    """lang, size, phrase, n of every phrase of 1 to ``longest`` words with n >= ``support``; size 0 has all words' number."""
+    """lang, size, phrase, n of every phrase of 2 to ``longest`` words with n >= ``support`` and of the words in them; size 0
+    has the number of all words."""
     if not 1 <= shards <= 255 or longest < 2 or longest > 8 or support < 1:
         raise ValueError("1 to 255 shards, phrases of 2 to 8 words, a support of at least 1")
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
@@ -283,16 +362,15 @@ def frequent_phrases(
     whole = rows.select("lang", "text", F.lit(0).alias("shard"))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("lang", "text"), F.lit(shards)).cast("int"))
     least = -(-support // shards)
-    short = materialize(locally_frequent(counted_keys(dealt, range(1, 3), None), least, support), "phrases-pairs")
-    found = short
-    if longest > 2:
-        pairs = bit_filter(short.select(F.col("hash").bitwiseOR(F.col("shard").cast("bigint")).alias("key")))
-        longer = locally_frequent(counted_keys(dealt, range(3, longest + 1), pairs), least, None)
-        found = short.unionByName(materialize(longer, "phrases-longer"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    short = dealt_by_bucket(counted_keys(dealt, 2, 2, None), size)
+    short = materialize(locally_frequent(short, least, support), "phrases-pairs")
+    pairs = bit_filter(short.select(F.col("hash").bitwiseOR(F.col("shard").cast("bigint")).alias("key")))
+    longer = dealt_by_bucket(counted_keys(dealt, 3, longest, pairs), size)
+    found = short.unionByName(materialize(locally_frequent(longer, least, None), "phrases-longer"))
     candidates = bit_filter(materialize(found.select(F.col("hash").alias("key")).distinct(), "phrases-candidates"))
-    counts = counted_phrases(whole, candidates, longest)
-    total = counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(total.filter((F.col("n") >= support) | (F.col("size") == 0)), "phrases-frequent")
+    counts = dealt_by_bucket(counted_phrases(whole, candidates, longest), size)
+    return materialize(globally_frequent(counts, support), "phrases-frequent")
 
 
 def quotient(a: Column, n: Column, left: Column, right: Column) -> Column:
