@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faqloom.llm.common import is_small, join_counts
+from faqloom.llm.common import HOT_KEYS, is_small, join_counts
 from faqloom.session import materialize, scratch_path
 
 CHUNK = 1 << 20
@@ -92,6 +92,11 @@ def record_types(digests: DataFrame, least: int = 0) -> DataFrame:
     )
 
 
+def record_key() -> Column:
+    """One text for a page id, null or not, and a payload's key."""
+    return F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(":"), F.col("payload_key").cast("string"))
+
+
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}').urn}>"
 
@@ -285,15 +290,21 @@ def archive(pages: DataFrame, folder: str, least: int = 0, size: int = CHUNK) ->
         F.xxhash64(F.coalesce("html", F.lit("")), F.length("html")).alias("payload_key"),
     )
     digests = materialize(payload_digests(chunked(rows, "html", size)), "warc-digests")
-    types = materialize(record_types(digests, least), "warc-types")
+    types = record_types(digests, least).withColumn("_key", record_key())
+    times = digests.groupBy(record_key().alias("_key")).agg(F.count("*").alias("_times"))
+    types = materialize(types.join(times, "_key"), "warc-types")
     numbered = rows.withColumn("_record", F.monotonically_increasing_id())
-    parts = chunked(numbered, "html", size)
-    same = parts["page_id"].eqNullSafe(types["page_id"]) & (parts["payload_key"] == types["payload_key"])
+    parts = chunked(numbered, "html", size).withColumn("_key", record_key())
+    known = types.drop("page_id", "payload_key", "_times")
     if is_small(types):  # chunks stay where and as they are read
-        typed = parts.join(F.broadcast(types), same)
+        typed = parts.join(F.broadcast(known), "_key")
     else:
-        typed = parts.join(types.hint("merge"), same).sortWithinPartitions(parts["_record"], parts["chunk_no"])
-    typed = typed.drop(types["page_id"], types["payload_key"])
+        # what repeats most stays where it is read, too; any other key holds less than a thousandth of the rows
+        hot = types.filter("_times > 1").orderBy(F.desc("_times"), "_key").limit(HOT_KEYS)
+        near = parts.join(F.broadcast(hot.select(*known.columns)), "_key")
+        rest = parts.join(F.broadcast(hot.select("_key")), "_key", "left_anti").join(known.hint("merge"), "_key")
+        typed = near.unionByName(rest.sortWithinPartitions("_record", "chunk_no"))
+    typed = typed.drop("_key")
     files, path = pafs.FileSystem.from_uri(folder)
     files.create_dir(path)
     return materialize(write_archives(typed, folder), "warc-manifest")
