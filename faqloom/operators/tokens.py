@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faqloom.functions.text import basic_token_array, split_words, standardize_text, word_token_array
+from faqloom.functions.repair import repair_text
+from faqloom.functions.segment import segment_words
+from faqloom.functions.text import basic_token_array, standardize_text, word_token_array
 from faqloom.functions.unicode_rules import bind
 from faqloom.operators.lookup import lookup, small_side
 from faqloom.session import bucket_count, materialize
@@ -31,8 +33,9 @@ def word_tokens(df: DataFrame, *keep: str, text: str = "line", **options) -> Dat
 
 
 def bpe_words(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """Lower-cased words of standardised text, ready for byte-pair splitting (words are cut at white space)."""
-    return token_rows(df, split_words(F.regexp_replace(F.lower(standardize_text(F.col(text))), r"\s", " ")), *keep)
+    """Lower-cased words of repaired, standardised and segmented text, ready for byte-pair splitting."""
+    words = segment_words(standardize_text(repair_text(F.col(text))))
+    return token_rows(df, F.transform(words, F.lower), *keep)
 
 
 def distinct_words(tokens: DataFrame, word: str = "token") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faqloom.functions import text as T
+from faqloom.functions.repair import repair_text as repaired
+from faqloom.functions.segment import segment_words as segmented
 from faqloom.functions.wordlists import ENGLISH_STOP_WORDS
 from faqloom.operators import tokens as K
 from faqloom.operators import vocab as V
@@ -230,11 +232,35 @@ def standardize_corpus(spark, root):
     return documents(spark, root).select("doc_id", T.standardize_text(F.col("text")).alias("text_std"))
 
 
-_BPE_WORDS = f"""
-bw AS (
-  SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos, unnest(ws) AS word FROM (
-    SELECT doc_id, list_filter(string_split_regex(lower({_STANDARD}), '[\\s\\x{{2028}}\\x{{2029}}]+'), lambda v: v <> '') AS ws
-    FROM documents)),
+_SEGMENTS = f"{S.repaired_cte('SELECT doc_id, text AS t FROM documents')}, {S.segments_cte(f'r{S.R.ROUNDS}', _STANDARD.replace('(text,', '(t,'))}"
+
+
+@query("segment_words", f"""WITH {_SEGMENTS}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ci, ti) - 1 AS INTEGER) AS pos, token
+FROM (SELECT doc_id, ci, generate_subscripts(tokens, 1) AS ti, unnest(tokens) AS token FROM segs)""")
+def segment_words(spark, root):
+    """The words of every repaired and standardised document, by the rules for prefixes, suffixes, infixes and exceptions."""
+    words = segmented(T.standardize_text(repaired(F.col("text"))))
+    return documents(spark, root).select("doc_id", F.posexplode(words).alias("pos", "token"))
+
+
+@query("repair_text", f"""WITH {S.repaired_cte('SELECT doc_id, text AS t FROM documents')}
+SELECT doc_id, t AS text, t AS damaged_once, t AS damaged_twice FROM r{S.R.ROUNDS}""")
+def repair_text(spark, root):
+    """Every document repaired as it is, and after its bytes were read wrongly once and twice: each time the same text."""
+
+    def damaged(text):
+        return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+    once = damaged(F.col("text"))
+    return documents(spark, root).select(
+        "doc_id", repaired(F.col("text")).alias("text"), repaired(once).alias("damaged_once"), repaired(damaged(once)).alias("damaged_twice"))
+
+
+_BPE_WORDS = f"""{_SEGMENTS},
+bw AS MATERIALIZED (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ci, ti) - 1 AS INTEGER) AS pos, lower(token) AS word
+  FROM (SELECT doc_id, ci, generate_subscripts(tokens, 1) AS ti, unnest(tokens) AS token FROM segs)),
 dw AS (SELECT word, count(*) AS n FROM bw GROUP BY word),
 sym AS (
   SELECT word, n, list_append(list_slice(cs, 1, len(cs) - 1), cs[-1] || '</w>') AS s
