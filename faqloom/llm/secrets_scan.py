@@ -82,10 +82,18 @@ class Model(NamedTuple):
 
 
 def common_words(docs: DataFrame, text: str = "text", most: int = COMMON, least: int = COMMON_LEAST) -> frozenset[str]:
-    """The ``most`` words of 3 to 11 letters that stand in the most documents, ``least`` or more; counted over all of them."""
+    """The commonest words of 3 to 11 letters by the documents they stand in, ``least`` or more, counted over all of them: as
+    many as there are at most ``most`` of.  Words as common as the first one too many stay out."""
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("word"))
     counts = words.filter(F.length("word").between(3, 11)).groupBy("word").count().filter(F.col("count") >= least)
-    return frozenset(r[0] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect())
+    counts = materialize(counts, "secret-words")
+    total, border = 0, least
+    for row in counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).toLocalIterator():
+        total += row["words"]
+        if total > most:
+            border = row["count"] + 1
+            break
+    return frozenset(r[0] for r in counts.filter(F.col("count") >= border).select("word").collect())
 
 
 def classes(value: str) -> list[int]:
