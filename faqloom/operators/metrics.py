@@ -109,3 +109,23 @@ def roc_auc(cells: DataFrame, group: Sequence[str] = (), score: str = "logit", y
     value = F.when((n_pos > 0) & (n_neg > 0), area / (2.0 * n_pos * n_neg))
     aggs = [value.alias("value"), F.sum(F.col("pos") + F.col("neg")).cast("bigint").alias("n")]
     return ranked.groupBy(*group).agg(*aggs) if group else ranked.agg(*aggs)
+
+
+def roc_points(cells: DataFrame, group: Sequence[str] = (), score: str = "logit", y: str = "y") -> DataFrame:
+    """The points of the ROC curve per group: threshold (a score; what reaches it counts as positive), fpr, tpr; one per
+    distinct score, null where a class is missing.
+
+    Equal scores are counted together first; both counts come from two-phase running totals, as the area does.
+    """
+    histogram = cells.groupBy(*group, score).agg(
+        F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"),
+    )
+    placed = quantile_buckets(histogram, score, "_b")
+    below = running_total(placed, F.col("pos"), [score], ["_b"], "_pos", group=group, group_total="_all_pos")
+    below = running_total(below, F.col("neg"), [score], ["_b"], "_neg", group=group, group_total="_all_neg")
+
+    def share(under: str, all_: str):
+        return F.when(F.col(all_) > 0, (F.col(all_) - F.col(under)).cast("double") / F.col(all_).cast("double"))
+
+    return below.select(*group, F.col(score).alias("threshold"), share("_neg", "_all_neg").alias("fpr"), share("_pos", "_all_pos").alias("tpr"))

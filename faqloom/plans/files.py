@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from faqloom.operators import vocab as V
 from faqloom.operators.splits import union_files
+from faqloom.plans import features
 from faqloom.plans import sql as S
 from faqloom.plans.corpora import _SPLIT, split_column
-from faqloom.plans.registry import query
+from faqloom.plans.registry import ORACLE, query
 from faqloom.plans.text import WORD_VOCAB_SQL, document_lines, document_tokens, word_vocab
 from faqloom.session import bucket_count, scratch_path
 from faqloom.sources import files as R
 from faqloom.sources import sinks as W
-from faqloom.sources.tables import faq_pairs, table
+from faqloom.sources.tables import faq_pairs, input_files, table
 
 PLACE = ["doc_id", "line_no"]
 
@@ -126,16 +127,18 @@ def corpus_scan(spark, root):
     return union_files(parts).select("split", "line_no", "line")
 
 
-@query("feature_cache", f"WITH {S.BASIC} SELECT token, count(*) AS n FROM toks GROUP BY token")
+@query("feature_cache", ORACLE["bert_features"])
 def feature_cache(spark, root):
-    """The second call reads what the first one wrote."""
+    """Padded features, written under a digest of what they depend on: the input's files, the vocabulary and the lengths.
+    The second call reads what the first one wrote."""
     store = scratch_path(spark, "cache")
-    params = {"input": f"{root}/documents", "table": "token-counts", "lower": True}
-    W.cached_table(spark, store, params, lambda: V.token_counts(document_tokens(spark, root)))
+    vocab = features.piece_vocab(spark, root)
+    digest = vocab.agg(F.sum(F.xxhash64("token", "id").cast("decimal(38,0)")), F.count("*")).first()
+    params = {"table": "bert-features", "input": input_files(table(spark, root, "conversations")), "vocabulary": [str(digest[0]), digest[1]],
+              "max_len": features.TRAIN_LEN, "stop_words": sorted(features.ENGLISH_STOP_WORDS)}
+    W.cached_table(spark, store, params, lambda: features.bert_features(spark, root))
 
     def again():
         raise AssertionError("the cached table was not found")
 
     return W.cached_table(spark, store, params, again)
-
-

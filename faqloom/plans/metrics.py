@@ -80,6 +80,31 @@ def auc_micro(spark, root):
     return rounded(M.roc_auc(cells(spark, root)))
 
 
+def _points_sql(group: str) -> str:
+    g, p = (f"{group}, ", f"PARTITION BY {group}") if group else ("", "")
+    reached = f"OVER ({p} ORDER BY logit DESC)"
+    return f"""WITH {_CELLS},
+hist AS (SELECT {g} logit, sum(y) AS pos, sum(1 - y) AS neg FROM cells GROUP BY {g} logit)
+SELECT {g} round(logit, 6) AS threshold, round(sum(neg) {reached} / sum(neg) OVER ({p}), 9) AS fpr,
+       round(sum(pos) {reached} / sum(pos) OVER ({p}), 9) AS tpr FROM hist"""
+
+
+def rounded_points(df):
+    return df.withColumns({"threshold": F.round("threshold", 6), "fpr": F.round("fpr", 9), "tpr": F.round("tpr", 9)})
+
+
+@query("roc_points_per_label", _points_sql("label"))
+def roc_points_per_label(spark, root):
+    """False and true positive rates of every label at every score."""
+    return rounded_points(M.roc_points(cells(spark, root), ["label"]))
+
+
+@query("roc_points_micro", _points_sql(""))
+def roc_points_micro(spark, root):
+    """The same over the cells of all labels together."""
+    return rounded_points(M.roc_points(cells(spark, root)))
+
+
 def vectors(spark, root):
     return table(spark, root, "embeddings").select("vec_id", "label", doubles(F.col("embedding")).alias("x"))
 

@@ -121,3 +121,15 @@ def test_byte_pair_ids_give_the_texts_back(spark):
     assert {r.doc_id: r.text for r in queries["bpe_decode"](spark, root).collect()} == whole and len(whole) > 100
     ids = queries["bpe_encode_ids"](spark, root)
     assert ids.filter("id = 0").count() == 0  # kept for what is unknown
+
+
+def test_cache_names_follow_the_input(spark, tmp_path):
+    """The digest of a table's files: the same for the same files, another one for other data under the same path."""
+    from faqloom.sources.tables import input_files
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(5).write.parquet(path)
+    first = input_files(spark.read.parquet(path))
+    assert first == input_files(spark.read.parquet(path))
+    spark.range(6).write.mode("overwrite").parquet(path)
+    assert first != input_files(spark.read.parquet(path))
