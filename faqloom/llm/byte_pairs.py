@@ -8,7 +8,8 @@ overlaps; then every chunk encodes the pieces from its own cut up to the next ch
 border (a pre-token longer than the overlap), the rest of that text is scanned in order by one task, which keeps only the
 open pre-token.  A text of one chunk is encoded where it lies and never moves.
 
-A pre-token is merged from its bytes, the lowest rank first, the leftmost of equals; decoding puts the ids' bytes after
+A pre-token is merged from its bytes, the lowest rank first, the leftmost of equals (a pre-token by itself is a pre-token
+again, so the library may be asked for it alone); decoding puts the ids' bytes after
 each other.  The pattern's character classes are those of the library the ranks are for, asked for once in each task,
 since Unicode versions differ.
 
@@ -41,7 +42,7 @@ OVERLAP = 1 << 8
 #: A match this far ahead of a chunk's end cannot turn out otherwise in a longer text: contractions have three characters.
 MARGIN = 3
 #: Merged pre-tokens a task remembers; beyond it the memory starts anew.
-REMEMBERED = 3 << 16
+REMEMBERED = 1 << 17
 #: Ids and bytes of texts a task hands on at once.
 BATCH_CHARS = 1 << 21
 LONG_PIECE = 64
@@ -79,32 +80,10 @@ def splitter(pattern: str) -> re.Pattern:
     return re.compile("".join(out))
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    if len(piece) > LONG_PIECE:
-        return merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    far = len(ranks) + (1 << 30)
-    pairs = [ranks.get(a + b, far) for a, b in zip(parts, parts[1:])]
-    while pairs:
-        best = min(pairs)
-        if best == far:
-            break
-        at = pairs.index(best)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
-        if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], far)
-        if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1], far)
-    return [ranks[p] for p in parts]
-
-
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for a long pre-token: neighbours in linked lists, candidates in a heap."""
+    """The ids of one pre-token of any length: neighbours in linked lists, candidates in a heap."""
+    if piece in ranks:
+        return [ranks[piece]]
     size = len(piece)
     end = list(range(1, size + 1))  # where the part that starts here ends; 0 when it went into another
     ahead = list(range(-1, size - 1))
@@ -134,26 +113,42 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Encoder(dict):
-    """Pre-token -> its ids as 32-bit numbers in bytes.  What was not seen lately is merged anew: the memory is two
-    generations of ``REMEMBERED`` pre-tokens, of which the older goes when the younger is full."""
+class Seen(dict):
+    """Pre-token -> its ids as 32-bit numbers in bytes; asks the encoder for what it lacks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split, self.older = ranks, splitter(pattern), {}
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+        return self.encoder.learn(piece)
+
+
+class Encoder:
+    """Merges what it has not seen lately: short pre-tokens by the ranks' library, one at a time, long ones in time that does
+    not grow with the square of their length.  It remembers two generations of ``REMEMBERED`` pre-tokens; when the younger one
+    is full, it becomes the older one, which goes."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import tiktoken
+
+        self.ranks, self.split = ranks, splitter(pattern)
+        self.library = tiktoken.Encoding("pre-tokens", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.young, self.older = Seen(self), {}
+
+    def learn(self, piece: str) -> bytes:
+        ids = self.young.get(piece) or self.older.get(piece)
         if ids is None:
-            ids = array("i", merge(piece.encode(), self.ranks)).tobytes()
+            long_ = len(piece) > LONG_PIECE
+            ids = merge_long(piece.encode(), self.ranks) if long_ else self.library.encode_ordinary(piece)
+            ids = array("i", ids).tobytes()
         if len(piece) <= LONG_PIECE:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
+            if len(self.young) >= REMEMBERED:
+                self.older, self.young = self.young, Seen(self)
+            self.young[piece] = ids
         return ids
 
     def of(self, pieces: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)
+        return np.frombuffer(b"".join(map(self.young.__getitem__, pieces)), np.int32)
 
     def ids(self, text: str) -> np.ndarray:
         return self.of(self.split.findall(text))
