@@ -42,3 +42,18 @@ def bce(logit: Column, y: Column) -> Column:
 
 def nll(logits: Column, label: Column) -> Column:
     return log_sum_exp(logits) - F.get(logits, label)
+
+
+def banded_nll(logits: Column, label: Column, borders: list[int], clusters: Column) -> Column:
+    """Negative log-likelihood with a normaliser in two steps: a head of the labels ahead of the first border and one cluster
+    score per band behind it, then the labels of the label's own band.
+
+    ``borders`` are the first labels of the bands, then the number of labels; ``clusters`` holds a score per band.
+    """
+    head = F.concat(F.slice(logits, 1, borders[0]), clusters)
+    norm = log_sum_exp(head)
+    loss = norm - F.get(logits, label)
+    for band, (start, stop) in enumerate(zip(borders, borders[1:])):
+        own = log_sum_exp(F.slice(logits, start + 1, stop - start)) - F.get(logits, label)
+        loss = F.when((label >= start) & (label < stop), norm - F.get(clusters, F.lit(band)) + own).otherwise(loss)
+    return loss

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faqloom.functions.vectors import argmax, bce, doubles
+from faqloom.functions.vectors import argmax, banded_nll, bce, doubles, total
 from faqloom.operators import metrics as M
 from faqloom.plans import scoring
 from faqloom.plans.registry import query
@@ -211,3 +211,25 @@ def metrics_append(spark, root):
     return spark.read.parquet(path).select(F.col("run_id").cast("string").alias("run_id"), "metric", "value")
 
 
+
+
+BORDERS = [4, 7, 10]
+
+
+@query("banded_nll", f"""WITH {scoring._FIT},
+band AS (
+  SELECT vec_id, label, x, CASE WHEN label < {BORDERS[0]} THEN -1 WHEN label < {BORDERS[1]} THEN 0 ELSE 1 END AS band FROM logit),
+cluster AS (SELECT vec_id, band, avg(x) AS c, ln(sum(exp(x))) AS norm FROM band WHERE band >= 0 GROUP BY vec_id, band),
+head AS (
+  SELECT vec_id, ln(sum(e)) AS norm FROM (
+    SELECT vec_id, exp(x) AS e FROM band WHERE band = -1 UNION ALL SELECT vec_id, exp(c) FROM cluster) GROUP BY vec_id)
+SELECT e.vec_id, round(h.norm - CASE WHEN b.band = -1 THEN b.x ELSE c.c - c.norm + b.x END, 6) AS loss
+FROM embeddings e JOIN band b ON b.vec_id = e.vec_id AND b.label = e.label JOIN head h ON h.vec_id = e.vec_id
+LEFT JOIN cluster c ON c.vec_id = e.vec_id AND c.band = b.band""")
+def banded_nll_query(spark, root):
+    """Losses over the fitted scores with a head of four labels and two bands behind it, each scored by its mean; a row stays
+    a row."""
+    rows = scored_rows(spark, root)
+    means = F.array(*[total(F.slice("logits", a + 1, b - a)) / (b - a) for a, b in zip(BORDERS, BORDERS[1:])])
+    loss = banded_nll(F.col("logits"), F.col("label"), BORDERS, means)
+    return rows.select("vec_id", F.round(loss, 6).alias("loss"))

@@ -79,3 +79,24 @@ def test_best_labels_without_dense_vectors(spark, monkeypatch, block, together,
             for rank, n in enumerate(sorted(range(23), key=lambda n: (-row[n], n))[:4], 1):
                 assert got.pop((i, rank)) == (n, round(float(value[n]), 9))
         assert not got
+
+
+def test_banded_loss(spark):
+    from pyspark.sql import functions as F
+
+    from faqloom.functions.vectors import banded_nll
+
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=9).tolist(), r.normal(size=2).tolist(), i % 9) for i in range(40)]
+    table = spark.createDataFrame(rows, "i int, z array<double>, c array<double>, y int")
+    got = dict(table.select("i", banded_nll(F.col("z"), F.col("y"), [3, 5, 9], F.col("c"))).collect())
+    for i, z, c, y in rows:
+        z, head = np.array(z), np.array([*z[:3], *c])
+        norm = np.log(np.exp(head).sum())
+        band = None if y < 3 else slice(3, 5) if y < 5 else slice(5, 9)
+        want = norm - z[y] if band is None else norm - c[band.start > 3] + np.log(np.exp(z[band]).sum()) - z[y]
+        assert abs(got[i] - want) < 1e-9
+    # all probabilities together are one
+    z, c = np.zeros(9), [0.3, -0.2]
+    whole = spark.createDataFrame([(k, z.tolist(), c) for k in range(9)], "y int, z array<double>, c array<double>")
+    assert abs(sum(np.exp(-x[0]) for x in whole.select(banded_nll(F.col("z"), F.col("y"), [3, 5, 9], F.col("c"))).collect()) - 1) < 1e-9
