@@ -34,6 +34,7 @@ def normalize_question(text: Column, lower: bool = False) -> Column:
     out = compose_for_ascii(text, lower)
     if lower:
         out = F.lower(out)
+    # The patterns of the three steps.
     out = F.regexp_replace(out, r"([.!?])", r" $1")
     out = F.regexp_replace(out, r"[^a-zA-Z0-9.!?]+", " ")
     # link markup: the angle brackets are already gone, so this step never finds anything; the order is the contract
@@ -47,6 +48,7 @@ def apply_columns(df: DataFrame, columns: Sequence[str], fn) -> DataFrame:
 
 def standardize_text(text: Column) -> Column:
     """Dashes, ellipsis and acute accents to ASCII, sign runs set apart, white space regular."""
+    # The replaced characters, the signs that are set apart, and the patterns of white space.
     out = F.translate(text, "—–―´", "---'")
     out = F.replace(out, F.lit("…"), F.lit("..."))
     out = F.regexp_replace(

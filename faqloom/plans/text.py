@@ -219,6 +219,7 @@ def drop_stopwords(spark, root):
     return drop_stop_words(document_pieces(spark, root), ENGLISH_STOP_WORDS)
 
 
+# The same characters and patterns as in the standardiser.
 _STANDARD = (
     "regexp_replace(regexp_replace(regexp_replace(replace(translate(text, '—–―´', '---'''), '…', '...'), "
     "'(-+|~+|!+|\"+|;+|\\?+|\\++|,+|\\)+|\\(+|\\\\+|/+|\\*+|\\[+|\\]+|\\}+|\\{+|\\|+|_+)', ' \\1 ', 'g'), "
