@@ -114,3 +114,18 @@ def test_unique_matches_and_draws(spark):
         assert first in (("v0", "v1") if r["class"] == 1 else ("two",)) and set(others) <= {"v0", "v1"}
         assert r.classes == [r["class"], 1, 1]
     assert {r.question.split(" ")[0] for r in rows if r["class"] == 1} == {"v0", "v1"}
+
+
+def test_draws_are_neither_grouped_nor_sorted_again(spark):
+    variants = spark.createDataFrame([(1, 0, " v0 "), (1, 1, "v1"), (3, 0, "w")], "class long, line_no long, variant string")
+    questions = spark.createDataFrame([(1, "one"), (2, "two"), (2, None), (3, "x")], "class long, question string")
+    rows = A.permute_augment(questions, A.number_variants(variants), sample=20)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "draw" in line], plan
+    got = rows.collect()
+    assert len(got) == 80 and {r.draw for r in got} == set(range(20))
+    for r in got:
+        if r["class"] == 2:  # asked twice: the slots of both, and the question where there is no variant
+            assert r.classes[:2] == [2, 2] and r.classes[2] == r.classes[3] and r.question.split()[:-2] in ([], ["two", "two"])
+        else:
+            assert len(r.classes) == 2 and r.question.split()[0] in {1: ("v0", "v1"), 3: ("w",)}[r["class"]]
