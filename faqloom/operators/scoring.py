@@ -179,10 +179,13 @@ def text_tokens(text: Column) -> Column:
     return basic_token_array(normalize_question(text))
 
 
-#: Postings and score cells that one step of a block may hold.
+#: Postings of the answers that one block may hold.
 STEP_CELLS = 4_000_000
-#: Answers come in at most so many regions, each of about so many answers at least.
-REGIONS, REGION_ROWS = 512, 64
+#: Answers come in at most so many regions, each of about so many answers at least.  A question has a bound, and may have a
+#: route, for every region: their number is a setting, so both grow with the questions alone.
+REGIONS, REGION_ROWS = 32, 1024
+#: A question's first region is often that of most others: it is dealt out in so many times more slices.
+FIRST_SLICES = 8
 
 
 def answer_regions(index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,10 +211,9 @@ def _best_answers(questions: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.Da
     """(question_id, label, score) of the ``k`` best answers of one block that reach the question's ``tau``, larger score
     first, then label.
 
-    A sparse product: the terms of a group of questions pick their postings at once, and equal (question, answer) cells
-    are summed.  A question's terms of low impact, whose largest weights together stay below tau, cannot lift an answer by
-    themselves: answers come from the postings of the other terms, and the low ones are only added to those.  Groups are cut
-    by their number of postings.
+    A sparse product with one score per answer of the block: a question adds up the postings of its terms.  Its terms of low
+    impact, whose largest weights together stay below tau, cannot lift an answer by themselves: answers come from the
+    postings of the other terms, and where those found few, the low ones are looked up for them alone.
     """
     index = index.sort_values("label")
     labels = index["label"].to_numpy()
@@ -233,51 +235,55 @@ def _best_answers(questions: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.Da
     question, term, times, impact = question[order], term[order], times[order], impact[order]
     upto = np.cumsum(impact)
     begin = np.searchsorted(question, question)
-    high = upto - np.where(begin > 0, upto[begin - 1], 0) >= tau[question]
-    size = first[term + 1] - first[term]
-    # a step ends with a question: its postings lie between two multiples of the bound
-    whole = np.zeros(len(asked), np.int64)
-    np.add.at(whole, question, size)
-    step = (np.cumsum(whole) // STEP_CELLS)[question]
-
-    def postings(part):
-        n = size[part]
-        at = np.repeat(first[term[part]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(question[part], n) * len(labels) + rows[at], weights[at] * np.repeat(times[part], n)
-
-    found = []
-    for part in np.split(np.arange(len(question)), np.flatnonzero(np.diff(step)) + 1):
-        main, rest = part[high[part]], part[~high[part]]
-        if not size[main].sum():
+    ahead = np.where(begin > 0, upto[begin - 1], 0)
+    high = upto - ahead >= tau[question]
+    edges = np.searchsorted(question, np.arange(len(asked) + 1))
+    begins, ends, times, taus = first[term].tolist(), first[term + 1].tolist(), times.tolist(), tau.tolist()
+
+    found_q, found_row, found_score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    score = np.zeros(len(labels), np.int64)
+    for q in np.flatnonzero(np.diff(edges)).tolist():
+        start, end = edges[q], edges[q + 1]
+        main = start + int(np.count_nonzero(~high[start:end]))
+        if main == end:
             continue
-        cell, w = postings(main)
-        cells, place = np.unique(cell, return_inverse=True)
-        score = np.zeros(len(cells), np.int64)
-        np.add.at(score, place, w)
-        if size[rest].sum():
-            cell, w = postings(rest)
-            place = np.searchsorted(cells, cell)
-            known = cells[np.minimum(place, len(cells) - 1)] == cell
-            np.add.at(score, place[known], w[known])
-        q, row = np.divmod(cells, len(labels))
-        reach = score >= tau[q]
-        q, row, score = q[reach], row[reach], score[reach]
-        order = np.lexsort((row, -score, q))
-        rank = np.arange(len(order)) - np.searchsorted(q[order], q[order])
-        best = order[rank < k]
-        found.append(pd.DataFrame({"q": q[best], "label": labels[row[best]], "score": score[best]}))
-    out = pd.concat(found) if found else pd.DataFrame({"q": [], "label": [], "score": []}, dtype="int64")
-    ids = questions["question_id"].to_numpy()[out["q"].to_numpy()]
-    return pd.DataFrame({"question_id": pd.Series(ids, dtype=ids.dtype), "label": out["label"].to_numpy(), "score": out["score"].to_numpy()})
-
-
-def _score_routes(routes: DataFrame, index: DataFrame, k: int) -> DataFrame:
+        for i in range(main, end):
+            a, b = begins[i], ends[i]
+            score[rows[a:b]] += weights[a:b] * times[i]  # an answer holds a term once
+        low = int(impact[start:main].sum())
+        near = np.flatnonzero(score >= max(taus[q] - low, 1))
+        best = score[near]
+        score.fill(0)
+        for i in range(start, main):
+            if not len(near):
+                break
+            a, b = begins[i], ends[i]
+            place = np.minimum(np.searchsorted(rows[a:b], near), b - a - 1) + a
+            best += np.where(rows[place] == near, weights[place] * times[i], 0)
+        reach = best >= taus[q]
+        near, best = near[reach], best[reach]
+        if len(near) > k:
+            kept = best >= -np.partition(-best, k - 1)[k - 1]  # with all that tie with the k-th
+            near, best = near[kept], best[kept]
+        order = np.argsort(-best, kind="stable")[:k]  # answers are in the order of their labels
+        found_q.append(np.full(len(order), q))
+        found_row.append(near[order])
+        found_score.append(best[order])
+    ids = questions["question_id"].to_numpy()[np.concatenate(found_q)]
+    return pd.DataFrame({
+        "question_id": pd.Series(ids, dtype=ids.dtype), "label": labels[np.concatenate(found_row)],
+        "score": np.concatenate(found_score)})
+
+
+def _score_routes(routes: DataFrame, index: DataFrame, k: int, finer: int = 1) -> DataFrame:
     """routes (question_id, tokens, region, tau) -> question_id, label, score: the best answers of each routed region.
 
-    A region's answers go to as many tasks as its routed questions fill, and a region of many answers to several blocks.
+    A region's answers go to as many tasks as its routed questions fill, and a region of many answers, or of many postings,
+    to several blocks.
     """
-    asked = routes.groupBy("region").agg(F.ceil(F.count("*") / ROWS_PER_SLICE).cast("int").alias("slices"))
-    sizes = index.groupBy("region").agg(F.ceil(F.count("*") / LABELS_PER_BLOCK).cast("int").alias("blocks"))
+    asked = routes.groupBy("region").agg(F.ceil(F.count("*") * finer / ROWS_PER_SLICE).cast("int").alias("slices"))
+    sizes = index.groupBy("region").agg(F.greatest(
+        F.ceil(F.count("*") / LABELS_PER_BLOCK), F.ceil(F.sum(F.size("tokens")) / STEP_CELLS)).cast("int").alias("blocks"))
     counts = F.broadcast(asked.join(sizes, "region"))  # a row per region, REGIONS at most
 
     def every(n: str) -> Column:
@@ -325,7 +331,7 @@ def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K, regions
     bounds = materialize(question_routes(rows, tops), "question-bounds")
     seed = bounds.groupBy("question_id").agg(F.min_by("region", F.struct(-F.col("bound"), "region")).alias("region"))
     seeded = rows.join(seed, "question_id").withColumn("tau", F.lit(1).cast("bigint"))
-    near = materialize(_score_routes(seeded, placed, k), "answers-near")
+    near = materialize(_score_routes(seeded, placed, k, FIRST_SLICES), "answers-near")
     last = best_ranked(near, k).filter(F.col("rank") == k).select("question_id", F.col("score").alias("reached"))
     open_ = bounds.join(seed.withColumnRenamed("region", "seen"), "question_id").join(last, "question_id", "left")
     tau = F.coalesce("reached", F.lit(1).cast("bigint"))

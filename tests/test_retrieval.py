@@ -100,3 +100,12 @@ def test_banded_loss(spark):
     z, c = np.zeros(9), [0.3, -0.2]
     whole = spark.createDataFrame([(k, z.tolist(), c) for k in range(9)], "y int, z array<double>, c array<double>")
     assert abs(sum(np.exp(-x[0]) for x in whole.select(banded_nll(F.col("z"), F.col("y"), [3, 5, 9], F.col("c"))).collect()) - 1) < 1e-9
+
+
+def test_a_question_has_few_regions_however_many_answers(spark):
+    from pyspark.sql import functions as F
+
+    answers = spark.range(40_000).select(
+        F.col("id").alias("label"), F.array(F.lit("a"), F.concat(F.lit("x"), F.col("id") % 900)).alias("tokens"),
+        F.array(F.col("id") % 7 + 1, F.col("id") % 5000 + 1).alias("weights"))
+    assert R.answer_regions(answers)[0].agg(F.max("region")).first()[0] < 32
