@@ -15,16 +15,28 @@ from pyspark.sql import functions as F
 
 from faqloom.functions.draws import unit_draw
 from faqloom.functions.text import word_token_array
+from faqloom.operators.lookup import fits_broadcast, lookup_lists
 from faqloom.operators.ordering import hash_order, quantile_buckets, running_total
 from faqloom.operators.tokens import token_rows
 from faqloom.operators.vocab import encode, gather
+from faqloom.session import materialize
 
 
 def encode_lines(
     lines: DataFrame, vocab: DataFrame, key: Sequence[str], unknown: str = "error", unknown_id: int | None = None, **markers
 ) -> DataFrame:
-    """Each line as its ids: ``key``, ``ids``.  ``markers`` go to the word tokenizer."""
-    tokens = token_rows(lines, word_token_array(F.col("line"), **markers), *key)
+    """Each line as its ids: ``key``, ``ids``.  ``markers`` go to the word tokenizer.
+
+    A vocabulary too large to broadcast is looked up for whole lines, so that no token rows are shuffled for it either.
+    """
+    words = word_token_array(F.col("line"), **markers)
+    if not fits_broadcast(vocab.select("token", "id")):
+        listed = materialize(lines.select(*key, words.alias("tokens")).filter(F.size("tokens") > 0), "line-tokens")
+        coded = lookup_lists(listed, "tokens", vocab, "token", "id", "_ids")
+        missing = {"zero": F.lit(0), "token": F.lit(unknown_id)}.get(
+            unknown, F.raise_error(F.lit("token not in the vocabulary")).cast("int"))
+        return coded.select(*key, F.transform("_ids", lambda i: F.coalesce(i, missing)).alias("ids"))
+    tokens = token_rows(lines, words, *key)
     return gather(encode(tokens, vocab, unknown, unknown_id=unknown_id), "id", key, ["pos"], "ids")
 
 

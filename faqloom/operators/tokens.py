@@ -32,10 +32,15 @@ def word_tokens(df: DataFrame, *keep: str, text: str = "line", **options) -> Dat
     return token_rows(df, word_token_array(F.col(text), **options), *keep)
 
 
-def bpe_words(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """Lower-cased words of repaired, standardised and segmented text, ready for byte-pair splitting."""
+def bpe_texts(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """Lower-cased words of repaired, standardised and segmented text, ready for byte-pair splitting: ``keep``, ``words``."""
     words = segment_words(standardize_text(repair_text(F.col(text))))
-    return token_rows(df, F.transform(words, F.lower), *keep)
+    return df.select(*keep, F.transform(words, F.lower).alias("words"))
+
+
+def bpe_words(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The words of :func:`bpe_texts`, one row each."""
+    return token_rows(bpe_texts(df, *keep, text=text), F.col("words"), *keep)
 
 
 def distinct_words(tokens: DataFrame, word: str = "token") -> DataFrame:

@@ -101,3 +101,38 @@ def test_decode_text(spark):
     df = spark.createDataFrame([(["do</w>", "n't</w>", "stop</w>", ".</w>"],)], "t array<string>")
     assert df.select(V.pieces_to_text(F.col("t"), True)).first()[0] == "don't stop."
     assert df.select(V.words_to_text(F.col("t"))).first()[0] == "do</w> n't</w> stop</w> .</w>"
+
+
+def test_large_dictionaries_meet_whole_lists(spark, monkeypatch):
+    """Neither token rows nor heavy words cross the network: same ids and pieces as by a broadcast."""
+    from faqloom.operators import corpora as C
+    from faqloom.operators import lookup as L
+
+    rows = [(i, " ".join(["the"] * (i % 4) + [f"w{j}" for j in range(i % 7)])) for i in range(60)] + [(99, None), (100, "")]
+    lines = spark.createDataFrame(rows, "doc_id long, line string")
+    vocab = spark.createDataFrame([("the", 1, 9)] + [(f"w{j}", j + 2, 1) for j in range(5)], "token string, id int, cnt long")
+    want = sorted(map(tuple, C.encode_lines(lines, vocab, ["doc_id"], "token", 0).collect()))
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    got = C.encode_lines(lines, vocab, ["doc_id"], "token", 0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "_probe" not in plan
+    assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        C.encode_lines(lines, vocab, ["doc_id"]).collect()
+    pieces = spark.createDataFrame([("a", ["a", "b"]), ("c", [])], "token string, pieces array<string>")
+    lists = spark.createDataFrame([(1, ["a", "c", "a"]), (2, []), (3, None), (4, ["z", None])], "k long, words array<string>")
+    got = {r.k: r.got for r in L.lookup_lists(lists, "words", pieces, "token", "pieces", "got").collect()}
+    assert got == {1: [["a", "b"], [], ["a", "b"]], 2: [], 3: None, 4: [None, None]}
+
+
+def test_byte_pairs_by_lists_are_those_by_broadcast(spark, monkeypatch, tmp_path):
+    from faqloom.operators import lookup as L
+    from faqloom.plans import text as T
+
+    rows = [(i, " ".join(f"lower{j} newest, wide{j % 3}" for j in range(i % 5))) for i in range(20)] + [(50, None), (51, ""), (52, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = (T.bpe, T.bpe_encode_ids, T.bpe_decode, T.encode_strict)
+    want = [sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in queries]
+    assert T.bpe_texts(spark, str(tmp_path)).columns == ["doc_id", "words"]  # worked out once for all of them
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    assert [sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in queries] == want and all(want)
