@@ -17,27 +17,51 @@ from faqloom.functions.draws import unit_draw
 from faqloom.functions.text import word_token_array
 from faqloom.operators.lookup import fits_broadcast, lookup_lists
 from faqloom.operators.ordering import hash_order, quantile_buckets, running_total
-from faqloom.operators.tokens import token_rows
-from faqloom.operators.vocab import encode, gather
 from faqloom.session import materialize
 
 
 def encode_lines(
-    lines: DataFrame, vocab: DataFrame, key: Sequence[str], unknown: str = "error", unknown_id: int | None = None, **markers
+    lines: DataFrame, vocab: DataFrame, key: Sequence[str], unknown: str = "error", unknown_id: int | None = None,
+    repeated: bool = False, **markers
 ) -> DataFrame:
-    """Each line as its ids: ``key``, ``ids``.  ``markers`` go to the word tokenizer.
+    """Each line as its ids: ``key``, ``ids``.  ``markers`` go to the word tokenizer; with ``repeated``, lines of equal keys
+    are merged."""
+    listed = lines.select(*key, word_token_array(F.col("line"), **markers).alias("tokens"))
+    if not fits_broadcast(vocab.select("token", "id")):
+        listed = materialize(listed, "line-tokens")
+    coded = encode_lists(listed, vocab, unknown, unknown_id)
+    return merge_lists(coded, "ids", key) if repeated else coded
+
 
-    A vocabulary too large to broadcast is looked up for whole lines, so that no token rows are shuffled for it either.
+def encode_lists(
+    listed: DataFrame, vocab: DataFrame, unknown: str = "error", unknown_id: int | None = None
+) -> DataFrame:
+    """Rows with a list of ``tokens`` as rows with ``ids``; a line without tokens is left out.  The rule for unknown tokens is
+    that of :func:`faqloom.operators.vocab.encode`.
+
+    Whole lists meet the vocabulary, so that no token rows are sorted back into lines.
     """
-    words = word_token_array(F.col("line"), **markers)
-    if not fits_broadcast(vocab.select("token", "id")):
-        listed = materialize(lines.select(*key, words.alias("tokens")).filter(F.size("tokens") > 0), "line-tokens")
-        coded = lookup_lists(listed, "tokens", vocab, "token", "id", "_ids")
-        missing = {"zero": F.lit(0), "token": F.lit(unknown_id)}.get(
-            unknown, F.raise_error(F.lit("token not in the vocabulary")).cast("int"))
-        return coded.select(*key, F.transform("_ids", lambda i: F.coalesce(i, missing)).alias("ids"))
-    tokens = token_rows(lines, words, *key)
-    return gather(encode(tokens, vocab, unknown, unknown_id=unknown_id), "id", key, ["pos"], "ids")
+    if unknown == "token" and unknown_id is None:
+        raise ValueError("no unknown token in the vocabulary")
+    coded = lookup_lists(listed.filter(F.size("tokens") > 0), "tokens", vocab, "token", "id", "_ids")
+    missing = {"zero": F.lit(0), "token": F.lit(unknown_id)}.get(
+        unknown, F.raise_error(F.lit("token not in the vocabulary")).cast("int"))
+    return coded.withColumn("ids", F.transform("_ids", lambda i: F.coalesce(i, missing))).drop("_ids")
+
+
+def decode_lists(coded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Rows with a list of ``ids`` as rows with ``tokens``; an id outside the vocabulary is an error."""
+    named = lookup_lists(coded, "ids", vocab, "id", "token", "_tokens")
+    missing = F.raise_error(F.lit("id out of vocabulary range")).cast("string")
+    return named.withColumn("tokens", F.transform("_tokens", lambda t: F.coalesce(t, missing))).drop("_tokens")
+
+
+def merge_lists(rows: DataFrame, column: str, key: Sequence[str]) -> DataFrame:
+    """One row per ``key``: lists of equal keys are merged by place, then by value."""
+    placed = F.flatten(F.transform("_l", lambda l: F.transform(l, lambda v, i: F.struct(i.alias("i"), v.alias("v")))))
+    merged = F.transform(F.sort_array(placed), lambda s: s["v"])
+    lists = rows.groupBy(*key).agg(F.collect_list(column).alias("_l"))
+    return lists.select(*key, F.when(F.size("_l") == 1, F.get("_l", F.lit(0))).otherwise(merged).alias(column))
 
 
 def place_lines(corpus: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from faqloom.operators.lookup import lookup
 from faqloom.operators.ordering import quantile_buckets, running_total
 
 EXACT_COUNTS = 64
+#: Tokens that a task counts before it hands on the counts.
+PART_TOKENS = 1 << 20
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -24,6 +30,49 @@ def counts_with_first_place(tokens: DataFrame, place: Sequence[str]) -> DataFram
     )
 
 
+def counts_of_lists(lists: DataFrame, place: Sequence[str], column: str = "tokens") -> DataFrame:
+    """The counts of :func:`counts_with_first_place` for lists of tokens (``place``, ``column``), with ``pos`` as the last field.
+
+    Tasks count some hundred thousand tokens at a time, so that only a token's sum and first place in each such part is sorted
+    and shuffled, never a row per token.
+    """
+    place = list(place)
+    parts = lists.select(*place, column).mapInArrow(
+        lambda batches: _counted(batches, place, column),
+        StructType([lists.schema[c] for c in place]).add("pos", IntegerType()).add("token", StringType()).add("n", LongType()))
+    first = F.min(F.struct(*place, "pos")).alias("first")
+    return parts.groupBy("token").agg(F.sum("n").alias("cnt"), first)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], place: list[str], column: str) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.list_value_length(batch.column(column))).as_py() or 0
+        if size >= PART_TOKENS:
+            yield from _part_counts(pa.Table.from_batches(held), place, column).to_batches()
+            held, size = [], 0
+    if size:
+        yield from _part_counts(pa.Table.from_batches(held), place, column).to_batches()
+
+
+def _part_counts(rows: pa.Table, place: list[str], column: str) -> pa.Table:
+    """place, pos, token, n: each token of the lists with its first place and its number."""
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in place], null_placement="at_start")
+    rows = rows.take(order).filter(pc.greater(pc.list_value_length(rows.column(column).take(order)), 0)).combine_chunks()
+    lists = rows.column(column)
+    sizes = pc.list_value_length(lists).to_numpy()
+    words = lists.combine_chunks()
+    words = (pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words).flatten().dictionary_encode()
+    codes, n = words.indices.to_numpy(zero_copy_only=False), len(words.dictionary)
+    first = np.empty(n, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]  # of equal codes the last one written is the first one
+    row = np.repeat(np.arange(len(sizes)), sizes)[first]
+    pos = first - (np.cumsum(sizes) - sizes)[row]
+    out = rows.select(place).take(pa.array(row)).append_column("pos", pa.array(pos.astype(np.int32)))
+    return out.append_column("token", words.dictionary).append_column("n", pa.array(np.bincount(codes, minlength=n).astype(np.int64)))
+
+
 def build_vocab(
     counted: DataFrame, specials: Sequence[str] = (), max_size: int | None = None, min_freq: int = 0
 ) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faqloom.operators import corpora as C
-from faqloom.operators import tokens as K
 from faqloom.operators import vocab as V
 from faqloom.operators.lookup import lookup
 from faqloom.operators.negatives import negative_samples
@@ -14,7 +13,7 @@ from faqloom.plans import sql as S
 from faqloom.plans.features import spaced
 from faqloom.plans.registry import query
 from faqloom.plans.text import (
-    _IDS, PLACE, WORD_VOCAB_SQL, document_lines, encoded_tokens, made_once, word_vocab,
+    _IDS, PLACE, WORD_VOCAB_SQL, encoded_lines, line_tokens, made_once, marked_lines, repeated, word_vocab,
 )
 from faqloom.session import materialize, scratch_path
 from faqloom.sources.files import numbered_lines
@@ -37,19 +36,13 @@ _SPLIT = "CASE WHEN source IN ('src16', 'src17') THEN 'valid' WHEN source IN ('s
 def encoded(spark, root, name, **markers):
     """Encoded lines of all documents, written once."""
 
-    def build():
-        vocab = word_vocab(spark, root)
-        unknown = V.id_of(vocab, V.require_unknown(vocab))
-        rows = document_lines(spark, root, "source", regroup=True)
-        return C.encode_lines(rows, vocab, KEY, "token", unknown, lower=True, **markers)
-
-    return made_once(spark, root, name, build)
+    return made_once(spark, root, name, lambda: encoded_lines(spark, root, word_vocab(spark, root), KEY, **markers))
 
 
 @query("encode_corpus", f"""{_IDS}
 SELECT doc_id, line_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM coded GROUP BY doc_id, line_no""")
 def encode_corpus(spark, root):
-    rows = V.gather(encoded_tokens(spark, root), "id", ["doc_id", "line_no"], ["pos"], "ids")
+    rows = encoded_lines(spark, root, word_vocab(spark, root), ["doc_id", "line_no"], add_eos=True)
     return rows.select("doc_id", "line_no", spaced(F.col("ids")).alias("ids"))
 
 
@@ -165,8 +158,8 @@ SPLITS = ("train", "valid", "test")
 UNKNOWN = "<unk>"
 
 
-def _family_rows(spark, root):
-    return document_lines(spark, root, "source", regroup=True).withColumn("split", split_column())
+def _family_rows(spark, root, rules):
+    return line_tokens(spark, root, rules.lower).withColumn("split", split_column())
 
 
 def _family_specials(rules):
@@ -205,13 +198,14 @@ FROM steps WHERE s < n_step - 1 GROUP BY split, s // {BPTT}, lane"""
 def family_corpus(spark, root, name):
     """Count, build the vocabulary, encode and batch all splits of a corpus family, as its record says."""
     rules = C.FAMILIES[name]
-    rows, specials = _family_rows(spark, root), _family_specials(rules)
-    words = K.word_tokens(rows.filter(F.col("split").isin(*rules.counted)), "doc_id", "line_no", lower=rules.lower)
-    vocab = materialize(V.build_vocab(
-        materialize(V.counts_with_first_place(words, [*PLACE]), "counted"), specials), "vocab")
+    rows, specials = _family_rows(spark, root, rules), _family_specials(rules)
+    vocab = materialize(V.build_vocab(materialize(
+        V.counts_of_lists(rows.filter(F.col("split").isin(*rules.counted)), PLACE[:2]), "counted"), specials), "vocab")
     unknown = {"unknown": "token", "unknown_id": V.id_of(vocab, UNKNOWN)} if UNKNOWN in specials else {}
-    coded = materialize(C.encode_lines(
-        rows, vocab, ["split", "source", "doc_id", "line_no"], lower=rules.lower, **unknown, **rules.markers), "corpus")
+    coded = C.encode_lists(marked_lines(rows, **rules.markers), vocab, **unknown)
+    if repeated(spark, root):
+        coded = C.merge_lists(coded, "ids", ["split", *KEY])
+    coded = materialize(coded, "corpus")
     out = None
     for split in SPLITS:
         part = batch_output(C.family_batches(name, coded, split, BSZ, BPTT)).withColumn("split", F.lit(split))
@@ -251,16 +245,18 @@ def corpus_batches_packed(spark, root):
     """The sentence-packed family: its vocabulary comes from a file (here one with the words of the training split, the
     unknown token and the sentence mark first), training goes file by file in random order, the other splits in one stream."""
     rules = C.FAMILIES["lm1b"]
-    rows = _family_rows(spark, root)
-    words = K.word_tokens(rows.filter("split = 'train'"), "doc_id", "line_no", lower=rules.lower).select("token").distinct()
+    rows = _family_rows(spark, root, rules)
+    words = rows.filter("split = 'train'").select(F.explode("tokens").alias("token")).distinct()
     head = spark.createDataFrame([(UNKNOWN, 0), (_MARK, 1)], "token string, head int")
     known = head.unionByName(words.filter(~F.col("token").isin(UNKNOWN, _MARK)).withColumn("head", F.lit(2)))
     path = scratch_path(spark, "vocab-file")
     write_lines(known, path, "token", ["head", "token"])
     vocab = materialize(V.vocab_from_first_field(numbered_lines(spark, path)), "vocab")
     unknown = V.id_of(vocab, V.require_unknown(vocab))
-    coded = materialize(C.encode_lines(
-        rows, vocab, ["split", "source", "doc_id", "line_no"], "token", unknown, lower=rules.lower, **rules.markers), "corpus")
+    coded = C.encode_lists(marked_lines(rows, **rules.markers), vocab, "token", unknown)
+    if repeated(spark, root):
+        coded = C.merge_lists(coded, "ids", ["split", *KEY])
+    coded = materialize(coded, "corpus")
     out = None
     for split in SPLITS:
         part = C.family_batches("lm1b", coded, split, 2, BPTT, shuffle_seed=SEED).withColumn("split", F.lit(split))
@@ -280,8 +276,7 @@ def corpus_tables_sink(spark, root):
     rows = encoded(spark, root, "with-eos", add_eos=True).withColumn("split", split_column())
     write_corpus(word_vocab(spark, root), rows, path)
     vocab, stored = read_corpus(spark, path)
-    cells = stored.select("split", "doc_id", "line_no", F.posexplode("ids").alias("pos", "id"))
-    named = V.gather(V.decode(cells, vocab), "token", ["split", "doc_id", "line_no"], ["pos"], "tokens")
+    named = C.decode_lists(stored.select("split", "doc_id", "line_no", "ids"), vocab)
     return named.select("split", "doc_id", "line_no", V.words_to_text(F.col("tokens")).alias("text"))
 
 

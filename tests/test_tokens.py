@@ -136,3 +136,59 @@ def test_byte_pairs_by_lists_are_those_by_broadcast(spark, monkeypatch, tmp_path
     assert T.bpe_texts(spark, str(tmp_path)).columns == ["doc_id", "words"]  # worked out once for all of them
     monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
     assert [sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in queries] == want and all(want)
+
+
+def test_counts_of_lists_are_those_of_rows(spark):
+    """Sums and first places without a row per token, also for repeated and missing document numbers."""
+    import pyarrow as pa
+
+    rows = [(i % 5 if i % 7 else None, i % 3, [f"w{j * i % 4}" for j in range(i % 6)]) for i in range(60)] + [(9, 0, None)]
+    lists = spark.createDataFrame(rows, "doc_id long, line_no int, tokens array<string>").repartition(4)
+    tokens = lists.select("doc_id", "line_no", F.posexplode("tokens").alias("pos", "token"))
+    want = V.counts_with_first_place(tokens, ["doc_id", "line_no", "pos"])
+    got = V.counts_of_lists(lists, ["doc_id", "line_no"])
+    assert sorted(got.collect()) == sorted(want.collect())
+    part = pa.Table.from_pydict({"d": [3, None, 1], "tokens": [["a", "b"], [], ["b", "a", "b"]]})
+    counted = [b.to_pylist() for b in V._counted(iter(part.to_batches()), ["d"], "tokens")]
+    assert sorted(tuple(r.values()) for b in counted for r in b) == [(1, 0, "b", 3), (1, 1, "a", 2)]
+
+
+def test_lines_are_not_sorted_together_from_tokens(spark, tmp_path):
+    from faqloom.plans import text as T
+
+    rows = [(i, "b", f"one two {i}\n\nTwo one <eos> two") for i in range(9)]
+    for name, extra in (("once", []), ("twice", [(4, "c", "two\none"), (4, "c", None)])):
+        root = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows + extra, "doc_id long, source string, text string").write.parquet(f"{root}/documents.parquet")
+        df = T.decode_text(spark, root)
+        assert ("collect_list" in df._jdf.queryExecution().toString()) == (name == "twice")
+        got = {(r.doc_id, r.line_no): r.text for r in df.collect()}
+        assert len(got) == 18 + (name == "twice") and got[3, 2] == "two one two"
+        assert got.get((4, 1)) == (None if name == "once" else "one")
+        assert got[4, 0] == ("one two <unk>" if name == "once" else "one two two <unk>")
+
+
+def test_training_tokens_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A file of one row group has many splits and one task with rows."""
+    from faqloom.plans import training as R
+
+    rows = [(i, f"text {i}" * 50, "en", "s") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def stop(spark, root, name, build):
+        seen.append(build().select(F.spark_partition_id()).distinct().count())
+        raise StopIteration
+
+    monkeypatch.setattr(R, "made_once", stop)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        with pytest.raises(StopIteration):
+            R.trained(spark, str(tmp_path))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert seen[0] > 1
