@@ -24,7 +24,7 @@ def label_names(rows):
 
 def trained(spark, root):
     """Examples of all documents, the vocabulary, the numbered labels and the fitted weights."""
-    docs = documents(spark, root, "lang", "source")
+    docs = documents(spark, root, "lang", "source", regroup=True)
     tokens = made_once(spark, root, "training-tokens", lambda: docs.select(
         F.col("doc_id").alias("example"), basic_token_array(F.col("text")).alias("tokens"), "lang", "source"))
     marked = table(spark, root, "labels").withColumnRenamed("doc_id", "example")
