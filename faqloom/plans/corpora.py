@@ -13,7 +13,7 @@ from faqloom.plans import sql as S
 from faqloom.plans.features import spaced
 from faqloom.plans.registry import query
 from faqloom.plans.text import (
-    _IDS, PLACE, WORD_VOCAB_SQL, encoded_lines, line_tokens, made_once, marked_lines, repeated, word_vocab,
+    _IDS, PLACE, WORD_VOCAB_SQL, document_lines, encoded_lines, line_tokens, made_once, marked_lines, repeated, word_vocab,
 )
 from faqloom.session import materialize, scratch_path
 from faqloom.sources.files import numbered_lines
