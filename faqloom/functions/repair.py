@@ -37,6 +37,8 @@ SEQUENCE = "|".join((
     _byte(0xF1, 0xF3) + _NEXT + _NEXT + _NEXT,
     _byte(0xF4, 0xF4) + _byte(0x80, 0x8F) + _NEXT + _NEXT,
 ))
+#: What any sequence begins with: most texts hold none, and this is found out in one look at each character.
+BEGINNING = _byte(0xC2, 0xF4) + _NEXT
 #: A run is judged in parts of so many sequences, which bounds the matcher's depth.
 RUN = f"(?:{SEQUENCE}){{1,16}}"
 #: What a candidate pays for: controls, phonetic and modifier letters, combining marks, rare letters, scripts that hardly
@@ -59,10 +61,13 @@ def _fixed(run: Column) -> Column:
 
 def repair_text(text: Column, rounds: int = ROUNDS) -> Column:
     """The text with every suspicious run in its cheaper form; null stays null, whole text stays as it is."""
-    for _ in range(rounds):
-        text = bind(text, lambda t: F.when(
-            t.rlike(RUN),
-            F.array_join(F.zip_with(
-                F.split(t, RUN, -1), F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), _fixed),
-                lambda between, run: F.concat(between, F.coalesce(run, F.lit("")))), "")).otherwise(t))
-    return text
+    if not rounds:
+        return text
+
+    def round_of(t: Column) -> Column:
+        fixed = F.array_join(F.zip_with(
+            F.split(t, RUN, -1), F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), _fixed),
+            lambda between, run: F.concat(between, F.coalesce(run, F.lit("")))), "")
+        return F.when(t.rlike(BEGINNING) & t.rlike(RUN), repair_text(fixed, rounds - 1)).otherwise(t)
+
+    return bind(text, round_of)

@@ -51,11 +51,9 @@ def standardize_text(text: Column) -> Column:
     # The replaced characters, the signs that are set apart, and the patterns of white space.
     out = F.translate(text, "—–―´", "---'")
     out = F.replace(out, F.lit("…"), F.lit("..."))
-    out = F.regexp_replace(
-        out, r"""(-+|~+|!+|"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)""", " $1 "
-    )
+    out = F.regexp_replace(out, r"""([-~!";?+,)(\\/*\[\]}{|_])\1*""", " $0 ")  # a run of one sign
     out = F.regexp_replace(out, r"(?U)\s*\n\s*", " \n ")
-    out = F.regexp_replace(out, r"(?U)[^\S\n]+", " ")
+    out = F.regexp_replace(out, r"(?U)[^\S\n]{2,}|[^\S\n ]", " ")  # a single blank stays
     return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
 
 

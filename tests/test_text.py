@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from faqloom.functions import text as T
+from faqloom.functions.repair import repair_text
 from faqloom.functions.unicode_rules import compose_for_ascii, strip_accents
 from tests import plain
 
@@ -69,3 +70,20 @@ def test_character_and_separator_tokens(spark):
     assert run(spark, ["a.b|c d|"], lambda c: T.word_token_array(c, delimiter="|")) == [["a", ".", "b", "c d"]]
     assert run(spark, ["\U00020000b"], lambda c: T.word_token_array(c, delimiter="")) == [["\U00020000", "b"]]
     assert run(spark, [""], lambda c: T.word_token_array(c, add_eos=True)) == [["<eos>"]]
+
+
+def test_standardised_text_keeps_runs_of_one_sign_and_single_blanks(spark):
+    text = "a--~b  c\t\u00a0d e\u00a0f **!! \\\\ || __ x\n \n y"
+    row = spark.createDataFrame([(text,)], "t string").select(T.standardize_text(F.col("t"))).first()
+    assert row[0] == "a -- ~ b c d e f ** !! \\\\ || __ x \n y"
+
+
+def test_repair_looks_at_the_text_of_each_round(spark):
+    def damaged(t, times):
+        for _ in range(times):
+            t = t.encode().decode("latin-1")
+        return t
+
+    rows = [(n, damaged("«über» schön – naïve Ärger", n)) for n in range(4)] + [(9, "Ãber NÄ» ok"), (10, None)]
+    got = dict(spark.createDataFrame(rows, "n int, t string").select("n", repair_text(F.col("t"))).collect())
+    assert all(got[n] == "«über» schön – naïve Ärger" for n in range(4)) and got[9] == "Ãber NÄ» ok" and got[10] is None
