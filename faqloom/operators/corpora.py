@@ -17,7 +17,7 @@ from faqloom.functions.draws import unit_draw
 from faqloom.functions.text import word_token_array
 from faqloom.operators.lookup import fits_broadcast, lookup_lists
 from faqloom.operators.ordering import hash_order, quantile_buckets, running_total
-from faqloom.session import materialize
+from faqloom.session import bucket_count, materialize, task_width
 
 
 def encode_lines(
@@ -66,9 +66,10 @@ def merge_lists(rows: DataFrame, column: str, key: Sequence[str]) -> DataFrame:
 
 def place_lines(corpus: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Flat order of an encoded corpus: ``at`` = tokens ahead of the line in its group, ``total`` = tokens of the group."""
-    cut = quantile_buckets(corpus, "doc_id", "_b")
+    width = task_width(corpus)
+    cut = quantile_buckets(corpus, "doc_id", "_b", max(bucket_count(corpus.sparkSession), width))
     return running_total(
-        cut, F.size("ids"), ["doc_id", "line_no"], ["_b"], "at", group=group, group_total="total"
+        cut, F.size("ids"), ["doc_id", "line_no"], ["_b"], "at", group=group, group_total="total", width=width
     ).drop("_b")
 
 
@@ -179,13 +180,15 @@ def packed_batches(
     as all lanes can have, so at most ``bsz * bptt - 1`` pairs of a group are left over; a sentence may go on in the next
     lane.  ``group`` packs each file on its own.
     """
+    width = task_width(sentences)
     rows = sentences.filter(F.size("ids") > 1)
     if shuffle_seed is None:
-        rows, order, bucket = quantile_buckets(rows, "doc_id", "_b"), ["doc_id", "line_no"], ["_b"]
+        rows = quantile_buckets(rows, "doc_id", "_b", max(bucket_count(rows.sparkSession), width))
+        order, bucket = ["doc_id", "line_no"], ["_b"]
     else:
         rows = hash_order(rows, ["doc_id", "line_no"], shuffle_seed)
         order, bucket = ["_h", "doc_id", "line_no"], ["_b"]
-    rows = running_total(rows, F.size("ids") - 1, order, bucket, "at", group=group, group_total="total")
+    rows = running_total(rows, F.size("ids") - 1, order, bucket, "at", group=group, group_total="total", width=width)
     rows = rows.withColumn("n_pair", F.expr(f"total div {bsz * bptt} * {bptt}")).filter(f"n_pair > 0 AND at < n_pair * {bsz}")
     lanes = f"sequence(at div n_pair, least((at + size(ids) - 2) div n_pair, CAST({bsz - 1} AS BIGINT)))"
     rows = rows.withColumn("lane", F.explode(F.expr(lanes))).withColumns({

@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from faqloom.operators.lookup import lookup
 from faqloom.operators.ordering import quantile_buckets, running_total
+from faqloom.session import task_width
 
 EXACT_COUNTS = 64
 #: Tokens that a task counts before it hands on the counts.
@@ -33,15 +34,15 @@ def counts_with_first_place(tokens: DataFrame, place: Sequence[str]) -> DataFram
 def counts_of_lists(lists: DataFrame, place: Sequence[str], column: str = "tokens") -> DataFrame:
     """The counts of :func:`counts_with_first_place` for lists of tokens (``place``, ``column``), with ``pos`` as the last field.
 
-    Tasks count some hundred thousand tokens at a time, so that only a token's sum and first place in each such part is sorted
-    and shuffled, never a row per token.
+    Tasks count about a million tokens at a time, so that only a token's sum and first place in each such part is shuffled, once
+    and to as many tasks as the lists ask for, and never a row per token.
     """
     place = list(place)
     parts = lists.select(*place, column).mapInArrow(
         lambda batches: _counted(batches, place, column),
         StructType([lists.schema[c] for c in place]).add("pos", IntegerType()).add("token", StringType()).add("n", LongType()))
     first = F.min(F.struct(*place, "pos")).alias("first")
-    return parts.groupBy("token").agg(F.sum("n").alias("cnt"), first)
+    return parts.repartition(task_width(lists), "token").groupBy("token").agg(F.sum("n").alias("cnt"), first)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], place: list[str], column: str) -> Iterator[pa.RecordBatch]:

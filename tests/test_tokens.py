@@ -125,6 +125,29 @@ def test_large_dictionaries_meet_whole_lists(spark, monkeypatch):
     assert got == {1: [["a", "b"], [], ["a", "b"]], 2: [], 3: None, 4: [None, None]}
 
 
+def test_lists_are_packed_where_they_lie(spark, monkeypatch):
+    from faqloom.operators import lookup as L
+
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(L, "PACK_ELEMENTS", 3)
+    rows = [(i % 5, None if i % 11 == 0 else [["a", "b", None, "z"][(i * j) % 4] for j in range(i % 7)]) for i in range(60)]
+    lists = spark.createDataFrame(rows, "k long, words array<string>").repartition(3)
+    entries = spark.createDataFrame([("a", 1), ("b", 2)], "token string, id int")
+    got = L.lookup_lists(lists, "words", entries, "token", "id", "ids")
+    assert "words" not in got._jdf.queryExecution().optimizedPlan().toString()  # lists themselves are not shuffled
+    want = [(k, None if w is None else [{"a": 1, "b": 2}.get(t) for t in w]) for k, w in rows]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_tasks_follow_the_size_of_the_files(spark, monkeypatch, tmp_path):
+    from faqloom import session
+    from faqloom.sources.tables import documents
+
+    spark.range(2000).selectExpr("id AS doc_id", "sha2(string(id), 256) AS text").write.parquet(f"{tmp_path}/a b/documents.parquet")
+    monkeypatch.setattr(session, "TASK_BYTES", 500)
+    assert documents(spark, f"{tmp_path}/a b", regroup=True).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+
+
 def test_byte_pairs_by_lists_are_those_by_broadcast(spark, monkeypatch, tmp_path):
     from faqloom.operators import lookup as L
     from faqloom.plans import text as T
