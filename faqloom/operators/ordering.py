@@ -63,19 +63,23 @@ def running_total(
 ) -> DataFrame:
     """Add ``name`` = sum of ``value`` over the rows strictly ahead in the group, optionally the group total.  ``width`` sets the
     number of tasks that order the buckets where there is no group; else the session does."""
+    dealt = bool(width) and few_buckets and not group
+    if dealt:
+        df = df.withColumn("_value", value)  # ahead of the shuffle, so that lists it is the size of need not follow
+        value = F.col("_value")
     offsets = bucket_offsets(df, value, bucket, group, typ)
     if few_buckets and not group:
         offsets = F.broadcast(offsets)  # one row per bucket, and the number of buckets is a setting
     local = (
         Window.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    dealt = df.repartition(width, *group, *bucket) if width and few_buckets and not group else df
-    out = dealt.join(offsets, [*group, *bucket]).withColumn(
+    rows = df.repartition(width, *bucket) if dealt else df
+    out = rows.join(offsets, [*group, *bucket]).withColumn(
         name, (F.col("_before") + F.coalesce(F.sum(value).over(local), F.lit(0))).cast(typ)
     )
     if group_total:
         out = out.withColumn(group_total, F.col("_in_group"))
-    return out.drop("_in_bucket", "_before", "_in_group")
+    return out.drop("_in_bucket", "_before", "_in_group", *["_value"] * dealt)
 
 
 def hash_order(df: DataFrame, keys: Sequence[str], seed: int, digits: int = 3) -> DataFrame:

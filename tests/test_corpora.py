@@ -120,3 +120,11 @@ def test_texts_and_not_tokens_are_shuffled(spark, tmp_path):
         plan = C.encode_lines(rows, vocab, plans.KEY, "zero", lower=True)._jdf.queryExecution().executedPlan().toString()
         exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
         assert len(exchanges) == 1 and "doc_id" in exchanges[0] and "line_no" not in exchanges[0], plan
+
+
+def test_places_need_no_lists(spark):
+    placed = C.place_lines(corpus(spark, [(0, 0, [1, 2, 3]), (1, 0, [4])])).select("doc_id", "line_no", "at")
+    plan = placed._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert " AS _value" in plan[dealt + 1] and ", ids#" not in plan[dealt + 1]
+    assert sorted(map(tuple, placed.collect())) == [(0, 0, 0), (1, 0, 3)]
