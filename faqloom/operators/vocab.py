@@ -16,8 +16,8 @@ from faqloom.operators.ordering import quantile_buckets, running_total
 from faqloom.session import task_width
 
 EXACT_COUNTS = 64
-#: Tokens that a task counts before it hands on the counts.
-PART_TOKENS = 1 << 20
+#: Tokens that a task counts before it hands on the counts; the larger a part, the fewer rows it has for each token.
+PART_TOKENS = 1 << 22
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def counts_with_first_place(tokens: DataFrame, place: Sequence[str]) -> DataFram
 def counts_of_lists(lists: DataFrame, place: Sequence[str], column: str = "tokens") -> DataFrame:
     """The counts of :func:`counts_with_first_place` for lists of tokens (``place``, ``column``), with ``pos`` as the last field.
 
-    Tasks count about a million tokens at a time, so that only a token's sum and first place in each such part is shuffled, once
+    Tasks count some four million tokens at a time, so that only a token's sum and first place in each such part is shuffled, once
     and to as many tasks as the lists ask for, and never a row per token.
     """
     place = list(place)
@@ -59,18 +59,21 @@ def _counted(batches: Iterator[pa.RecordBatch], place: list[str], column: str) -
 
 def _part_counts(rows: pa.Table, place: list[str], column: str) -> pa.Table:
     """place, pos, token, n: each token of the lists with its first place and its number."""
-    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in place], null_placement="at_start")
-    rows = rows.take(order).filter(pc.greater(pc.list_value_length(rows.column(column).take(order)), 0)).combine_chunks()
-    lists = rows.column(column)
-    sizes = pc.list_value_length(lists).to_numpy()
-    words = lists.combine_chunks()
-    words = (pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words).flatten().dictionary_encode()
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in place], null_placement="at_start").to_numpy()
+    lists = rows.column(column).combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    words = lists.flatten().dictionary_encode()
     codes, n = words.indices.to_numpy(zero_copy_only=False), len(words.dictionary)
+    # words stay where they are, only their numbers are put in the order of the places
+    ordered = sizes[order]
+    ends, starts = np.cumsum(ordered, dtype=np.int64), (np.cumsum(sizes, dtype=np.int64) - sizes)[order]
+    codes = codes[np.arange(len(codes)) + np.repeat(starts - ends + ordered, ordered)]
     first = np.empty(n, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]  # of equal codes the last one written is the first one
-    row = np.repeat(np.arange(len(sizes)), sizes)[first]
-    pos = first - (np.cumsum(sizes) - sizes)[row]
-    out = rows.select(place).take(pa.array(row)).append_column("pos", pa.array(pos.astype(np.int32)))
+    row = np.searchsorted(ends, first, side="right")
+    pos = first - (ends - ordered)[row]
+    out = rows.select(place).take(pa.array(order[row])).append_column("pos", pa.array(pos.astype(np.int32)))
     return out.append_column("token", words.dictionary).append_column("n", pa.array(np.bincount(codes, minlength=n).astype(np.int64)))
 
 

@@ -51,7 +51,7 @@ def kept_once(spark: SparkSession, root: str, name: str, build):
 
 def made_once(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     """Tables many queries start from (vocabularies and the like) are written once per session and input."""
-    return kept_once(spark, root, name, lambda: materialize(build(), name))
+    return kept_once(spark, root, name, lambda: materialize(build(), name, "zstd"))
 
 
 def document_lines(spark, root, *columns, regroup=False) -> DataFrame:

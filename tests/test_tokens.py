@@ -215,3 +215,30 @@ def test_training_tokens_are_dealt_out(spark, tmp_path, monkeypatch):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert seen[0] > 1
+
+
+def test_counts_of_a_part_do_not_move_its_words():
+    """Words are coded where they lie: at most one copy of a part's words is made, and first places go by the order of the places."""
+    import pyarrow as pa
+
+    made = pa.Table.from_pydict({"d": [3, None, 1, 2, 1], "l": [0, 0, 5, 0, 4], "tokens": [["a", "b"], [], ["b", "a", "b"], None, ["c", "b"]]})
+    parts = pa.concat_tables([made.slice(0, 2), made.slice(2)])
+    got = sorted(tuple(r.values()) for r in V._part_counts(parts, ["d", "l"], "tokens").to_pylist())
+    assert got == [(1, 4, 0, "c", 1), (1, 4, 1, "b", 4), (1, 5, 1, "a", 2)]
+    words = pa.array([f"{i % 50:040}" for i in range(300_000)])
+    rows = pa.Table.from_arrays([pa.array(range(3000, 0, -1)), pa.ListArray.from_arrays(pa.array(range(0, 300_001, 100), pa.int32()), words)], ["d", "tokens"])
+    before = pa.default_memory_pool()
+    watched = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(watched)
+    try:
+        V._part_counts(rows, ["d"], "tokens")
+    finally:
+        pa.set_memory_pool(before)
+    assert watched.max_memory() < 1.5 * rows.nbytes
+
+
+def test_large_shared_tables_are_packed_tight(spark, tmp_path):
+    from faqloom.plans import text as T
+
+    spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert all(".zstd." in f for f in T.line_tokens(spark, str(tmp_path)).inputFiles())
