@@ -88,7 +88,7 @@ def strip_accents(text: Column) -> Column:
             rare = F.replace(rare, F.lit(c), F.lit(to))
         rare = F.array_join(F.transform(F.split(rare, ""), _hangul_to_jamo), "")
         return (
-            F.when(~t.rlike(NON_ASCII), t)
+            F.when(F.octet_length(t) == F.length(t), t)  # ASCII has a byte for each character
             .when(t.rlike(BEYOND_FIRST_BLOCKS) & t.rlike(rare_class), rare)
             .otherwise(simple)
         )

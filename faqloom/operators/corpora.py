@@ -28,7 +28,7 @@ def encode_lines(
     are merged."""
     listed = lines.select(*key, word_token_array(F.col("line"), **markers).alias("tokens"))
     if not fits_broadcast(vocab.select("token", "id")):
-        listed = materialize(listed, "line-tokens")
+        listed = materialize(listed, "line-tokens", "zstd")
     coded = encode_lists(listed, vocab, unknown, unknown_id)
     return merge_lists(coded, "ids", key) if repeated else coded
 
@@ -43,9 +43,11 @@ def encode_lists(
     """
     if unknown == "token" and unknown_id is None:
         raise ValueError("no unknown token in the vocabulary")
-    coded = lookup_lists(listed.filter(F.size("tokens") > 0), "tokens", vocab, "token", "id", "_ids")
-    missing = {"zero": F.lit(0), "token": F.lit(unknown_id)}.get(
-        unknown, F.raise_error(F.lit("token not in the vocabulary")).cast("int"))
+    held = listed.filter(F.size("tokens") > 0)
+    if unknown in ("zero", "token"):
+        return lookup_lists(held, "tokens", vocab, "token", "id", "ids", 0 if unknown == "zero" else unknown_id)
+    coded = lookup_lists(held, "tokens", vocab, "token", "id", "_ids")
+    missing = F.raise_error(F.lit("token not in the vocabulary")).cast("int")
     return coded.withColumn("ids", F.transform("_ids", lambda i: F.coalesce(i, missing))).drop("_ids")
 
 

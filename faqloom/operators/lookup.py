@@ -85,8 +85,10 @@ def _probe_twice(facts: DataFrame, entries: DataFrame, key: str, values: list[st
 PACK_ELEMENTS = 1 << 21
 
 
-def lookup_lists(rows: DataFrame, column: str, entries: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Rows with ``name``: the ``value`` of every element of the list ``column``, null where the dictionary lacks it.
+def lookup_lists(
+    rows: DataFrame, column: str, entries: DataFrame, key: str, value: str, name: str, default: object = None
+) -> DataFrame:
+    """Rows with ``name``: the ``value`` of every element of the list ``column``, ``default`` where the dictionary lacks it.
 
     A dictionary that was found to be small is sent to the tasks, as a broadcast join would, and no list moves.  Beyond that
     lists are packed where they lie: some million elements become one row with their distinct keys and a block of numbers that
@@ -102,17 +104,17 @@ def lookup_lists(rows: DataFrame, column: str, entries: DataFrame, key: str, val
 
         def map_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from _filled(pa.Table.from_batches([batch]), column, others, sent.value, name).to_batches()
+                yield from _filled(pa.Table.from_batches([batch]), column, others, sent.value, name, default).to_batches()
 
         return rows.mapInArrow(map_lists, schema)
     packing = StructType().add("_g", StringType()).add("_keys", rows.schema[column].dataType).add("_lists", BinaryType())
-    packs = materialize(rows.mapInArrow(lambda batches: _packed(batches, column), packing), "packed-lists")
+    packs = materialize(rows.mapInArrow(lambda batches: _packed(batches, column), packing), "packed-lists", "zstd")
     width = max(rows.sparkSession.sparkContext.defaultParallelism, packs.count())
     asked = packs.select("_g", F.posexplode("_keys").alias("_i", "_key"))
     known = asked.join(slim.hint("merge"), "_key", "left").select(F.col("_g").alias("_of"), "_i", "_value")
 
     def fill(lists: pa.Table, answers: pa.Table) -> pa.Table:
-        return _unpacked(lists, answers, column, others, name)
+        return _unpacked(lists, answers, column, others, name, default)
 
     return packs.select("_g", "_lists").repartition(width, "_g").groupBy("_g").cogroup(known.groupBy("_of")).applyInArrow(fill, schema)
 
@@ -144,7 +146,9 @@ def _pack(rows: pa.Table, column: str, pack: str) -> pa.RecordBatch:
                                       ["_g", "_keys", "_lists"])
 
 
-def _unpacked(packs: pa.Table, answers: pa.Table, column: str, others: Sequence[str], name: str) -> pa.Table:
+def _unpacked(
+    packs: pa.Table, answers: pa.Table, column: str, others: Sequence[str], name: str, default: object = None
+) -> pa.Table:
     """The rows of a pack with the answers (_i, _value) in place of the numbers."""
     values = _whole(answers, "_value")
     made = []
@@ -152,7 +156,7 @@ def _unpacked(packs: pa.Table, answers: pa.Table, column: str, others: Sequence[
         rows = pa.ipc.open_stream(pack.as_buffer()).read_all()
         held = _whole(rows, column)
         numbers = pc.index_in(held.flatten(), value_set=_whole(answers, "_i"))
-        lists = pa.ListArray.from_arrays(_offsets(held), values.take(numbers), mask=held.is_null())
+        lists = pa.ListArray.from_arrays(_offsets(held), _or(values.take(numbers), default), mask=held.is_null())
         made.append(rows.select(others).append_column(name, lists))
     return pa.concat_tables(made)
 
@@ -168,9 +172,16 @@ def _offsets(lists: pa.ListArray) -> pa.Array:
     return pa.concat_arrays([pa.array([0], pa.int32()), ends])
 
 
-def _filled(lists: pa.Table, column: str, others: Sequence[str], words: pa.Table, name: str) -> pa.Table:
+def _or(values: pa.Array, default: object) -> pa.Array:
+    return values if default is None else pc.fill_null(values, pa.scalar(default, values.type))
+
+
+def _filled(
+    lists: pa.Table, column: str, others: Sequence[str], words: pa.Table, name: str, default: object = None
+) -> pa.Table:
     """The lists of a table with each element's value in ``words`` (_key, _value)."""
     held = _whole(lists, column)
     keys = _whole(words, "_key")
     found = _whole(words, "_value").take(pc.index_in(held.flatten().cast(keys.type), value_set=keys))
-    return lists.select(others).append_column(name, pa.ListArray.from_arrays(_offsets(held), found, mask=held.is_null()))
+    found = pa.ListArray.from_arrays(_offsets(held), _or(found, default), mask=held.is_null())
+    return lists.select(others).append_column(name, found)

@@ -237,6 +237,21 @@ def test_counts_of_a_part_do_not_move_its_words():
     assert watched.max_memory() < 1.5 * rows.nbytes
 
 
+def test_lists_are_filled_in_the_task(spark, monkeypatch):
+    """Elements that the dictionary lacks get their value where the others do, and no list is built a second time."""
+    from faqloom.operators import corpora as C
+    from faqloom.operators import lookup as L
+
+    lists = spark.createDataFrame([(1, ["a", "z", None]), (2, []), (3, None), (4, ["b"])], "k long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 5), ("b", 6)], "token string, id int")
+    for rows in (L.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(L, "BROADCAST_ROWS", rows)
+        for rule, number, want in (("token", 9, [5, 9, 9]), ("zero", None, [5, 0, 0])):
+            df = C.encode_lists(lists, vocab, rule, number)
+            assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted(map(tuple, df.collect())) == [(1, want), (4, [6])]
+
+
 def test_large_shared_tables_are_packed_tight(spark, tmp_path):
     from faqloom.plans import text as T
 
