@@ -7,16 +7,23 @@ of the dense score vector), never one row per pair.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faqloom.functions.text import basic_token_array, normalize_question
 from faqloom.functions.vectors import sigmoid, softmax
-from faqloom.operators.lookup import lookup
+from faqloom.operators.lookup import lookup, lookup_lists
 from faqloom.operators.ordering import quantile_buckets
-from faqloom.session import materialize
+from faqloom.operators.vocab import counts_of_lists
+from faqloom.session import materialize, scratch_path
 
 LABELS_PER_BLOCK = 4096
 ROWS_PER_SLICE = 20_000
@@ -160,18 +167,38 @@ def label_matrix(fitted: DataFrame) -> DataFrame:
 def answer_index(answers: DataFrame) -> DataFrame:
     """Answers (label, answer) as weighted terms: label, tokens, weights.
 
-    Weights are whole numbers, ``tf * idf * idf`` with a scaled inverse document frequency, so that sums are exact.
+    Weights are whole numbers, ``tf * idf * idf`` with a scaled inverse document frequency, so that sums are exact.  Terms stay
+    in the lists of their answers: counts and frequencies are worked out list by list, and no row per term is shuffled.
     """
     n_answers = answers.count()
-    tokens = answers.select("label", F.explode(text_tokens(F.col("answer"))).alias("token"))
-    tf = materialize(tokens.groupBy("label", "token").agg(F.count("*").alias("tf")), "answer-terms")
-    idf = F.round(IDF_SCALE * F.ln((n_answers + 1) / (F.count("*") + 1))).cast("bigint")
-    df = tf.groupBy("token").agg(idf.alias("idf"), F.count("*").alias("df"))
-    weighted = lookup(tf, df, "token", ["idf"], "df").filter("idf > 0")
-    terms = F.collect_list(F.struct("token", (F.col("tf") * F.col("idf") * F.col("idf")).alias("w")))
-    return weighted.groupBy("label").agg(terms.alias("t")).select(
-        "label", F.col("t.token").alias("tokens"), F.col("t.w").alias("weights")
-    )
+    listed = answers.select("label", text_tokens(F.col("answer")).alias("tokens"))
+    if not answers.groupBy("label").count().filter("count > 1").isEmpty():
+        listed = listed.groupBy("label").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    kind = answers.schema["label"].dataType.simpleString()
+    tf = listed.filter(F.size("tokens") > 0).mapInArrow(_term_counts, f"label {kind}, tokens array<string>, tf array<bigint>")
+    tf = materialize(tf, "answer-terms", "zstd")
+    idf = F.round(IDF_SCALE * F.ln((n_answers + 1) / (F.col("cnt") + 1))).cast("bigint").alias("idf")
+    df = materialize(counts_of_lists(tf, ["label"]).select("token", idf).filter("idf > 0"), "answer-idf")
+    known = df.select("token", F.struct("token", "idf").alias("term"))  # lists keep no column that they were looked up by
+    met = lookup_lists(tf, "tokens", known, "token", "term", "terms")
+    cells = F.zip_with("terms", "tf", lambda t, n: F.struct(t["token"].alias("token"), (n * t["idf"] * t["idf"]).alias("w")))
+    kept = met.select("label", F.filter(cells, lambda c: c["w"].isNotNull()).alias("t")).filter(F.size("t") > 0)
+    return kept.select("label", F.col("t.token").alias("tokens"), F.col("t.w").alias("weights"))
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, tokens -> label, tokens, tf: each token of a list once, with its number."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        coded = lists.flatten().dictionary_encode()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        n = max(1, len(coded.dictionary))
+        cells, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, code = np.divmod(cells, n)
+        ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("label"), pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(code))),
+             pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64)))], ["label", "tokens", "tf"])
 
 
 def text_tokens(text: Column) -> Column:
@@ -179,145 +206,249 @@ def text_tokens(text: Column) -> Column:
     return basic_token_array(normalize_question(text))
 
 
-#: Postings of the answers that one block may hold.
-STEP_CELLS = 4_000_000
-#: Answers come in at most so many regions, each of about so many answers at least.  A question has a bound, and may have a
-#: route, for every region: their number is a setting, so both grow with the questions alone.
-REGIONS, REGION_ROWS = 32, 1024
-#: A question's first region is often that of most others: it is dealt out in so many times more slices.
-FIRST_SLICES = 8
+#: Postings, and answers, that one block may hold: what a task keeps in memory of the answers.
+STEP_CELLS, BLOCK_ANSWERS = 4_000_000, 1 << 16
+#: Answers come in at most so many regions, each of about so many answers at least.  A question has a bound for every region:
+#: their number is a setting, so bounds grow with the questions alone.
+REGIONS, REGION_ROWS = 32, 1 << 14
 
 
-def answer_regions(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The index with a ``region`` for every answer, and the impact-ordered regions of each token: token, regions (region,
-    top: the largest weight the token has there, falling), df.
+def answer_regions(index: DataFrame) -> tuple[DataFrame, str]:
+    """The blocks of the index, one row each: region, block, part (a file), answers, cells; and the folder they are in.
 
     Answers of like total weight share a region, so that regions differ in what their answers can score; a region is dealt
-    into blocks where it is scored.
+    into blocks that a task can hold.  A block's postings are put in the order of its terms once and written to the shared
+    folder, from where tasks read one block at a time: answers cross the network once and are never copied for the questions.
     """
+    spark = index.sparkSession
     n = max(1, min(REGIONS, index.count() // REGION_ROWS))
     weight = F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, w: a + w)
     apart = F.pmod(F.xxhash64("label"), F.lit(1 << 20)) / (1 << 20)  # answers of one total weight may fill several regions
-    weighed = index.withColumn("_total", weight + apart)
-    placed = quantile_buckets(weighed, "_total", "region", n).drop("_total")
-    placed = materialize(placed, "answer-index-regions")
-    cells = placed.select("region", F.explode(F.arrays_zip("tokens", "weights")).alias("t"))
-    tops = cells.groupBy(F.col("t.tokens").alias("token"), "region").agg(F.max("t.weights").alias("top"), F.count("*").alias("n"))
-    held = F.sort_array(F.collect_list(F.struct("top", "region")), asc=False)  # REGIONS at most
-    return placed, materialize(tops.groupBy("token").agg(held.alias("regions"), F.sum("n").alias("df")), "answer-regions")
-
-
-def _best_answers(questions: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(question_id, label, score) of the ``k`` best answers of one block that reach the question's ``tau``, larger score
-    first, then label.
+    placed = quantile_buckets(index.withColumn("_total", weight + apart), "_total", "region", n).drop("_total")
+    counts = placed.groupBy("region").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_ANSWERS), F.ceil(F.sum(F.size("tokens")) / STEP_CELLS)).cast("int").alias("blocks"))
+    dealt = placed.join(F.broadcast(counts), "region")  # a row per region, REGIONS at most
+    block = F.pmod(F.xxhash64("label", F.col("tokens")), F.col("blocks")).cast("int")
+    folder = scratch_path(spark, "answer-blocks")
+    files, path = pafs.FileSystem.from_uri(folder)
+    files.create_dir(path)
+
+    def write(key: tuple[pa.Scalar, ...], answers: pa.Table) -> pa.Table:
+        part = f"part-{uuid.uuid4().hex}"  # a name of this attempt alone
+        _write_block(folder, part, answers)
+        return pa.table({"region": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
+                         "part": [part], "answers": [len(answers)],
+                         "cells": [pc.sum(pc.list_value_length(answers.column("tokens"))).as_py() or 0]})
+
+    rows = dealt.select("region", block.alias("block"), "label", "tokens", "weights").groupBy("region", "block")
+    made = rows.applyInArrow(write, "region int, block int, part string, answers bigint, cells bigint")
+    return materialize(made, "answer-regions"), folder
+
+
+def _write_block(folder: str, part: str, answers: pa.Table) -> None:
+    """Two files: the terms of a block with their largest weights; its labels in order, and its postings (row, weight) by term."""
+    answers = answers.take(pc.sort_indices(answers, sort_keys=[("label", "ascending")]))
+    tokens, weights = (pa.concat_arrays(answers.column(c).chunks) for c in ("tokens", "weights"))
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    coded = tokens.flatten().dictionary_encode()
+    term = coded.indices.to_numpy(zero_copy_only=False)
+    by_term = np.argsort(term, kind="stable")
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_term]
+    weights = weights.flatten().to_numpy(zero_copy_only=False)[by_term]
+    ends = np.searchsorted(term[by_term], np.arange(len(coded.dictionary) + 1))
+    top = np.maximum.reduceat(weights, ends[:-1]) if len(weights) else weights
+    files, path = pafs.FileSystem.from_uri(folder)
+    for name, held in (("terms", {"terms": coded.dictionary, "top": top}),
+                       ("cells", {"labels": answers.column("label").combine_chunks(), "ends": ends, "rows": rows, "weights": weights})):
+        made = pa.table({c: pa.array([v if isinstance(v, pa.Array) else pa.array(v)], pa.large_list(getattr(v, "type", None) or pa.from_numpy_dtype(v.dtype)))
+                         for c, v in held.items()})
+        with files.open_output_stream(f"{path}/{part}.{name}", compression=None) as sink, pa.ipc.new_stream(
+                sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(made)
+
+
+def _read_block(folder: str, part: str, name: str) -> list[pa.Array]:
+    files, path = pafs.FileSystem.from_uri(folder)
+    with files.open_input_stream(f"{path}/{part}.{name}", compression=None) as source:
+        held = pa.ipc.open_stream(source).read_all()
+    return [c.chunk(0).flatten() for c in held.columns]
+
+
+def question_routes(rows: DataFrame, regions: tuple[DataFrame, str]) -> DataFrame:
+    """Questions (question_id, tokens) with ``routes``, (bound, region) falling by bound: what an answer of the region can score
+    at most, for regions that share a token.  The bound of a region is the largest of its blocks."""
+    placed, folder = regions
+    parts = [tuple(r) for r in placed.select("region", "part").orderBy("region", "part").collect()]  # a row per block
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asked in _slices(batches):
+            terms = _Terms(asked.column("tokens"))
+            best: dict[int, np.ndarray] = {}
+            for region, part in parts:
+                names, top = _read_block(folder, part, "terms")
+                bound = terms.bounds(names, top.to_numpy())
+                best[region] = np.maximum(best.get(region, 0), bound)
+            found = np.stack([best[r] for r in sorted(best)], axis=1) if best else np.zeros((len(asked), 0), np.int64)
+            order = np.argsort(-found, axis=1, kind="stable")
+            sorted_ = np.take_along_axis(found, order, axis=1)
+            kept = sorted_ > 0
+            numbers = np.array(sorted(best), np.int32)[order] if best else order.astype(np.int32)
+            cells = pa.StructArray.from_arrays([pa.array(sorted_[kept]), pa.array(numbers[kept])], ["bound", "region"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32))
+            yield from asked.append_column("routes", pa.ListArray.from_arrays(ends, cells)).to_batches()
+
+    kind = dict(rows.dtypes)["question_id"]
+    return rows.select("question_id", "tokens").mapInArrow(
+        bounded, f"question_id {kind}, tokens array<string>, routes array<struct<bound:bigint,region:int>>")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of so many rows at least, and what is left."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= ROWS_PER_SLICE:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Terms:
+    """The distinct terms of a slice of questions: ``question``, ``code`` (into ``names``), ``times``."""
+
+    def __init__(self, tokens: pa.ChunkedArray):
+        lists = tokens.chunk(0)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        self.names, n = coded.dictionary, max(1, len(coded.dictionary))
+        self.rows = len(sizes)
+        cells, self.times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        self.question, self.code = np.divmod(cells, n)
+
+    def met(self, names: pa.Array) -> np.ndarray:
+        """The place of each question's terms in ``names``, -1 where it is not there."""
+        places = pc.fill_null(pc.index_in(self.names, value_set=names), -1).to_numpy(zero_copy_only=False)
+        return places[self.code] if len(places) else np.zeros(0, np.int32)
+
+    def bounds(self, names: pa.Array, top: np.ndarray) -> np.ndarray:
+        place = self.met(names)
+        held = place >= 0
+        out = np.zeros(self.rows, np.int64)
+        np.add.at(out, self.question[held], self.times[held] * top[place[held]])
+        return out
+
+
+def _score_block(terms: _Terms, asked: np.ndarray, tau: np.ndarray, folder: str, part: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(question, scores, labels) of the answers of one block that reach the ``tau`` of an ``asked`` question.
 
     A sparse product with one score per answer of the block: a question adds up the postings of its terms.  Its terms of low
     impact, whose largest weights together stay below tau, cannot lift an answer by themselves: answers come from the
-    postings of the other terms, and where those found few, the low ones are looked up for them alone.
+    postings of the other terms, and the low ones are looked up for those that can still reach tau, the weightiest first.
     """
-    index = index.sort_values("label")
-    labels = index["label"].to_numpy()
-    terms, term_no = np.unique(np.concatenate(index["tokens"].to_numpy()), return_inverse=True)
-    by_term = np.argsort(term_no, kind="stable")
-    rows = np.repeat(np.arange(len(labels)), index["tokens"].map(len).to_numpy())[by_term]
-    weights = np.concatenate(index["weights"].to_numpy())[by_term]
-    first = np.searchsorted(term_no[by_term], np.arange(len(terms) + 1))
-    top = np.maximum.reduceat(weights, first[:-1])
-
-    asked = questions["tokens"].map(len).to_numpy()
-    tau = questions["tau"].to_numpy()
-    term = pd.Index(terms).get_indexer(np.concatenate([*questions["tokens"].to_numpy(), np.array([], object)]))
-    pairs, times = np.unique(np.repeat(np.arange(len(asked)), asked)[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
-    question, term = np.divmod(pairs, len(terms))
-    # a question's terms by rising impact; the low ones are the first whose impacts add up to less than tau
-    impact = times * top[term]
+    names, top = _read_block(folder, part, "terms")
+    place = terms.met(names)
+    held = (place >= 0) & asked[terms.question]
+    question, term, times = terms.question[held], place[held], terms.times[held]
+    impact = times * top.to_numpy()[term]
     order = np.lexsort((impact, question))
     question, term, times, impact = question[order], term[order], times[order], impact[order]
-    upto = np.cumsum(impact)
-    begin = np.searchsorted(question, question)
-    ahead = np.where(begin > 0, upto[begin - 1], 0)
-    high = upto - ahead >= tau[question]
-    edges = np.searchsorted(question, np.arange(len(asked) + 1))
-    begins, ends, times, taus = first[term].tolist(), first[term + 1].tolist(), times.tolist(), tau.tolist()
-
-    found_q, found_row, found_score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    edges = np.searchsorted(question, np.arange(terms.rows + 1))
+    upto = np.concatenate([[0], np.cumsum(impact)])
+    upto = upto[1:] - upto[edges[question]]  # with all of the question's terms of less impact
+    high = upto >= tau[question]
+    low_terms = np.concatenate([[0], np.cumsum(~high)])
+    mains = edges[:-1] + low_terms[edges[1:]] - low_terms[edges[:-1]]
+    open_ = np.flatnonzero(mains < edges[1:])
+    if not len(open_):
+        return
+    labels, ends, rows, weights = (c.to_numpy() for c in _read_block(folder, part, "cells"))
+    rows = rows.astype(np.int64)  # sums are added up without a cast
+    begins, ends, times, uptos, term = ends[term].tolist(), ends[term + 1].tolist(), times.tolist(), upto.tolist(), term.tolist()
     score = np.zeros(len(labels), np.int64)
-    for q in np.flatnonzero(np.diff(edges)).tolist():
-        start, end = edges[q], edges[q + 1]
-        main = start + int(np.count_nonzero(~high[start:end]))
-        if main == end:
-            continue
+    common: dict[int, np.ndarray] = {}  # of terms that half of the answers hold: the weight in every answer
+    for q in open_.tolist():
+        start, main, end, least = int(edges[q]), int(mains[q]), int(edges[q + 1]), int(tau[q])
         for i in range(main, end):
             a, b = begins[i], ends[i]
-            score[rows[a:b]] += weights[a:b] * times[i]  # an answer holds a term once
-        low = int(impact[start:main].sum())
-        near = np.flatnonzero(score >= max(taus[q] - low, 1))
-        best = score[near]
-        score.fill(0)
-        for i in range(start, main):
+            np.add.at(score, rows[a:b], weights[a:b] if times[i] == 1 else weights[a:b] * times[i])
+        near = np.flatnonzero(score >= max(least - (uptos[main - 1] if main > start else 0), 1))
+        for i in range(main - 1, start - 1, -1):
             if not len(near):
                 break
             a, b = begins[i], ends[i]
-            place = np.minimum(np.searchsorted(rows[a:b], near), b - a - 1) + a
-            best += np.where(rows[place] == near, weights[place] * times[i], 0)
-        reach = best >= taus[q]
-        near, best = near[reach], best[reach]
-        if len(near) > k:
-            kept = best >= -np.partition(-best, k - 1)[k - 1]  # with all that tie with the k-th
-            near, best = near[kept], best[kept]
-        order = np.argsort(-best, kind="stable")[:k]  # answers are in the order of their labels
-        found_q.append(np.full(len(order), q))
-        found_row.append(near[order])
-        found_score.append(best[order])
-    ids = questions["question_id"].to_numpy()[np.concatenate(found_q)]
-    return pd.DataFrame({
-        "question_id": pd.Series(ids, dtype=ids.dtype), "label": labels[np.concatenate(found_row)],
-        "score": np.concatenate(found_score)})
-
-
-def _score_routes(routes: DataFrame, index: DataFrame, k: int, finer: int = 1) -> DataFrame:
-    """routes (question_id, tokens, region, tau) -> question_id, label, score: the best answers of each routed region.
-
-    A region's answers go to as many tasks as its routed questions fill, and a region of many answers, or of many postings,
-    to several blocks.
-    """
-    asked = routes.groupBy("region").agg(F.ceil(F.count("*") * finer / ROWS_PER_SLICE).cast("int").alias("slices"))
-    sizes = index.groupBy("region").agg(F.greatest(
-        F.ceil(F.count("*") / LABELS_PER_BLOCK), F.ceil(F.sum(F.size("tokens")) / STEP_CELLS)).cast("int").alias("blocks"))
-    counts = F.broadcast(asked.join(sizes, "region"))  # a row per region, REGIONS at most
+            if 2 * (b - a) >= len(labels):
+                if term[i] not in common:
+                    common[term[i]] = np.zeros_like(score)
+                    common[term[i]][rows[a:b]] = weights[a:b]  # an answer holds a term once
+                score[near] += common[term[i]][near] * times[i]
+            elif b - a < 8 * len(near):
+                np.add.at(score, rows[a:b], weights[a:b] if times[i] == 1 else weights[a:b] * times[i])
+            else:
+                place = np.minimum(np.searchsorted(rows[a:b], near), b - a - 1) + a
+                score[near] += np.where(rows[place] == near, weights[place] * times[i], 0)
+            near = near[score[near] >= least - (uptos[i - 1] if i > start else 0)]
+        if len(near):
+            yield q, score[near], labels[near]
+        score.fill(0)
 
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = routes.join(counts, "region").withColumn("slice", F.pmod(F.xxhash64("question_id"), F.col("slices")).cast("int"))
-    left = left.withColumn("block", every("blocks")).drop("slices", "blocks")
-    right = index.join(counts, "region").withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
-    right = right.withColumn("slice", every("slices")).drop("slices", "blocks")
+def _score_slice(asked: pa.Table, parts: list[tuple[int, str]], folder: str, k: int) -> pa.Table:
+    """question_id, label, score of the ``k`` best answers of each question in its ``regions`` that reach its ``tau``."""
+    lists = asked.column("regions").chunk(0)
+    region = lists.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(asked)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    terms, tau = _Terms(asked.column("tokens")), asked.column("tau").to_numpy().copy()
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for number, part in parts:
+        routed = np.zeros(len(asked), bool)
+        routed[owner[region == number]] = True
+        if not routed.any():
+            continue
+        for q, score, label in _score_block(terms, routed, tau, folder, part):
+            if q in found:
+                score, label = np.concatenate([found[q][0], score]), np.concatenate([found[q][1], label])
+            if len(score) > k:
+                kept = score >= -np.partition(-score, k - 1)[k - 1]  # with all that tie with the k-th
+                score, label = score[kept], label[kept]
+            order = np.lexsort((label, -score))[:k]
+            found[q] = score[order], label[order]
+            if len(order) == k:
+                tau[q] = max(tau[q], score[order[-1]])  # the blocks to come have to reach it
+    sizes = [len(s) for s, _ in found.values()]
+    question = pa.array(np.repeat(np.array(list(found), np.int64), sizes))
+    score, label = (np.concatenate([np.zeros(0, np.int64), *[x[i] for x in found.values()]]) for i in (0, 1))
+    return pa.table({"question_id": asked.column("question_id").take(question), "label": label, "score": score})
+
+
+def _score_routes(routes: DataFrame, regions: tuple[DataFrame, str], k: int) -> DataFrame:
+    """routes (question_id, tokens, regions, tau) -> question_id, label, score: the ``k`` best answers of each question in the
+    regions it is routed to.
+
+    Questions are dealt into slices, each once; a task reads the blocks of the regions that its slice is routed to, the weightiest
+    first, one at a time, and the best answers found so far are the threshold for the blocks to come.
+    """
+    placed, folder = regions
+    parts = [tuple(r) for r in placed.select("region", "part").orderBy(F.desc("region"), "part").collect()]  # a row per block
+    n = routes.count()
+    width = max(n // ROWS_PER_SLICE + 1, min(routes.sparkSession.sparkContext.defaultParallelism, n // 500 + 1))
 
-    def score(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or a.empty:
-            return q[["question_id"]].iloc[:0].assign(label=np.zeros(0, np.int64), score=np.zeros(0, np.int64))
-        return _best_answers(q, a, k)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asked in _slices(batches):
+            yield from _score_slice(asked, parts, folder, k).to_batches()
 
     kind = dict(routes.dtypes)["question_id"]
-    keys = ["region", "block", "slice"]
-    both = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    return both.applyInPandas(score, f"question_id {kind}, label bigint, score bigint")
+    dealt = routes.select("question_id", "tokens", "regions", "tau").repartition(width, F.xxhash64("question_id"))
+    return dealt.mapInArrow(score, f"question_id {kind}, label bigint, score bigint")
 
 
 def best_ranked(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "label")  # at most k rows per block
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "label")  # at most k rows per question and call
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def question_routes(rows: DataFrame, tops: DataFrame) -> DataFrame:
-    """question_id, region, bound: what an answer of the region can score at most, for regions that share a token."""
-    terms = rows.select("question_id", F.explode("tokens").alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("q"))
-    met = lookup(terms, tops, "token", ["regions"], "df").select("question_id", "q", F.explode("regions").alias("r"))
-    return met.groupBy("question_id", F.col("r.region").alias("region")).agg(F.sum(F.col("q") * F.col("r.top")).alias("bound"))
-
-
-def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K, regions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K, regions: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Best answers of each question (question_id, question): question_id, rank, label, score.
 
     The score of an answer is the sum over shared tokens of both term frequencies and the squared inverse document
@@ -326,18 +457,18 @@ def rank_answers(questions: DataFrame, index: DataFrame, k: int = TOP_K, regions
     A question is first scored where its bound is largest.  The k-th best score found there is the threshold that every
     other region's bound has to reach; the question goes to no region that falls short.  Question ids are unique.
     """
-    placed, tops = answer_regions(index) if regions is None else regions
-    rows = materialize(questions.select("question_id", text_tokens(F.col("question")).alias("tokens")), "questions")
-    bounds = materialize(question_routes(rows, tops), "question-bounds")
-    seed = bounds.groupBy("question_id").agg(F.min_by("region", F.struct(-F.col("bound"), "region")).alias("region"))
-    seeded = rows.join(seed, "question_id").withColumn("tau", F.lit(1).cast("bigint"))
-    near = materialize(_score_routes(seeded, placed, k, FIRST_SLICES), "answers-near")
+    regions = answer_regions(index) if regions is None else regions
+    rows = questions.select("question_id", text_tokens(F.col("question")).alias("tokens")).filter("question_id IS NOT NULL")
+    bounds = materialize(question_routes(rows, regions).filter(F.size("routes") > 0), "question-bounds", "zstd")
+    least = F.lit(1).cast("bigint")
+    first = F.transform(F.slice("routes", 1, 1), lambda r: r["region"])
+    near = materialize(_score_routes(bounds.select("question_id", "tokens", first.alias("regions"), least.alias("tau")), regions, k), "answers-near")
     last = best_ranked(near, k).filter(F.col("rank") == k).select("question_id", F.col("score").alias("reached"))
-    open_ = bounds.join(seed.withColumnRenamed("region", "seen"), "question_id").join(last, "question_id", "left")
-    tau = F.coalesce("reached", F.lit(1).cast("bigint"))
-    open_ = open_.filter((F.col("region") != F.col("seen")) & (F.col("bound") >= tau)).select("question_id", "region", tau.alias("tau"))
-    far = _score_routes(materialize(open_.join(rows, "question_id"), "question-routes"), placed, k)
-    return best_ranked(near.unionByName(far), k).select("question_id", "rank", "label", "score")
+    open_ = bounds.join(last, "question_id", "left").withColumn("tau", F.coalesce("reached", least))
+    others = F.filter(F.slice("routes", 2, REGIONS), lambda r: r["bound"] >= F.col("tau"))
+    open_ = open_.select("question_id", "tokens", F.transform(others, lambda r: r["region"]).alias("regions"), "tau")
+    far = _score_routes(materialize(open_.filter(F.size("regions") > 0), "question-routes", "zstd"), regions, k)
+    return materialize(best_ranked(near.unionByName(far), k).select("question_id", "rank", "label", "score"), "answers-ranked")
 
 
 def answer_json(ranked: DataFrame, text: str = "answer") -> DataFrame:

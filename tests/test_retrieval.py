@@ -54,6 +54,30 @@ def test_regions_that_cannot_matter_are_left_out(spark, monkeypatch):
     assert regions >= 10 and routed[0] == 10 and routed[1] <= 10 * 3  # of 10 * regions
 
 
+def test_a_question_is_routed_in_one_row_however_many_regions_are_open(spark, monkeypatch):
+    """Nothing can be left out: texts still move once, and not once per region or block of answers."""
+    monkeypatch.setattr(R, "REGION_ROWS", 10)
+    monkeypatch.setattr(R, "STEP_CELLS", 8)
+    index = [(i, ["a", f"x{i}"], [5, 5]) for i in range(200)]
+    table = spark.createDataFrame(index, "label long, tokens array<string>, weights array<long>")
+    questions = [(str(i), f"a x{i} x{i + 90}") for i in range(10)]
+    asked = spark.createDataFrame(questions, "question_id string, question string")
+    routed = []
+    whole = R._score_routes
+    monkeypatch.setattr(R, "_score_routes", lambda routes, *rest: routed.append(routes.count()) or whole(routes, *rest))
+    got = sorted(map(tuple, R.rank_answers(asked, table, 5).collect()))
+    assert got == plain(index, questions, 5) and routed[0] == 10 and routed[1] <= 10
+
+
+def test_answers_of_one_label_are_one_answer(spark):
+    rows = [(1, "b a a"), (1, "a c"), (2, ""), (2, None), (3, "c d"), (4, "d d")]
+    index = R.answer_index(spark.createDataFrame(rows, "label long, answer string")).collect()
+    idf = {t: round(R.IDF_SCALE * float(np.log(7 / (n + 1)))) for t, n in {"a": 1, "b": 1, "c": 2, "d": 2}.items()}
+    want = {1: {"a": 3, "b": 1, "c": 1}, 3: {"c": 1, "d": 1}, 4: {"d": 2}}
+    assert {r.label: dict(zip(r.tokens, r.weights)) for r in index} == {
+        n: {t: tf * idf[t] ** 2 for t, tf in terms.items()} for n, terms in want.items()}
+
+
 def test_nothing_to_rank(spark):
     index, questions = corpus(1, 5, 5)
     table = spark.createDataFrame(index, "label long, tokens array<string>, weights array<long>")
