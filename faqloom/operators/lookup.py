@@ -109,7 +109,8 @@ def lookup_lists(
         return rows.mapInArrow(map_lists, schema)
     packing = StructType().add("_g", StringType()).add("_keys", rows.schema[column].dataType).add("_lists", BinaryType())
     packs = materialize(rows.mapInArrow(lambda batches: _packed(batches, column), packing), "packed-lists", "zstd")
-    width = max(rows.sparkSession.sparkContext.defaultParallelism, packs.count())
+    # more partitions than packs: few of them share one, and tasks that have none end at once
+    width = max(rows.sparkSession.sparkContext.defaultParallelism, 4 * packs.count())
     asked = packs.select("_g", F.posexplode("_keys").alias("_i", "_key"))
     known = asked.join(slim.hint("merge"), "_key", "left").select(F.col("_g").alias("_of"), "_i", "_value")
 

@@ -9,7 +9,7 @@ from faqloom.functions.repair import repair_text
 from faqloom.functions.segment import segment_words
 from faqloom.functions.text import basic_token_array, standardize_text, word_token_array
 from faqloom.functions.unicode_rules import bind
-from faqloom.operators.lookup import lookup, small_side
+from faqloom.operators.lookup import fits_broadcast, lookup, lookup_lists, small_side
 from faqloom.session import bucket_count, materialize
 
 #: A match is coded with ten bits for its end.
@@ -17,6 +17,8 @@ LONGEST_CODED = 1023
 MAX_WORD_CHARS = 100
 UNKNOWN_PIECE = "[UNK]"
 END_OF_WORD = "</w>"
+#: No piece holds it.
+PIECE_MARK = "\x01"
 
 
 def token_rows(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
@@ -115,14 +117,32 @@ def counted_words(counted: DataFrame, word: str = "token", n: str = "n") -> Data
     return words.repartition(bucket_count(counted.sparkSession), "word")
 
 
+def piece_table(words: DataFrame, vocab: DataFrame, longest_piece: int) -> DataFrame:
+    """The pieces of distinct words (word, n), written once: token, n, pieces, ids."""
+    return materialize(wordpiece_dictionary(words, vocab, longest_piece).withColumnRenamed("word", "token"), "pieces", "zstd")
+
+
 def wordpieces(tokens: DataFrame, vocab: DataFrame, longest_piece: int, words: DataFrame | None = None) -> DataFrame:
     """Replace the ``token`` of each row by its ``pieces`` and ``ids`` arrays.
     ``words`` are the distinct words of the tokens where they are counted already."""
-    words = wordpiece_dictionary(distinct_words(tokens) if words is None else words, vocab, longest_piece).withColumnRenamed("word", "token")
-    words = materialize(words, "pieces")
+    words = piece_table(distinct_words(tokens) if words is None else words, vocab, longest_piece)
     return lookup(tokens, words, "token", ["pieces", "ids"], "n")
 
 
+def wordpieces_of_lists(lists: DataFrame, pieces: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``pos``, ``pieces`` of every token of the lists (``keep``, tokens), from a table of :func:`piece_table`.
+
+    A table that was found to be small is sent to the token rows.  Beyond that whole lists meet it, so that no token row
+    crosses the network, and only then become rows.
+    """
+    slim = pieces.select("token", "pieces", "n")
+    if fits_broadcast(slim):
+        return lookup(token_rows(lists, F.col("tokens"), *keep), slim, "token", ["pieces"], "n").select(*keep, "pos", "pieces")
+    joined = slim.select("token", F.array_join("pieces", PIECE_MARK).alias("joined"))
+    met = lookup_lists(lists.select(*keep, "tokens").filter(F.size("tokens") > 0), "tokens", joined, "token", "joined", "met")
+    return met.select(*keep, F.posexplode("met").alias("pos", "m")).select(*keep, "pos", F.split("m", PIECE_MARK).alias("pieces"))
+
+
 def piece_rows(pieced: DataFrame, *keep: str) -> DataFrame:
     """Piece table: ``keep``, ``pos`` of the word, ``piece_no`` inside it, ``token``."""
     return pieced.select(*keep, "pos", F.posexplode("pieces").alias("piece_no", "token"))

@@ -259,9 +259,12 @@ rows AS (
 
 
 def document_pieces(spark, root):
-    pieced = K.wordpieces(
-        document_tokens(spark, root), piece_vocab(spark, root), longest_piece(spark, root), K.counted_words(token_table(spark, root)))
-    return K.piece_rows(pieced, *LINE)
+    def build():
+        return K.piece_table(K.counted_words(token_table(spark, root)), piece_vocab(spark, root), longest_piece(spark, root))
+
+    pieces = kept_once(spark, root, "word-pieces", build)
+    listed = document_lines(spark, root).select(*LINE, T.basic_token_array(F.col("line")).alias("tokens"))
+    return K.piece_rows(K.wordpieces_of_lists(listed, pieces, *LINE), *LINE)
 
 
 @query("wordpiece", f"{_PIECES} SELECT doc_id, line_no, pos, piece_no, token FROM rows")

@@ -161,6 +161,21 @@ def test_byte_pairs_by_lists_are_those_by_broadcast(spark, monkeypatch, tmp_path
     assert [sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in queries] == want and all(want)
 
 
+def test_large_piece_tables_meet_whole_lines(spark, monkeypatch, tmp_path):
+    """Token rows do not cross the network to meet their pieces, also where documents repeat."""
+    from faqloom.operators import lookup as L
+    from faqloom.plans import text as T
+
+    rows = [(i, " ".join(f"lower{j} newest, wide{j % 3}" for j in range(i % 5)) + "\n\nend") for i in range(20)]
+    rows += [(3, "lower1 newest"), (3, "lower1 newest"), (50, None), (51, ""), (52, "one " + "x" * 120), (None, "wide1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = (T.wordpiece, T.drop_stopwords)
+    want = [sorted(map(repr, map(tuple, q(spark, str(tmp_path)).collect()))) for q in queries]
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    assert "_probe" not in T.wordpiece(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert [sorted(map(repr, map(tuple, q(spark, str(tmp_path)).collect()))) for q in queries] == want and all(want)
+
+
 def test_counts_of_lists_are_those_of_rows(spark):
     """Sums and first places without a row per token, also for repeated and missing document numbers."""
     import pyarrow as pa
