@@ -381,14 +381,40 @@ def bpe(spark, root):
     return bpe_pieces(spark, root)
 
 
-def bpe_pieces(spark, root, *head: str) -> DataFrame:
-    """Byte-pair pieces of all documents, with the tokens of ``head`` as they are ahead of every document."""
+def bpe_word_pieces(spark, root) -> DataFrame:
+    """The byte-pair pieces of every distinct word, written once: token, n, pieces."""
 
     def build():
         words = K.counted_words(bpe_word_table(spark, root), "word")
         return K.bpe_dictionary(words, merge_table(spark, root), LONGEST_MERGE).withColumnRenamed("word", "token")
 
-    pieces = made_once(spark, root, "bpe-pieces", build)
+    return made_once(spark, root, "bpe-pieces", build)
+
+
+def bpe_piece_lists(spark, root) -> DataFrame:
+    """The byte-pair pieces of each document as one list: doc_id, tokens.  A document without words is left out.
+
+    Whole documents meet the dictionary, so that no row per piece is sorted back into texts.  Documents of equal number are
+    one, their pieces merged by place (word, piece in the word), then by value.
+    """
+    joined = bpe_word_pieces(spark, root).select("token", F.array_join("pieces", K.PIECE_MARK).alias("joined"))
+    listed = lookup_lists(bpe_texts(spark, root).filter(F.size("words") > 0), "words", joined, "token", "joined", "lists")
+    tokens = F.split(F.array_join("lists", K.PIECE_MARK), K.PIECE_MARK)
+    if not repeated(spark, root):
+        return listed.select("doc_id", tokens.alias("tokens"))
+
+    def placed(words: Column) -> Column:
+        return F.flatten(F.transform(words, lambda w, pos: F.transform(
+            F.split(w, K.PIECE_MARK), lambda v, i: F.struct(pos.alias("pos"), i.alias("i"), v.alias("v")))))
+
+    merged = F.transform(F.sort_array(F.flatten(F.transform("_l", placed))), lambda c: c["v"])
+    whole = listed.groupBy("doc_id").agg(F.collect_list("lists").alias("_l")).withColumn("lists", F.get("_l", F.lit(0)))
+    return whole.select("doc_id", F.when(F.size("_l") == 1, tokens).otherwise(merged).alias("tokens"))
+
+
+def bpe_pieces(spark, root, *head: str) -> DataFrame:
+    """Byte-pair pieces of all documents, with the tokens of ``head`` as they are ahead of every document."""
+    pieces = bpe_word_pieces(spark, root)
     texts = bpe_texts(spark, root)
     width = max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
     if fits_broadcast(pieces.select("token", "pieces")):
@@ -396,10 +422,10 @@ def bpe_pieces(spark, root, *head: str) -> DataFrame:
         if head:
             pieced = pieced.withColumn("pieces", F.when(F.col("pos") < 0, F.array("token")).otherwise(F.col("pieces")))
     else:
-        joined = pieces.select("token", F.array_join("pieces", "\x01").alias("joined"))  # a mark that no piece holds
+        joined = pieces.select("token", F.array_join("pieces", K.PIECE_MARK).alias("joined"))
         listed = lookup_lists(texts, "words", joined, "token", "joined", "lists")
         rows = bpe_rows(listed, width, "lists", *[F.lit(t) for t in head])
-        pieced = rows.select("doc_id", "pos", F.split("token", "\x01").alias("pieces"))
+        pieced = rows.select("doc_id", "pos", F.split("token", K.PIECE_MARK).alias("pieces"))
     return K.piece_rows(pieced, "doc_id")
 
 
@@ -510,7 +536,7 @@ SELECT doc_id, """ + "".join("replace(" for _ in V.TIDY_STEPS) + "text" + "".joi
     f", '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in V.TIDY_STEPS) + " AS text FROM t")
 def decode_text_pieces(spark, root):
     """Byte-pair pieces back to text, with the tidy-up replacements."""
-    rows = V.gather(bpe(spark, root), "token", ["doc_id"], ["pos", "piece_no"], "tokens")
+    rows = bpe_piece_lists(spark, root)
     return rows.select("doc_id", V.pieces_to_text(F.col("tokens"), tidy=True).alias("text"))
 
 
@@ -568,8 +594,12 @@ SELECT doc_id, """ + "".join("replace(" for _ in V.TIDY_STEPS) + "text" + "".joi
     f", '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in V.TIDY_STEPS) + " AS text FROM txt")
 def bpe_decode(spark, root):
     """Ids back to text without special tokens, tidied up."""
-    named = V.decode(bpe_ids(spark, root), bpe_vocab(spark, root)).filter(~F.col("token").isin(*BPE_SPECIALS))
-    rows = V.gather(named, "token", ["doc_id"], ["pos", "piece_no"], "tokens")
+    vocab = bpe_vocab(spark, root)
+    start = F.lit(V.id_of(vocab, BPE_SPECIALS[0]))
+    coded = encode_lists(bpe_piece_lists(spark, root), vocab, "zero")
+    named = decode_lists(coded.withColumn("ids", F.concat(F.array(start), "ids")), vocab)
+    kept = F.filter("tokens", lambda t: ~t.isin(*BPE_SPECIALS))
+    rows = named.select("doc_id", kept.alias("tokens")).filter(F.size("tokens") > 0)
     return rows.select("doc_id", V.pieces_to_text(F.col("tokens"), tidy=True).alias("text"))
 
 

@@ -176,6 +176,23 @@ def test_large_piece_tables_meet_whole_lines(spark, monkeypatch, tmp_path):
     assert [sorted(map(repr, map(tuple, q(spark, str(tmp_path)).collect()))) for q in queries] == want and all(want)
 
 
+def test_byte_pair_texts_are_not_sorted_together_from_pieces(spark, tmp_path):
+    """Texts are read off whole lists; documents of one number are merged by place, as their rows would be."""
+    from faqloom.plans import text as T
+
+    rows = [(i, " ".join(f"lower{j} newest, wide{j % 3}" for j in range(i % 5))) for i in range(20)] + [(50, None), (51, ""), (52, "<s> one")]
+    for name, extra in (("once", []), ("twice", [(4, "lower newest"), (3, None), (6, rows[6][1]), (None, "a b"), (None, "cd")])):
+        root = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows + extra, "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
+        by_rows = V.gather(T.bpe(spark, root), "token", ["doc_id"], ["pos", "piece_no"], "tokens")
+        want = by_rows.select("doc_id", V.pieces_to_text(F.col("tokens"), tidy=True)).collect()
+        for query in (T.decode_text_pieces, T.bpe_decode):
+            got = query(spark, root)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "Generate" not in plan and ("collect_list" in plan) == (name == "twice")
+            assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want))) and len(want) > 15
+
+
 def test_counts_of_lists_are_those_of_rows(spark):
     """Sums and first places without a row per token, also for repeated and missing document numbers."""
     import pyarrow as pa
