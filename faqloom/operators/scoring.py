@@ -7,14 +7,12 @@ of the dense score vector), never one row per pair.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +20,9 @@ from faqloom.functions.text import basic_token_array, normalize_question
 from faqloom.functions.vectors import sigmoid, softmax
 from faqloom.operators.lookup import lookup, lookup_lists
 from faqloom.operators.ordering import quantile_buckets
+from faqloom.operators.parts import part_name, parts_folder, read_part, write_part
 from faqloom.operators.vocab import counts_of_lists
-from faqloom.session import materialize, scratch_path
+from faqloom.session import materialize
 
 LABELS_PER_BLOCK = 4096
 ROWS_PER_SLICE = 20_000
@@ -220,7 +219,6 @@ def answer_regions(index: DataFrame) -> tuple[DataFrame, str]:
     into blocks that a task can hold.  A block's postings are put in the order of its terms once and written to the shared
     folder, from where tasks read one block at a time: answers cross the network once and are never copied for the questions.
     """
-    spark = index.sparkSession
     n = max(1, min(REGIONS, index.count() // REGION_ROWS))
     weight = F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, w: a + w)
     apart = F.pmod(F.xxhash64("label"), F.lit(1 << 20)) / (1 << 20)  # answers of one total weight may fill several regions
@@ -229,12 +227,10 @@ def answer_regions(index: DataFrame) -> tuple[DataFrame, str]:
         F.ceil(F.count("*") / BLOCK_ANSWERS), F.ceil(F.sum(F.size("tokens")) / STEP_CELLS)).cast("int").alias("blocks"))
     dealt = placed.join(F.broadcast(counts), "region")  # a row per region, REGIONS at most
     block = F.pmod(F.xxhash64("label", F.col("tokens")), F.col("blocks")).cast("int")
-    folder = scratch_path(spark, "answer-blocks")
-    files, path = pafs.FileSystem.from_uri(folder)
-    files.create_dir(path)
+    folder = parts_folder(index.sparkSession, "answer-blocks")
 
     def write(key: tuple[pa.Scalar, ...], answers: pa.Table) -> pa.Table:
-        part = f"part-{uuid.uuid4().hex}"  # a name of this attempt alone
+        part = part_name()
         _write_block(folder, part, answers)
         return pa.table({"region": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
                          "part": [part], "answers": [len(answers)],
@@ -257,21 +253,14 @@ def _write_block(folder: str, part: str, answers: pa.Table) -> None:
     weights = weights.flatten().to_numpy(zero_copy_only=False)[by_term]
     ends = np.searchsorted(term[by_term], np.arange(len(coded.dictionary) + 1))
     top = np.maximum.reduceat(weights, ends[:-1]) if len(weights) else weights
-    files, path = pafs.FileSystem.from_uri(folder)
     for name, held in (("terms", {"terms": coded.dictionary, "top": top}),
                        ("cells", {"labels": answers.column("label").combine_chunks(), "ends": ends, "rows": rows, "weights": weights})):
-        made = pa.table({c: pa.array([v if isinstance(v, pa.Array) else pa.array(v)], pa.large_list(getattr(v, "type", None) or pa.from_numpy_dtype(v.dtype)))
-                         for c, v in held.items()})
-        with files.open_output_stream(f"{path}/{part}.{name}", compression=None) as sink, pa.ipc.new_stream(
-                sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(made)
+        arrays = {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in held.items()}
+        write_part(folder, f"{part}.{name}", pa.table({c: pa.array([v], pa.large_list(v.type)) for c, v in arrays.items()}))
 
 
 def _read_block(folder: str, part: str, name: str) -> list[pa.Array]:
-    files, path = pafs.FileSystem.from_uri(folder)
-    with files.open_input_stream(f"{path}/{part}.{name}", compression=None) as source:
-        held = pa.ipc.open_stream(source).read_all()
-    return [c.chunk(0).flatten() for c in held.columns]
+    return [c.chunk(0).flatten() for c in read_part(folder, f"{part}.{name}").columns]
 
 
 def question_routes(rows: DataFrame, regions: tuple[DataFrame, str]) -> DataFrame:

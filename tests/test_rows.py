@@ -129,3 +129,33 @@ def test_draws_are_neither_grouped_nor_sorted_again(spark):
             assert r.classes[:2] == [2, 2] and r.classes[2] == r.classes[3] and r.question.split()[:-2] in ([], ["two", "two"])
         else:
             assert len(r.classes) == 2 and r.question.split()[0] in {1: ("v0", "v1"), 3: ("w",)}[r["class"]]
+
+
+def test_draws_do_not_cross_the_network(spark, monkeypatch):
+    """Parts of few classes, few draws at a time: the same rows as by hand, and no shuffle behind the draws."""
+    from hashlib import md5
+
+    for name, value in (("PART_BYTES", 60), ("DRAWS_TOGETHER", 70), ("BATCH_CLASSES", 1)):
+        monkeypatch.setattr(A, name, value)
+    kinds = {f"c{c}": [f"v{c}.{i}" if (c + i) % 5 else None for i in range(1 + c % 4)] for c in range(12)}
+    variants = spark.createDataFrame(
+        [(c, i, len(v), t) for c, v in kinds.items() for i, t in enumerate(v)] + [(None, 0, 1, "lost")], "class string, idx long, n long, variant string")
+    asked = [(f"c{c}", f"q{c}") for c in range(3, 15)]
+    rows = A.permute_augment(spark.createDataFrame(asked, "class string, question string"), variants, sample=20, permutations=3)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join") and "class_no" not in plan
+
+    def u(*keys):
+        return int(md5("|".join(map(str, (42, *keys))).encode()).hexdigest()[:8], 16) / 2**32
+
+    order = sorted([*kinds, None], key=lambda c: (md5("|".join(["42"] + [c] * (c is not None)).encode()).hexdigest(), c or ""))
+    want = []
+    for c, question in asked:
+        for d in range(20):
+            picks = [order[int(u(c, d, slot, "class") * len(order))] for slot in (1, 2)]
+            if None in picks:  # a class without a name is numbered and never met
+                continue
+            own = kinds[c][int(u(c, d, 0, "variant") * len(kinds[c]))] if c in kinds else question
+            words = [own] + [kinds[p][int(u(c, d, s, "variant") * len(kinds[p]))] for s, p in enumerate(picks, 1)]
+            want.append((c, d, [c, *picks], " ".join(w for w in words if w is not None)))
+    assert sorted(map(tuple, rows.collect())) == sorted(want) and 150 < len(want) < 240
