@@ -104,7 +104,8 @@ def lookup_lists(
 
         def map_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from _filled(pa.Table.from_batches([batch]), column, others, sent.value, name, default).to_batches()
+                for few in _few(batch, column):  # whole texts are long: their lists are answered some at a time
+                    yield from _filled(pa.Table.from_batches([few]), column, others, sent.value, name, default).to_batches()
 
         return rows.mapInArrow(map_lists, schema)
     packing = StructType().add("_g", StringType()).add("_keys", rows.schema[column].dataType).add("_lists", BinaryType())
@@ -120,6 +121,16 @@ def lookup_lists(
     return packs.select("_g", "_lists").repartition(width, "_g").groupBy("_g").cogroup(known.groupBy("_of")).applyInArrow(fill, schema)
 
 
+def _few(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some two million elements of its lists at most, or one row."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
+    at, done = 0, 0
+    while at < len(batch):
+        to = max(at + 1, int(ends.searchsorted(done + PACK_ELEMENTS, side="right")))
+        yield batch.slice(at, to - at)
+        at, done = to, ends[to - 1]
+
+
 def _packed(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """_g, _keys, _lists: packs of rows, the elements of their lists as numbers of the distinct ones."""
     held, size, made = [], 0, 0

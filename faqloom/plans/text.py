@@ -581,6 +581,20 @@ def bpe_ids(spark, root):
     return V.encode(rows, bpe_vocab(spark, root), "zero").select("doc_id", "pos", "piece_no", "id")
 
 
+def bpe_id_lists(spark, root) -> DataFrame:
+    """The ids of :func:`bpe_ids` as one list for each document, without the start mark: doc_id, ids.
+
+    The pieces of a distinct word are encoded once, and whole documents meet the ids of their words.
+    """
+    vocab = bpe_vocab(spark, root)
+    if repeated(spark, root):  # pieces are merged by value, ahead of their ids
+        return encode_lists(bpe_piece_lists(spark, root), vocab, "zero")
+    words = bpe_word_pieces(spark, root).select("token", F.col("pieces").alias("tokens"))
+    coded = made_once(spark, root, "bpe-word-ids", lambda: encode_lists(words, vocab, "zero"))
+    listed = lookup_lists(bpe_texts(spark, root).filter(F.size("words") > 0), "words", coded, "token", "ids", "lists")
+    return listed.select("doc_id", F.flatten("lists").alias("ids"))
+
+
 @query("bpe_encode_ids", f"{_BPE_IDS} SELECT doc_id, pos, piece_no, id FROM bids")
 def bpe_encode_ids(spark, root):
     return bpe_ids(spark, root)
@@ -596,7 +610,7 @@ def bpe_decode(spark, root):
     """Ids back to text without special tokens, tidied up."""
     vocab = bpe_vocab(spark, root)
     start = F.lit(V.id_of(vocab, BPE_SPECIALS[0]))
-    coded = encode_lists(bpe_piece_lists(spark, root), vocab, "zero")
+    coded = bpe_id_lists(spark, root)
     named = decode_lists(coded.withColumn("ids", F.concat(F.array(start), "ids")), vocab)
     kept = F.filter("tokens", lambda t: ~t.isin(*BPE_SPECIALS))
     rows = named.select("doc_id", kept.alias("tokens")).filter(F.size("tokens") > 0)

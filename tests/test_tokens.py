@@ -139,6 +139,21 @@ def test_lists_are_packed_where_they_lie(spark, monkeypatch):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
 
 
+def test_long_lists_are_answered_some_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from faqloom.operators import lookup as L
+
+    monkeypatch.setattr(L, "PACK_ELEMENTS", 4)
+    lists = [["a"] * n for n in (1, 3, 9, 0)] + [None] + [["b"] * n for n in (2, 2, 1)]
+    few = list(L._few(pa.RecordBatch.from_pydict({"k": range(8), "words": lists}), "words"))
+    assert [b.column("k").to_pylist() for b in few] == [[0, 1], [2], [3, 4, 5, 6], [7]]
+    assert list(L._few(few[0].slice(0, 0), "words")) == []
+    words = pa.table({"_key": ["a"], "_value": [7]})
+    got = [x for b in few for x in L._filled(pa.Table.from_batches([b]), "words", ["k"], words, "ids").column("ids").to_pylist()]
+    assert got == [w and [7 if t == "a" else None for t in w] for w in lists]
+
+
 def test_tasks_follow_the_size_of_the_files(spark, monkeypatch, tmp_path):
     from faqloom import session
     from faqloom.sources.tables import documents
